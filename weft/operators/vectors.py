@@ -10,6 +10,7 @@ and score thresholds are applied inside the kernel before ranking.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -352,7 +353,7 @@ def pandas_embedder(fn, dim: int):
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf(T.ArrayType(T.FloatType()))
-    def _embed(it):
+    def _embed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             m = np.asarray(fn(s.fillna("").tolist()), dtype=np.float32).reshape(len(s), dim)
             yield pd.Series(list(m))

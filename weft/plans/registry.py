@@ -7,6 +7,7 @@ import importlib
 _CATALOGS = [
     "weft.plans.catalog_quality",
     "weft.plans.catalog_vectors",
+    "weft.plans.catalog_context",
 ]
 
 
