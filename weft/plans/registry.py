@@ -8,6 +8,7 @@ _CATALOGS = [
     "weft.plans.catalog_quality",
     "weft.plans.catalog_vectors",
     "weft.plans.catalog_context",
+    "weft.plans.catalog_analyze",
 ]
 
 
