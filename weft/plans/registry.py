@@ -9,6 +9,7 @@ _CATALOGS = [
     "weft.plans.catalog_vectors",
     "weft.plans.catalog_context",
     "weft.plans.catalog_analyze",
+    "weft.plans.catalog_render",
 ]
 
 
