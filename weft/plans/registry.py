@@ -10,6 +10,7 @@ _CATALOGS = [
     "weft.plans.catalog_context",
     "weft.plans.catalog_analyze",
     "weft.plans.catalog_render",
+    "weft.plans.catalog_pages",
 ]
 
 
