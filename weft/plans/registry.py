@@ -11,6 +11,7 @@ _CATALOGS = [
     "weft.plans.catalog_analyze",
     "weft.plans.catalog_render",
     "weft.plans.catalog_pages",
+    "weft.plans.catalog_intents",
 ]
 
 
