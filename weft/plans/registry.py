@@ -12,6 +12,7 @@ _CATALOGS = [
     "weft.plans.catalog_render",
     "weft.plans.catalog_pages",
     "weft.plans.catalog_intents",
+    "weft.plans.catalog_io",
 ]
 
 
