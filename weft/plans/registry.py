@@ -13,6 +13,7 @@ _CATALOGS = [
     "weft.plans.catalog_pages",
     "weft.plans.catalog_intents",
     "weft.plans.catalog_io",
+    "weft.plans.catalog_streams",
 ]
 
 
