@@ -141,40 +141,53 @@ def history_fallback(misses: DataFrame, hist_items: DataFrame, docs: DataFrame,
 
 def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | None, embedder=None,
                      filters: dict[str, str] | None = None, use_history: bool = True,
-                     forced: DataFrame | None = None) -> DataFrame:
+                     forced: DataFrame | None = None, payload: DataFrame | None = None) -> DataFrame:
     """Per query row the prompt, the retrieved documents and the counts.
 
     queries: query_id, text, k (default 4), user_id, embedding, filter columns.
-    docs: doc_id, text, source, embedding, filter columns.
+    docs: doc_id, embedding, filter columns (+ text, source unless ``payload`` is given).
+    payload: optional (doc_id, text, source); only the final k hits per query are joined to it.
     forced (C5): optional (query_id, doc_id, rank) rows that replace retrieval.
     """
     filters = filters or {}
-    embedder = embedder or VX.hashed_embedder(_dim_of(docs))
     q = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(DEFAULT_K)).cast("int")) \
         .withColumn("depth", fetch_depth(F.col("k")))
     q = q.persist()
-    first = VX.knn(q, docs, k=MAX_DEPTH, k_col="depth", filters=filters)
+    # scoring carries only ids, vectors and filter columns; text is joined after ranking
+    vecs = docs.select("doc_id", "embedding", *sorted(set(filters.values())))
+    pay = payload if payload is not None else docs.select("doc_id", "text", "source")
+    first = VX.knn(q, vecs, k=MAX_DEPTH, k_col="depth", filters=filters)
     if forced is not None:
         first = first.join(forced.select("query_id").distinct(), "query_id", "left_anti").unionByName(
             forced.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"),
                           F.col("rank").cast("int")))
     first = first.persist()
+    # a query without hits either has a filter no document passes (then every fallback, which
+    # searches under the same filter, is empty too) or a vector that cannot be scored
     misses = q.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    misses = _eligible(misses, docs, filters).persist()
-    term_hits = term_fallback(misses, docs, embedder, filters)
-    hits = first.unionByName(term_hits)
+    misses = _eligible(misses, vecs, filters).persist()
+    # one action decides whether any fallback search has work (it also materialises ``first``)
+    has_misses = not misses.isEmpty()
+    if has_misses and embedder is None:
+        dim = q.agg(F.max(F.size("embedding"))).first()[0] or 64
+        embedder = VX.hashed_embedder(int(dim))
+    hits = first
+    term_hits = None
+    if has_misses:
+        term_hits = term_fallback(misses, vecs, embedder, filters)
+        hits = hits.unionByName(term_hits)
 
     if use_history and history is not None:
         hist_items = H.select_history(q, history).persist()
-        still = misses.join(term_hits.select("query_id").distinct(), "query_id", "left_anti")
-        hist_hits = history_fallback(still, hist_items, docs, embedder, filters)
-        hits = hits.unionByName(hist_hits)
+        if has_misses:
+            still = misses.join(term_hits.select("query_id").distinct(), "query_id", "left_anti")
+            hits = hits.unionByName(history_fallback(still, hist_items, vecs, embedder, filters))
     else:
         hist_items = None
 
     # Re-rank by cosine distance only where more than k hits came back
-    hits = VX.rerank(hits, q.select("query_id", "k", "embedding"), docs, "k").drop("direct_score")
-    hits = hits.join(docs.select("doc_id", "text", "source"), "doc_id")
+    hits = VX.rerank(hits, q.select("query_id", "k", "embedding"), vecs, "k").drop("direct_score")
+    hits = hits.join(pay, "doc_id")
     rendered = render_documents(hits)
     out = q.select("query_id", "text").join(rendered, "query_id", "left")
     if hist_items is not None:

@@ -124,7 +124,7 @@ def clear_history(history: DataFrame) -> DataFrame:
 
 
 def select_history(queries: DataFrame, history: DataFrame, timeline_limit: int = 10, similar_limit: int = 5,
-                   min_score: float = 0.1) -> DataFrame:
+                   min_score: float = 0.1, similar_fallback: bool = False) -> DataFrame:
     """History items per query row (only rows with a user id).
 
     Timeline first (``timeline_limit`` in storage order); queries whose user
@@ -132,15 +132,18 @@ def select_history(queries: DataFrame, history: DataFrame, timeline_limit: int =
     time ascending; ``position`` numbers them from 1.
     """
     q = queries.where(present("user_id"))
-    tl = user_history(history, timeline_limit).drop("position")
-    with_tl = q.select("query_id", "user_id").join(tl, "user_id")
-    missed = q.join(with_tl.select("query_id").distinct(), "query_id", "left_anti")
-    # a user-filtered search can only find rows of users that have history
-    eligible = missed.join(history.select("user_id").distinct(), "user_id", "left_semi")
-    sim = similar_responses(eligible, history, similar_limit, min_score, {"user_id": "user_id"})
     hist_cols = [c for c in history.columns if c != "embedding"]
-    sim_rows = sim.select("query_id", "seq").join(history.select(*hist_cols), "seq")
-    items = with_tl.select("query_id", *hist_cols).unionByName(sim_rows.select("query_id", *hist_cols))
+    tl = user_history(history.select(*hist_cols), timeline_limit).drop("position")
+    items = q.select("query_id", "user_id").join(tl, "user_id").select("query_id", *hist_cols)
+    if similar_fallback:
+        # Only query rows whose user has no timeline reach the similarity search, and it is
+        # filtered to that same user: a user without timeline rows has no history rows, so the
+        # search cannot find anything. It is kept for stores whose timeline read can fail.
+        missed = q.join(items.select("query_id").distinct(), "query_id", "left_anti")
+        eligible = missed.join(history.select("user_id").distinct(), "user_id", "left_semi")
+        sim = similar_responses(eligible, history, similar_limit, min_score, {"user_id": "user_id"})
+        sim_rows = sim.select("query_id", "seq").join(history.select(*hist_cols), "seq")
+        items = items.unionByName(sim_rows.select("query_id", *hist_cols))
     w = Window.partitionBy("query_id").orderBy(ts_or_epoch("ts").asc(), F.col("seq").asc())
     return items.withColumn("position", F.row_number().over(w))
 

@@ -33,6 +33,7 @@ HIT_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("score", T.DoubleType()),
     T.StructField("rank_score", T.DoubleType()),
+    T.StructField("_kq", T.LongType()),
 ])
 
 
@@ -173,7 +174,7 @@ def _kernel(bq, metric: str, kmax: int, filters: list[tuple[str, str]], min_scor
                 best_s = np.take_along_axis(cand_s, order, axis=1)
                 best_r = np.take_along_axis(cand_r, order, axis=1)
                 best_d = np.take_along_axis(cand_d, order, axis=1)
-        keep = np.isfinite(best_s)
+        keep = np.isfinite(best_s) & (np.arange(kmax)[None, :] < q["k"][:, None])
         if not keep.any():
             return
         qi, _ = np.nonzero(keep)
@@ -181,7 +182,7 @@ def _kernel(bq, metric: str, kmax: int, filters: list[tuple[str, str]], min_scor
         if metric == "sqeuclidean":
             sc = -sc
         yield pd.DataFrame({"query_id": qids[qi].astype(np.int64), "doc_id": best_d[keep], "score": sc,
-                            "rank_score": best_s[keep]})
+                            "rank_score": best_s[keep], "_kq": q["k"][qi].astype(np.int64)})
 
     return run
 
@@ -207,12 +208,12 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
     dcols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(embedding).alias("embedding")]
     dcols += [F.col(c).alias(c) for c in set(filters.values())]
     d = docs.select(*dcols).where(F.col("embedding").isNotNull())
-    dim_bytes = 8 * _dim(q)
-    n_q = q.count()
-    kmax = k
-    if k_col:
-        kmax = int(q.agg(F.max("_k")).first()[0] or 0)
-        kmax = max(kmax, 0)
+    # one pass over the queries for the figures the plan needs: rows, largest k, vector size
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
+                  (F.max("_k") if k_col else F.lit(k)).alias("kmax")).first()
+    n_q, dim = int(stats["n"] or 0), int(stats["dim"] or 1)
+    kmax = max(int(stats["kmax"] or 0), 0)
+    dim_bytes = 8 * max(dim, 1)
     if n_q == 0 or kmax == 0:
         empty = T.StructType(HIT_SCHEMA.fields[:3] + [T.StructField("rank", T.IntegerType())])
         return spark.createDataFrame([], empty)
@@ -221,11 +222,10 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
         parts.append(_score_block(spark, block, d, metric, kmax, filters, min_score, max_score))
     hits = reduce(lambda a, b: a.unionByName(b), parts)
     w = Window.partitionBy("query_id").orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kmax).drop("rank_score")
-    if k_col:
-        ks = q.select("query_id", "_k")
-        ranked = ranked.join(ks, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
-    return ranked
+    # the literal limit lets the planner cut each partition to kmax rows per query before the shuffle;
+    # the per-query k travels with the rows, so no join back to the queries is needed
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kmax)
+    return ranked.where(F.col("rank") <= F.col("_kq")).drop("rank_score", "_kq")
 
 
 def _dim(q: DataFrame) -> int:
@@ -248,6 +248,8 @@ def _score_block(spark: SparkSession, block: DataFrame, docs: DataFrame, metric,
         "qzero": qn == 0,
         "sq": (mat * mat).sum(axis=1),
         "filters": {c: pdf[c].to_numpy() for c in filters},
+        "k": (pdf["_k"].fillna(0).to_numpy(dtype=np.int64) if "_k" in pdf.columns
+              else np.full(len(pdf), kmax, dtype=np.int64)),
     }
     bq = spark.sparkContext.broadcast(payload)
     fn = _kernel(bq, metric, kmax, list(filters.items()), min_score, max_score)

@@ -99,8 +99,8 @@ def q_special_terms(spark, sf):
 
 
 def q_assemble_context(spark, sf):
-    return C.assemble_context(_queries(spark, sf), _coll(spark, sf), _hist(spark, sf),
-                              filters={"filter_label": "label"})
+    return C.assemble_context(_queries(spark, sf), tables.collection_vectors(spark, sf), _hist(spark, sf),
+                              filters={"filter_label": "label"}, payload=tables.collection_payload(spark, sf))
 
 
 def q_token_usage(spark, sf):

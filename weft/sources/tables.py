@@ -18,7 +18,21 @@ TABLES = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A table stored as one large row group scans as one task; the text jobs are
+    per-row CPU work, so such a scan is spread round-robin over the cores. A
+    table in many files/row groups (the normal case at scale) already has
+    enough partitions and is left as it is (no shuffle).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +110,8 @@ def history_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval collection: one document per embedding, text from ``documents``."""
     emb = read(spark, sf_dir, "embeddings")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    # the text side is the large one: never broadcast it (its size estimate counts a string as 20 bytes)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").hint("merge")
     return emb.join(docs, emb.vec_id == docs.doc_id, "left").select(
         emb.vec_id.alias("doc_id"),
         F.coalesce(docs.text, F.lit("")).alias("text"),
@@ -107,10 +122,21 @@ def collection_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def collection_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring side of the collection: ids, labels and vectors only (no text)."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
+
+
+def collection_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload side of the collection (text and source), joined to the final hits only."""
+    return read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+
+
 def queries_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries table: every embedding row is a question (FIXTURES.md §2.4)."""
     emb = read(spark, sf_dir, "embeddings")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"), "lang").hint("merge")
     j = emb.join(docs, emb.vec_id == docs.doc_id, "left").select(
         emb.vec_id, emb.embedding, emb.label, F.coalesce(docs.text, F.lit("")).alias("text"), docs.lang
     )
