@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.rows import select_where
 from weft.functions.text import present, strip
 
 # Section patterns (in order) and the keyword fall-backs of categorisation.
@@ -60,8 +61,9 @@ def split_sections(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     pairs = F.transform("_heads", lambda h, i: F.struct(strip(h).alias("header"),
                                                         F.element_at("_bodies", i + 2).alias("body")))
     s = d.select("doc_id", F.posexplode(pairs).alias("pos", "s"))
-    s = s.select("doc_id", "pos", "s.header", strip(F.col("s.body")).alias("content"))
-    return s.where(present("header") & present("content"))
+    return select_where(s, [F.col("doc_id"), F.col("pos"), F.col("s.header").alias("header"),
+                            strip(F.col("s.body")).alias("content")],
+                        lambda r: present(r["header"]) & present(r["content"]))
 
 
 def categorize(header: Column, mode: str = "compat") -> Column:

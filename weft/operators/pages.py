@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.functions.rows import select_where
 from weft.functions.text import present
 
 MAX_CONTENT_CHARS = 10000
@@ -127,8 +128,9 @@ def page_record(pages: DataFrame) -> DataFrame:
     snippet = F.coalesce(F.nullif(F.col("_txt")[3], F.lit("")),
                          F.nullif(F.regexp_extract(h, r"(?is)<meta\s+name=\"description\"\s+content=\"([^\"]*)\"", 1),
                                   F.lit("")), F.lit(""))
-    r = x.select("page_id", url.alias("url"), title.alias("title"), snippet.alias("snippet"), "content")
-    return r.where(present("title") & present("url"))
+    return select_where(x, [F.col("page_id"), url.alias("url"), title.alias("title"), snippet.alias("snippet"),
+                            F.col("content")],
+                        lambda r: present(r["title"]) & present(r["url"]))
 
 
 def _resolve(href: Column, base: Column) -> Column:
@@ -173,13 +175,14 @@ def pages_to_documents(records: DataFrame, use_content: bool = True, engine: str
     """``"{title}\\n\\n{content or snippet}"`` documents; rows without text skipped."""
     body = F.col("content") if use_content else F.col("snippet")
     body = F.coalesce(body, F.lit(""))
-    docs = records.where(present(body)).select(
+    docs = select_where(records, [F.col("page_id"), F.col("title"), F.col("url"), body.alias("_body")],
+                        lambda r: present(r["_body"]))
+    return docs.select(
         "page_id",
-        F.concat(F.col("title"), F.lit("\n\n"), body).alias("text"),
+        F.concat(F.col("title"), F.lit("\n\n"), F.col("_body")).alias("text"),
         F.create_map(F.lit("url"), F.coalesce("url", F.lit("")), F.lit("title"), F.coalesce("title", F.lit("")),
                      F.lit("source"), F.lit("web_scrape"), F.lit("search_engine"), F.lit(engine)).alias("metadata"),
     )
-    return docs
 
 
 def consent_gate(requests: DataFrame, consent_col: str = "explicit_consent",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.functions.rows import select_where
 from weft.functions.text import present, present_arr, rfind, strip, words
 
 # Special tokens, system prompts per category, and the default prompt.
@@ -151,14 +152,22 @@ def render_corpus(items: DataFrame, fmt: str = "chatml", max_length: int = DEFAU
                   include_system: bool = True, template: str | None = None) -> DataFrame:
     """H9: rendered training texts with metadata; items lacking instruction or output dropped."""
     base = items.where(present("instruction") & present("output"))
-    r = base.withColumn("_raw", render_text(fmt, include_system, template)).withColumn(
-        "text", fit_length(F.col("_raw"), max_length)).where(F.col("text").isNotNull())
+    keep = [c for c in ("item_id",) if c in items.columns]
+    raw = base.select(*keep, "category", "difficulty", "tags", "source_section",
+                      (F.length("instruction") + F.length("output")).alias("original_length"),
+                      render_text(fmt, include_system, template).alias("_raw"))
+    cut = raw.withColumn("_cut", F.when(F.length("_raw") > max_length, truncate_smart(F.col("_raw"), max_length))
+                         .otherwise(F.col("_raw")))
+    ok = (present("_raw") & (F.length(strip(F.col("_raw"))) >= MIN_TRAINING_LENGTH)).alias("_ok")
+    r = select_where(cut, [*[F.col(c) for c in keep], F.col("category"), F.col("difficulty"), F.col("tags"),
+                           F.col("source_section"), F.col("original_length"), F.col("_cut").alias("text"), ok],
+                     lambda x: x["_ok"] & (F.length(strip(x["text"])) >= MIN_TRAINING_LENGTH))
     return r.select(
-        *[c for c in ("item_id",) if c in items.columns],
+        *keep,
         "text",
         F.struct(
             F.col("category"), F.col("difficulty"), F.col("tags"), F.col("source_section"),
-            (F.length("instruction") + F.length("output")).alias("original_length"),
+            F.col("original_length"),
             F.length("text").alias("processed_length"),
             F.lit(fmt).alias("format"),
         ).alias("metadata"),
