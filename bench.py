@@ -41,7 +41,7 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="weft-bench")
     qs = all_queries()
     names = [n for n in HEADLINE if n in qs]
-    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     for name in names:
         qs[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}

@@ -143,41 +143,69 @@ def quality_filter(items: DataFrame, min_score: float = 0.7) -> DataFrame:
     return items.where(~has_error(issue_array()) & (item_quality() >= F.lit(min_score)))
 
 
-def _item_aggregates(items: DataFrame) -> DataFrame:
-    """One-row aggregate of everything the dataset scores need (single scan)."""
-    it = items.select(
-        "*",
+def _keyed_counts(items: DataFrame) -> DataFrame:
+    """One scan of the items: every item emits an ``all`` row carrying its measures plus one
+    row per grouping it belongs to (category, difficulty, tag, normalised instruction).
+    A single partial aggregation over (kind, key) then yields all dataset figures."""
+    staged = items.select("*", issue_array().alias("_iss"))  # built once, read by four counts
+    iss = F.col("_iss")
+    per = staged.select(
         item_quality().alias("_q"),
-        issue_array().alias("_iss"),
-    )
-    return it.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(~has_error(F.col("_iss")), 1).otherwise(0)).alias("valid_items"),
-        F.sum(F.size(F.filter("_iss", lambda x: x["severity"] == "error"))).alias("item_errors"),
-        F.sum(F.size(F.filter("_iss", lambda x: x["severity"] == "warning"))).alias("item_warnings"),
-        F.sum(F.size(F.filter("_iss", lambda x: x["severity"] == "info"))).alias("item_infos"),
-        F.avg("_q").alias("mean_item_quality"),
-        F.countDistinct(F.when(present("category"), F.col("category"))).alias("n_categories"),
-        F.countDistinct(F.when(present("difficulty"), F.col("difficulty"))).alias("n_difficulties"),
-        F.avg(F.when(present("context"), 1.0).otherwise(0.0)).alias("context_rate"),
-        F.avg(F.when(present_arr("tags"), 1.0).otherwise(0.0)).alias("tags_rate"),
-        F.avg(F.when(present("source_section"), 1.0).otherwise(0.0)).alias("source_rate"),
-        F.sum(F.when(F.col("category") == "conversation", 1).otherwise(0)).alias("n_conversation"),
-        F.sum(F.when((F.col("category") == "conversation") & ~present("context"), 1).otherwise(0)).alias(
-            "n_conversation_no_context"),
+        F.when(~has_error(iss), 1).otherwise(0).alias("_valid"),
+        F.size(F.filter(iss, lambda x: x["severity"] == "error")).alias("_err"),
+        F.size(F.filter(iss, lambda x: x["severity"] == "warning")).alias("_warn"),
+        F.size(F.filter(iss, lambda x: x["severity"] == "info")).alias("_info"),
+        F.when(present("context"), 1.0).otherwise(0.0).alias("_ctx"),
+        F.when(present_arr("tags"), 1.0).otherwise(0.0).alias("_tags"),
+        F.when(present("source_section"), 1.0).otherwise(0.0).alias("_src"),
+        F.when(F.col("category") == "conversation", 1).otherwise(0).alias("_conv"),
+        F.when((F.col("category") == "conversation") & ~present("context"), 1).otherwise(0).alias("_conv_noctx"),
+        F.col("category"), F.col("difficulty"), F.col("tags"),
+        F.when(present("instruction"), F.lower(strip("instruction"))).alias("_dup"),
     )
 
+    def key(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
 
-def _tag_aggregate(items: DataFrame) -> DataFrame:
-    return items.select(F.explode("tags").alias("tag")).agg(F.countDistinct("tag").alias("n_tags"))
-
-
-def _category_aggregate(items: DataFrame) -> DataFrame:
-    counts = items.where(present("category")).groupBy("category").count()
-    return counts.agg(
-        F.count(F.lit(1)).alias("n_cat_values"),
-        F.max("count").alias("max_cat"),
-        F.min("count").alias("min_cat"),
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    keys = F.concat(
+        F.array(key("all", F.lit(""))),
+        F.when(present("category"), F.array(key("cat", F.col("category")))).otherwise(none),
+        F.when(present("difficulty"), F.array(key("diff", F.col("difficulty")))).otherwise(none),
+        F.when(F.col("_dup").isNotNull(), F.array(key("dup", F.col("_dup")))).otherwise(none),
+        F.transform(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))), lambda t: key("tag", t)),
+    )
+    measures = ["_q", "_valid", "_err", "_warn", "_info", "_ctx", "_tags", "_src", "_conv", "_conv_noctx"]
+    x = per.select(F.explode(keys).alias("k"), *measures)
+    is_all = F.col("k.kind") == "all"
+    return x.groupBy(F.col("k.kind").alias("kind"), F.col("k.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.sum(F.when(is_all, F.col(m))).alias(m) for m in measures])
+
+
+def _dataset_figures(items: DataFrame) -> DataFrame:
+    g = _keyed_counts(items)
+    kind = F.col("kind")
+    is_all = kind == "all"
+    n = F.sum(F.when(is_all, F.col("cnt")))
+    return g.agg(
+        F.coalesce(n, F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(is_all, F.col("_valid"))), F.lit(0)).alias("valid_items"),
+        F.coalesce(F.sum(F.when(is_all, F.col("_err"))), F.lit(0)).alias("item_errors"),
+        F.coalesce(F.sum(F.when(is_all, F.col("_warn"))), F.lit(0)).alias("item_warnings"),
+        F.coalesce(F.sum(F.when(is_all, F.col("_info"))), F.lit(0)).alias("item_infos"),
+        (F.sum(F.when(is_all, F.col("_q"))) / n).alias("mean_item_quality"),
+        (F.sum(F.when(is_all, F.col("_ctx"))) / n).alias("context_rate"),
+        (F.sum(F.when(is_all, F.col("_tags"))) / n).alias("tags_rate"),
+        (F.sum(F.when(is_all, F.col("_src"))) / n).alias("source_rate"),
+        F.coalesce(F.sum(F.when(is_all, F.col("_conv"))), F.lit(0)).alias("n_conversation"),
+        F.coalesce(F.sum(F.when(is_all, F.col("_conv_noctx"))), F.lit(0)).alias("n_conversation_no_context"),
+        F.count(F.when(kind == "cat", 1)).alias("n_categories"),
+        F.count(F.when(kind == "cat", 1)).alias("n_cat_values"),
+        F.max(F.when(kind == "cat", F.col("cnt"))).alias("max_cat"),
+        F.min(F.when(kind == "cat", F.col("cnt"))).alias("min_cat"),
+        F.count(F.when(kind == "diff", 1)).alias("n_difficulties"),
+        F.count(F.when(kind == "tag", 1)).alias("n_tags"),
+        F.coalesce(F.sum(F.when(kind == "dup", F.col("cnt") - 1)), F.lit(0)).alias("n_duplicates"),
     )
 
 
@@ -194,12 +222,6 @@ def duplicate_instructions(items: DataFrame) -> DataFrame:
         "first_item_id", "item_id", "dup_key")
 
 
-def _dup_count(items: DataFrame) -> DataFrame:
-    keyed = items.where(present("instruction")).select(F.lower(strip("instruction")).alias("k"))
-    return keyed.groupBy("k").count().agg(
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_duplicates"))
-
-
 def _one_row_join(*frames: DataFrame) -> DataFrame:
     """Put one-row aggregates side by side (equi-join on a constant key)."""
     out = frames[0].withColumn("_one", F.lit(1))
@@ -215,8 +237,7 @@ def diversity_bonus(n_categories: Column, n_tags: Column, n_difficulties: Column
 
 def dataset_summary(items: DataFrame) -> DataFrame:
     """One row with every dataset-level figure (F3, F6-F8, F10 inputs)."""
-    s = _one_row_join(_item_aggregates(items), _tag_aggregate(items), _category_aggregate(items),
-                      _dup_count(items))
+    s = _dataset_figures(items)
     div = diversity_bonus(F.col("n_categories"), F.col("n_tags"), F.col("n_difficulties"))
     comp = (F.col("context_rate") + F.col("tags_rate") + F.col("source_rate")) / 3 * 0.1
     raw = F.least(F.lit(1.0), F.col("mean_item_quality") + div + comp)

@@ -4,8 +4,11 @@
 WS = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+_STRIP_SET = " || ".join(f"chr({ord(ch)})" for ch in "".join(chr(i) for i in range(0x3001) if chr(i).isspace()))
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+    return f"trim({x}, {_STRIP_SET})"
 
 
 def present(x: str) -> str:
