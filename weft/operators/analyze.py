@@ -259,3 +259,27 @@ def section_items(sections: DataFrame, mode: str = "compat") -> DataFrame:
 def analyze_corpus(docs: DataFrame, mode: str = "compat", text_col: str = "text") -> DataFrame:
     """Corpus -> training items (ITEM schema plus doc/section coordinates)."""
     return section_items(split_sections(docs, text_col), mode)
+
+
+# The pattern kinds of the collection summary and the section categories they take.
+PATTERN_KINDS = {
+    "philosophy": ["philosophy", "principles"],
+    "process": ["process", "crisis"],
+    "communication": ["conversation"],
+    "implementation": ["methodology", "examples"],
+}
+
+
+def pattern_summary(sections: DataFrame, top: int = 5, mode: str = "compat") -> DataFrame:
+    """Per pattern kind the most frequent section headers (count, then header).
+
+    Counting is a partial aggregate over (kind, header); the ranking window
+    runs over that small result with a literal limit.
+    """
+    from pyspark.sql.window import Window
+
+    kind_of = F.create_map(*[x for k, cats in PATTERN_KINDS.items() for c in cats for x in (F.lit(c), F.lit(k))])
+    s = sections.select(F.element_at(kind_of, categorize(F.col("header"), mode)).alias("kind"), "header")
+    counts = s.where(F.col("kind").isNotNull()).groupBy("kind", "header").agg(F.count(F.lit(1)).alias("sections"))
+    w = Window.partitionBy("kind").orderBy(F.col("sections").desc(), F.col("header").asc())
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -164,3 +164,21 @@ def conversation_pairs(turns: DataFrame, human_roles=("user", "human"), assistan
         F.lit("intermediate").alias("difficulty"),
         F.lit("").alias("source_section"),
     )
+
+
+def generate_items(queries: DataFrame, docs: DataFrame, existing: DataFrame, per_query: int = 5,
+                   min_similarity: float = 0.7, min_quality: float = 0.7,
+                   filters: dict[str, str] | None = None) -> DataFrame:
+    """Items from the collection: each query's hits (at most ``per_query``, similarity at
+    least ``min_similarity``) become instruction/output items, pass the quality gate (F12)
+    and are de-duplicated against the existing items (G6)."""
+    from weft.operators import vectors
+
+    hits = vectors.training_query(queries, docs, k=per_query, min_score=min_similarity, filters=filters)
+    items = hits.join(queries.select("query_id", F.col("text").alias("instruction")), "query_id").join(
+        docs.select("doc_id", F.col("text").alias("output")), "doc_id").select(
+        "query_id", "doc_id", "instruction", F.lit("").alias("context"), "output",
+        F.lit("general").alias("category"), F.array().cast("array<string>").alias("tags"),
+        F.lit("intermediate").alias("difficulty"),
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source_section"))
+    return dedup_against(quality.quality_filter(items, min_quality), existing)

@@ -122,6 +122,14 @@ def _score(pdf, q, metric, filters, min_score, max_score):
     mask = np.ones(rank_s.shape, dtype=bool)
     for qcol, dcol in filters:
         mask &= q["filters"][qcol][:, None] == pdf[dcol].to_numpy()[None, :]
+    for dcol, (vocab, qt, free) in q.get("overlap", {}).items():
+        dt = np.zeros((len(pdf), max(len(vocab), 1)))
+        for j, tags in enumerate(pdf[dcol].to_numpy()):
+            for t in (tags if tags is not None else ()):
+                i = vocab.get(t)
+                if i is not None:
+                    dt[j, i] = 1.0
+        mask &= ((qt @ dt.T) > 0) | free[:, None]
     if min_score is not None:
         mask &= s >= min_score
     if max_score is not None:
@@ -190,11 +198,14 @@ def _kernel(bq, metric: str, kmax: int, filters: list[tuple[str, str]], min_scor
 def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
         filters: dict[str, str] | None = None, k_col: str | None = None,
         min_score: float | None = None, max_score: float | None = None,
-        query_id: str = "query_id", doc_id: str = "doc_id", embedding: str = "embedding") -> DataFrame:
+        query_id: str = "query_id", doc_id: str = "doc_id", embedding: str = "embedding",
+        overlap: dict[str, str] | None = None) -> DataFrame:
     """Exact top-k per query (B6 cosine, B7 squared L2, B9 filters, B10 threshold).
 
     ``filters`` maps a query column to a docs column that must be equal (a
-    per-query metadata filter). ``k_col`` gives a per-query k (``k`` is the
+    per-query metadata filter); ``overlap`` maps a query list column to a docs
+    list column that must share an element (an empty query list does not
+    restrict). ``k_col`` gives a per-query k (``k`` is the
     upper bound then). Returns ``query_id, doc_id, score, rank`` with rank 1 =
     best; ties are broken by ascending ``doc_id``.
     """
@@ -202,11 +213,13 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
     filters = filters or {}
     qcols = [F.col(query_id).cast("long").alias("query_id"), F.col(embedding).alias("embedding")]
     qcols += [F.col(c).alias(c) for c in filters if c not in (query_id, embedding)]
+    overlap = overlap or {}
+    qcols += [F.col(c).alias(f"_ov_{c}") for c in overlap]
     if k_col:
         qcols.append(F.col(k_col).cast("int").alias("_k"))
     q = queries.select(*qcols)
     dcols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(embedding).alias("embedding")]
-    dcols += [F.col(c).alias(c) for c in set(filters.values())]
+    dcols += [F.col(c).alias(c) for c in set(filters.values()) | set(overlap.values())]
     d = docs.select(*dcols).where(F.col("embedding").isNotNull())
     # one pass over the queries for the figures the plan needs: rows, largest k, vector size
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
@@ -219,7 +232,7 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
         return spark.createDataFrame([], empty)
     parts = []
     for block in _chunks(q, dim_bytes, n_q):
-        parts.append(_score_block(spark, block, d, metric, kmax, filters, min_score, max_score))
+        parts.append(_score_block(spark, block, d, metric, kmax, filters, min_score, max_score, overlap))
     hits = reduce(lambda a, b: a.unionByName(b), parts)
     w = Window.partitionBy("query_id").orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
     # the literal limit lets the planner cut each partition to kmax rows per query before the shuffle;
@@ -234,7 +247,7 @@ def _dim(q: DataFrame) -> int:
 
 
 def _score_block(spark: SparkSession, block: DataFrame, docs: DataFrame, metric, kmax, filters, min_score,
-                 max_score) -> DataFrame:
+                 max_score, overlap=None) -> DataFrame:
     pdf = block.toPandas()  # bounded by MAX_QUERY_BLOCK_BYTES (see _chunks)
     pdf = pdf[pdf["embedding"].notna()]
     mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
@@ -250,7 +263,16 @@ def _score_block(spark: SparkSession, block: DataFrame, docs: DataFrame, metric,
         "filters": {c: pdf[c].to_numpy() for c in filters},
         "k": (pdf["_k"].fillna(0).to_numpy(dtype=np.int64) if "_k" in pdf.columns
               else np.full(len(pdf), kmax, dtype=np.int64)),
+        "overlap": {},
     }
+    for qcol, dcol in (overlap or {}).items():
+        lists = [list(x) if x is not None else [] for x in pdf[f"_ov_{qcol}"].to_numpy()]
+        vocab = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
+        qt = np.zeros((len(lists), max(len(vocab), 1)))
+        for r, x in enumerate(lists):
+            for t in x:
+                qt[r, vocab[t]] = 1.0
+        payload["overlap"][dcol] = (vocab, qt, np.array([len(x) == 0 for x in lists], dtype=bool))
     bq = spark.sparkContext.broadcast(payload)
     fn = _kernel(bq, metric, kmax, list(filters.items()), min_score, max_score)
     return docs.mapInPandas(fn, HIT_SCHEMA)
@@ -302,13 +324,9 @@ def similar_docs(docs: DataFrame, k: int = 5) -> DataFrame:
 def training_query(queries: DataFrame, docs: DataFrame, k: int = 10, min_score: float = 0.7,
                    filters: dict[str, str] | None = None, tags_col: str | None = None) -> DataFrame:
     """Filtered kNN with threshold; optional tag overlap between query and document."""
-    hits = knn(queries, docs, k=k, filters=filters, min_score=min_score)
-    if tags_col:
-        qt = queries.select("query_id", F.col(tags_col).alias("_qt"))
-        dt = docs.select("doc_id", F.col(tags_col).alias("_dt"))
-        hits = hits.join(qt, "query_id").join(dt, "doc_id").where(
-            (F.coalesce(F.size("_qt"), F.lit(0)) == 0) | F.arrays_overlap("_qt", "_dt")).drop("_qt", "_dt")
-    return hits
+    # every condition (equality filters, tag overlap, threshold) applies before ranking
+    return knn(queries, docs, k=k, filters=filters, min_score=min_score,
+               overlap={tags_col: tags_col} if tags_col else None)
 
 
 def collection_stats(docs: DataFrame, keys=("source", "lang")) -> DataFrame:

@@ -243,3 +243,21 @@ QUERIES = {
     "e14_analyze_corpus": q_analyze_corpus,
     "e14_analyze_intended": q_analyze_intended,
 }
+
+
+def q_pattern_summary(spark, sf):
+    s = A.split_sections(_md(spark, sf))
+    return A.pattern_summary(s, 5).select("kind", "header", F.col("sections").cast("long").alias("sections"),
+                                          F.col("rank").cast("long").alias("rank"))
+
+
+_KIND = ("CASE " + " ".join(f"WHEN cat IN ({', '.join(repr(c) for c in cats)}) THEN '{k}'"
+                            for k, cats in A.PATTERN_KINDS.items()) + " END")
+
+SQL["b16_pattern_summary"] = with_views(["markdown_docs"], _SECTIONS + f""",
+    cs AS (SELECT header, {_categorize('compat')} AS cat FROM sections),
+    k AS (SELECT {_KIND} AS kind, header FROM cs),
+    c AS (SELECT kind, header, count(*) AS sections FROM k WHERE kind IS NOT NULL GROUP BY kind, header),
+    r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sections DESC, header) AS rank FROM c)
+    SELECT kind, header, CAST(sections AS BIGINT) AS sections, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5""")
+QUERIES["b16_pattern_summary"] = q_pattern_summary

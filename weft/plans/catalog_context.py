@@ -315,3 +315,58 @@ QUERIES = {
     "d11_dialogue_window": q_dialogue_window,
     "d12_dedupe_history": q_dedupe_history,
 }
+
+
+# ---------------------------------------------------------------- forced documents, save, append
+
+
+def q_forced_documents(spark, sf):
+    labels = tables.read(spark, sf, "labels").select("doc_id")
+    forced = tables.collection_vectors(spark, sf).join(labels, "doc_id", "left_semi").select(
+        F.col("doc_id").alias("query_id"), "doc_id", F.lit(1).alias("rank"))
+    c = C.assemble_context(_queries(spark, sf), tables.collection_vectors(spark, sf), _hist(spark, sf),
+                           filters={"filter_label": "label"}, payload=tables.collection_payload(spark, sf),
+                           forced=forced)
+    return c.select("query_id", "document_count", F.md5("prompt").alias("prompt_md5"))
+
+
+def q_save_responses(spark, sf):
+    h = _hist(spark, sf)
+    now = h.agg(F.max("ts")).first()[0]
+    return H.save_responses(h.drop("embedding"), now=F.lit(now)).select(
+        "id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def q_append_history(spark, sf):
+    from weft.sources.io import scratch_path
+
+    path = scratch_path(spark, "history-table")
+    h = _hist(spark, sf).drop("embedding")
+    H.append(h, path)
+    H.append(h, path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"))
+
+
+_FORCED = _CONTEXT.replace("docs_r AS (", """forced AS (SELECT e.vec_id AS query_id, e.vec_id AS doc_id, 1 AS pos
+            FROM embeddings e WHERE e.vec_id IN (SELECT doc_id FROM labels)),
+hitsf AS (SELECT query_id, doc_id, pos FROM forced
+          UNION ALL SELECT query_id, doc_id, pos FROM hits WHERE query_id NOT IN (SELECT query_id FROM forced)),
+docs_r AS (""", 1).replace("FROM hits JOIN collection c USING (doc_id) GROUP BY hits.query_id",
+                           "FROM hitsf AS hits JOIN collection c USING (doc_id) GROUP BY hits.query_id", 1)
+
+SQL.update({
+    "c5_forced_documents": with_views(["queries", "collection", "history"], _FORCED + f"""
+        SELECT query_id, CAST(document_count AS BIGINT) AS document_count, md5({_PROMPT}) AS prompt_md5 FROM ctx"""),
+    "d1_save_responses": with_views(["history"], """
+        SELECT id, strftime(coalesce(ts, (SELECT max(ts) FROM history)), '%Y-%m-%d %H:%M:%S') AS ts FROM history"""),
+    "a13_append_history": with_views(["history"], f"""
+        SELECT strftime(CAST(coalesce(ts, {_EPOCH}) AS DATE), '%Y-%m-%d') AS day, 2 * count(*) AS rows,
+               count(DISTINCT id) AS ids FROM history GROUP BY 1"""),
+})
+QUERIES.update({
+    "c5_forced_documents": q_forced_documents,
+    "d1_save_responses": q_save_responses,
+    "a13_append_history": q_append_history,
+})

@@ -330,3 +330,41 @@ QUERIES = {
     "g7_conversation_pairs": q_conversation_pairs,
     "g8_update_items": q_update_items,
 }
+
+
+# ---------------------------------------------------------------- items generated from the collection
+
+
+def q_generate_items(spark, sf):
+    from weft.sources import tables as T
+
+    q = T.queries_view(spark, sf)
+    coll = T.collection_view(spark, sf)
+    existing = T.read(spark, sf, "benchmark").select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("instruction"))
+    g = prepare.generate_items(q, coll, existing, per_query=5, min_similarity=0.7, min_quality=0.7,
+                               filters={"filter_label": "label"})
+    return g.select("query_id", "doc_id")
+
+
+def _generated_sql() -> str:
+    from weft.plans.oracle_views import COLLECTION, QUERIES as QV
+
+    cos = ("list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / "
+           "(sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * "
+           "sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))))")
+    return f"""WITH {QV}, {COLLECTION},
+s AS (SELECT q.query_id, c.doc_id, {cos} AS score FROM queries q, collection c
+      WHERE c.label = q.filter_label AND {cos} >= 0.7),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+items AS (SELECT r.query_id * 1000000 + r.doc_id AS item_id, r.query_id, r.doc_id, q.text AS instruction,
+                 '' AS context, c.text AS output, 'general' AS category, []::VARCHAR[] AS tags,
+                 'intermediate' AS difficulty, 'doc:' || CAST(r.doc_id AS VARCHAR) AS source_section
+          FROM r JOIN queries q USING (query_id) JOIN collection c ON c.doc_id = r.doc_id WHERE r.rank <= 5)
+{_ISSUES_BODY}
+SELECT query_id, doc_id FROM items
+WHERE item_id NOT IN (SELECT item_id FROM issues WHERE severity = 'error') AND {_QUALITY_EXPR} >= 0.7
+  AND (instruction IS NULL OR lower({_SI}) NOT IN (SELECT lower({strip("split_part(text, chr(10), 1)")}) FROM benchmark))"""
+
+
+SQL["g9_generate_items"] = _generated_sql()
+QUERIES["g9_generate_items"] = q_generate_items

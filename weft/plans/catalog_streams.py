@@ -62,3 +62,16 @@ QUERIES = {
     "k4_stream_user_activity": q_stream_user_activity,
     "k5_stream_expire": q_stream_expire,
 }
+
+
+def q_stream_documents(spark, sf):
+    table = scratch_path(spark, "collection-table")
+    src = K.event_stream(spark, sf, "documents").select("doc_id", "text", "source")
+    q = K.stream_documents(spark, src, table).option("checkpointLocation", table + "-ckpt") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    return K._latest(spark, table).select("doc_id", F.size("embedding").cast("long").alias("dim"))
+
+
+SQL["k2_stream_documents"] = "SELECT doc_id, CAST(64 AS BIGINT) AS dim FROM documents"
+QUERIES["k2_stream_documents"] = q_stream_documents

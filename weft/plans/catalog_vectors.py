@@ -174,3 +174,47 @@ QUERIES = {
     "b14_training_query": q_training_query,
     "b15_collection_stats": q_collection_stats,
 }
+
+
+# ---------------------------------------------------------------- add, tag-filtered training query
+
+
+def q_add_texts(spark, sf):
+    docs = tables.read(spark, sf, "documents").select("doc_id", "text")
+    added = VX.add_texts(docs, VX.hashed_embedder(64))
+    return added.select("doc_id", "doc_key", F.size("metadata").cast("long").alias("n_meta"),
+                        F.size("embedding").cast("long").alias("dim"))
+
+
+def _tagged(spark, sf):
+    q = tables.queries_view(spark, sf)
+    lang = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "lang")
+    q = q.join(lang.hint("merge"), "query_id", "left").withColumn(
+        "tags", F.when(F.col("lang").isNotNull(), F.array("lang")).otherwise(F.array().cast("array<string>")))
+    c = tables.collection_view(spark, sf).withColumn(
+        "tags", F.array(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))))
+    return q, c
+
+
+def q_training_query_tags(spark, sf):
+    q, c = _tagged(spark, sf)
+    return _out(VX.training_query(q, c, k=10, min_score=0.2, filters={"filter_label": "label"}, tags_col="tags"))
+
+
+SQL.update({
+    "b1_add_texts": "SELECT doc_id, md5(coalesce(text, '')) AS doc_key, CAST(0 AS BIGINT) AS n_meta, "
+                    "CAST(64 AS BIGINT) AS dim FROM documents",
+    "b14_training_query_tags": with_views(["queries", "collection"], f""",
+        qt AS (SELECT q.*, CASE WHEN d.lang IS NOT NULL THEN [d.lang] ELSE []::VARCHAR[] END AS tags
+               FROM queries q LEFT JOIN documents d ON d.doc_id = q.query_id),
+        ct AS (SELECT c.*, [coalesce(c.lang, ''), coalesce(c.source, '')] AS tags FROM collection c),
+        s AS (SELECT q.query_id, c.doc_id, {_cos('q.embedding', 'c.embedding')} AS score FROM qt q, ct c
+              WHERE c.label = q.filter_label AND {_cos('q.embedding', 'c.embedding')} >= 0.2
+                AND (len(q.tags) = 0 OR len(list_intersect(q.tags, c.tags)) > 0)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+        SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10"""),
+})
+QUERIES.update({
+    "b1_add_texts": q_add_texts,
+    "b14_training_query_tags": q_training_query_tags,
+})
