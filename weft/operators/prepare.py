@@ -19,6 +19,8 @@ from weft.operators import quality
 _BUCKET_HEX = 4
 # Broadcast the per-stratum cut tables only below this many strata.
 _MAX_BROADCAST_STRATA = 100_000
+# Up to this many strata the cut table is inlined into the plan as a literal map (no join).
+_MAX_LITERAL_STRATA = 10_000
 
 
 def split_key(id_col: Column, seed: int) -> Column:
@@ -59,7 +61,18 @@ def stratified_split(items: DataFrame, by: str | None = "category", ratio: float
     cuts = edge.select("_s", "_k", "_need", rn.alias("_rn")).where(F.col("_rn") == F.col("_need")).select(
         F.col("_s").alias("_cs"), F.col("_k").alias("_kcut"))
     cuts = bounds.join(cuts, F.col("_bs") == F.col("_cs"), "left").select("_bs", "_bb", "_kcut")
-    out = keyed.join(_maybe_broadcast(cuts, n_strata), F.col("_s") == F.col("_bs"), "left")
+    if n_strata <= _MAX_LITERAL_STRATA:
+        # few strata: the cut table (one small row per stratum) becomes a literal map in the plan
+        rows = cuts.collect()
+        if not rows:
+            bb, kcut = F.lit(None).cast("string"), F.lit(None).cast("string")
+        else:
+            m_bb = F.create_map(*[x for r in rows for x in (F.lit(r["_bs"]), F.lit(r["_bb"]))])
+            m_k = F.create_map(*[x for r in rows for x in (F.lit(r["_bs"]), F.lit(r["_kcut"]))])
+            bb, kcut = F.element_at(m_bb, F.col("_s")), F.element_at(m_k, F.col("_s"))
+        out = keyed.withColumn("_bb", bb).withColumn("_kcut", kcut)
+    else:
+        out = keyed.join(_maybe_broadcast(cuts, n_strata), F.col("_s") == F.col("_bs"), "left")
     is_train = F.col("_bb").isNotNull() & ((F.col("_b") < F.col("_bb")) | (
         (F.col("_b") == F.col("_bb")) & (F.col("_k") <= F.col("_kcut"))))
     return out.withColumn("split", F.when(is_train, "train").otherwise("validation")).drop(

@@ -223,11 +223,12 @@ def duplicate_instructions(items: DataFrame) -> DataFrame:
 
 
 def _one_row_join(*frames: DataFrame) -> DataFrame:
-    """Put one-row aggregates side by side (equi-join on a constant key)."""
-    out = frames[0].withColumn("_one", F.lit(1))
+    """Put one-row aggregates side by side without a join: stack them (missing columns
+    NULL) and take each column's one non-NULL value."""
+    out = frames[0]
     for f in frames[1:]:
-        out = out.join(f.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])
 
 
 def diversity_bonus(n_categories: Column, n_tags: Column, n_difficulties: Column) -> Column:

@@ -200,10 +200,9 @@ def rendered_stats(rendered: DataFrame) -> DataFrame:
                                               lambda x: F.concat(x["k"], F.lit("="), x["count"].cast("string"))),
                                   ";").alias(f"{field}_distribution"))
 
-    out = base.withColumn("_o", F.lit(1))
-    for f in (med, dist("category"), dist("difficulty")):
-        out = out.join(f.withColumn("_o", F.lit(1)), "_o")
-    return out.drop("_o")
+    from weft.operators.quality import _one_row_join
+
+    return _one_row_join(base, med, dist("category"), dist("difficulty"))
 
 
 def write_rendered(rendered: DataFrame, path: str, fmt: str = "jsonl") -> None:

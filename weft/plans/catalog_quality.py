@@ -59,8 +59,8 @@ def q_item_stats(spark, sf):
         F.col("output_median").cast("long").alias("output_median"),
         F.round("has_context", 6).alias("has_context"), F.round("has_tags", 6).alias("has_tags"),
         F.round("has_source", 6).alias("has_source"),
-    ).join(_dist(items.where("category <> ''"), "category").withColumn("_o", F.lit(1)).join(
-        _dist(items.where("difficulty <> ''"), "difficulty").withColumn("_o", F.lit(1)), "_o").drop("_o"))
+    ).transform(lambda d: quality._one_row_join(d, _dist(items.where("category <> ''"), "category"),
+                                                 _dist(items.where("difficulty <> ''"), "difficulty")))
 
 
 def q_validation_report(spark, sf):
