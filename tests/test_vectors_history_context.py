@@ -106,3 +106,46 @@ def test_transcript_prompt(spark):
     t = spark.createDataFrame([(1, 0, "system", "S"), (1, 1, "user", "U"), (1, 2, "tool", "T"), (1, 3, "assistant", "A")],
                               "conv_id long, turn long, role string, text string")
     assert C.transcript_prompt(t).first().prompt == "System: S\nUser: U\nAssistant: A\nAssistant: "
+
+
+def test_overlap_filter_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    d = rng.normal(size=(60, 8))
+    tags = [["a"], ["b"], ["a", "c"], []]
+    docs = spark.createDataFrame([(i, [float(x) for x in v], tags[i % 4]) for i, v in enumerate(d)],
+                                 "doc_id long, embedding array<float>, tags array<string>")
+    q = rng.normal(size=(5, 8))
+    qtags = [["a"], ["c"], [], ["z"], ["b", "c"]]
+    qs = spark.createDataFrame([(i, [float(x) for x in v], qtags[i]) for i, v in enumerate(q)],
+                               "query_id long, embedding array<float>, tags array<string>")
+    got = {}
+    for r in VX.training_query(qs, docs, k=3, min_score=-1.0, tags_col="tags").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id))
+    dn = d / np.linalg.norm(d, axis=1, keepdims=True)
+    for i in range(5):
+        ok = [j for j in range(60) if not qtags[i] or set(qtags[i]) & set(tags[j % 4])]
+        s = {j: float(np.dot(q[i] / np.linalg.norm(q[i]), dn[j])) for j in ok}
+        exp = sorted(ok, key=lambda j: (-round(s[j], 9), j))[:3]
+        assert [x[1] for x in sorted(got.get(i, []))] == exp
+
+
+def test_term_fallback_and_forced_documents(spark):
+    emb = VX.hashed_embedder(16)
+    docs = emb(spark.createDataFrame([(1, "alpha beta", "s1", 0), (2, "gamma delta", "s2", 0), (3, "other", "s3", 1)],
+                                     "doc_id long, text string, source string, label int"), "text", "embedding")
+    queries = spark.createDataFrame([(10, 'find "gamma delta"', 1, 0, "u1", [0.0] * 16),
+                                     (11, "plain question", 1, 5, "u1", [0.0] * 16)],
+                                    "query_id long, text string, k int, filter_label int, user_id string, "
+                                    "embedding array<float>")
+    hist = spark.createDataFrame([], "id string, seq long, user_id string, query string, response string, "
+                                     "ts timestamp, model string, embedding array<float>")
+    out = {r.query_id: r for r in C.assemble_context(queries, docs, hist, embedder=emb,
+                                                    filters={"filter_label": "label"}).collect()}
+    # the zero query vector finds nothing; the quoted term finds document 2 under the same filter
+    assert out[10].document_count == 1 and "Document 1 (Source: s2):\ngamma delta" in out[10].prompt
+    # no document carries label 5: every search under that filter stays empty
+    assert out[11].document_count == 0 and out[11].prompt.startswith(C.GENERAL_SYSTEM)
+    forced = spark.createDataFrame([(11, 3, 1)], "query_id long, doc_id long, rank int")
+    out2 = {r.query_id: r for r in C.assemble_context(queries, docs, hist, embedder=emb,
+                                                     filters={"filter_label": "label"}, forced=forced).collect()}
+    assert out2[11].document_count == 1 and "Document 1 (Source: s3):\nother" in out2[11].prompt
