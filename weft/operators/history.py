@@ -152,7 +152,7 @@ def _keyword_kernel(bwords, limit: int, filter_col: str | None):
     def run(batches):
         import ahocorasick
 
-        words, word_queries, q_filter = bwords.value
+        words, word_queries, q_filter, qids = bwords.value
         auto = ahocorasick.Automaton()
         for i, w in enumerate(words):
             auto.add_word(w, i)
@@ -160,19 +160,19 @@ def _keyword_kernel(bwords, limit: int, filter_col: str | None):
             auto.make_automaton()
         found: dict[int, list] = {}
         for pdf in batches:
+            if not len(words):
+                break
             qs = pdf["query"].fillna("").str.lower().to_numpy()
             seqs = pdf["seq"].to_numpy()
             fvals = pdf[filter_col].to_numpy() if filter_col else None
             for j in range(len(pdf)):
-                if not len(words):
-                    break
                 hit_words = {idx for _, idx in auto.iter(qs[j])}
                 if not hit_words:
                     continue
-                qids = set()
+                qset = set()
                 for wi in hit_words:
-                    qids.update(word_queries[wi])
-                for qi in qids:
+                    qset.update(word_queries[wi])
+                for qi in qset:
                     if fvals is not None and q_filter[qi] is not None and q_filter[qi] != fvals[j]:
                         continue
                     lst = found.setdefault(qi, [])
@@ -180,9 +180,9 @@ def _keyword_kernel(bwords, limit: int, filter_col: str | None):
                         lst.append(seqs[j])
                     elif seqs[j] < max(lst):
                         lst[lst.index(max(lst))] = seqs[j]
-        rows = [(qi, s) for qi, lst in found.items() for s in lst]
+        rows = [(qids[qi], sq) for qi, lst in found.items() for sq in lst]
         if rows:
-            yield pd.DataFrame({"qidx": np.array([r[0] for r in rows], dtype=np.int64),
+            yield pd.DataFrame({"query_id": np.array([r[0] for r in rows], dtype=np.int64),
                                 "seq": np.array([r[1] for r in rows], dtype=np.int64)})
 
     return run
@@ -192,40 +192,47 @@ def keyword_search(queries: DataFrame, history: DataFrame, limit: int = 5, filte
                    text_col: str = "text") -> DataFrame:
     """History rows whose lower-cased stored query contains any query word.
 
-    Query words (``lower(text).split()``) are compiled once into an
-    Aho-Corasick automaton and broadcast (size-checked); each history
-    partition streams its rows through it and keeps, per query, only the
-    first ``limit`` matches in storage order. A final window merges the
-    partial lists. Similarity is 0.9.
+    Query words (``lower(text).split()``) are compiled into an Aho-Corasick
+    automaton per block of queries whose text size fits the broadcast budget
+    (larger query tables are split into several blocks by hash); each history
+    partition streams its rows through it and keeps, per query, only the first
+    ``limit`` matches in storage order. A final window merges the partial
+    lists. Similarity is 0.9.
     """
     spark = queries.sparkSession
-    qcols = ["query_id", F.lower(F.col(text_col)).alias("_t")]
+    qcols = [F.col("query_id").cast("long").alias("query_id"), F.lower(F.col(text_col)).alias("_t")]
     if filter_col:
         qcols.append(F.col(filter_col).cast("string").alias("_f"))
-    qdf = queries.select(*qcols).toPandas()  # bounded: checked below
-    size = int(qdf["_t"].fillna("").str.len().sum())
-    if size > MAX_KEYWORD_BYTES:
-        raise ValueError("query words exceed the keyword automaton budget; split the queries table")
-    words: list[str] = []
-    index: dict[str, int] = {}
-    word_queries: list[list[int]] = []
-    for qi, t in enumerate(qdf["_t"].fillna("")):
-        for w in set(t.split()):
-            if w not in index:
-                index[w] = len(words)
-                words.append(w)
-                word_queries.append([])
-            word_queries[index[w]].append(qi)
-    q_filter = qdf["_f"].tolist() if filter_col else [None] * len(qdf)
-    bwords = spark.sparkContext.broadcast((words, word_queries, q_filter))
+    q = queries.select(*qcols)
+    est = q.agg(F.coalesce(F.sum(F.length("_t") + 32), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-int(est) // MAX_KEYWORD_BYTES))
+    blocks = [q] if n_blocks == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
+                                        for b in range(n_blocks)]
     cols = ["seq", "query"] + ([filter_col] if filter_col else [])
     h = history.select(*[F.col(c).cast("string") if c == filter_col else F.col(c) for c in cols])
-    part = h.mapInPandas(_keyword_kernel(bwords, limit, filter_col), "qidx long, seq long")
-    qmap = spark.createDataFrame(pd.DataFrame({"qidx": np.arange(len(qdf), dtype=np.int64),
-                                               "query_id": qdf["query_id"].astype("int64")}))
+    parts = []
+    for block in blocks:
+        qdf = block.toPandas()  # bounded by MAX_KEYWORD_BYTES
+        words: list[str] = []
+        index: dict[str, int] = {}
+        word_queries: list[list[int]] = []
+        for qi, t in enumerate(qdf["_t"].fillna("")):
+            for w in set(t.split()):
+                if w not in index:
+                    index[w] = len(words)
+                    words.append(w)
+                    word_queries.append([])
+                word_queries[index[w]].append(qi)
+        q_filter = qdf["_f"].tolist() if filter_col else [None] * len(qdf)
+        bwords = spark.sparkContext.broadcast((words, word_queries, q_filter,
+                                               qdf["query_id"].to_numpy(dtype=np.int64)))
+        parts.append(h.mapInPandas(_keyword_kernel(bwords, limit, filter_col), "query_id long, seq long"))
+    part = parts[0]
+    for p in parts[1:]:
+        part = part.unionByName(p)
     w = Window.partitionBy("query_id").orderBy("seq")
-    return part.join(F.broadcast(qmap), "qidx").drop("qidx").withColumn("rank", F.row_number().over(w)) \
-        .where(F.col("rank") <= limit).withColumn("similarity", F.lit(0.9))
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit) \
+        .withColumn("similarity", F.lit(0.9))
 
 
 def dialogue_window(history: DataFrame, messages: DataFrame, n: int = 20, history_limit: int = 20,
