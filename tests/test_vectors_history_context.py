@@ -149,3 +149,18 @@ def test_term_fallback_and_forced_documents(spark):
     out2 = {r.query_id: r for r in C.assemble_context(queries, docs, hist, embedder=emb,
                                                      filters={"filter_label": "label"}, forced=forced).collect()}
     assert out2[11].document_count == 1 and "Document 1 (Source: s3):\nother" in out2[11].prompt
+
+
+def test_ivf_ann_full_probe_equals_exact(spark):
+    rng = np.random.default_rng(11)
+    d = rng.normal(size=(400, 8))
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(d)], "doc_id long, embedding array<float>")
+    qs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(20, 8)))],
+                               "query_id long, embedding array<float>")
+    exact = {(r.query_id, r.rank): r.doc_id for r in VX.knn(qs, docs, k=5).collect()}
+    # probing every list is exact; probing a few lists finds most of the true neighbours
+    full = {(r.query_id, r.rank): r.doc_id for r in VX.ann_knn(qs, docs, k=5, n_lists=8, n_probe=8).collect()}
+    assert full == exact
+    few = VX.ann_knn(qs, docs, k=5, n_lists=8, n_probe=3).collect()
+    recall = len({(r.query_id, r.doc_id) for r in few} & {(q, d) for (q, _), d in exact.items()}) / len(exact)
+    assert recall >= 0.6

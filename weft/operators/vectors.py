@@ -102,7 +102,9 @@ def _chunks(queries: DataFrame, dim_bytes: int, n_rows: int):
 
 
 def _score(pdf, q, metric, filters, min_score, max_score):
-    """Score one docs batch against all queries; returns (rank scores, doc ids)."""
+    """Score one docs batch against all queries; returns (rank scores, raw scores, doc ids)."""
+    if q.get("probe") is not None:
+        return _score_probed(pdf, q, metric, filters, min_score, max_score)
     d = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
     ids = pdf["doc_id"].to_numpy(dtype=np.int64)
     if metric == "cosine":
@@ -139,6 +141,30 @@ def _score(pdf, q, metric, filters, min_score, max_score):
     return np.round(rank_s, 9), rank_s, ids
 
 
+def _score_probed(pdf, q, metric, filters, min_score, max_score):
+    """IVF scoring: only queries that probe one of the batch's lists are scored, and only
+    against the documents of the lists they probe."""
+    probe, list_col = q["probe"], q["probe_col"]
+    lists = pdf[list_col].to_numpy(dtype=np.int64)
+    nq = probe.shape[0]
+    full = np.full((nq, len(pdf)), -np.inf)
+    active = np.nonzero(probe[:, np.unique(lists)].any(axis=1))[0]
+    ids = pdf["doc_id"].to_numpy(dtype=np.int64)
+    if len(active) == 0:
+        return full, full.copy(), ids
+    sub = {k: (v[active] if isinstance(v, np.ndarray) and v.shape[:1] == (nq,) else v) for k, v in q.items()
+           if k not in ("probe", "filters", "overlap")}
+    sub["filters"] = {c: v[active] for c, v in q["filters"].items()}
+    sub["overlap"] = {}
+    rank_s, raw_s, _ = _score(pdf, sub, metric, filters, min_score, max_score)
+    allowed = probe[active][:, lists]
+    rank_s = np.where(allowed, rank_s, -np.inf)
+    raw_s = np.where(allowed, raw_s, -np.inf)
+    full_raw = full.copy()
+    full[active], full_raw[active] = rank_s, raw_s
+    return full, full_raw, ids
+
+
 def _top(rank_s, raw_s, ids, kmax):
     """Top-kmax per row by (score desc, id asc), exact under ties at the cut."""
     nq, n = rank_s.shape
@@ -199,7 +225,7 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
         filters: dict[str, str] | None = None, k_col: str | None = None,
         min_score: float | None = None, max_score: float | None = None,
         query_id: str = "query_id", doc_id: str = "doc_id", embedding: str = "embedding",
-        overlap: dict[str, str] | None = None) -> DataFrame:
+        overlap: dict[str, str] | None = None, ivf=None) -> DataFrame:
     """Exact top-k per query (B6 cosine, B7 squared L2, B9 filters, B10 threshold).
 
     ``filters`` maps a query column to a docs column that must be equal (a
@@ -220,6 +246,8 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
     q = queries.select(*qcols)
     dcols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(embedding).alias("embedding")]
     dcols += [F.col(c).alias(c) for c in set(filters.values()) | set(overlap.values())]
+    if ivf is not None:
+        dcols.append(F.col(ivf[2]).alias(ivf[2]))
     d = docs.select(*dcols).where(F.col("embedding").isNotNull())
     # one pass over the queries for the figures the plan needs: rows, largest k, vector size
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
@@ -232,7 +260,7 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
         return spark.createDataFrame([], empty)
     parts = []
     for block in _chunks(q, dim_bytes, n_q):
-        parts.append(_score_block(spark, block, d, metric, kmax, filters, min_score, max_score, overlap))
+        parts.append(_score_block(spark, block, d, metric, kmax, filters, min_score, max_score, overlap, ivf))
     hits = reduce(lambda a, b: a.unionByName(b), parts)
     w = Window.partitionBy("query_id").orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
     # the literal limit lets the planner cut each partition to kmax rows per query before the shuffle;
@@ -247,7 +275,7 @@ def _dim(q: DataFrame) -> int:
 
 
 def _score_block(spark: SparkSession, block: DataFrame, docs: DataFrame, metric, kmax, filters, min_score,
-                 max_score, overlap=None) -> DataFrame:
+                 max_score, overlap=None, ivf=None) -> DataFrame:
     pdf = block.toPandas()  # bounded by MAX_QUERY_BLOCK_BYTES (see _chunks)
     pdf = pdf[pdf["embedding"].notna()]
     mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
@@ -264,7 +292,15 @@ def _score_block(spark: SparkSession, block: DataFrame, docs: DataFrame, metric,
         "k": (pdf["_k"].fillna(0).to_numpy(dtype=np.int64) if "_k" in pdf.columns
               else np.full(len(pdf), kmax, dtype=np.int64)),
         "overlap": {},
+        "probe": None,
     }
+    if ivf is not None:
+        centroids, n_probe, list_col = ivf
+        cn = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+        near = np.argsort(-(unit @ cn.T), axis=1)[:, :n_probe]
+        probe = np.zeros((len(pdf), len(centroids)), dtype=bool)
+        np.put_along_axis(probe, near, True, axis=1)
+        payload["probe"], payload["probe_col"] = probe, list_col
     for qcol, dcol in (overlap or {}).items():
         lists = [list(x) if x is not None else [] for x in pdf[f"_ov_{qcol}"].to_numpy()]
         vocab = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
@@ -398,27 +434,30 @@ def openai_style_embeddings(df: DataFrame, text_col: str = "text", embedding_col
 # ----------------------------------------------------------------- approximate
 
 
-def ann_knn(queries: DataFrame, docs: DataFrame, k: int = 4, bucket_length: float = 0.5, num_tables: int = 4,
-            max_distance: float = 1.0) -> DataFrame:
-    """Approximate kNN: LSH candidate join, then exact cosine ranking on candidates.
-
-    Vectors are L2-normalised so Euclidean distance d relates to cosine by
-    cos = 1 - d^2 / 2; ``max_distance`` bounds the candidate radius.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def build_ivf_index(docs: DataFrame, n_lists: int = 16, seed: int = 7, max_iter: int = 10,
+                    list_col: str = "ivf_list"):
+    """B12 index: k-means lists over the unit vectors (distributed training), every document
+    tagged with its nearest list and the table laid out by list (one range shuffle at build
+    time), so a query's probed lists are contiguous partitions. Returns (index, centroids)."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    def prep(df, idc):
-        return df.select(F.col(idc).alias("id"), array_to_vector(F.col("embedding")).alias("v"))
-
-    qv, dv = prep(queries, "query_id"), prep(docs, "doc_id")
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=7).fit(dv)
-    pairs = lsh.approxSimilarityJoin(qv, dv, max_distance, distCol="dist").select(
-        F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("doc_id"), "dist")
-    pairs = pairs.withColumn("score", F.lit(1.0) - F.col("dist") * F.col("dist") / 2)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("dist")
+    unit = F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0),
+                                                                     lambda a, y: a + y * y)))
+    v = docs.withColumn("_v", array_to_vector(unit))
+    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol=list_col).fit(v)
+    centroids = np.array([c for c in model.clusterCenters()], dtype=np.float64)  # n_lists x dim: bounded
+    index = model.transform(v).drop("_v").repartitionByRange(F.col(list_col)).sortWithinPartitions(list_col)
+    return index, centroids
+
+
+def ann_knn(queries: DataFrame, docs: DataFrame, k: int = 4, n_lists: int = 16, n_probe: int = 4,
+            index=None, filters: dict[str, str] | None = None) -> DataFrame:
+    """Approximate kNN over an inverted-file index: each query is scored exactly, but only
+    against the documents of its ``n_probe`` nearest lists (the same kernel as ``knn``, so no
+    candidate pairs are materialised and every list, however large, is scored in batches)."""
+    idx, centroids = index if index is not None else build_ivf_index(docs, n_lists)
+    return knn(queries, idx, k=k, filters=filters, ivf=(centroids, n_probe, "ivf_list"))
 
 
 def knn_with_payload(hits: DataFrame, docs: DataFrame, cols=("text", "source")) -> DataFrame:

@@ -58,7 +58,7 @@ def q_training_query(spark, sf):
 
 
 def q_ann_knn(spark, sf):
-    return VX.ann_knn(_queries(spark, sf), _coll(spark, sf), k=4).select(
+    return VX.ann_knn(_queries(spark, sf), tables.collection_vectors(spark, sf), k=4, n_lists=16, n_probe=4).select(
         "query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
