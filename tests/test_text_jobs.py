@@ -131,3 +131,61 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() >= 0 and "prompt" in df.columns
     assert re.match(r"^[a-l]\d+_", sorted(e.queries())[0])
+
+
+def _py_core(content):
+    m = re.search(r'(?i)42.*?FOR TWO.*?(?=\n\n|\n#|$)', content, re.DOTALL)
+    if m:
+        x = re.sub(r'\n\s*\n', '\n\n', m.group(0).strip())
+        return re.sub(r'\s+', ' ', x).strip()
+    return A.CORE_EXPLANATION_FALLBACK
+
+
+def _py_protocol(content):
+    t = re.search(r'(?i)\*\*TRON Contribution.*?(?=\*\*AI Contribution|\n\n|$)', content, re.DOTALL)
+    a = re.search(r'(?i)\*\*AI Contribution.*?(?=\*\*|$)', content, re.DOTALL)
+    out = A.PROTOCOL_PREFIX
+    if t:
+        out += t.group(0).strip() + "\n\n"
+    if a:
+        out += a.group(0).strip() + "\n\n"
+    return out + A.PROTOCOL_SUFFIX
+
+
+def _py_steps(content):
+    pat = r'(?:^|\n)\s*(?:\d+\.|\*|\-)\s*(.+?)(?=\n\s*(?:\d+\.|\*|\-)|$)'
+    return [s.strip() for s in re.findall(pat, content, re.MULTILINE | re.DOTALL) if s.strip()]
+
+
+def test_anchor_passages_match_python(spark):
+    texts = [
+        "Intro\nThe 42 idea\nmeans FOR TWO, always.\n\nNext paragraph",
+        "no anchor here",
+        "x 42 y for two z\n# heading",
+        "**TRON Contribution:** vision and\nstrategy\n**AI Contribution:** execution **bold** tail",
+        "**tron contribution** only\n\nrest",
+        "1. one\n\n   2. two\n-\n* star\n12. twelve\n- \n",
+        "STOP. Breathe.\nThink\n\nlater",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    rows = df.select("c", A.core_explanation(F.col("c")).alias("core"),
+                     A.collaborative_protocol(F.col("c")).alias("proto"),
+                     A.extract_steps(F.col("c")).alias("steps"),
+                     A.crisis_protocol(F.col("c")).alias("crisis")).collect()
+    for r in rows:
+        assert r.core == _py_core(r.c)
+        assert r.proto == _py_protocol(r.c)
+        assert r.steps == _py_steps(r.c)
+    assert rows[-1].crisis == A.CRISIS_PREFIX + "STOP. Breathe.\nThink" + A.CRISIS_SUFFIX
+
+
+def test_fit_length_and_conforms(spark):
+    df = spark.createDataFrame([("short",), ("x" * 60,), (" " * 40 + "y" * 20,)], "t string")
+    got = [r[0] for r in df.select(R.fit_length(F.col("t"), 2048)).collect()]
+    assert got == [None, "x" * 60, None]
+    js = spark.createDataFrame([('{"instruction": "a", "output": "b"}',), ('{"conversations": {"a": 1}}',),
+                                ('[1, 2]',), ('{"messages": []}',)], "j string")
+    got = [tuple(r) for r in js.select(FM.conforms(F.col("j"), "alpaca"), FM.conforms(F.col("j"), "sharegpt"),
+                                        FM.conforms(F.col("j"), "openai"), FM.conforms(F.col("j"), "other")).collect()]
+    assert got == [(True, False, False, True), (False, False, False, True), (False, False, False, True),
+                   (False, False, True, True)]
