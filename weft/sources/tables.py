@@ -17,11 +17,23 @@ TABLES = (
 ).split()
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table. The input tables are immutable, so the resolved scan (footer
+    schema and file listing) is built once per session and path and reused."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _READS:
+        _READS[key] = spread(spark.read.parquet(path), key=path)
+    return _READS[key]
+
+
+_SCAN_PARTITIONS: dict[str, int] = {}
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Give a scan at least one partition per core.
 
     A table stored as one large row group scans as one task; the text jobs are
@@ -30,9 +42,12 @@ def spread(df: DataFrame) -> DataFrame:
     enough partitions and is left as it is (no shuffle).
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    if key is None or key not in _SCAN_PARTITIONS:
+        n = df.rdd.getNumPartitions()  # plans the scan; remembered per path for this process
+        if key is None:
+            return df.repartition(target) if n < target else df
+        _SCAN_PARTITIONS[key] = n
+    return df.repartition(target) if _SCAN_PARTITIONS[key] < target else df
 
 
 def items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
