@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def global_row_number(df: DataFrame, order_col: str, out: str = "n", partitions: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, order_col, out: str = "n", partitions: int | None = None) -> DataFrame:
+    """1-based row number over the whole table in ``order_col`` order (a name or a list of names)."""
     spark = df.sparkSession
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
     n_parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    placed = (df.repartitionByRange(n_parts, F.col(order_col))
-              .sortWithinPartitions(order_col)
+    placed = (df.repartitionByRange(n_parts, *[F.col(c) for c in cols])
+              .sortWithinPartitions(*cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     placed = placed.checkpoint(eager=True)

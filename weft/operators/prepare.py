@@ -153,17 +153,34 @@ def update_items(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     return existing.unionByName(dedup_against(candidates, existing), allowMissingColumns=True)
 
 
-def conversation_pairs(turns: DataFrame, human_roles=("user", "human"), assistant_roles=("assistant", "gpt")) -> DataFrame:
+def conversation_pairs(turns: DataFrame, human_roles=("user", "human"), assistant_roles=("assistant", "gpt"),
+                       skew_safe: bool = True) -> DataFrame:
     """Pair each assistant turn with the latest unconsumed, non-empty human turn.
 
     Only human/assistant turns take part; within a conversation an assistant
     turn pairs when the previous such turn is a human turn with text.
+
+    ``skew_safe`` numbers the kept turns over the whole table in (conversation,
+    turn) order with a range partitioning and joins every turn to the row
+    numbered one before it: an equi-join on a unique number, so a conversation
+    holding a large share of all turns is spread over many tasks. Without it a
+    ``lag`` window per conversation is used (one task per conversation).
     """
+    from weft.operators.ordering import global_row_number
+
     roles = list(human_roles) + list(assistant_roles)
-    t = turns.where(F.col("role").isin(roles))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = t.select("conv_id", "turn", "role", "text", F.lag("role").over(w).alias("_prole"),
-                 F.lag("text").over(w).alias("_ptext"))
+    t = turns.where(F.col("role").isin(roles)).select("conv_id", "turn", "role", "text")
+    if skew_safe:
+        num = global_row_number(t, ["conv_id", "turn"], "_n")
+        prev = num.select((F.col("_n") + 1).alias("_n"), F.col("conv_id").alias("_pconv"),
+                          F.col("role").alias("_prole"), F.col("text").alias("_ptext"))
+        t = num.join(prev, "_n", "left").withColumn(
+            "_prole", F.when(F.col("_pconv") == F.col("conv_id"), F.col("_prole"))).withColumn(
+            "_ptext", F.when(F.col("_pconv") == F.col("conv_id"), F.col("_ptext")))
+    else:
+        w = Window.partitionBy("conv_id").orderBy("turn")
+        t = t.select("conv_id", "turn", "role", "text", F.lag("role").over(w).alias("_prole"),
+                     F.lag("text").over(w).alias("_ptext"))
     pairs = t.where(F.col("role").isin(list(assistant_roles)) & F.col("_prole").isin(list(human_roles))
                     & present("_ptext"))
     return pairs.select(
