@@ -261,3 +261,19 @@ SQL["b16_pattern_summary"] = with_views(["markdown_docs"], _SECTIONS + f""",
     r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sections DESC, header) AS rank FROM c)
     SELECT kind, header, CAST(sections AS BIGINT) AS sections, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5""")
 QUERIES["b16_pattern_summary"] = q_pattern_summary
+
+
+def q_concept_context(spark, sf):
+    s = A.split_sections(_md(spark, sf))
+    c = s.select("doc_id", "pos", "content", F.posexplode(A.key_concepts(F.col("content"))).alias("cpos", "concept"))
+    return c.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("cpos").cast("long").alias("cpos"),
+                    "concept", A.concept_context(F.col("content"), F.col("concept")).alias("context_text"))
+
+
+SQL["e4_concept_context"] = with_views(["markdown_docs"], _SECTIONS + f""",
+    cc AS (SELECT doc_id, pos, content, {_distinct_ordered(_CONCEPTS)} AS concepts FROM sections),
+    ex AS (SELECT doc_id, pos, content, unnest(generate_series(0, len(concepts) - 1)) AS cpos, unnest(concepts) AS k
+           FROM cc WHERE len(concepts) > 0)
+    SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(cpos AS BIGINT) AS cpos, k AS concept,
+           {_context('k')} AS context_text FROM ex""")
+QUERIES["e4_concept_context"] = q_concept_context

@@ -370,3 +370,54 @@ QUERIES.update({
     "d1_save_responses": q_save_responses,
     "a13_append_history": q_append_history,
 })
+
+
+# ---------------------------------------------------------------- single steps of the assembly
+
+
+def q_fetch_depth(spark, sf):
+    q = _queries(spark, sf)
+    return q.select("query_id", F.col("k").cast("long").alias("k"), C.fetch_depth(F.col("k")).cast("long").alias("depth"))
+
+
+def q_render_documents(spark, sf):
+    from weft.operators import vectors as VX
+
+    hits = VX.knn(_queries(spark, sf), tables.collection_vectors(spark, sf), k=6, k_col="k",
+                  filters={"filter_label": "label"})
+    r = C.render_documents(hits.join(tables.collection_payload(spark, sf), "doc_id"))
+    return r.select("query_id", F.md5("documents_text").alias("documents_md5"),
+                    F.col("document_count").cast("long").alias("document_count"))
+
+
+def q_render_history(spark, sf):
+    r = C.render_history(H.select_history(_queries(spark, sf), _hist(spark, sf)))
+    return r.select("query_id", F.md5("history_text").alias("history_md5"),
+                    F.col("history_count").cast("long").alias("history_count"))
+
+
+SQL.update({
+    "c1_fetch_depth": with_views(["queries"], """
+        SELECT query_id, CAST(k AS BIGINT) AS k, CAST(least(k * 3, 12) AS BIGINT) AS depth FROM queries"""),
+    "c6_render_documents": with_views(["queries", "collection"], f""",
+        s AS (SELECT q.query_id, q.k, c.doc_id, c.text, c.source,
+                     {_COS.replace('h.embedding', 'c.embedding')} AS score
+              FROM queries q JOIN collection c ON c.label = q.filter_label),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+        SELECT query_id,
+               md5(string_agg('Document ' || CAST(rank AS VARCHAR)
+                   || CASE WHEN source IS NOT NULL AND source <> '' THEN ' (Source: ' || source || ')' ELSE '' END
+                   || ':' || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY rank)) AS documents_md5,
+               count(*) AS document_count
+        FROM r WHERE rank <= k GROUP BY query_id"""),
+    "c7_render_history": with_views(["queries", "history"], ",\n" + _CONTEXT[_CONTEXT.index("tl AS ("):
+                                                                       _CONTEXT.index("ctx AS (")].rstrip().rstrip(",")
+                                    .replace("FROM q JOIN tl", "FROM queries q JOIN tl") + """
+        SELECT query_id, md5(history_text) AS history_md5, CAST(history_count AS BIGINT) AS history_count
+        FROM hist_r"""),
+})
+QUERIES.update({
+    "c1_fetch_depth": q_fetch_depth,
+    "c6_render_documents": q_render_documents,
+    "c7_render_history": q_render_history,
+})

@@ -177,3 +177,11 @@ QUERIES = {
     "a10_export_import": q_export_import,
     "a10_export_import_csv": q_export_import_csv,
 }
+
+
+def q_read_pages(spark, sf):
+    return tables.pages(spark, sf).select("page_id", "url", F.length("html").cast("long").alias("html_chars"))
+
+
+SQL["a12_read_pages"] = "SELECT page_id, url, CAST(length(html) AS BIGINT) AS html_chars FROM pages"
+QUERIES["a12_read_pages"] = q_read_pages
