@@ -59,10 +59,6 @@ def _empty_tags() -> Column:
     return F.array().cast("array<string>")
 
 
-def _keep(*cols: str) -> list[str]:
-    return list(cols)
-
-
 def to_alpaca(items: DataFrame, keep=("item_id",)) -> DataFrame:
     """Instruction / input / output; category, tags, difficulty only when truthy (NULL otherwise)."""
     return items.select(

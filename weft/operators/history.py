@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.functions.text import present
@@ -53,10 +52,6 @@ def append(df: DataFrame, path: str, partition_by: str | None = "day") -> None:
     writer.parquet(path)
 
 
-def _as_queries(queries: DataFrame) -> DataFrame:
-    return queries
-
-
 def similar_responses(queries: DataFrame, history: DataFrame, limit: int = 5, min_score: float = 0.7,
                       filters: dict[str, str] | None = None, fallback_unfiltered: bool = False,
                       mode: str = "post") -> DataFrame:
