@@ -59,7 +59,7 @@ def split_sections(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     d = d.select("doc_id", F.split("_t", HEADER_RE).alias("_bodies"),
                  F.regexp_extract_all("_t", F.lit(HEADER_RE), 1).alias("_heads"))
     pairs = F.transform("_heads", lambda h, i: F.struct(strip(h).alias("header"),
-                                                        F.element_at("_bodies", i + 2).alias("body")))
+                                                        F.try_element_at("_bodies", i + 2).alias("body")))
     s = d.select("doc_id", F.posexplode(pairs).alias("pos", "s"))
     return select_where(s, [F.col("doc_id"), F.col("pos"), F.col("s.header").alias("header"),
                             strip(F.col("s.body")).alias("content")],
@@ -111,7 +111,7 @@ def concept_context(content: Column, concept: Column) -> Column:
     cwords = F.filter(F.split(cl, r"(?U)\s+"), lambda w: w != "")
     hit = F.filter(F.sequence(F.lit(0), n - 1),
                    lambda i: F.exists(cwords, lambda w: F.lower(lines[i]).contains(w)))
-    j = F.element_at(hit, 1)
+    j = F.try_element_at(hit, F.lit(1))
     second = strip(F.array_join(F.slice(lines, F.greatest(F.lit(0), j - 1) + 1,
                                         F.least(n, j + 3) - F.greatest(F.lit(0), j - 1)), "\n"))
     p0 = F.substring_index(content, "\n\n", 1)
@@ -279,7 +279,7 @@ def pattern_summary(sections: DataFrame, top: int = 5, mode: str = "compat") ->
     from pyspark.sql.window import Window
 
     kind_of = F.create_map(*[x for k, cats in PATTERN_KINDS.items() for c in cats for x in (F.lit(c), F.lit(k))])
-    s = sections.select(F.element_at(kind_of, categorize(F.col("header"), mode)).alias("kind"), "header")
+    s = sections.select(F.try_element_at(kind_of, categorize(F.col("header"), mode)).alias("kind"), "header")
     counts = s.where(F.col("kind").isNotNull()).groupBy("kind", "header").agg(F.count(F.lit(1)).alias("sections"))
     w = Window.partitionBy("kind").orderBy(F.col("sections").desc(), F.col("header").asc())
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -103,7 +103,7 @@ def to_sharegpt(items: DataFrame, keep=("item_id",)) -> DataFrame:
 
 def _last_of(arr: Column, key: str, val: str, roles: list[str]) -> Column:
     picked = F.filter(arr, lambda m: m[key].isin(roles))
-    return F.element_at(picked, -1)[val]
+    return F.try_element_at(picked, F.lit(-1))[val]
 
 
 def from_sharegpt(df: DataFrame, col: str = "sharegpt", keep=("item_id",), assistant_roles=("gpt", "assistant")) -> DataFrame:
@@ -125,7 +125,7 @@ def from_sharegpt(df: DataFrame, col: str = "sharegpt", keep=("item_id",), assis
 
 def openai_system(category: Column) -> Column:
     m = F.create_map(*[x for k, v in OPENAI_SYSTEM.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, F.coalesce(category, F.lit(""))), F.lit(OPENAI_DEFAULT))
+    return F.coalesce(F.try_element_at(m, F.coalesce(category, F.lit(""))), F.lit(OPENAI_DEFAULT))
 
 
 def to_openai(items: DataFrame, keep=("item_id",)) -> DataFrame:
@@ -174,13 +174,13 @@ def from_columnar(df: DataFrame, carry=()) -> DataFrame:
 
     def field(name, default):
         if name in df.columns:
-            return F.coalesce(F.col(name)[F.col("_i")], default)
+            return F.coalesce(F.try_element_at(F.col(name), F.col("_i") + 1), default)
         return default
 
     x = df.select("*", F.explode(idx).alias("_i"))
     return x.select(
         F.col("_i").cast("long").alias("position"),
-        *[F.col(c)[F.col("_i")].alias(c) for c in carry],
+        *[F.try_element_at(F.col(c), F.col("_i") + 1).alias(c) for c in carry],
         field("instruction", F.lit("")).alias("instruction"),
         field("context", F.lit("")).alias("context"),
         field("output", F.lit("")).alias("output"),

@@ -71,7 +71,7 @@ def query_intent(text: Column) -> Column:
 def routed_knn(queries: DataFrame, docs: DataFrame, k: int = 4) -> DataFrame:
     """L3: kNN restricted to the document class the query intent asks for (general: any)."""
     m = F.create_map(*[x for a, b in INTENT_TO_CLASS.items() for x in (F.lit(a), F.lit(b))])
-    q = queries.withColumn("intent", query_intent(F.col("text"))).withColumn("route_class", F.element_at(m, F.col("intent")))
+    q = queries.withColumn("intent", query_intent(F.col("text"))).withColumn("route_class", F.try_element_at(m, F.col("intent")))
     d = classify_documents(docs)
     routed = VX.knn(q.where(F.col("route_class").isNotNull()), d, k=k, filters={"route_class": "doc_class"})
     free = VX.knn(q.where(F.col("route_class").isNull()), d, k=k)

@@ -123,7 +123,7 @@ def page_record(pages: DataFrame) -> DataFrame:
     # one text chain applied to the four fragments (keeps generated code small)
     x = x.withColumn("_txt", F.transform(frags, lambda f: html_text(f)))
     heads = F.filter(F.slice("_txt", 1, 3), lambda t: t != "")
-    title = F.element_at(heads, 1)
+    title = F.try_element_at(heads, F.lit(1))
     url = F.when(F.col("url").startswith("http"), F.col("url"))
     snippet = F.coalesce(F.nullif(F.col("_txt")[3], F.lit("")),
                          F.nullif(F.regexp_extract(h, r"(?is)<meta\s+name=\"description\"\s+content=\"([^\"]*)\"", 1),

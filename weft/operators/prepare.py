@@ -69,7 +69,7 @@ def stratified_split(items: DataFrame, by: str | None = "category", ratio: float
         else:
             m_bb = F.create_map(*[x for r in rows for x in (F.lit(r["_bs"]), F.lit(r["_bb"]))])
             m_k = F.create_map(*[x for r in rows for x in (F.lit(r["_bs"]), F.lit(r["_kcut"]))])
-            bb, kcut = F.element_at(m_bb, F.col("_s")), F.element_at(m_k, F.col("_s"))
+            bb, kcut = F.try_element_at(m_bb, F.col("_s")), F.try_element_at(m_k, F.col("_s"))
         out = keyed.withColumn("_bb", bb).withColumn("_kcut", kcut)
     else:
         out = keyed.join(_maybe_broadcast(cuts, n_strata), F.col("_s") == F.col("_bs"), "left")

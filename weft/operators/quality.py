@@ -193,10 +193,10 @@ def _dataset_figures(items: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(is_all, F.col("_err"))), F.lit(0)).alias("item_errors"),
         F.coalesce(F.sum(F.when(is_all, F.col("_warn"))), F.lit(0)).alias("item_warnings"),
         F.coalesce(F.sum(F.when(is_all, F.col("_info"))), F.lit(0)).alias("item_infos"),
-        (F.sum(F.when(is_all, F.col("_q"))) / n).alias("mean_item_quality"),
-        (F.sum(F.when(is_all, F.col("_ctx"))) / n).alias("context_rate"),
-        (F.sum(F.when(is_all, F.col("_tags"))) / n).alias("tags_rate"),
-        (F.sum(F.when(is_all, F.col("_src"))) / n).alias("source_rate"),
+        F.try_divide(F.sum(F.when(is_all, F.col("_q"))), n).alias("mean_item_quality"),
+        F.try_divide(F.sum(F.when(is_all, F.col("_ctx"))), n).alias("context_rate"),
+        F.try_divide(F.sum(F.when(is_all, F.col("_tags"))), n).alias("tags_rate"),
+        F.try_divide(F.sum(F.when(is_all, F.col("_src"))), n).alias("source_rate"),
         F.coalesce(F.sum(F.when(is_all, F.col("_conv"))), F.lit(0)).alias("n_conversation"),
         F.coalesce(F.sum(F.when(is_all, F.col("_conv_noctx"))), F.lit(0)).alias("n_conversation_no_context"),
         F.count(F.when(kind == "cat", 1)).alias("n_categories"),

@@ -52,7 +52,7 @@ FORMATS = ("chatml", "alpaca", "vicuna", "codellama", "custom")
 
 def _lookup(mapping: dict[str, str], key: Column, default: str) -> Column:
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, key), F.lit(default))
+    return F.coalesce(F.try_element_at(m, key), F.lit(default))
 
 
 def system_prompt(include: bool = True) -> Column:

@@ -64,7 +64,7 @@ def q_to_sharegpt(spark, sf):
     s = FM.to_sharegpt(_items(spark, sf))
     conv = F.col("sharegpt.conversations")
     return s.select("item_id", F.array_join(F.transform(conv, lambda m: m["from"]), ",").alias("roles"),
-                    F.element_at(conv, -1)["value"].alias("last_value"),
+                    F.try_element_at(conv, F.lit(-1))["value"].alias("last_value"),
                     F.col("sharegpt.metadata.category").alias("category"))
 
 

@@ -27,7 +27,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.ansi.enabled", "false")
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
