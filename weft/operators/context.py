@@ -187,7 +187,8 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
 
     # Re-rank by cosine distance only where more than k hits came back
     hits = VX.rerank(hits, q.select("query_id", "k", "embedding"), vecs, "k").drop("direct_score")
-    hits = hits.join(pay, "doc_id")
+    # a vector without a payload row is still a hit (empty text), as in the collection view
+    hits = hits.join(pay, "doc_id", "left")
     rendered = render_documents(hits)
     out = q.select("query_id", "text").join(rendered, "query_id", "left")
     if hist_items is not None:

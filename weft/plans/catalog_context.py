@@ -385,7 +385,7 @@ def q_render_documents(spark, sf):
 
     hits = VX.knn(_queries(spark, sf), tables.collection_vectors(spark, sf), k=6, k_col="k",
                   filters={"filter_label": "label"})
-    r = C.render_documents(hits.join(tables.collection_payload(spark, sf), "doc_id"))
+    r = C.render_documents(hits.join(tables.collection_payload(spark, sf), "doc_id", "left"))
     return r.select("query_id", F.md5("documents_text").alias("documents_md5"),
                     F.col("document_count").cast("long").alias("document_count"))
 
