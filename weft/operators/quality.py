@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.functions.rows import select_where
 from weft.functions.text import present, present_arr, strip
 
 # Fixed values that must equal the reference's rules.
@@ -111,8 +112,14 @@ def has_error(issues: Column) -> Column:
 
 
 def valid_items(items: DataFrame) -> DataFrame:
-    """items without an error issue (predicate on the issue array, no join)."""
-    return items.where(~has_error(issue_array()))
+    """items without an error issue (predicate on the issue array, no join).
+
+    The rules are evaluated once per item (``select_where``), not once in a
+    pushed-down filter and again in the projection below it.
+    """
+    cols = [F.col(c) for c in items.columns]
+    kept = select_where(items, cols + [issue_array().alias("_iss")], lambda r: ~has_error(r["_iss"]))
+    return kept.drop("_iss")
 
 
 def item_quality(ins: Column | None = None, out: Column | None = None) -> Column:
@@ -139,8 +146,11 @@ def with_quality(items: DataFrame) -> DataFrame:
 
 
 def quality_filter(items: DataFrame, min_score: float = 0.7) -> DataFrame:
-    """keep valid items whose score reaches ``min_score``."""
-    return items.where(~has_error(issue_array()) & (item_quality() >= F.lit(min_score)))
+    """keep valid items whose score reaches ``min_score`` (rules evaluated once per item)."""
+    cols = [F.col(c) for c in items.columns]
+    kept = select_where(items, cols + [issue_array().alias("_iss"), item_quality().alias("_score")],
+                        lambda r: ~has_error(r["_iss"]) & (r["_score"] >= F.lit(min_score)))
+    return kept.drop("_iss", "_score")
 
 
 def _keyed_counts(items: DataFrame) -> DataFrame:
