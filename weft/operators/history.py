@@ -154,6 +154,7 @@ def _keyword_kernel(bwords, limit: int, filter_col: str | None):
         if len(words):
             auto.make_automaton()
         found: dict[int, list] = {}
+        seen: dict[str, set] = {}
         for pdf in batches:
             if not len(words):
                 break
@@ -161,15 +162,22 @@ def _keyword_kernel(bwords, limit: int, filter_col: str | None):
             seqs = pdf["seq"].to_numpy()
             fvals = pdf[filter_col].to_numpy() if filter_col else None
             for j in range(len(pdf)):
-                hit_words = {idx for _, idx in auto.iter(qs[j])}
-                if not hit_words:
-                    continue
-                qset = set()
-                for wi in hit_words:
-                    qset.update(word_queries[wi])
-                for qi in qset:
-                    if fvals is not None and q_filter[qi] is not None and q_filter[qi] != fvals[j]:
-                        continue
+                by_filter = seen.get(qs[j])
+                if by_filter is None:  # stored queries repeat: match each distinct text once per task
+                    qset = set()
+                    for wi in {idx for _, idx in auto.iter(qs[j])}:
+                        qset.update(word_queries[wi])
+                    by_filter = {}
+                    for qi in qset:  # matching queries grouped by their filter value
+                        by_filter.setdefault(q_filter[qi], []).append(qi)
+                    if len(seen) < 100_000:
+                        seen[qs[j]] = by_filter
+                cands = by_filter.get(None, [])
+                if fvals is not None:
+                    cands = cands + by_filter.get(fvals[j], [])
+                else:
+                    cands = [qi for lst_ in by_filter.values() for qi in lst_]
+                for qi in cands:
                     lst = found.setdefault(qi, [])
                     if len(lst) < limit:
                         lst.append(seqs[j])
@@ -198,7 +206,7 @@ def keyword_search(queries: DataFrame, history: DataFrame, limit: int = 5, filte
     qcols = [F.col("query_id").cast("long").alias("query_id"), F.lower(F.col(text_col)).alias("_t")]
     if filter_col:
         qcols.append(F.col(filter_col).cast("string").alias("_f"))
-    q = queries.select(*qcols)
+    q = queries.select(*qcols).persist()  # read for the size figure, then per block
     est = q.agg(F.coalesce(F.sum(F.length("_t") + 32), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(est) // MAX_KEYWORD_BYTES))
     blocks = [q] if n_blocks == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
@@ -222,6 +230,7 @@ def keyword_search(queries: DataFrame, history: DataFrame, limit: int = 5, filte
         bwords = spark.sparkContext.broadcast((words, word_queries, q_filter,
                                                qdf["query_id"].to_numpy(dtype=np.int64)))
         parts.append(h.mapInPandas(_keyword_kernel(bwords, limit, filter_col), "query_id long, seq long"))
+    q.unpersist()
     part = parts[0]
     for p in parts[1:]:
         part = part.unionByName(p)

@@ -248,6 +248,9 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
     if ivf is not None:
         dcols.append(F.col(ivf[2]).alias(ivf[2]))
     d = docs.select(*dcols).where(F.col("embedding").isNotNull())
+    # the query side is read twice here (figures, then the blocks) and never again: the
+    # kernel only uses the broadcast blocks, so the narrow projection is cached meanwhile
+    q = q.persist()
     # one pass over the queries for the figures the plan needs: rows, largest k, vector size
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
                   (F.max("_k") if k_col else F.lit(k)).alias("kmax")).first()
@@ -255,11 +258,13 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
     kmax = max(int(stats["kmax"] or 0), 0)
     dim_bytes = 8 * max(dim, 1)
     if n_q == 0 or kmax == 0:
+        q.unpersist()
         empty = T.StructType(HIT_SCHEMA.fields[:3] + [T.StructField("rank", T.IntegerType())])
         return spark.createDataFrame([], empty)
     parts = []
     for block in _chunks(q, dim_bytes, n_q):
         parts.append(_score_block(spark, block, d, metric, kmax, filters, min_score, max_score, overlap, ivf))
+    q.unpersist()
     hits = reduce(lambda a, b: a.unionByName(b), parts)
     w = Window.partitionBy("query_id").orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
     # the literal limit lets the planner cut each partition to kmax rows per query before the shuffle;
