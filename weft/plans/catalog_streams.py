@@ -70,7 +70,7 @@ def q_stream_documents(spark, sf):
     q = K.stream_documents(spark, src, table).option("checkpointLocation", table + "-ckpt") \
         .trigger(availableNow=True).start()
     q.awaitTermination()
-    return K._latest(spark, table).select("doc_id", F.size("embedding").cast("long").alias("dim"))
+    return K.read_collection(spark, table).select("doc_id", F.size("embedding").cast("long").alias("dim"))
 
 
 SQL["k2_stream_documents"] = "SELECT doc_id, CAST(64 AS BIGINT) AS dim FROM documents"

@@ -72,10 +72,12 @@ def stream_user_activity(df: DataFrame, window: str = "1 day", delay: str = "1 h
 
 
 def stream_documents(spark: SparkSession, source: DataFrame, table: str, embedder=None, key: str = "doc_id"):
-    """K2: embed each micro-batch and upsert it into a parquet collection table.
+    """K2: embed each micro-batch and upsert it into a collection table (B8), merge-on-read.
 
-    Each batch is written to a new version folder and the current version is
-    the newest complete one, so a failed batch leaves the previous version intact.
+    A batch is appended as one new version (``version`` = batch id) instead of
+    rewriting the collection; ``read_collection`` resolves the newest version per
+    key with a partial aggregate. Re-running a batch after a failure rewrites
+    only that batch's version folder (idempotent).
     """
     embedder = embedder or VX.hashed_embedder(64)
 
@@ -83,35 +85,30 @@ def stream_documents(spark: SparkSession, source: DataFrame, table: str, embedde
         if batch.isEmpty():
             return
         new = embedder(batch, "text", "embedding")
-        base_path = f"{table}/v={epoch:012d}"
-        try:
-            cur = _latest(spark, table)
-            merged = VX.upsert_docs(cur, new.select(*cur.columns), key)
-        except FileNotFoundError:
-            merged = new
-        merged.write.mode("overwrite").parquet(base_path)
+        new.write.mode("overwrite").parquet(f"{table}/version={epoch}")
 
     return source.writeStream.foreachBatch(upsert)
 
 
-def _latest(spark: SparkSession, table: str) -> DataFrame:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        raise FileNotFoundError(table)
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(jvm_path) if s.getPath().getName().startswith("v="))
-    if not versions:
-        raise FileNotFoundError(table)
-    return spark.read.parquet(f"{table}/{versions[-1]}")
+def read_collection(spark: SparkSession, table: str, key: str = "doc_id") -> DataFrame:
+    """The current collection: the newest version of every key (``max_by``, combined map-side)."""
+    versions = spark.read.parquet(table)
+    cols = [c for c in versions.columns if c not in (key, "version")]
+    latest = versions.groupBy(key).agg(F.max_by(F.struct(*cols), "version").alias("_r"))
+    return latest.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def stream_expire(history: DataFrame, days: int, sink: str, checkpoint: str):
-    """K5: rolling retention: each micro-batch keeps only rows newer than ``max(ts) - days``."""
+    """K5: rolling retention: each micro-batch keeps only rows newer than ``max(ts) - days``.
+
+    Every batch writes its own folder (overwritten when a failed batch is re-run), so
+    the sink never holds a batch twice.
+    """
     def keep_recent(batch: DataFrame, epoch: int) -> None:
         now = batch.agg(F.max("ts")).first()[0]
         if now is None:
             return
         kept, _ = H.expire_history(batch, days, F.lit(now))
-        kept.write.mode("append").parquet(sink)
+        kept.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
 
     return history.writeStream.foreachBatch(keep_recent).option("checkpointLocation", checkpoint)
