@@ -186,7 +186,9 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
         hist_items = None
 
     # Re-rank by cosine distance only where more than k hits came back
-    hits = VX.rerank(hits, q.select("query_id", "k", "embedding"), vecs, "k").drop("direct_score")
+    # (hits carry their kernel cosine; only forced documents, which have none, are scored by a join)
+    hits = VX.rerank(hits, q.select("query_id", "k", "embedding"), vecs, "k", use_scores=True,
+                     score_missing=forced is not None).drop("direct_score")
     # a vector without a payload row is still a hit (empty text), as in the collection view
     hits = hits.join(pay, "doc_id", "left")
     rendered = render_documents(hits)

@@ -330,13 +330,25 @@ def score_pairs(hits: DataFrame, queries: DataFrame, docs: DataFrame, metric: st
     return j.withColumn("pair_score", s).drop("_qe", "_de")
 
 
-def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k_col: str = "k") -> DataFrame:
+def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k_col: str = "k", use_scores: bool = False,
+           score_missing: bool = True) -> DataFrame:
     """Re-score hits by cosine distance (1 - cos) to the query, ascending, keep k.
 
     Only queries with more than k hits are re-ranked (a stable sort, so ties
-    keep the incoming rank order); a missing score counts as 1.0.
+    keep the incoming rank order); a missing score counts as 1.0. With
+    ``use_scores`` the hits' own cosine scores (from the kernel, against the same
+    stored vectors) are used and only rows without a score are scored by a join
+    with the vectors (``score_missing``), so the collection is not joined at all
+    when every hit carries its score.
     """
-    scored = score_pairs(hits, queries, docs, "cosine").withColumn(
+    if use_scores:
+        scored = hits.withColumn("pair_score", F.col("score"))
+        if score_missing:
+            need = score_pairs(hits.where(F.col("score").isNull()), queries, docs, "cosine")
+            scored = scored.where(F.col("score").isNotNull()).unionByName(need)
+    else:
+        scored = score_pairs(hits, queries, docs, "cosine")
+    scored = scored.withColumn(
         "direct_score", F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("pair_score")), F.lit(1.0)))
     kq = queries.select("query_id", F.col(k_col).alias("_kq"))
     s = scored.join(kq, "query_id").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
