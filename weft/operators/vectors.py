@@ -377,15 +377,12 @@ def training_query(queries: DataFrame, docs: DataFrame, k: int = 10, min_score:
 
 
 def collection_stats(docs: DataFrame, keys=("source", "lang")) -> DataFrame:
-    """Document count and per-key value distribution via grouping sets."""
+    """Document count and characters overall and per value of each metadata key
+    (grouping sets: the total plus one set per key, aggregated in one pass)."""
     cols = [F.col(k) for k in keys]
-    g = docs.cube(*cols).agg(F.count(F.lit(1)).alias("documents"),
-                             F.sum(F.length("text")).alias("chars"),
-                             F.grouping_id().alias("gid"))
-    n_keys = len(keys)
-    # keep the total row and the single-key rows (a cube also yields key pairs)
-    single = [(1 << n_keys) - 1] + [((1 << n_keys) - 1) ^ (1 << (n_keys - 1 - i)) for i in range(n_keys)]
-    return g.where(F.col("gid").isin(single))
+    sets = [[]] + [[c] for c in cols]
+    return docs.groupingSets(sets, *cols).agg(F.count(F.lit(1)).alias("documents"),
+                                              F.sum(F.length("text")).alias("chars"))
 
 
 # ----------------------------------------------------------------- embedding
