@@ -115,3 +115,30 @@ def test_tag_frequency_ties_first_seen(spark, items_schema):
     tf = prepare.tag_frequency(make_items(spark, rows, items_schema)).orderBy(
         F.desc("frequency"), "first_item_id", "first_pos").collect()
     assert [r.tag for r in tf] == ["y", "z", "x"]
+
+
+def test_split_property_many_strata_and_hot_stratum(spark, items_schema):
+    import random
+
+    rnd = random.Random(3)
+    sizes = {f"s{i}": rnd.choice([1, 2, 3, 7, 11, 40]) for i in range(30)}
+    sizes["hot"] = 3000  # one stratum holding most rows
+    rows, i = [], 0
+    for cat, n in sizes.items():
+        for _ in range(n):
+            rows.append((i, f"ins {i}", "", "o" * 20, cat, [], "d", ""))
+            i += 1
+    items = make_items(spark, rows, items_schema).repartition(7)
+    for ratio in (0.5, 0.8, 0.93):
+        out = prepare.stratified_split(items, "category", ratio, 11)
+        got = {(r.category, r.split): r["count"] for r in out.groupBy("category", "split").count().collect()}
+        for cat, n in sizes.items():
+            assert got.get((cat, "train"), 0) == int(n * ratio)
+            assert got.get((cat, "validation"), 0) == n - int(n * ratio)
+
+
+def test_conversation_pairs_numbering_equals_window(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    a = {tuple(r) for r in prepare.conversation_pairs(conv, skew_safe=True).select("conv_id", "turn", "instruction").collect()}
+    b = {tuple(r) for r in prepare.conversation_pairs(conv, skew_safe=False).select("conv_id", "turn", "instruction").collect()}
+    assert a == b and len(a) > 0
