@@ -197,6 +197,10 @@ def section_items(sections: DataFrame, mode: str = "compat") -> DataFrame:
     h, c = F.col("header"), F.col("content")
     s = sections.withColumn("section_category", categorize(h, mode))
     cat = F.col("section_category")
+    # text the item builders read more than once is computed once per section, and only for
+    # the categories that use it
+    s = s.withColumn("_steps", F.when(cat == "process", extract_steps(c))).withColumn(
+        "_clean", F.when(cat != "process", clean_content(c)))
 
     # philosophy (E5)
     concepts = key_concepts(c)
@@ -216,10 +220,10 @@ def section_items(sections: DataFrame, mode: str = "compat") -> DataFrame:
         "intermediate", h))
     impl = _opt(F.lower(h).contains("framework") | F.lower(h).contains("protocol"), _item(
         F.concat(F.lit("How do I implement the "), F.lower(h), F.lit("?")), "User needs implementation guidance",
-        with_lead_in(clean_content(c), "To implement", "To implement this methodology:"), "implementation",
+        with_lead_in(F.col("_clean"), "To implement", "To implement this methodology:"), "implementation",
         ["methodology", "framework", "implementation"], "intermediate", h))
     # process (E7, E8)
-    steps = extract_steps(c)
+    steps = F.col("_steps")
     pname = _no_prefix(h)
     step_item = _opt(F.size(steps) > 0, _item(
         F.concat(F.lit("Walk me through the "), pname, F.lit(" step by step")), "User needs systematic process guidance",
@@ -231,7 +235,7 @@ def section_items(sections: DataFrame, mode: str = "compat") -> DataFrame:
     # examples (E9)
     example = F.array(_item(
         F.concat(F.lit("Provide an example of "), F.lower(pname)), "User needs concrete implementation example",
-        with_lead_in(clean_content(c), "Here's a practical example", "Here's a practical example:"), "example",
+        with_lead_in(F.col("_clean"), "Here's a practical example", "Here's a practical example:"), "example",
         ["example", "practical", "implementation"], "intermediate", h))
     # conversation
     hum = F.regexp_extract_all(c, F.lit(HUMAN_RE), 1)
@@ -243,7 +247,7 @@ def section_items(sections: DataFrame, mode: str = "compat") -> DataFrame:
     # any other category
     general = F.array(_item(
         F.concat(F.lit("Tell me about "), F.lower(pname)), F.concat(F.lit("User learning about "), cat),
-        clean_content(c), cat, [cat, "methodology"], "intermediate", h))
+        F.col("_clean"), cat, [cat, "methodology"], "intermediate", h))
 
     items = (F.when(cat == "philosophy", F.concat(phil, core))
              .when(cat == "methodology", F.concat(proto, impl))
