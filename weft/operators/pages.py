@@ -185,6 +185,15 @@ def pages_to_documents(records: DataFrame, use_content: bool = True, engine: str
     )
 
 
+def consent_status(requests: DataFrame, consent_col: str = "explicit_consent",
+                   policy_col: str = "privacy_policy_url") -> DataFrame:
+    """J7 in one pass: every request with ``status`` accepted / rejected and the rejection reason."""
+    ok = F.coalesce(F.col(consent_col), F.lit(False))
+    return requests.withColumn("status", F.when(ok, "accepted").otherwise("rejected")).withColumn(
+        "error", F.when(~ok, F.lit(CONSENT_REQUIRED))).withColumn(
+        "policy", F.when(present(policy_col), F.col(policy_col)).otherwise(F.lit("Please provide a privacy policy URL")))
+
+
 def consent_gate(requests: DataFrame, consent_col: str = "explicit_consent",
                  policy_col: str = "privacy_policy_url") -> tuple[DataFrame, DataFrame]:
     """Requests with explicit consent pass; the rest are rejected with the reason."""

@@ -47,9 +47,7 @@ def q_consent_gate(spark, sf):
     req = _pages(spark, sf).select(
         "page_id", F.col("url").startswith("https").alias("explicit_consent"),
         F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/privacy")).alias("privacy_policy_url"))
-    acc, rej = P.consent_gate(req)
-    return acc.select("page_id", F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("error")) \
-        .unionByName(rej.select("page_id", F.lit("rejected").alias("status"), "error"))
+    return P.consent_status(req).select("page_id", "status", "error")
 
 
 # ---------------------------------------------------------------- DuckDB side
