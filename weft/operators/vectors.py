@@ -24,8 +24,11 @@ from weft.functions import vector as V
 
 # Largest query block broadcast at once (rows x dim x 8 bytes).
 MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-# A docs batch handed to the kernel (rows); bounds the score matrix per step.
+# A docs batch handed to the kernel (rows, upper bound); bounds the score matrix per step.
 KERNEL_BATCH_ROWS = 4096
+# Memory for the score matrices of one step (queries x batch rows, a few float64 arrays);
+# the batch shrinks when a query block is large, so a task's memory stays bounded.
+SCORE_BUDGET_BYTES = 256 * 1024 * 1024
 
 HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -195,9 +198,10 @@ def _kernel(bq, metric: str, kmax: int, filters: list[tuple[str, str]], min_scor
         best_s = np.full((nq, kmax), -np.inf)
         best_r = np.full((nq, kmax), -np.inf)
         best_d = np.full((nq, kmax), np.iinfo(np.int64).max, dtype=np.int64)
+        step = int(max(64, min(KERNEL_BATCH_ROWS, SCORE_BUDGET_BYTES // max(1, nq * 8 * 6))))
         for big in batches:
-            for lo in range(0, len(big), KERNEL_BATCH_ROWS):
-                pdf = big.iloc[lo:lo + KERNEL_BATCH_ROWS]
+            for lo in range(0, len(big), step):
+                pdf = big.iloc[lo:lo + step]
                 rank_s, raw_s, ids = _score(pdf, q, metric, filters, min_score, max_score)
                 top_s, top_r, top_d = _top(rank_s, raw_s, ids, kmax)
                 cand_s = np.concatenate([best_s, top_s], axis=1)
