@@ -164,3 +164,27 @@ def test_ivf_ann_full_probe_equals_exact(spark):
     few = VX.ann_knn(qs, docs, k=5, n_lists=8, n_probe=3).collect()
     recall = len({(r.query_id, r.doc_id) for r in few} & {(q, d) for (q, _), d in exact.items()}) / len(exact)
     assert recall >= 0.6
+
+
+def test_global_row_number_across_partitions(spark):
+    from weft.operators.ordering import global_row_number
+
+    df = spark.range(0, 5000).selectExpr("id", "(id * 7919) % 5000 AS k").repartition(9)
+    got = global_row_number(df, "k", "n", partitions=6).select("k", "n").collect()
+    assert sorted((r.k, r.n) for r in got) == [(k, k + 1) for k in range(5000)]
+
+
+def test_keyword_search_brute_force(spark):
+    hist = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr(
+        "event_id AS seq", "CAST(user_id AS STRING) AS user_id", "concat(event_type, ' ', props) AS query")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    q = docs.selectExpr("doc_id AS query_id", "CAST(doc_id % 15 AS STRING) AS user_id",
+                        "split_part(text, '\\n', 1) AS text")
+    got = {(r.query_id, r.seq) for r in H.keyword_search(q, hist, 5, "user_id").collect()}
+    hrows = sorted((r.seq, r.user_id, r.query.lower()) for r in hist.collect())
+    want = set()
+    for r in q.collect():
+        ws = r.text.lower().split()
+        hits = [s for s, u, t in hrows if u == r.user_id and any(w in t for w in ws)][:5]
+        want |= {(r.query_id, s) for s in hits}
+    assert got == want
