@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, lang_id, secret_scan
+from weft.llm import bpe, jaccard_join, lang_id, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"), *tiktoken_vocabulary())
 
@@ -50,6 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
     "op9_language_id": op9_language_id,
 }
