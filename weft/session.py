@@ -15,6 +15,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # batches handed to Python are bounded by bytes, so long texts do not add up to large batches
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
