@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, jaccard_join, lang_id, secret_scan, substring_dedup
+from weft.llm import bpe, jaccard_join, lang_id, license_scan, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -61,8 +65,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_license_scans": op3_license_scans,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_language_id": op9_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_license_scans": license_scan.oracle_sql(),
+}
