@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, jaccard_join, lang_id, license_scan, secret_scan, substring_dedup
+from weft.llm import ann, bpe, jaccard_join, lang_id, license_scan, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"), *tiktoken_vocabulary())
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_license_scans": op3_license_scans,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours,
     "op8_secret_scans": op8_secret_scans,
     "op9_language_id": op9_language_id,
 }
