@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import ann, bpe, jaccard_join, lang_id, license_scan, secret_scan, substring_dedup
+from weft.llm import ann, bpe, embed_dedup, jaccard_join, lang_id, license_scan, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op6_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Data
     return ann.search(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"), *tiktoken_vocabulary())
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_license_scans": op3_license_scans,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_language_id": op9_language_id,
 }
