@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import ann, bpe, embed_dedup, jaccard_join, lang_id, license_scan, secret_scan, substring_dedup
+from weft.llm import ann, bpe, embed_dedup, jaccard_join, lang_id, license_scan, mixing, quality, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("_key")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -71,15 +75,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "lang_pred", "score", "rejected")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_license_scans": op3_license_scans,
+    "op4_source_mixing": op4_source_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 SQL: dict[str, str] = {
     "op3_license_scans": license_scan.oracle_sql(),
