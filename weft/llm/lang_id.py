@@ -55,35 +55,53 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
+def _coders(dictionaries: list[tuple[str, bytes]]):
+    import zstandard as zstd
+
+    out = []
+    for name, raw in dictionaries:
+        d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        params = zstd.ZstdCompressionParameters.from_level(
+            LEVEL, dict_size=len(raw), write_checksum=False, write_content_size=False, write_dict_id=False)
+        out.append((name, zstd.ZstdCompressor(dict_data=d, compression_params=params)))
+    return out
+
+
+def _judge(text: str | None, coders) -> tuple[str, float, bool]:
+    """Language, score, and whether the text is rejected."""
+    if not coders or not text or not _LETTER.search(text):
+        return UNKNOWN, 0.0, True
+    data = text.lower().encode()
+    blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in coders)
+    score = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+    return sizes[0][1], score, score < MIN_MARGIN
+
+
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, lang_pred, score, rejected)``, one row per row."""
     model = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        import zstandard as zstd
-
-        coders = []
-        for name, raw in model.value:
-            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            params = zstd.ZstdCompressionParameters.from_level(
-                LEVEL, dict_size=len(raw), write_checksum=False, write_content_size=False, write_dict_id=False)
-            coders.append((name, zstd.ZstdCompressor(dict_data=d, compression_params=params)))
+        coders = _coders(model.value)
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(1).to_pylist():
-                if not coders or not text or not _LETTER.search(text):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                data = text.lower().encode()
-                blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
-                sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in coders)
-                langs.append(sizes[0][1])
-                scores.append(1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0])
+            out = [_judge(t, coders) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array([g == UNKNOWN or s < MIN_MARGIN for g, s in zip(langs, scores, strict=True)], pa.bool_())],
+                [batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not rejected."""
+    model = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        coders = _coders(model.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not _judge(t, coders)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -67,44 +67,53 @@ def _line(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, ranks: dict[bytes, int], pattern: str, mask: str | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` to one row per document with counts, the digest of the rules' spans
-    and all spans; with ``mask`` also ``clean_text``, where each span is replaced by it (a null
-    text stays null). ``ranks`` and ``pattern`` are a tiktoken vocabulary (bounded, broadcast)."""
-    model = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+def _counter(vocabulary, pattern):
+    import tiktoken
 
-    def run(batches):
-        import tiktoken
+    enc = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
+    return lambda s: len(enc.encode_ordinary(s))
 
-        vocabulary, pat = model.value
-        enc = tiktoken.Encoding("scan", pat_str=pat, mergeable_ranks=vocabulary, special_tokens={})
 
-        def n_tokens(s: str) -> int:
-            return len(enc.encode_ordinary(s))
+def scan(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``docs(doc_id, text)`` to one row per document with counts, the digest of the rules' spans
+    and all spans. ``ranks`` and ``pattern`` are a tiktoken vocabulary (bounded, broadcast)."""
+    model = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
+    def run(batches):
+        n_tokens = _counter(*model.value)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            clean = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
                 spans = sorted(base + random_spans(text or "", base, n_tokens))
-                for col, k in zip(cols, range(3), strict=False):
-                    col.append(sum(x[1] == k for x in base))
-                cols[3].append(hashlib.sha256(_line(base).encode()).hexdigest())
-                cols[4].append(_line(spans))
-                cols[5].append(len(spans))
-                if mask is not None:
-                    clean.append(masked(text, spans, mask))
-            out = [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int64())]
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"]
-            if mask is not None:
-                out.append(pa.array(clean, pa.string()))
-                names.append("clean_text")
-            yield pa.RecordBatch.from_arrays(out, names)
+                row = [*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(_line(base).encode()).hexdigest(), _line(spans), len(spans)]
+                for col, value in zip(cols, row, strict=True):
+                    col.append(value)
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                                             ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
 
     id_type = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", clean_text string" if mask is not None else ""))
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
+
+
+def redact(docs: DataFrame, ranks: dict[bytes, int], pattern: str, mask: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs``, all columns, with every span of ``text`` replaced by ``mask`` (a null text
+    stays null)."""
+    model = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        n_tokens = _counter(*model.value)
+        for batch in batches:
+            clean = []
+            for text in batch.column(at).to_pylist():
+                base = base_spans(text or "")
+                clean.append(masked(text, sorted(base + random_spans(text or "", base, n_tokens)), mask))
+            yield batch.set_column(at, "text", pa.array(clean, pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def masked(text: str | None, spans, mask: str) -> str | None:
