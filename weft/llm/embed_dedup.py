@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 from weft.llm import vectors as V
 from weft.llm.graph import components
 from weft.llm.scratch import materialise
+from weft.llm.stream import whole_groups
 
 K = 8
 ORDERS = 6
@@ -116,19 +117,8 @@ def _improve(graph: DataFrame, nodes: DataFrame, width: int, k: int, step: int)
     rows = rows.repartition("c").sortWithinPartitions("c")
 
     def compare(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in _with_end(batches):
-            if batch is not None:
-                held.append(batch)
-            t = pa.Table.from_batches(held) if held else None
-            if t is None or not t.num_rows:
-                continue
-            c = t.column("c").to_numpy()
-            cut = len(c) if batch is None else int(np.searchsorted(c, c[-1]))  # the last centre may go on
-            if not cut:
-                continue
-            node, worst, x = t.column("node").to_numpy()[:cut], t.column("worst").to_numpy()[:cut], V.unit(V.matrix(t.column("vec").slice(0, cut), width))
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(c[:cut])) + 1, [cut]))
+        for t, edge in whole_groups(batches, "c"):
+            node, worst, x = t.column("node").to_numpy(), t.column("worst").to_numpy(), V.unit(V.matrix(t.column("vec"), width))
             out = []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 s = x[a:b] @ x[a:b].T
@@ -136,16 +126,10 @@ def _improve(graph: DataFrame, nodes: DataFrame, width: int, k: int, step: int)
                 s[s <= worst[a:b][:, None]] = -2
                 out.append(_top(s, node[a:b], 4))
             yield _best(*(np.concatenate(col) for col in zip(*out, strict=True)))
-            held = t.slice(cut).to_batches() if batch is not None else []
 
     return rows.mapInArrow(compare, "v long, u long, s double")
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
 def _audit(nodes: DataFrame, width: int, threshold: float, sample: int) -> DataFrame:
     """True threshold pairs of a fixed random sample of nodes, against all nodes in blocks."""
     few = nodes.select("node", "label", "vec").orderBy(F.xxhash64("node", F.lit(5))).limit(sample).toArrow()
