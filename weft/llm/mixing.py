@@ -86,3 +86,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     rates = fit_rates(domain_posteriors(docs, labels, ["doc_id", "_key"]), targets)
     return rates.select("doc_id", "n_tokens", *[F.round(f"p_{d}", 9).alias(f"p_{d}") for d in targets], "rate",
                         copies(F.col("rate"), F.col("_key")).alias("copies"), "_key")
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    taken = mix(docs, labels, targets).filter("copies > 0").select("_key", "copies").distinct()
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(taken, "_key")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
