@@ -51,7 +51,7 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 BLOCK = 48
 STRIDE = 24
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
