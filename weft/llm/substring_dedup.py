@@ -7,12 +7,18 @@ and pairs the same global name without exchanging dictionaries, and equal passag
 interior symbols wherever they stand. For each symbol the stretch of words that decides its
 existence is tracked; whoever holds this stretch holds the symbol.
 
-A window (``window`` consecutive words) picks one anchor among the symbols decided inside it: of the
-highest round that has one, the one with the least name. Equal windows pick equal anchors, and
-neighbouring windows mostly share theirs, so there are several times fewer anchors than windows.
-Only anchors that two documents share can belong to a repeated window; only their windows are
-then compared by their own fingerprints, and each window learns the smallest document it starts
-in. Windows inside one long run have no decided symbol and are their own anchor.
+A window (``window`` consecutive words) picks one anchor among the symbols decided inside it that
+also have ``REACH`` words on both sides there: of the highest round that has one, the one with the
+least name. Equal windows pick equal anchors, and neighbouring windows mostly share theirs, so there
+are several times fewer anchors than windows. The windows of one anchor make a stretch of words.
+
+Only anchors that two documents share can belong to repeats. Where a stretch as a whole also stands
+in a smaller document, all its windows are repeats; inside long passages that settles everything.
+What is left are the ends of passages: stretches of one anchor that differ, of which only the
+smallest document's copies need a look. Their windows are compared by their own fingerprints. (The
+smallest document that holds a window is the smallest that holds its own stretch, else there would
+be a smaller one, so no window's first place is missed.) Windows inside one long run have no decided
+symbol and are their own anchor.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none; texts shorter
 than a window lose nothing. Rows that share a doc_id are one document for "smaller", and a null
@@ -28,19 +34,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.llm import textvec
 from weft.llm.scratch import materialise
 
 WINDOW = 13
 ROUNDS = 2
+REACH = 3
 _NO_ID = (1 << 63) - 1
 
 
 _FAR = 1 << 40
 
 
-def _runs(name, low, high, text):
+def _runs(name, start, low, high, text):
     """Names maximal runs of one symbol. A symbol or run is decided by itself and both neighbours,
     which show where it ends; at a text's end it stays undecided."""
     n = len(name)
@@ -54,10 +62,10 @@ def _runs(name, low, high, text):
     named = name[first]
     long = size > 1
     named[long] = textvec.fold(named[long], size[long])
-    return named, lo, hi, text[first]
+    return named, start[first], lo, hi, text[first]
 
 
-def _pairs(name, low, high, text):
+def _pairs(name, start, low, high, text):
     """Names pairs of a left symbol and a right one. A pair is decided by its two symbols, a left
     symbol alone by its right neighbour too, a right one by its left neighbour."""
     n = len(name)
@@ -73,7 +81,7 @@ def _pairs(name, low, high, text):
     has_before, has_after = (at > 0) & (text[before] == text[at]), (at < n - 1) & (text[after] == text[at])
     lo = np.where(lone_right, np.where(has_before, low[before], -_FAR), low[at])
     hi = np.where(paired | lone_left, np.where(has_after, high[after], _FAR), high[at])
-    return named, lo, hi, text[at]
+    return named, start[at], lo, hi, text[at]
 
 
 def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -92,20 +100,26 @@ def anchors(words: np.ndarray, text: np.ndarray, window: int = WINDOW):
     if not len(inner):
         return np.zeros(0, np.uint64), inner, inner
     at = np.arange(len(words))
-    state = (words, at, at + 1, text)
+    state = (words, at, at, at + 1, text)
     levels = []
     for level in range(ROUNDS):
         # equal neighbours that come up in later rounds have the same side, so they stay apart
         state = _pairs(*(state if level else _runs(*state)))
-        levels.append(state[:3])
+        levels.append(state[:4])
     chosen, where = np.zeros(len(inner), np.uint64), np.full(len(inner), -1, np.int64)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(textvec.mix(words))))  # tells the words around symbols apart
     left = np.arange(len(inner))  # windows without an anchor so far
-    for level, (name, low, high) in reversed(list(enumerate(levels))):
+    for level, (name, start, low, high) in reversed(list(enumerate(levels))):
+        # the words around the symbol make its anchor rare enough to tell passages apart
+        low, high = np.minimum(low, start - REACH), np.maximum(high, start + REACH + 1)
+        low[low < 0] = -_FAR
+        high[high > len(words)] = _FAR
         fit = np.flatnonzero(high - low <= window)
+        fit = fit[text[low[fit]] == text[high[fit] - 1]]
         if not len(fit) or not len(left):
             continue
         low, high, name = low[fit], high[fit], name[fit]
-        name = textvec.fold(name, np.full(len(name), level, np.uint64), (high - low).astype(np.uint64))
+        name = textvec.fold(name, np.full(len(name), level, np.uint64), (high - low).astype(np.uint64), sums[high] - sums[low])
         # the symbols decided inside window i are those with low >= i and high <= i + window
         a = np.searchsorted(low, inner[left], side="left")
         b = np.searchsorted(high, inner[left] + window, side="right")
@@ -142,23 +156,25 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64), pa.int64())
 
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """``(anchor, doc, key, first, last)``: stretches of windows by anchor. key tells texts apart."""
+def _stretches(docs: DataFrame, window: int) -> DataFrame:
+    """``(anchor, span, doc, key, at)``: stretches of windows by anchor. span is the fingerprint of
+    the stretch's words, key tells texts apart, at packs the first and last window."""
     def run(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             out: list[list[np.ndarray]] = [[] for _ in range(4)]
             for rows, words, starts in _joined(textvec.word_hashes(_texts(batch.column(1)))):
                 name, first, last = anchors(words, np.repeat(np.arange(len(rows)), np.diff(starts)), window)
+                span = textvec.range_hashes(words, first, last + window)
                 own = np.searchsorted(starts, first, side="right") - 1
                 # empty texts share their start with the text after them, which is the one found
-                for col, x in zip(out, (name, first - starts[own], last - starts[own], rows[own]), strict=True):
+                for col, x in zip(out, (name, span, (first - starts[own]) * _PACK + last - starts[own], rows[own]), strict=True):
                     col.append(x)
             row = np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([_longs(out[0]), pa.array(ids[row]), pa.array(keys[row]), _longs(out[1]), _longs(out[2])],
-                                             ["anchor", "doc", "key", "first", "last"])
+            yield pa.RecordBatch.from_arrays([_longs(out[0]), _longs(out[1]), pa.array(ids[row]), pa.array(keys[row]), _longs(out[2])],
+                                             ["anchor", "span", "doc", "key", "at"])
 
-    return docs.select("_doc", "text", "_key").mapInArrow(run, "anchor long, doc long, key long, first long, last long")
+    return docs.select("_doc", "text", "_key").mapInArrow(run, "anchor long, span long, doc long, key long, at long")
 
 
 def _joined(texts):
@@ -197,7 +213,7 @@ _PACK = 1 << 31  # two window numbers in one long
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
-    """Removes the words covered by the windows that start at ``spots``."""
+    """Removes the words covered by the windows in ``spots`` (packed first and last ones)."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -207,9 +223,9 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                 words = (text or b"").split()
                 if spots:
                     cover = np.zeros(len(words) + 1, np.int64)
-                    at = np.array(sorted(set(spots)))
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                    at = np.array(spots)
+                    np.add.at(cover, at // _PACK, 1)
+                    np.add.at(cover, at % _PACK + window, -1)
                     drop = np.cumsum(cover[:-1]) > 0
                     left = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
                 else:
@@ -232,14 +248,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # rows of one document and equal text have the same windows and the same answer: one key
     docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_doc"),
                        F.xxhash64("doc_id", "text").alias("_key"))
-    rows = _anchor_rows(docs, window)
-    names = rows.groupBy("anchor").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"))
-    shared = names.filter("_lo <> _hi").select("anchor")
-    spans = rows.join(shared, "anchor").groupBy("key").agg(
-        F.collect_set(F.col("first") * _PACK + F.col("last")).alias("spans"))
-    spans = materialise(spans.withColumnRenamed("key", "_key"), "repeat-spans")
+    by_anchor, by_span = Window.partitionBy("anchor"), Window.partitionBy("anchor", "span")
+    rows = _stretches(docs, window).select(
+        "key", "at", "doc", F.min("doc").over(by_span).alias("_own"), F.min("doc").over(by_anchor).alias("_lo"),
+        F.max("doc").over(by_anchor).alias("_hi"), F.min("span").over(by_anchor).alias("_s0"), F.max("span").over(by_anchor).alias("_s1"))
+    settled = F.col("doc") > F.col("_own")
+    rows = rows.filter((F.col("_lo") != F.col("_hi")) & (settled | (F.col("_s0") != F.col("_s1")))).select("key", "at", settled.alias("settled"))
+    rows = materialise(rows, "repeat-stretches")
+    spans = rows.filter("not settled").groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("spans"))
     windows = materialise(_windows_of(docs.join(spans, "_key"), window), "repeat-windows")
     least = windows.groupBy("window").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).filter("_lo <> _hi").select("window", "_lo")
-    spots = windows.join(least, "window").filter("doc > _lo").groupBy("key").agg(F.collect_set("at").alias("spots"))
-    spots = materialise(spots.withColumnRenamed("key", "_key"), "repeat-spots")
+    single = windows.join(least, "window").filter("doc > _lo").select("key", (F.col("at") * _PACK + F.col("at")).alias("at"))
+    spots = rows.filter("settled").select("key", "at").unionByName(single).groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("spots"))
+    spots = materialise(spots, "repeat-spots")
     return _kept(docs.join(spots, "_key", "left"), window)

@@ -63,6 +63,15 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of the ranges ``values[starts:ends]`` of 64-bit values, in order."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(values) + 1)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(values) * power[: len(values)])))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of a byte buffer."""
     inside = ~_SPACE[buf]
