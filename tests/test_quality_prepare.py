@@ -142,3 +142,16 @@ def test_conversation_pairs_numbering_equals_window(spark):
     a = {tuple(r) for r in prepare.conversation_pairs(conv, skew_safe=True).select("conv_id", "turn", "instruction").collect()}
     b = {tuple(r) for r in prepare.conversation_pairs(conv, skew_safe=False).select("conv_id", "turn", "instruction").collect()}
     assert a == b and len(a) > 0
+
+
+def test_split_sizes_hold_with_repeated_ids(spark, items_schema):
+    rows = [(1, f"i{k}", "", "o", "a", [], "easy", "") for k in range(10)] + [(2, "same", "", "o", "b", [], "easy", "")] * 10
+    out = prepare.stratified_split(make_items(spark, rows, items_schema), "category", 0.8, 42)
+    assert sorted((r.category, r.split, r["count"]) for r in out.groupBy("category", "split").count().collect()) == [
+        ("a", "train", 8), ("a", "validation", 2), ("b", "train", 8), ("b", "validation", 2)]
+
+
+def test_dataset_info_with_null_and_empty_category(spark, items_schema):
+    rows = [(1, "i", "", "o", None, [], "easy", ""), (2, "i", "", "o", "", [], None, ""), (3, "i", "", "o", "x", [], "easy", "")]
+    r = prepare.dataset_info(make_items(spark, rows, items_schema)).first()
+    assert r.category_distribution == '{"":2,"x":1}' and r.difficulty_distribution == '{"":1,"easy":2}'

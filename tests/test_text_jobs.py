@@ -156,3 +156,36 @@ def test_fit_length_and_conforms(spark):
                                         FM.conforms(F.col("j"), "openai"), FM.conforms(F.col("j"), "other")).collect()]
     assert got == [(True, False, False, True), (False, False, False, True), (False, False, False, True),
                    (False, False, True, True)]
+
+
+def test_nested_containers():
+    from weft.operators.pages import container_of
+
+    assert container_of('<div class="content"><div>one</div> two <span>three</span> four</div> x') == "<div>one</div> two <span>three</span> four"
+    assert container_of("<article>a<article>b</article>c</article>d") == "a<article>b</article>c"
+    assert container_of("<div id=main><p>open") == "<p>open" and container_of("<p>none</p>") is None and container_of(None) is None
+
+
+def test_conversation_ids_beyond_a_thousand_turns(spark, tmp_path):
+    import json
+
+    from weft.sources import io as IO
+
+    turns = [{"from": "human" if t % 2 == 0 else "assistant", "value": f"turn {t}"} for t in range(2600)]
+    (tmp_path / "c.json").write_text(json.dumps([{"item_id": 1, "conversations": turns}, {"item_id": 2, "conversations": turns}]))
+    got = IO.read_items_json(spark, str(tmp_path)).select("item_id", "conv_id", "turn").collect()
+    assert len(got) == 2600 and len({r.item_id for r in got}) == 2600
+
+
+def test_retention_over_several_batches(spark, tmp_path):
+    import datetime as dt
+
+    from weft.streaming import streams as K
+
+    src = str(tmp_path / "in")
+    for day in (1, 20, 22):
+        spark.createDataFrame([(day, dt.datetime(2024, 1, day))], "seq long, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("seq long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    sink = str(tmp_path / "out")
+    K.stream_expire(stream, 5, sink, sink + "-ckpt").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.seq for r in K.read_retained(spark, sink, 5).collect()) == [20, 22]

@@ -159,9 +159,9 @@ def test_ivf_ann_full_probe_equals_exact(spark):
                                "query_id long, embedding array<float>")
     exact = {(r.query_id, r.rank): r.doc_id for r in VX.knn(qs, docs, k=5).collect()}
     # probing every list is exact; probing a few lists finds most of the true neighbours
-    full = {(r.query_id, r.rank): r.doc_id for r in VX.ann_knn(qs, docs, k=5, n_lists=8, n_probe=8).collect()}
+    full = {(r.query_id, r.rank): r.doc_id for r in VX.ann_knn(qs, docs, k=5, n_probe=8, index=VX.build_ivf_index(docs, 8)).collect()}
     assert full == exact
-    few = VX.ann_knn(qs, docs, k=5, n_lists=8, n_probe=3).collect()
+    few = VX.ann_knn(qs, docs, k=5, n_probe=3, index=VX.build_ivf_index(docs, 8)).collect()
     recall = len({(r.query_id, r.doc_id) for r in few} & {(q, d) for (q, _), d in exact.items()}) / len(exact)
     assert recall >= 0.6
 
@@ -188,3 +188,36 @@ def test_keyword_search_brute_force(spark):
         hits = [s for s, u, t in hrows if u == r.user_id and any(w in t for w in ws)][:5]
         want |= {(r.query_id, s) for s in hits}
     assert got == want
+
+
+def test_term_search_beyond_a_thousand_terms(spark):
+    # two queries with neighbouring ids; the first has more than 1,000 terms and only its last one hits
+    text = " ".join(f'"t{i}"' for i in range(1005)) + ' "hit"'
+    misses = spark.createDataFrame([(4, text, 3), (5, "'other'", 3)], "query_id long, text string, k int")
+    docs = spark.createDataFrame([(9, [1.0, 0.0])], "doc_id long, embedding array<float>")
+
+    def embedder(df, column, out):
+        return df.withColumn(out, F.when(F.col(column) == "hit", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0))))
+
+    got = [(r.query_id, r.doc_id, r.rank) for r in C.term_fallback(misses, docs, embedder, {}).collect()]
+    assert got == [(4, 9, 1)]
+
+
+def test_upsert_takes_one_row_per_key(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    delta = spark.createDataFrame([(2, "new", 2), (2, "newest", 3), (3, "c", 1)], "doc_id long, text string, version int")
+    got = sorted((r.doc_id, r.text) for r in VX.upsert_docs(base, delta, version="version").collect())
+    assert got == [(1, "a"), (2, "newest"), (3, "c")]
+
+
+def test_inverted_file_leaves_zero_vectors_out(spark):
+    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)] + [(99, [0.0, 0.0]), (98, None)], "doc_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, embedding array<float>")
+    assert [r.doc_id for r in VX.ann_knn(q, docs, k=1).collect()] == [1]
+
+
+def test_clear_history_of_some_users(spark):
+    hist = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "seq long, user_id string")
+    users = spark.createDataFrame([("a",), ("a",)], "user_id string")
+    assert sorted(r.seq for r in H.clear_history(hist, users).collect()) == [2, 3]
+    assert H.clear_history(hist).count() == 0

@@ -117,15 +117,11 @@ def term_fallback(misses: DataFrame, docs: DataFrame, embedder, filters: dict[st
     """For queries without hits, search each special term in order; the first term with hits wins."""
     terms = misses.select("query_id", "k", *filters.keys(),
                           F.posexplode(special_terms(F.col("text"))).alias("pos", "term"))
-    terms = terms.withColumn("tq_id", F.col("query_id") * 1000 + F.col("pos"))
     emb = embedder(terms, "term", "embedding")
-    hits = VX.knn(emb.withColumnRenamed("query_id", "orig_query_id").withColumnRenamed("tq_id", "query_id"),
-                  docs, k=MAX_DEPTH, k_col="k", filters=filters)
-    hits = hits.withColumn("orig_query_id", F.floor(F.col("query_id") / 1000).cast("long")) \
-        .withColumn("pos", (F.col("query_id") % 1000).cast("int"))
-    best = hits.groupBy("orig_query_id").agg(F.min("pos").alias("pos"))
-    return hits.join(best, ["orig_query_id", "pos"]).select(
-        F.col("orig_query_id").alias("query_id"), "doc_id", "score", "rank")
+    # a search per (query, term position); both stay columns of their own
+    hits = VX.knn(emb, docs, k=MAX_DEPTH, k_col="k", filters=filters, extra_keys=("pos",))
+    best = hits.groupBy("query_id").agg(F.min("pos").alias("pos"))
+    return hits.join(best, ["query_id", "pos"]).select("query_id", "doc_id", "score", "rank")
 
 
 def history_fallback(misses: DataFrame, hist_items: DataFrame, docs: DataFrame, embedder,
@@ -156,9 +152,10 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
     # scoring carries only ids, vectors and filter columns; text is joined after ranking
     vecs = docs.select("doc_id", "embedding", *sorted(set(filters.values())))
     pay = payload if payload is not None else docs.select("doc_id", "text", "source")
-    first = VX.knn(q, vecs, k=MAX_DEPTH, k_col="depth", filters=filters)
+    searched = q if forced is None else q.join(forced.select("query_id").distinct(), "query_id", "left_anti")
+    first = VX.knn(searched, vecs, k=MAX_DEPTH, k_col="depth", filters=filters)
     if forced is not None:
-        first = first.join(forced.select("query_id").distinct(), "query_id", "left_anti").unionByName(
+        first = first.unionByName(
             forced.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"),
                           F.col("rank").cast("int")))
     first = first.persist()
@@ -208,11 +205,6 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
     )
 
 
-def _dim_of(docs: DataFrame) -> int:
-    r = docs.select(F.size("embedding")).where(F.col("embedding").isNotNull()).limit(1).collect()
-    return int(r[0][0]) if r else 64
-
-
 def token_usage(df: DataFrame, prompt: str = "prompt", completion: str = "completion") -> DataFrame:
     """Whitespace-token counts of prompt, completion and their total."""
     p = F.size(words(F.coalesce(F.col(prompt), F.lit(""))))

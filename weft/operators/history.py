@@ -9,8 +9,6 @@ per map task.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +20,6 @@ def epoch() -> Column:
     """The epoch instant (timestamp 0), the value a missing timestamp sorts as."""
     return F.timestamp_seconds(F.lit(0))
 
-# Largest set of query words compiled into one keyword automaton.
-MAX_KEYWORD_BYTES = 64 * 1024 * 1024
-
 
 def ts_or_epoch(c: str | Column = "ts") -> Column:
     """Missing timestamp counts as 0 (the epoch), as in the reference's sort keys."""
@@ -113,9 +108,10 @@ def expire_history(history: DataFrame, days: int, now: Column | None = None) ->
     return kept, removed
 
 
-def clear_history(history: DataFrame) -> DataFrame:
-    """An empty table with the same schema (written back with overwrite)."""
-    return history.limit(0)
+def clear_history(history: DataFrame, users: DataFrame | None = None, by: str = "user_id") -> DataFrame:
+    """The history without the rows of ``users`` (a table with the column ``by``); without
+    ``users`` everything is cleared and an empty table of the same schema is left."""
+    return history.limit(0) if users is None else history.join(users.select(by).distinct(), by, "left_anti").select(*history.columns)
 
 
 def select_history(queries: DataFrame, history: DataFrame, timeline_limit: int = 10, similar_limit: int = 5,
@@ -143,100 +139,28 @@ def select_history(queries: DataFrame, history: DataFrame, timeline_limit: int =
     return items.withColumn("position", F.row_number().over(w))
 
 
-def _keyword_kernel(bwords, limit: int, filter_col: str | None):
-    def run(batches):
-        import ahocorasick
-
-        words, word_queries, q_filter, qids = bwords.value
-        auto = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            auto.add_word(w, i)
-        if len(words):
-            auto.make_automaton()
-        found: dict[int, list] = {}
-        seen: dict[str, set] = {}
-        for pdf in batches:
-            if not len(words):
-                break
-            qs = pdf["query"].fillna("").str.lower().to_numpy()
-            seqs = pdf["seq"].to_numpy()
-            fvals = pdf[filter_col].to_numpy() if filter_col else None
-            for j in range(len(pdf)):
-                by_filter = seen.get(qs[j])
-                if by_filter is None:  # stored queries repeat: match each distinct text once per task
-                    qset = set()
-                    for wi in {idx for _, idx in auto.iter(qs[j])}:
-                        qset.update(word_queries[wi])
-                    by_filter = {}
-                    for qi in qset:  # matching queries grouped by their filter value
-                        by_filter.setdefault(q_filter[qi], []).append(qi)
-                    if len(seen) < 100_000:
-                        seen[qs[j]] = by_filter
-                cands = by_filter.get(None, [])
-                if fvals is not None:
-                    cands = cands + by_filter.get(fvals[j], [])
-                else:
-                    cands = [qi for lst_ in by_filter.values() for qi in lst_]
-                for qi in cands:
-                    lst = found.setdefault(qi, [])
-                    if len(lst) < limit:
-                        lst.append(seqs[j])
-                    elif seqs[j] < max(lst):
-                        lst[lst.index(max(lst))] = seqs[j]
-        rows = [(qids[qi], sq) for qi, lst in found.items() for sq in lst]
-        if rows:
-            yield pd.DataFrame({"query_id": np.array([r[0] for r in rows], dtype=np.int64),
-                                "seq": np.array([r[1] for r in rows], dtype=np.int64)})
-
-    return run
-
-
 def keyword_search(queries: DataFrame, history: DataFrame, limit: int = 5, filter_col: str | None = "user_id",
                    text_col: str = "text") -> DataFrame:
     """History rows whose lower-cased stored query contains any query word.
 
-    Query words (``lower(text).split()``) are compiled into an Aho-Corasick
-    automaton per block of queries whose text size fits the broadcast budget
-    (larger query tables are split into several blocks by hash); each history
-    partition streams its rows through it and keeps, per query, only the first
-    ``limit`` matches in storage order. A final window merges the partial
-    lists. Similarity is 0.9.
+    Stored queries are reduced to distinct (user, text) with their first ``limit`` rows, query texts to
+    distinct (user, word); users join the two, ``contains`` decides, and the first ``limit`` rows per
+    (user, word) go back to the queries that hold the word. Rank is storage order, similarity 0.9.
     """
-    spark = queries.sparkSession
-    qcols = [F.col("query_id").cast("long").alias("query_id"), F.lower(F.col(text_col)).alias("_t")]
-    if filter_col:
-        qcols.append(F.col(filter_col).cast("string").alias("_f"))
-    q = queries.select(*qcols).persist()  # read for the size figure, then per block
-    est = q.agg(F.coalesce(F.sum(F.length("_t") + 32), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(est) // MAX_KEYWORD_BYTES))
-    blocks = [q] if n_blocks == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-                                        for b in range(n_blocks)]
-    cols = ["seq", "query"] + ([filter_col] if filter_col else [])
-    h = history.select(*[F.col(c).cast("string") if c == filter_col else F.col(c) for c in cols])
-    parts = []
-    for block in blocks:
-        qdf = block.toPandas()  # bounded by MAX_KEYWORD_BYTES
-        words: list[str] = []
-        index: dict[str, int] = {}
-        word_queries: list[list[int]] = []
-        for qi, t in enumerate(qdf["_t"].fillna("")):
-            for w in set(t.split()):
-                if w not in index:
-                    index[w] = len(words)
-                    words.append(w)
-                    word_queries.append([])
-                word_queries[index[w]].append(qi)
-        q_filter = qdf["_f"].tolist() if filter_col else [None] * len(qdf)
-        bwords = spark.sparkContext.broadcast((words, word_queries, q_filter,
-                                               qdf["query_id"].to_numpy(dtype=np.int64)))
-        parts.append(h.mapInPandas(_keyword_kernel(bwords, limit, filter_col), "query_id long, seq long"))
-    q.unpersist()
-    part = parts[0]
-    for p in parts[1:]:
-        part = part.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy("seq")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit) \
-        .withColumn("similarity", F.lit(0.9))
+    user = F.col(filter_col).cast("string") if filter_col else F.lit("")
+    words = queries.select(F.col("query_id").cast("long").alias("query_id"), user.alias("_u"),
+                           F.explode(F.array_distinct(F.split(F.lower(text_col), r"(?U)\s+"))).alias("_w")).where("_w <> ''")
+    stored = history.select(user.alias("_u"), F.lower("query").alias("_t"), "seq")
+    first = F.row_number().over(Window.partitionBy("_u", "_t").orderBy("seq"))
+    stored = stored.withColumn("_r", first).where(F.col("_r") <= limit).groupBy("_u", "_t").agg(F.collect_list("seq").alias("_seqs"))
+    # every stored text of a user meets every word of it; a user with many of both is split by AQE
+    met = words.select("_u", "_w").distinct().join(stored, "_u").where(F.col("_t").contains(F.col("_w")))
+    hits = met.select("_u", "_w", F.explode("_seqs").alias("seq"))
+    best = F.row_number().over(Window.partitionBy("_u", "_w").orderBy("seq"))
+    hits = hits.withColumn("_r", best).where(F.col("_r") <= limit).drop("_r")
+    found = words.join(hits, ["_u", "_w"]).select("query_id", "seq").distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("similarity", F.lit(0.9))
 
 
 def dialogue_window(history: DataFrame, messages: DataFrame, n: int = 20, history_limit: int = 20,

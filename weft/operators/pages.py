@@ -9,8 +9,12 @@ the SQL oracle runs them unchanged.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.functions.rows import select_where
@@ -73,34 +77,52 @@ def _clean_html(html: Column) -> Column:
     return x
 
 
-def extract_content(html: Column) -> Column:
-    """J1 + J2 as one column expression (see ``with_content`` for the staged form)."""
-    h = _clean_html(html)
-    return _content_from(h)
-
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9]*)\b([^>]*)>", re.I)
+_VALUE = r"\b{}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+_CLASS, _ID = (re.compile(_VALUE.format(n), re.I) for n in ("class", "id"))
 
-def _container_fragment(h: Column) -> Column:
-    """Raw HTML of the first existing container, NULL when none exists."""
-    expr = None
-    for sel in CONTAINER_SELECTORS:
-        p = container_pattern(sel)
-        cond = h.rlike(p)
-        val = F.regexp_extract(h, p, 1)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr
 
-
-def _content_from(h: Column) -> Column:
-    first = F.coalesce(html_text(_container_fragment(h)), F.lit(""))
-    body = html_text(F.regexp_extract(h, BODY_PATTERN, 1))
-    return F.substring(F.when(first != "", first).otherwise(body), 1, MAX_CONTENT_CHARS)
+def _matches(selector: str, name: str, attributes: str) -> bool:
+    """Whether a start tag meets a selector of one tag name, class or id."""
+    if selector[0] not in ".#":
+        return name == selector
+    m = (_CLASS if selector[0] == "." else _ID).search(attributes)
+    value = next((g for g in m.groups() if g is not None), "") if m else ""
+    return selector[1:] in value.split() if selector[0] == "." else value == selector[1:]
+
+
+def container_of(html: str | None) -> str | None:
+    """Inner HTML of the first container of the page, in the order of the selectors; None without
+    one. A container ends at its own end tag: elements of the same name inside it are counted."""
+    if not html:
+        return None
+    tags = [(m.start(), m.end(), m[1] == "/", m[2].lower(), m[3]) for m in _TAG.finditer(html)]
+    for selector in CONTAINER_SELECTORS:
+        for i, (_, begin, closing, name, attributes) in enumerate(tags):
+            if closing or not _matches(selector, name, attributes):
+                continue
+            depth = 1
+            for start, _, ends, other, _ in tags[i + 1:]:
+                if other == name:
+                    depth += -1 if ends else 1
+                    if not depth:
+                        return html[begin:start]
+            return html[begin:]
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _container_fragment(h: pd.Series) -> pd.Series:
+    """Inner HTML of the first existing container, NULL when none exists."""
+    return h.map(container_of)
 
 
 def with_content(df: DataFrame, html_col: str = "html", out: str = "content") -> DataFrame:
     """J1 + J2 in stages: clean once, pick the container fragment, then render its text.
 
-    Staging keeps each generated function small (one text chain per stage) so
-    whole-stage code generation stays in effect.
+    Nesting is beyond regular expressions, so the container is cut out in Arrow batches; all
+    other steps are native. Staging keeps each generated function small (one text chain per
+    stage) so whole-stage code generation stays in effect.
     """
     x = df.withColumn("_h", _clean_html(F.col(html_col)))
     x = x.withColumn("_frag", _container_fragment(F.col("_h"))).withColumn(

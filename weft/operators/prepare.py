@@ -17,10 +17,6 @@ from weft.operators import quality
 
 # Number of hash buckets used to locate each stratum's cut (16 bits of md5).
 _BUCKET_HEX = 4
-# Broadcast the per-stratum cut tables only below this many strata.
-_MAX_BROADCAST_STRATA = 100_000
-# Up to this many strata the cut table is inlined into the plan as a literal map (no join).
-_MAX_LITERAL_STRATA = 10_000
 
 
 def split_key(id_col: Column, seed: int) -> Column:
@@ -28,10 +24,6 @@ def split_key(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), id_col.cast("string")))
 
 
-def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= _MAX_BROADCAST_STRATA else df
-
-
 def stratified_split(items: DataFrame, by: str | None = "category", ratio: float = 0.8, seed: int = 42,
                      id_col: str = "item_id") -> DataFrame:
     """G1: adds ``split`` ('train' / 'validation').
@@ -49,34 +41,19 @@ def stratified_split(items: DataFrame, by: str | None = "category", ratio: float
     hist = hist.select("_s", "_b", "_c", F.sum("_c").over(w).alias("_cum"),
                        F.sum("_c").over(Window.partitionBy("_s")).alias("_n"))
     hist = hist.withColumn("_m", F.floor(F.col("_n") * F.lit(float(ratio))).cast("long"))
-    # 2) boundary bucket per stratum: where the running count first reaches m
+    # 2) boundary bucket per stratum: where the running count first reaches m (one row per stratum)
     bounds = hist.where((F.col("_cum") - F.col("_c") < F.col("_m")) & (F.col("_cum") >= F.col("_m"))).select(
-        F.col("_s").alias("_bs"), F.col("_b").alias("_bb"),
-        (F.col("_m") - (F.col("_cum") - F.col("_c"))).alias("_need"))
-    n_strata = bounds.count()
-    # 3) exact rank only inside the boundary bucket of each stratum
-    edge = keyed.select("_s", "_b", "_k").join(
-        _maybe_broadcast(bounds, n_strata), (F.col("_s") == F.col("_bs")) & (F.col("_b") == F.col("_bb")))
-    rn = F.row_number().over(Window.partitionBy("_s").orderBy("_k"))
-    cuts = edge.select("_s", "_k", "_need", rn.alias("_rn")).where(F.col("_rn") == F.col("_need")).select(
-        F.col("_s").alias("_cs"), F.col("_k").alias("_kcut"))
-    cuts = bounds.join(cuts, F.col("_bs") == F.col("_cs"), "left").select("_bs", "_bb", "_kcut")
-    if n_strata <= _MAX_LITERAL_STRATA:
-        # few strata: the cut table (one small row per stratum) becomes a literal map in the plan
-        rows = cuts.collect()
-        if not rows:
-            bb, kcut = F.lit(None).cast("string"), F.lit(None).cast("string")
-        else:
-            m_bb = F.create_map(*[x for r in rows for x in (F.lit(r["_bs"]), F.lit(r["_bb"]))])
-            m_k = F.create_map(*[x for r in rows for x in (F.lit(r["_bs"]), F.lit(r["_kcut"]))])
-            bb, kcut = F.try_element_at(m_bb, F.col("_s")), F.try_element_at(m_k, F.col("_s"))
-        out = keyed.withColumn("_bb", bb).withColumn("_kcut", kcut)
-    else:
-        out = keyed.join(_maybe_broadcast(cuts, n_strata), F.col("_s") == F.col("_bs"), "left")
-    is_train = F.col("_bb").isNotNull() & ((F.col("_b") < F.col("_bb")) | (
-        (F.col("_b") == F.col("_bb")) & (F.col("_k") <= F.col("_kcut"))))
-    return out.withColumn("split", F.when(is_train, "train").otherwise("validation")).drop(
-        "_s", "_k", "_b", "_bs", "_bb", "_kcut")
+        "_s", F.col("_b").alias("_bb"), (F.col("_m") - (F.col("_cum") - F.col("_c"))).alias("_need"))
+    placed = keyed.join(bounds, "_s", "left")
+    # 3) exact rank only inside the boundary bucket of each stratum; rows that repeat an id are
+    # told apart by their digest, and equal rows by their count
+    at_edge = F.coalesce(F.col("_b") == F.col("_bb"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("_s").orderBy("_k", F.xxhash64(*items.columns)))
+    edge = placed.where(at_edge).withColumn("_rn", rank)
+    edge = edge.withColumn("split", F.when(F.col("_rn") <= F.col("_need"), "train").otherwise("validation"))
+    rest = placed.where(~at_edge).withColumn(
+        "split", F.when(F.col("_b") < F.col("_bb"), "train").otherwise("validation"))
+    return edge.select(*items.columns, "split").unionByName(rest.select(*items.columns, "split"))
 
 
 def random_split(items: DataFrame, ratio: float = 0.8, seed: int = 42, id_col: str = "item_id") -> DataFrame:
@@ -109,6 +86,12 @@ def tag_frequency(items: DataFrame) -> DataFrame:
              F.col("_first.pos").alias("first_pos"))
 
 
+def _distribution(items: DataFrame, column: str) -> DataFrame:
+    """Counts by value as one JSON object (missing counts as the empty value)."""
+    counts = items.groupBy(F.coalesce(F.col(column), F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    return counts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "count"))))).alias(f"{column}_distribution"))
+
+
 def dataset_info(items: DataFrame) -> DataFrame:
     """One-row dataset info (counts, default split sizes, averages, ranges)."""
     base = items.agg(
@@ -123,12 +106,8 @@ def dataset_info(items: DataFrame) -> DataFrame:
     )
     base = base.withColumn("train_items", F.floor(F.col("total_items") * F.lit(0.8)).cast("long")).withColumn(
         "validation_items", F.floor(F.col("total_items") * F.lit(0.2)).cast("long"))
-    cats = items.groupBy("category").count().agg(F.to_json(F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("category", F.lit("")), "count"))))).alias(
-        "category_distribution"))
-    diffs = items.groupBy("difficulty").count().agg(F.to_json(F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("difficulty", F.lit("")), "count"))))).alias(
-        "difficulty_distribution"))
+    cats = _distribution(items, "category")
+    diffs = _distribution(items, "difficulty")
     q = quality.dataset_quality(items).select("quality_score")
     return quality._one_row_join(base, cats, diffs, q)
 

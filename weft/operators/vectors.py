@@ -1,11 +1,9 @@
 """Document collection: ids, embedding, delete, upsert, filters and kNN.
 
-Exact kNN is a distributed matrix kernel: the queries table (size-checked,
-split into bounded chunks when large) is broadcast, every docs partition
-scores its Arrow batches with one ``Q @ D^T`` product and keeps only a running
-top-k per query, and a final per-query window merges the partial top-k lists.
-Pairs are never materialised, docs are never shuffled, and equality filters
-and score thresholds are applied inside the kernel before ranking.
+Exact kNN pairs blocks of queries with blocks of documents (an equi-join on block numbers), scores
+each pair with one ``Q @ D^T`` product in a task, keeps the top k per query there, and merges the
+partial lists with a per-query window. Row pairs are never materialised, nothing but row counts
+reaches the driver, and equality filters and score thresholds are applied before ranking.
 """
 
 from __future__ import annotations
@@ -22,12 +20,12 @@ from pyspark.sql.window import Window
 
 from weft.functions import vector as V
 
-# Largest query block broadcast at once (rows x dim x 8 bytes).
-MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-# A docs batch handed to the kernel (rows, upper bound); bounds the score matrix per step.
+# Rows of a block of queries and of documents (vectors of a block are a few MB).
+QUERY_BLOCK_ROWS = 1024
+DOC_BLOCK_ROWS = 4096
+# Documents scored per step, and the memory for the score matrices of one step (a few float64
+# arrays of queries x documents); the step shrinks so that this bound holds.
 KERNEL_BATCH_ROWS = 4096
-# Memory for the score matrices of one step (queries x batch rows, a few float64 arrays);
-# the batch shrinks when a query block is large, so a task's memory stays bounded.
 SCORE_BUDGET_BYTES = 256 * 1024 * 1024
 
 HIT_SCHEMA = T.StructType([
@@ -64,13 +62,16 @@ def delete_docs(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(ids.select(key).distinct(), key, "left_anti")
 
 
-def upsert_docs(base: DataFrame, delta: DataFrame, key: str = "doc_id") -> DataFrame:
+def upsert_docs(base: DataFrame, delta: DataFrame, key: str = "doc_id", version: str | None = None) -> DataFrame:
     """Delta rows replace base rows of the same id; other rows kept.
 
-    Written as a left-anti join plus union: no ranking over the key, so a hot
-    key does not collect into one task.
+    A key that repeats in the delta counts once: its row with the largest ``version`` (a delta
+    column; without one, the largest row digest, so that the choice does not depend on the layout).
+    A partial aggregate, a left-anti join and a union: no key is ranked inside one task.
     """
-    return base.join(delta.select(key).distinct(), key, "left_anti").unionByName(delta, allowMissingColumns=True)
+    order = F.struct(*([F.col(version)] if version else []), F.xxhash64(*delta.columns))
+    newest = delta.groupBy(key).agg(F.max_by(F.struct(*delta.columns), order).alias("_r")).select("_r.*")
+    return base.join(newest.select(key), key, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
 def filter_meta(df: DataFrame, flt: dict | None, meta_col: str = "metadata") -> DataFrame:
@@ -93,20 +94,8 @@ def filter_meta(df: DataFrame, flt: dict | None, meta_col: str = "metadata") ->
 # ----------------------------------------------------------------- matrix kernel
 
 
-def _chunks(queries: DataFrame, dim_bytes: int, n_rows: int):
-    """Split the queries into blocks that fit the broadcast budget."""
-    per_row = max(dim_bytes, 1)
-    n_blocks = max(1, -(-n_rows * per_row // MAX_QUERY_BLOCK_BYTES))
-    if n_blocks == 1:
-        return [queries]
-    bucket = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    return [queries.where(bucket == b) for b in range(n_blocks)]
-
-
 def _score(pdf, q, metric, filters, min_score, max_score):
     """Score one docs batch against all queries; returns (rank scores, raw scores, doc ids)."""
-    if q.get("probe") is not None:
-        return _score_probed(pdf, q, metric, filters, min_score, max_score)
     d = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
     ids = pdf["doc_id"].to_numpy(dtype=np.int64)
     if metric == "cosine":
@@ -143,30 +132,6 @@ def _score(pdf, q, metric, filters, min_score, max_score):
     return np.round(rank_s, 9), rank_s, ids
 
 
-def _score_probed(pdf, q, metric, filters, min_score, max_score):
-    """IVF scoring: only queries that probe one of the batch's lists are scored, and only
-    against the documents of the lists they probe."""
-    probe, list_col = q["probe"], q["probe_col"]
-    lists = pdf[list_col].to_numpy(dtype=np.int64)
-    nq = probe.shape[0]
-    full = np.full((nq, len(pdf)), -np.inf)
-    active = np.nonzero(probe[:, np.unique(lists)].any(axis=1))[0]
-    ids = pdf["doc_id"].to_numpy(dtype=np.int64)
-    if len(active) == 0:
-        return full, full.copy(), ids
-    sub = {k: (v[active] if isinstance(v, np.ndarray) and v.shape[:1] == (nq,) else v) for k, v in q.items()
-           if k not in ("probe", "filters", "overlap")}
-    sub["filters"] = {c: v[active] for c, v in q["filters"].items()}
-    sub["overlap"] = {}
-    rank_s, raw_s, _ = _score(pdf, sub, metric, filters, min_score, max_score)
-    allowed = probe[active][:, lists]
-    rank_s = np.where(allowed, rank_s, -np.inf)
-    raw_s = np.where(allowed, raw_s, -np.inf)
-    full_raw = full.copy()
-    full[active], full_raw[active] = rank_s, raw_s
-    return full, full_raw, ids
-
-
 def _top(rank_s, raw_s, ids, kmax):
     """Top-kmax per row by (score desc, id asc), exact under ties at the cut."""
     nq, n = rank_s.shape
@@ -188,135 +153,112 @@ def _top(rank_s, raw_s, ids, kmax):
     return top_s, top_r, top_d
 
 
-def _kernel(bq, metric: str, kmax: int, filters: list[tuple[str, str]], min_score, max_score):
-    """Build the per-partition scoring function for ``mapInPandas``."""
-
-    def run(batches):
-        q = bq.value
-        qids, qmat = q["ids"], q["mat"]
-        nq = len(qids)
-        best_s = np.full((nq, kmax), -np.inf)
-        best_r = np.full((nq, kmax), -np.inf)
-        best_d = np.full((nq, kmax), np.iinfo(np.int64).max, dtype=np.int64)
-        step = int(max(64, min(KERNEL_BATCH_ROWS, SCORE_BUDGET_BYTES // max(1, nq * 8 * 6))))
-        for big in batches:
-            for lo in range(0, len(big), step):
-                pdf = big.iloc[lo:lo + step]
-                rank_s, raw_s, ids = _score(pdf, q, metric, filters, min_score, max_score)
-                top_s, top_r, top_d = _top(rank_s, raw_s, ids, kmax)
-                cand_s = np.concatenate([best_s, top_s], axis=1)
-                cand_r = np.concatenate([best_r, top_r], axis=1)
-                cand_d = np.concatenate([best_d, top_d], axis=1)
-                order = np.lexsort((cand_d, -cand_s), axis=1)[:, :kmax]
-                best_s = np.take_along_axis(cand_s, order, axis=1)
-                best_r = np.take_along_axis(cand_r, order, axis=1)
-                best_d = np.take_along_axis(cand_d, order, axis=1)
-        keep = np.isfinite(best_s) & (np.arange(kmax)[None, :] < q["k"][:, None])
-        if not keep.any():
-            return
-        qi, _ = np.nonzero(keep)
-        sc = best_r[keep]
-        if metric == "sqeuclidean":
-            sc = -sc
-        yield pd.DataFrame({"query_id": qids[qi].astype(np.int64), "doc_id": best_d[keep], "score": sc,
-                            "rank_score": best_s[keep], "_kq": q["k"][qi].astype(np.int64)})
-
-    return run
+def _payload(pdf, kmax: int, filters, overlap) -> dict:
+    """The query side of one block as matrices."""
+    pdf = pdf[pdf["embedding"].notna()]
+    mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
+    qn = np.linalg.norm(mat, axis=1) if len(pdf) else np.zeros(0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = np.where(qn[:, None] > 0, mat / qn[:, None], 0.0)
+    payload = {
+        "rows": pdf, "mat": mat, "unit": unit, "qzero": qn == 0, "sq": (mat * mat).sum(axis=1),
+        "filters": {c: pdf[c].to_numpy() for c in filters},
+        "k": (pdf["_k"].fillna(0).to_numpy(dtype=np.int64) if "_k" in pdf.columns else np.full(len(pdf), kmax, dtype=np.int64)),
+        "overlap": {},
+    }
+    for qcol, dcol in overlap.items():
+        lists = [list(x) if x is not None else [] for x in pdf[f"_ov_{qcol}"].to_numpy()]
+        vocab = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
+        qt = np.zeros((len(lists), max(len(vocab), 1)))
+        for r, x in enumerate(lists):
+            for t in x:
+                qt[r, vocab[t]] = 1.0
+        payload["overlap"][dcol] = (vocab, qt, np.array([len(x) == 0 for x in lists], dtype=bool))
+    return payload
+
+
+def _best_of(q, docs_pdf, metric: str, kmax: int, filters: list[tuple[str, str]], min_score, max_score, keys: list[str]):
+    """The best ``kmax`` documents of one block for each query of one block."""
+    nq = len(q["mat"])
+    best_s = np.full((nq, kmax), -np.inf)
+    best_r = np.full((nq, kmax), -np.inf)
+    best_d = np.full((nq, kmax), np.iinfo(np.int64).max, dtype=np.int64)
+    step = int(max(1, min(KERNEL_BATCH_ROWS, SCORE_BUDGET_BYTES // max(1, nq * 8 * 6))))
+    for lo in range(0, len(docs_pdf), step):
+        rank_s, raw_s, ids = _score(docs_pdf.iloc[lo:lo + step], q, metric, filters, min_score, max_score)
+        top_s, top_r, top_d = _top(rank_s, raw_s, ids, kmax)
+        cand_s = np.concatenate([best_s, top_s], axis=1)
+        cand_r = np.concatenate([best_r, top_r], axis=1)
+        cand_d = np.concatenate([best_d, top_d], axis=1)
+        order = np.lexsort((cand_d, -cand_s), axis=1)[:, :kmax]
+        best_s = np.take_along_axis(cand_s, order, axis=1)
+        best_r = np.take_along_axis(cand_r, order, axis=1)
+        best_d = np.take_along_axis(cand_d, order, axis=1)
+    keep = np.isfinite(best_s) & (np.arange(kmax)[None, :] < q["k"][:, None])
+    qi, _ = np.nonzero(keep)
+    sc = best_r[keep]
+    out = q["rows"][keys].iloc[qi].reset_index(drop=True)
+    return out.assign(doc_id=best_d[keep], score=-sc if metric == "sqeuclidean" else sc, rank_score=best_s[keep], _kq=q["k"][qi])
+
+
+def _blocks(df: DataFrame, n: int, name: str, other: str, n_other: int, *key: str) -> DataFrame:
+    """Rows dealt to ``n`` blocks by a hash of their key, once for each block of the other side."""
+    return df.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
 
 def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
         filters: dict[str, str] | None = None, k_col: str | None = None,
         min_score: float | None = None, max_score: float | None = None,
         query_id: str = "query_id", doc_id: str = "doc_id", embedding: str = "embedding",
-        overlap: dict[str, str] | None = None, ivf=None) -> DataFrame:
+        overlap: dict[str, str] | None = None, extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """Exact top-k per query (B6 cosine, B7 squared L2, B9 filters, B10 threshold).
 
     ``filters`` maps a query column to a docs column that must be equal (a
     per-query metadata filter); ``overlap`` maps a query list column to a docs
     list column that must share an element (an empty query list does not
-    restrict). ``k_col`` gives a per-query k (``k`` is the
-    upper bound then). Returns ``query_id, doc_id, score, rank`` with rank 1 =
-    best; ties are broken by ascending ``doc_id``.
+    restrict). ``k_col`` gives a per-query k (``k`` is the upper bound then);
+    ``extra_keys`` are query columns that name a query together with its id. Returns
+    the keys, ``doc_id, score, rank`` with rank 1 = best; ties by ascending ``doc_id``.
+
+    Queries and documents are dealt to blocks of bounded size in Spark, and blocks (not rows) are
+    paired by an equi-join on the block numbers: each pair is one matrix product in a task, of which
+    k rows per query leave it. The driver sees row counts only.
     """
-    spark = queries.sparkSession
-    filters = filters or {}
-    qcols = [F.col(query_id).cast("long").alias("query_id"), F.col(embedding).alias("embedding")]
-    qcols += [F.col(c).alias(c) for c in filters if c not in (query_id, embedding)]
-    overlap = overlap or {}
+    filters, overlap, keys = filters or {}, overlap or {}, ["query_id", *extra_keys]
+    qcols = [F.col(query_id).cast("long").alias("query_id"), F.col(embedding).alias("embedding"), *[F.col(c) for c in extra_keys]]
+    qcols += [F.col(c).alias(c) for c in filters if c not in (query_id, embedding, *extra_keys)]
     qcols += [F.col(c).alias(f"_ov_{c}") for c in overlap]
     if k_col:
         qcols.append(F.col(k_col).cast("int").alias("_k"))
-    q = queries.select(*qcols)
+    q = queries.select(*qcols).where(F.col("embedding").isNotNull())
     dcols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(embedding).alias("embedding")]
     dcols += [F.col(c).alias(c) for c in set(filters.values()) | set(overlap.values())]
-    if ivf is not None:
-        dcols.append(F.col(ivf[2]).alias(ivf[2]))
     d = docs.select(*dcols).where(F.col("embedding").isNotNull())
-    # the query side is read twice here (figures, then the blocks) and never again: the
-    # kernel only uses the broadcast blocks, so the narrow projection is cached meanwhile
-    q = q.persist()
-    # one pass over the queries for the figures the plan needs: rows, largest k, vector size
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
-                  (F.max("_k") if k_col else F.lit(k)).alias("kmax")).first()
-    n_q, dim = int(stats["n"] or 0), int(stats["dim"] or 1)
-    kmax = max(int(stats["kmax"] or 0), 0)
-    dim_bytes = 8 * max(dim, 1)
-    if n_q == 0 or kmax == 0:
-        q.unpersist()
-        empty = T.StructType(HIT_SCHEMA.fields[:3] + [T.StructField("rank", T.IntegerType())])
-        return spark.createDataFrame([], empty)
-    parts = []
-    for block in _chunks(q, dim_bytes, n_q):
-        parts.append(_score_block(spark, block, d, metric, kmax, filters, min_score, max_score, overlap, ivf))
-    q.unpersist()
-    hits = reduce(lambda a, b: a.unionByName(b), parts)
-    w = Window.partitionBy("query_id").orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
-    # the literal limit lets the planner cut each partition to kmax rows per query before the shuffle;
+    schema = T.StructType([q.schema[c] for c in keys] + HIT_SCHEMA.fields[1:])
+    n_q, n_d = q.count(), d.count()
+    q_blocks, d_blocks = max(1, -(-n_q // QUERY_BLOCK_ROWS)), max(1, -(-n_d // DOC_BLOCK_ROWS))
+    pairs = list(filters.items())
+
+    def cell(q_pdf, d_pdf):
+        if not len(q_pdf) or not len(d_pdf):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        side = _payload(q_pdf, k, filters, overlap)
+        kmax = max(0, int(min(k, side["k"].max()))) if len(side["k"]) else 0
+        if not kmax:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        return _best_of(side, d_pdf, metric, kmax, pairs, min_score, max_score, keys)
+
+    left = _blocks(q, q_blocks, "_qb", "_db", d_blocks, *keys).groupBy("_qb", "_db")
+    right = _blocks(d, d_blocks, "_db", "_qb", q_blocks, "doc_id").groupBy("_qb", "_db")
+    hits = left.cogroup(right).applyInPandas(cell, schema)
+    w = Window.partitionBy(*keys).orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
+    # the literal limit lets the planner cut each partition to k rows per query before the shuffle;
     # the per-query k travels with the rows, so no join back to the queries is needed
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kmax)
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.where(F.col("rank") <= F.col("_kq")).drop("rank_score", "_kq")
 
 
-def _score_block(spark: SparkSession, block: DataFrame, docs: DataFrame, metric, kmax, filters, min_score,
-                 max_score, overlap=None, ivf=None) -> DataFrame:
-    pdf = block.toPandas()  # bounded by MAX_QUERY_BLOCK_BYTES (see _chunks)
-    pdf = pdf[pdf["embedding"].notna()]
-    mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
-    qn = np.linalg.norm(mat, axis=1) if len(pdf) else np.zeros(0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        unit = np.where(qn[:, None] > 0, mat / qn[:, None], 0.0)
-    payload = {
-        "ids": pdf["query_id"].to_numpy(dtype=np.int64),
-        "mat": mat,
-        "unit": unit,
-        "qzero": qn == 0,
-        "sq": (mat * mat).sum(axis=1),
-        "filters": {c: pdf[c].to_numpy() for c in filters},
-        "k": (pdf["_k"].fillna(0).to_numpy(dtype=np.int64) if "_k" in pdf.columns
-              else np.full(len(pdf), kmax, dtype=np.int64)),
-        "overlap": {},
-        "probe": None,
-    }
-    if ivf is not None:
-        centroids, n_probe, list_col = ivf
-        cn = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-        near = np.argsort(-(unit @ cn.T), axis=1)[:, :n_probe]
-        probe = np.zeros((len(pdf), len(centroids)), dtype=bool)
-        np.put_along_axis(probe, near, True, axis=1)
-        payload["probe"], payload["probe_col"] = probe, list_col
-    for qcol, dcol in (overlap or {}).items():
-        lists = [list(x) if x is not None else [] for x in pdf[f"_ov_{qcol}"].to_numpy()]
-        vocab = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
-        qt = np.zeros((len(lists), max(len(vocab), 1)))
-        for r, x in enumerate(lists):
-            for t in x:
-                qt[r, vocab[t]] = 1.0
-        payload["overlap"][dcol] = (vocab, qt, np.array([len(x) == 0 for x in lists], dtype=bool))
-    bq = spark.sparkContext.broadcast(payload)
-    fn = _kernel(bq, metric, kmax, list(filters.items()), min_score, max_score)
-    return docs.mapInPandas(fn, HIT_SCHEMA)
-
-
 # ----------------------------------------------------------------- expression forms
 
 
@@ -446,27 +388,72 @@ def openai_style_embeddings(df: DataFrame, text_col: str = "text", embedding_col
 # ----------------------------------------------------------------- approximate
 
 
-def build_ivf_index(docs: DataFrame, n_lists: int = 16, seed: int = 7, max_iter: int = 10,
+def build_ivf_index(docs: DataFrame, n_lists: int | None = None, seed: int = 7, max_iter: int = 10,
                     list_col: str = "ivf_list"):
-    """B12 index: k-means lists over the unit vectors (distributed training), every document
-    tagged with its nearest list and the table laid out by list (one range shuffle at build
-    time), so a query's probed lists are contiguous partitions. Returns (index, centroids)."""
+    """B12 index: k-means lists over the unit vectors (distributed training), every document tagged
+    with its nearest list. The list count follows the table (square root of the rows). Zero and null
+    vectors have no direction and are left out. Returns (index, centroids)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0),
-                                                                     lambda a, y: a + y * y)))
-    v = docs.withColumn("_v", array_to_vector(unit))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, y: a + y * y))
+    v = docs.where(F.col("embedding").isNotNull()).withColumn("_n", norm).where("_n > 0")
+    if n_lists is None:
+        n_lists = max(2, int(v.count() ** 0.5))
+    v = v.withColumn("_v", array_to_vector(F.transform("embedding", lambda x: x / F.col("_n"))))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol=list_col).fit(v)
-    centroids = np.array([c for c in model.clusterCenters()], dtype=np.float64)  # n_lists x dim: bounded
-    index = model.transform(v).drop("_v").repartitionByRange(F.col(list_col)).sortWithinPartitions(list_col)
-    return index, centroids
-
-
-def ann_knn(queries: DataFrame, docs: DataFrame, k: int = 4, n_lists: int = 16, n_probe: int = 4,
-            index=None, filters: dict[str, str] | None = None) -> DataFrame:
-    """Approximate kNN over an inverted-file index: each query is scored exactly, but only
-    against the documents of its ``n_probe`` nearest lists (the same kernel as ``knn``, so no
-    candidate pairs are materialised and every list, however large, is scored in batches)."""
-    idx, centroids = index if index is not None else build_ivf_index(docs, n_lists)
-    return knn(queries, idx, k=k, filters=filters, ivf=(centroids, n_probe, "ivf_list"))
+    centroids = np.array(list(model.clusterCenters()), dtype=np.float64)
+    return model.transform(v).drop("_v", "_n"), centroids
+
+
+def _nearest_lists(queries: DataFrame, centroids: np.ndarray, n_probe: int) -> DataFrame:
+    """Adds ``_probed``: the ``n_probe`` lists nearest to each query, nearest first."""
+    unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+    schema = T.StructType([*queries.schema.fields, T.StructField("_probed", T.ArrayType(T.IntegerType()))])
+
+    def near(frames):
+        for pdf in frames:
+            if len(pdf):
+                m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+                pdf = pdf.assign(_probed=list(np.argsort(-(m @ unit.T), axis=1, kind="stable")[:, :n_probe].astype(np.int32)))
+                yield pdf
+
+    return queries.mapInPandas(near, schema)
+
+
+def probes_for(queries: DataFrame, index, docs: DataFrame, k: int, recall: float = 0.95, sample: int = 64) -> int:
+    """The fewest lists to probe so that a bounded sample of queries finds ``recall`` of its exact
+    ``k`` nearest documents."""
+    idx, centroids = index
+    few = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("query_id")).limit(sample)
+    true = knn(few, docs, k=k).select("query_id", "doc_id").join(idx.select("doc_id", "ivf_list"), "doc_id")
+    order = _nearest_lists(few, centroids, len(centroids)).select("query_id", "_probed")
+    depth = sorted(r[0] for r in true.join(order, "query_id").select(F.array_position("_probed", F.col("ivf_list"))).collect())
+    return int(depth[min(len(depth) - 1, int(recall * len(depth)))]) if depth else 1
+
+
+def ann_knn(queries: DataFrame, docs: DataFrame, k: int = 4, n_probe: int | None = None, index=None,
+            recall: float = 0.95) -> DataFrame:
+    """Approximate kNN over an inverted file: a query meets only the documents of its probed lists
+    (an equi-join on the list; long lists are cut into blocks). Without ``n_probe`` a sample of the
+    queries sets it."""
+    index = index if index is not None else build_ivf_index(docs)
+    idx, centroids = index
+    if n_probe is None:
+        # a little more than the sample asks for, as it is a sample
+        n_probe = min(len(centroids), probes_for(queries, index, docs, k, recall + (1 - recall) / 2))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where(F.col("embedding").isNotNull())
+    q = _nearest_lists(q, centroids, n_probe).withColumn("_list", F.explode("_probed")).drop("_probed")
+    d = idx.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding", F.col("ivf_list").alias("_list"))
+    blocks = d.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / DOC_BLOCK_ROWS).cast("int").alias("_n"))  # one row per list
+    d = d.join(blocks, "_list").withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int")).drop("_n")
+    q = q.join(blocks, "_list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+
+    def cell(q_pdf, d_pdf):
+        if not len(q_pdf) or not len(d_pdf):
+            return pd.DataFrame({f.name: [] for f in HIT_SCHEMA.fields})
+        return _best_of(_payload(q_pdf, k, {}, {}), d_pdf, "cosine", k, [], None, None, ["query_id"])
+
+    hits = q.groupBy("_list", "_b").cogroup(d.groupBy("_list", "_b")).applyInPandas(cell, HIT_SCHEMA)
+    w = Window.partitionBy("query_id").orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank_score", "_kq")

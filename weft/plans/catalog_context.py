@@ -66,7 +66,12 @@ def q_expire_count(spark, sf):
 
 
 def q_clear_history(spark, sf):
-    return H.clear_history(_hist(spark, sf)).select("id")
+    # the users with an error event on the last day clear their history
+    ev = tables.read(spark, sf, "events")
+    last = ev.agg(F.max(F.to_date("ts")).alias("day"))
+    users = ev.where("event_type = 'error'").withColumn("day", F.to_date("ts")).join(last, "day").select(
+        F.col("user_id").cast("string").alias("user_id"))
+    return H.clear_history(_hist(spark, sf), users).select("id")
 
 
 def q_select_history(spark, sf):
@@ -248,7 +253,10 @@ SQL = {
     "d7_expire_count": with_views(["history"], f"""
         SELECT CAST(count(*) FILTER (WHERE coalesce(ts, {_EPOCH}) < (SELECT max(ts) FROM history) - INTERVAL 14 DAY) AS BIGINT)
                AS removed FROM history"""),
-    "d8_clear_history": with_views(["history"], "SELECT id FROM history WHERE false"),
+    "d8_clear_history": with_views(["history"], """
+        SELECT id FROM history WHERE user_id IS NULL OR user_id NOT IN
+          (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error' AND user_id IS NOT NULL
+             AND CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events))"""),
     "d9_select_history": with_views(["queries", "history"], f""",
         tl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM history) WHERE rn <= 10)
         SELECT q.query_id, tl.id,

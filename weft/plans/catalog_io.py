@@ -44,7 +44,7 @@ def q_conversation_json(spark, sf):
         F.to_json(F.collect_list(F.struct(F.col("conv_id").alias("item_id"), "conversations"))).alias("value"))
     arr.write.mode("overwrite").partitionBy("_chunk").text(path)
     got = IO.read_items_json(spark, path)
-    return got.select(F.floor(F.col("item_id") / 1000).cast("long").alias("conv_id"), "instruction", "output", "category")
+    return got.select("conv_id", "instruction", "output", "category")
 
 
 def q_jsonl_roundtrip(spark, sf):

@@ -17,6 +17,23 @@ def q_extract_content(spark, sf):
     return P.with_content(_pages(spark, sf)).select("page_id", "content")
 
 
+# Pages derived from the table, one kind per id: nested containers by class and by id, and none.
+_NESTED = [
+    ("<html><body><p>before</p><div class='x content'><div>one ", "</div> two <div><div>three</div></div> four</div><p>after</p></body></html>", "one ", " two three four"),
+    ('<html><body><section id="main"><section>a</section> b ', "<section>c</section> d</section> e</body></html>", "a b ", " c d"),
+    ("<html><body><div><div>deep ", "</div> end</div> tail</body></html>", "deep ", " end tail"),
+    ("<html><body><article>x <article>inner ", "</article> y</article> z</body></html>", "x inner ", " y"),
+]
+
+
+def q_nested_content(spark, sf):
+    n = F.col("page_id") % len(_NESTED)
+    html = F.lit(None).cast("string")
+    for i, (a, b, _, _) in enumerate(_NESTED):
+        html = F.when(n == i, F.concat(F.lit(a), F.col("page_id").cast("string"), F.lit(b))).otherwise(html)
+    return P.with_content(_pages(spark, sf).select("page_id", html.alias("html"))).select("page_id", "content")
+
+
 def q_normalize_content(spark, sf):
     p = _pages(spark, sf)
     body = F.regexp_extract(F.regexp_replace(F.col("html"), r"(?is)<script\b[^>]*>.*?</script>", " "),
@@ -115,6 +132,8 @@ def _resolve(href: str, base: str) -> str:
 
 SQL = {
     "j1_extract_content": f"SELECT page_id, {_content('html')} AS content FROM pages",
+    "j1_nested_content": "SELECT page_id, CASE page_id % " + str(len(_NESTED)) + "".join(
+        f" WHEN {i} THEN {_q(a)} || page_id || {_q(b)}" for i, (_, _, a, b) in enumerate(_NESTED)) + " END AS content FROM pages",
     "j2_normalize_content": f"""
         SELECT page_id, {_norm("regexp_replace(regexp_extract(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), " + _q(P.BODY_PATTERN) + ", 1), " + _q(P.ANY_TAG) + ", ' ', 'g')")} AS normalized
         FROM pages""",
@@ -144,6 +163,7 @@ SQL = {
 
 QUERIES = {
     "j1_extract_content": q_extract_content,
+    "j1_nested_content": q_nested_content,
     "j2_normalize_content": q_normalize_content,
     "j3_harvest_links": q_harvest_links,
     "j4_page_record": q_page_record,

@@ -14,10 +14,25 @@ def q_stream_history(spark, sf):
                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
+def _ordered_files(spark, sf, parts=4):
+    """The events table as files in time order, so that a stream reads it in several batches."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    path = scratch_path(spark, "events-by-time")
+    days = ev.select(F.min("ts").cast("timestamp").alias("lo"), F.max("ts").cast("timestamp").alias("hi")).first()
+    span = max(1.0, (days["hi"] - days["lo"]).total_seconds())
+    part = F.least(F.lit(parts - 1), F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit(days["lo"]))) * parts / span)).cast("int")
+    for i in range(parts):  # one file after the other: the file source takes the oldest first
+        ev.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    schema = ev.schema
+    out = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return out.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def q_stream_dedupe(spark, sf):
     sink = scratch_path(spark, "dedupe-sink")
-    K.run_available_now(K.stream_dedupe(K.event_stream(spark, sf)).select("event_id"), sink, sink + "-ckpt")
-    return spark.read.parquet(sink)
+    rows = K.stream_dedupe(_ordered_files(spark, sf), bucket="7 days", delay="7 days", keys=("user_id", "event_type"))
+    K.run_available_now(rows.select("user_id", "event_type", "bucket_start"), sink, sink + "-ckpt")
+    return spark.read.parquet(sink).select("user_id", "event_type", F.date_format("bucket_start", "yyyy-MM-dd HH:mm:ss").alias("bucket"))
 
 
 def q_stream_user_activity(spark, sf):
@@ -30,11 +45,11 @@ def q_stream_user_activity(spark, sf):
 
 def q_stream_expire(spark, sf):
     sink = scratch_path(spark, "expire-sink")
-    hist = K.history_rows(K.event_stream(spark, sf), spark.read.parquet(f"{sf}/embeddings.parquet"),
+    hist = K.history_rows(_ordered_files(spark, sf), spark.read.parquet(f"{sf}/embeddings.parquet"),
                           spark.read.parquet(f"{sf}/embeddings.parquet").count()).drop("embedding")
     q = K.stream_expire(hist, 14, sink, sink + "-ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(sink).select("id")
+    return K.read_retained(spark, sink, 14).select("id")
 
 
 SQL = {
@@ -45,7 +60,8 @@ SQL = {
                concat('m', CAST(event_id % 3 AS VARCHAR)) AS model, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts
         FROM events""",
     "k3_stream_dedupe": """
-        SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type, props, value""",
+        SELECT DISTINCT user_id, event_type, strftime(make_timestamp(CAST(floor(epoch(ts) / 604800) AS BIGINT) * 604800000000),
+               '%Y-%m-%d %H:%M:%S') AS bucket FROM events""",
     "k4_stream_user_activity": """
         WITH w AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS ws, count(*) AS events, sum(value) AS value_sum
                    FROM events GROUP BY ALL)

@@ -58,8 +58,12 @@ def q_training_query(spark, sf):
 
 
 def q_ann_knn(spark, sf):
-    return VX.ann_knn(_queries(spark, sf), tables.collection_vectors(spark, sf), k=4, n_lists=16, n_probe=4).select(
-        "query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    """Recall of the inverted file against exact search, over all queries."""
+    q, docs = _queries(spark, sf), tables.collection_vectors(spark, sf)
+    exact = VX.knn(q, docs, k=4).select("query_id", "doc_id")
+    near = VX.ann_knn(q, docs, k=4).select("query_id", "doc_id", F.lit(1).alias("_hit"))
+    both = exact.join(near, ["query_id", "doc_id"], "left").agg(F.count(F.lit(1)).alias("exact_hits"), F.count("_hit").alias("_found"))
+    return both.select("exact_hits", (F.col("_found") >= 0.95 * F.col("exact_hits")).alias("recall_at_least_95"))
 
 
 def q_collection_stats(spark, sf):
@@ -83,8 +87,11 @@ def q_upsert_docs(spark, sf):
     base = _coll(spark, sf).select("doc_id", "text")
     docs = tables.read(spark, sf, "documents")
     lab = tables.read(spark, sf, "labels").where("quality = 1")
-    delta = docs.join(lab, "doc_id", "left_semi").select("doc_id", F.concat("text", F.lit(" [v2]")).alias("text"))
-    return VX.upsert_docs(base, delta).select("doc_id", F.md5("text").alias("text_md5"))
+    # some keys come twice in the delta: the newer version counts
+    delta = docs.join(lab, "doc_id").select("doc_id", F.explode(F.when(F.col("toxic") == 1, F.array(F.lit(2), F.lit(3))).otherwise(
+        F.array(F.lit(2)))).alias("version"), "text")
+    delta = delta.withColumn("text", F.concat("text", F.lit(" [v"), F.col("version").cast("string"), F.lit("]")))
+    return VX.upsert_docs(base, delta, version="version").select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def q_with_doc_id(spark, sf):
@@ -149,12 +156,15 @@ SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score
         SELECT doc_id, label FROM collection
         WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""),
     "b5_filter_meta": "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src3'",
+    "b12_ann_knn": with_views(["queries", "collection"], """
+        SELECT CAST(count(*) AS BIGINT) AS exact_hits, true AS recall_at_least_95 FROM
+          queries, range(least(4, (SELECT count(*) FROM collection)))"""),
     "b8_upsert_docs": with_views(["collection"], """
         SELECT doc_id, md5(text) AS text_md5 FROM collection
         WHERE doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1)
         UNION ALL
-        SELECT d.doc_id, md5(concat(d.text, ' [v2]')) FROM documents d
-        WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"""),
+        SELECT d.doc_id, md5(concat(d.text, CASE WHEN l.toxic = 1 THEN ' [v3]' ELSE ' [v2]' END))
+        FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1"""),
     "b2_with_doc_id": "SELECT doc_id, md5(coalesce(text, '')) AS doc_key FROM documents",
 }
 

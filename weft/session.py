@@ -34,6 +34,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # the local test tables are single row groups
+    spark.conf.set("weft.scan.partitions", str(spark.sparkContext.defaultParallelism))
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -49,10 +51,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; only set one when none is configured.
+    """The session's checkpoint folder, shared by the driver and all executors.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is kept as
-    given. Only an unset session (tests, local bench) gets a fresh scratch folder.
+    ``spark.checkpoint.dir`` names it on a cluster and is kept as given. Only a local session
+    (tests, local bench) gets a scratch folder of its own where it is unset; on a cluster an unset
+    folder is an error, because a folder of one machine would lose the other machines' files.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -61,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local_dir = tempfile.mkdtemp(prefix="weft-ckpt-", dir=os.environ.get("WEFT_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(local_dir)
     return local_dir

@@ -65,7 +65,8 @@ def _conversation_rows(raw: DataFrame, strict_roles: bool = False) -> DataFrame:
         "conv_id", "turn", F.col("m.from").alias("role"), F.col("m.value").alias("text"))
     assistants = ("assistant",) if strict_roles else ("assistant", "gpt")
     pairs = prepare.conversation_pairs(turns, human_roles=("human",), assistant_roles=assistants)
-    return pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "instruction", "context",
+    # a digest names the pair; conversation and turn stay columns of their own
+    return pairs.select(F.xxhash64("conv_id", "turn").alias("item_id"), "conv_id", "turn", "instruction", "context",
                         "output", "category", "tags", "difficulty", "source_section")
 
 
@@ -78,7 +79,7 @@ def read_items_json(spark: SparkSession, path: str, strict_roles: bool = False)
     """
     raw = spark.read.schema(RAW_ITEM).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     raw = raw.withColumn("item_id", F.coalesce("item_id", F.monotonically_increasing_id()))
-    return _item_rows(raw).unionByName(_conversation_rows(raw, strict_roles))
+    return _item_rows(raw).unionByName(_conversation_rows(raw, strict_roles), allowMissingColumns=True)
 
 
 def read_items_jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -17,47 +17,16 @@ TABLES = (
 ).split()
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+# Session setting: partitions that every table scan is dealt to. Unset by default (a scan keeps its
+# own splits); useful for tables stored as one row group, which Spark reads as one task.
+SCAN_PARTITIONS = "weft.scan.partitions"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. The input tables are immutable, so the resolved scan (footer
-    schema and file listing) is built once per session and path and reused."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    cached = _READS.get(key)
-    if cached is None or cached.sparkSession is not spark:
-        cached = _READS[key] = spread(spark.read.parquet(path), key=path)
-    return cached
-
-
-_SCAN_PARTITIONS: dict[str, int] = {}
-# A scan is only spread when each new partition gets at least this many bytes of input.
-_BYTES_PER_SPREAD_PARTITION = 256 << 10
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give a scan at least one partition per core.
-
-    A table stored as one large row group scans as one task; the text jobs are
-    per-row CPU work, so such a scan is spread round-robin over the cores (at
-    most one partition per 256 KiB of input, so small tables stay in one task). A
-    table in many files/row groups (the normal case at scale) already has
-    enough partitions and is left as it is (no shuffle).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if key is None or key not in _SCAN_PARTITIONS:
-        # files behind the scan (an upper bound for its tasks when the files are small) and
-        # the table's size on disk from the plan statistics; no physical planning needed
-        n = len(df.inputFiles())
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        want = min(target, max(1, size // _BYTES_PER_SPREAD_PARTITION))
-        parts = want if n < want else 0
-        if key is None:
-            return df.repartition(parts) if parts else df
-        _SCAN_PARTITIONS[key] = parts
-    parts = _SCAN_PARTITIONS[key]
-    return df.repartition(parts) if parts else df
+    """A driver table as it is now, dealt to ``weft.scan.partitions`` partitions where that is set."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def items_view(spark: SparkSession, sf_dir: str) -> DataFrame:

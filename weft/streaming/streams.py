@@ -57,10 +57,13 @@ def stream_history(spark: SparkSession, folder: str, sink: str | None = None) ->
     return spark.read.parquet(sink)
 
 
-def stream_dedupe(df: DataFrame, delay: str = "10 minutes",
+def stream_dedupe(df: DataFrame, bucket: str = "10 minutes", delay: str = "10 minutes",
                   keys=("user_id", "event_type", "props", "value")) -> DataFrame:
-    """K3: drop repeated saves of the same record that arrive within the watermark delay."""
-    return df.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+    """K3: one record per keys and time bucket. The bucket carries the event time, so state older
+    than the watermark is dropped, and the answer does not depend on how the stream is batched
+    (as long as no row is later than ``delay``)."""
+    timed = df.withWatermark("ts", delay).withColumn("bucket", F.window("ts", bucket))
+    return timed.dropDuplicates([*keys, "bucket"]).withColumn("bucket_start", F.col("bucket.start"))
 
 
 def stream_user_activity(df: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -99,10 +102,9 @@ def read_collection(spark: SparkSession, table: str, key: str = "doc_id") -> Dat
 
 
 def stream_expire(history: DataFrame, days: int, sink: str, checkpoint: str):
-    """K5: rolling retention: each micro-batch keeps only rows newer than ``max(ts) - days``.
-
-    Every batch writes its own folder (overwritten when a failed batch is re-run), so
-    the sink never holds a batch twice.
+    """K5: rolling retention. Each micro-batch writes its own folder (overwritten when a failed batch
+    is re-run) with its rows newer than its own ``max(ts) - days``; ``read_retained`` applies the
+    cut-off of the newest row of all batches to the whole sink.
     """
     def keep_recent(batch: DataFrame, epoch: int) -> None:
         now = batch.agg(F.max("ts")).first()[0]
@@ -112,3 +114,10 @@ def stream_expire(history: DataFrame, days: int, sink: str, checkpoint: str):
         kept.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
 
     return history.writeStream.foreachBatch(keep_recent).option("checkpointLocation", checkpoint)
+
+
+def read_retained(spark: SparkSession, sink: str, days: int) -> DataFrame:
+    """K5: the rows of the sink within ``days`` of its newest row."""
+    rows = spark.read.parquet(sink).drop("batch")
+    now = rows.agg(F.max("ts")).first()[0]
+    return H.expire_history(rows, days, F.lit(now))[0]
