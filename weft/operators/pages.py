@@ -137,9 +137,9 @@ def _first_text(h: Column, tag: str) -> Column:
     return html_text(F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
 
 
-def page_record(pages: DataFrame) -> DataFrame:
+def page_record(pages: DataFrame, content: bool = False) -> DataFrame:
     """Title / url / snippet by selector priority; rows without title or http url dropped."""
-    x = with_content(pages)
+    x = with_content(pages) if content else pages.withColumn("_h", _clean_html(F.col("html")))
     h = F.col("_h")
     frags = F.array(*[F.regexp_extract(h, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1) for t in ("title", "h1", "h2", "p")])
     # one text chain applied to the four fragments (keeps generated code small)
@@ -151,7 +151,7 @@ def page_record(pages: DataFrame) -> DataFrame:
                          F.nullif(F.regexp_extract(h, r"(?is)<meta\s+name=\"description\"\s+content=\"([^\"]*)\"", 1),
                                   F.lit("")), F.lit(""))
     return select_where(x, [F.col("page_id"), url.alias("url"), title.alias("title"), snippet.alias("snippet"),
-                            F.col("content")],
+                            *([F.col("content")] if content else [])],
                         lambda r: present(r["title"]) & present(r["url"]))
 
 
@@ -172,19 +172,21 @@ def harvest_links(pages: DataFrame, n: int = 5, engine_domain: str = "bing.com",
                   resolve_relative: bool = True) -> DataFrame:
     """Http links (relative hrefs resolved against the page url when asked), not on the
     engine's domain, not .css/.js, anchor text longer than 5 characters, first ``n`` per page."""
-    h = _clean_html(F.col("html"))
-    a = pages.select("page_id", "url", F.regexp_extract_all(h, F.lit(ANCHOR), 1).alias("_hrefs"),
-                     F.regexp_extract_all(h, F.lit(ANCHOR), 2).alias("_texts"))
-    z = a.select("page_id", "url", F.posexplode(F.arrays_zip(F.col("_hrefs").alias("href"),
-                                                             F.col("_texts").alias("inner"))).alias("pos", "a"))
-    href = F.col("a.href")
-    link = _resolve(href, F.col("url")) if resolve_relative else href
-    t = z.select("page_id", "pos", link.alias("link_url"), html_text(F.col("a.inner")).alias("title"))
-    t = t.where(F.col("link_url").startswith("http") & ~F.col("link_url").contains(engine_domain)
-                & ~F.col("link_url").endswith(".css") & ~F.col("link_url").endswith(".js")
-                & (F.length("title") > 5))
-    w = Window.partitionBy("page_id").orderBy("pos")
-    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("snippet", F.lit(""))
+    x = pages.select("page_id", "url", _clean_html(F.col("html")).alias("_h"))
+    x = x.select("page_id", "url", F.arrays_zip(F.regexp_extract_all("_h", F.lit(ANCHOR), 1).alias("href"),
+                                                F.regexp_extract_all("_h", F.lit(ANCHOR), 2).alias("inner")).alias("_a"))
+    links = F.transform("_a", lambda a, i: F.struct(
+        i.alias("pos"), (_resolve(a["href"], F.col("url")) if resolve_relative else a["href"]).alias("link_url"),
+        html_text(a["inner"]).alias("title")))
+    x = x.select("page_id", "url", links.alias("_links"))
+
+    def wanted(r):
+        return F.coalesce(r["link_url"].startswith("http") & ~r["link_url"].contains(engine_domain) & ~r["link_url"].endswith(".css")
+                          & ~r["link_url"].endswith(".js") & (F.length(r["title"]) > 5), F.lit(False))
+
+    first = F.slice(F.filter("_links", wanted), 1, n)  # per page, so no shuffle
+    out = x.select("page_id", F.posexplode(first).alias("_at", "_l"))
+    return out.select("page_id", "_l.pos", "_l.link_url", "_l.title", (F.col("_at") + 1).alias("rank"), F.lit("").alias("snippet"))
 
 
 def top_results(df: DataFrame, n: int, by: str, order: str) -> DataFrame:

@@ -108,6 +108,33 @@ def q_assemble_context(spark, sf):
                               filters={"filter_label": "label"}, payload=tables.collection_payload(spark, sf))
 
 
+def _lookup_embedder(spark, sf):
+    """A stand-in model that SQL can follow: the stored vector whose id is the text's length (modulo
+    their number); texts of every third length have no vector, so their search finds nothing."""
+    vectors = tables.read(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    n = vectors.count()
+
+    def embed(df, column, out):
+        size = F.length(column)
+        keyed = df.withColumn("_v", F.when(size % 3 != 0, (size % n).cast("long")))
+        return keyed.join(vectors.withColumnRenamed("embedding", out), "_v", "left").drop("_v")
+
+    return embed
+
+
+def q_term_fallback(spark, sf):
+    q = _queries(spark, sf).drop("embedding")
+    hits = C.term_fallback(q, tables.collection_vectors(spark, sf), _lookup_embedder(spark, sf), {"filter_label": "label"})
+    return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+def q_history_fallback(spark, sf):
+    q = _queries(spark, sf)
+    items = H.select_history(q, _hist(spark, sf))
+    hits = C.history_fallback(q.drop("embedding"), items, tables.collection_vectors(spark, sf), _lookup_embedder(spark, sf), {"filter_label": "label"})
+    return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
 def q_token_usage(spark, sf):
     conv = tables.conversations(spark, sf)
     pairs = conv.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("completion"))
@@ -216,6 +243,15 @@ _TRANSCRIPT = """
          || 'Assistant: ' AS prompt
   FROM conversations a GROUP BY a.conv_id"""
 
+# Searches of texts x(query_id, pos, t): the vector of the stand-in model, filtered like the query.
+_LOOKUP_SEARCH = """
+        v AS (SELECT x.query_id, x.pos, q.filter_label, coalesce(q.k, 4) AS kk, e.embedding FROM x JOIN queries q USING (query_id)
+              JOIN embeddings e ON length(t) % 3 <> 0 AND e.vec_id = length(t) % (SELECT count(*) FROM embeddings)),
+        s AS (SELECT q.query_id, q.pos, q.kk, h.doc_id, """ + _COS + """ AS score FROM v q JOIN collection h ON h.label = q.filter_label),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+        SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank FROM r
+        WHERE rank <= kk AND pos = (SELECT min(pos) FROM r r2 WHERE r2.query_id = r.query_id)"""
+
 _WORDS = f"list_filter(regexp_split_to_array(x, '[{WS}]+'), lambda t: t <> '')"
 
 
@@ -287,6 +323,16 @@ SQL = {
                CASE WHEN starts_with(mt, '"') OR starts_with(mt, chr(39)) THEN substr(mt, 2, length(mt) - 2)
                     ELSE mt END AS term
         FROM (SELECT query_id, generate_subscripts(ms, 1) AS pos, unnest(ms) AS mt FROM m)"""),
+    "c3_term_fallback": with_views(["queries", "collection"], r"""
+        , m AS (SELECT query_id, regexp_extract_all(text, '"([^"]+)"|''([^'']+)''|([\p{L}\p{N}_]+_[\p{L}\p{N}_]+)', 0) AS ms FROM queries),
+        x AS (SELECT query_id, pos - 1 AS pos, CASE WHEN starts_with(mt, '"') OR starts_with(mt, chr(39)) THEN substr(mt, 2, length(mt) - 2) ELSE mt END AS t
+              FROM (SELECT query_id, generate_subscripts(ms, 1) AS pos, unnest(ms) AS mt FROM m)),""" + _LOOKUP_SEARCH),
+    "c4_history_fallback": with_views(["queries", "collection", "history"], f"""
+        , tl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM history) WHERE rn <= 10),
+        hi AS (SELECT q.query_id, q.text, tl.query, row_number() OVER (PARTITION BY q.query_id
+                 ORDER BY coalesce(tl.ts, {_EPOCH}) DESC, tl.seq) AS back
+               FROM queries q JOIN tl ON tl.user_id = q.user_id),
+        x AS (SELECT query_id, 0 AS pos, query || ' ' || text AS t FROM hi WHERE back = 1),""" + _LOOKUP_SEARCH),
     "c9_assemble_context": with_views(["queries", "collection", "history"], _CONTEXT + f"""
         SELECT query_id, {_PROMPT} AS prompt, CAST(document_count AS BIGINT) AS document_count,
                CAST(history_count AS BIGINT) AS history_count FROM ctx"""),
@@ -317,6 +363,8 @@ QUERIES = {
     "d6_user_history": q_user_history,
     "d7_expire_history": q_expire_history,
     "d7_expire_count": q_expire_count,
+    "c3_term_fallback": q_term_fallback,
+    "c4_history_fallback": q_history_fallback,
     "d8_clear_history": q_clear_history,
     "d9_select_history": q_select_history,
     "d10_keyword_search": q_keyword_search,

@@ -56,7 +56,7 @@ def q_top_results(spark, sf):
 
 
 def q_pages_to_documents(spark, sf):
-    d = P.pages_to_documents(P.page_record(_pages(spark, sf)))
+    d = P.pages_to_documents(P.page_record(_pages(spark, sf), content=True))
     return d.select("page_id", "text", F.col("metadata")["url"].alias("url"))
 
 

@@ -129,9 +129,10 @@ def route_format(path: Column, first_line: Column) -> Column:
 
 
 def route_files(spark: SparkSession, path: str) -> DataFrame:
-    """A6 over a folder: path, detected format (NULL = unknown, an error for the caller)."""
+    """A6 over a folder: path and detected format; an unknown extension is an error."""
     files = read_corpus(spark, path)
-    return files.select("path", route_format(F.col("path"), F.split_part("text", F.lit("\n"), F.lit(1))).alias("format"))
+    known = route_format(F.col("path"), F.split_part("text", F.lit("\n"), F.lit(1)))
+    return files.select("path", F.coalesce(known, F.raise_error(F.concat(F.lit("Unsupported format: "), "path"))).alias("format"))
 
 
 def write_items(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
