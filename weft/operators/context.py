@@ -69,29 +69,32 @@ def special_terms(c: Column) -> Column:
     return F.filter(picked, lambda t: t.isNotNull())
 
 
-def render_documents(hits: DataFrame, key: str = "query_id") -> DataFrame:
-    """``Document {i}{ (Source: s)}:\\n{text}\\n`` joined by newline, in rank order."""
+def render_documents(hits: DataFrame, key: str = "query_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``Document {i}{ (Source: s)}:\\n{text}\\n`` joined by newline, in rank order; ``keep`` names hit
+    columns that ``retrieved_documents`` lists in the same order (at most k per query)."""
     piece = F.concat(F.lit("Document "), F.col("rank").cast("string"),
                      F.when(present("source"), F.concat(F.lit(" (Source: "), F.col("source"), F.lit(")")))
                      .otherwise(F.lit("")),
                      F.lit(":\n"), F.coalesce(F.col("text"), F.lit("")), F.lit("\n"))
-    g = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), piece.alias("p")))).alias("_d"),
+    g = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), piece.alias("p"), *keep))).alias("_d"),
                               F.count(F.lit(1)).alias("document_count"))
+    listed = [F.transform("_d", lambda x: F.struct(*[x[c].alias(c) for c in keep])).alias("retrieved_documents")] if keep else []
     return g.select(key, F.array_join(F.transform("_d", lambda x: x["p"]), "\n").alias("documents_text"),
-                    "document_count")
+                    "document_count", *listed)
 
 
-def render_history(items: DataFrame, key: str = "query_id") -> DataFrame:
+def render_history(items: DataFrame, key: str = "query_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Heading, then per item an optional ``Date:`` line, ``User:``, ``Assistant:`` and a blank line."""
     date_line = F.when(F.col("ts").isNotNull() & (F.col("ts") != H.epoch()),
                        F.concat(F.lit("Date: "), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("\n")))
     piece = F.concat(F.coalesce(date_line, F.lit("")), F.lit("User: "), F.coalesce("query", F.lit("")),
                      F.lit("\nAssistant: "), F.coalesce("response", F.lit("")), F.lit("\n"))
-    g = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", piece.alias("p")))).alias("_h"),
+    g = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", piece.alias("p"), *keep))).alias("_h"),
                                F.count(F.lit(1)).alias("history_count"))
+    listed = [F.transform("_h", lambda x: F.struct(*[x[c].alias(c) for c in keep])).alias("history_items")] if keep else []
     return g.select(key, F.concat(F.lit(HISTORY_HEADING + "\n"),
                                   F.array_join(F.transform("_h", lambda x: x["p"]), "\n")).alias("history_text"),
-                    "history_count")
+                    "history_count", *listed)
 
 
 def render_prompt(document_count: Column, documents_text: Column, history_text: Column, query: Column) -> Column:
@@ -188,12 +191,13 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
                      score_missing=forced is not None).drop("direct_score")
     # a vector without a payload row is still a hit (empty text), as in the collection view
     hits = hits.join(pay, "doc_id", "left")
-    rendered = render_documents(hits)
+    rendered = render_documents(hits, keep=("doc_id", "source", "text"))
     out = q.select("query_id", "text").join(rendered, "query_id", "left")
     if hist_items is not None:
-        out = out.join(render_history(hist_items), "query_id", "left")
+        out = out.join(render_history(hist_items, keep=("id", "query", "response", "ts")), "query_id", "left")
     else:
-        out = out.withColumn("history_text", F.lit(None).cast("string")).withColumn("history_count", F.lit(0))
+        out = out.withColumn("history_text", F.lit(None).cast("string")).withColumn("history_count", F.lit(0)).withColumn(
+            "history_items", F.lit(None).cast("array<struct<id:string,query:string,response:string,ts:timestamp>>"))
     doc_n = F.coalesce(F.col("document_count"), F.lit(0))
     hist_text = F.coalesce(F.col("history_text"), F.lit(""))
     docs_text = F.coalesce(F.col("documents_text"), F.lit(NO_DOCUMENTS))
@@ -202,6 +206,8 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
         render_prompt(doc_n, docs_text, hist_text, F.col("text")).alias("prompt"),
         doc_n.cast("long").alias("document_count"),
         F.coalesce(F.col("history_count"), F.lit(0)).cast("long").alias("history_count"),
+        F.coalesce("retrieved_documents", F.array()).alias("retrieved_documents"),
+        F.coalesce("history_items", F.array()).alias("history_items"),
     )
 
 

@@ -103,11 +103,18 @@ def q_special_terms(spark, sf):
         "query_id", F.col("pos").cast("long").alias("pos"), "term")
 
 
-def q_assemble_context(spark, sf):
+def _context(spark, sf):
     return C.assemble_context(_queries(spark, sf), tables.collection_vectors(spark, sf), _hist(spark, sf),
                               filters={"filter_label": "label"}, payload=tables.collection_payload(spark, sf))
 
 
+def q_assemble_context(spark, sf):
+    c = _context(spark, sf)
+    return c.select("query_id", "prompt", "document_count", "history_count",
+                    F.array_join(F.transform("retrieved_documents", lambda d: F.concat_ws(":", d["doc_id"].cast("string"), F.md5(F.coalesce(d["text"], F.lit(""))))), ",").alias("retrieved"),
+                    F.array_join(F.transform("history_items", lambda h: h["id"]), ",").alias("history_ids"))
+
+
 def _lookup_embedder(spark, sf):
     """A stand-in model that SQL can follow: the stored vector whose id is the text's length (modulo
     their number); texts of every third length have no vector, so their search finds nothing."""
@@ -157,7 +164,7 @@ def q_cut_at_stops(spark, sf):
 
 
 def q_generate(spark, sf):
-    ctx = q_assemble_context(spark, sf)
+    ctx = _context(spark, sf)
 
     def last_line(prompts):
         return [p.rstrip().split("\n")[-1] for p in prompts]
@@ -204,6 +211,7 @@ docs_r AS (
          string_agg('Document ' || CAST(hits.pos AS VARCHAR)
                     || CASE WHEN c.source IS NOT NULL AND c.source <> '' THEN ' (Source: ' || c.source || ')' ELSE '' END
                     || ':' || chr(10) || coalesce(c.text, '') || chr(10), chr(10) ORDER BY hits.pos) AS documents_text,
+         string_agg(CAST(hits.doc_id AS VARCHAR) || ':' || md5(coalesce(c.text, '')), ',' ORDER BY hits.pos) AS retrieved,
          count(*) AS document_count
   FROM hits JOIN collection c USING (doc_id) GROUP BY hits.query_id),
 tl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM history) WHERE rn <= 10),
@@ -215,12 +223,14 @@ hist_r AS (
          string_agg(CASE WHEN ts IS NOT NULL AND ts <> {_EPOCH} THEN 'Date: ' || strftime(ts, '%Y-%m-%d %H:%M') || chr(10) ELSE '' END
                     || 'User: ' || coalesce(query, '') || chr(10) || 'Assistant: ' || coalesce(response, '') || chr(10),
                     chr(10) ORDER BY coalesce(ts, {_EPOCH}), seq) AS history_text,
+         string_agg(id, ',' ORDER BY coalesce(ts, {_EPOCH}), seq) AS history_ids,
          count(*) AS history_count
   FROM hi GROUP BY query_id),
 ctx AS (
   SELECT q.query_id, q.text, coalesce(d.document_count, 0) AS document_count,
          coalesce(d.documents_text, {_lit(C.NO_DOCUMENTS)}) AS documents_text,
-         coalesce(hr.history_text, '') AS history_text, coalesce(hr.history_count, 0) AS history_count
+         coalesce(hr.history_text, '') AS history_text, coalesce(hr.history_count, 0) AS history_count,
+         coalesce(d.retrieved, '') AS retrieved, coalesce(hr.history_ids, '') AS history_ids
   FROM q LEFT JOIN docs_r d USING (query_id) LEFT JOIN hist_r hr USING (query_id))
 """
 
@@ -335,7 +345,10 @@ SQL = {
         x AS (SELECT query_id, 0 AS pos, query || ' ' || text AS t FROM hi WHERE back = 1),""" + _LOOKUP_SEARCH),
     "c9_assemble_context": with_views(["queries", "collection", "history"], _CONTEXT + f"""
         SELECT query_id, {_PROMPT} AS prompt, CAST(document_count AS BIGINT) AS document_count,
-               CAST(history_count AS BIGINT) AS history_count FROM ctx"""),
+               CAST(history_count AS BIGINT) AS history_count, retrieved, history_ids FROM ctx"""),
+    "c13_generate": with_views(["queries", "collection", "history"], _CONTEXT + f"""
+        , last AS (SELECT query_id, list_extract(string_split(rtrim({_PROMPT}, ' ' || chr(9) || chr(10) || chr(13)), chr(10)), -1) AS l FROM ctx)
+        SELECT query_id, split_part(l, 'ANSWER', 1) AS completion FROM last"""),
     "c10_token_usage": f"""
         WITH p AS ({_TRANSCRIPT}),
         a AS (SELECT conv_id, text AS completion FROM conversations WHERE role = 'assistant')
