@@ -143,24 +143,20 @@ def keyword_search(queries: DataFrame, history: DataFrame, limit: int = 5, filte
                    text_col: str = "text") -> DataFrame:
     """History rows whose lower-cased stored query contains any query word.
 
-    Stored queries are reduced to distinct (user, text) with their first ``limit`` rows, query texts to
-    distinct (user, word); users join the two, ``contains`` decides, and the first ``limit`` rows per
-    (user, word) go back to the queries that hold the word. Rank is storage order, similarity 0.9.
+    Stored queries are reduced to distinct (user, text) with their first ``limit`` rows; the user
+    joins them to the queries, ``contains`` decides text by text, and the first ``limit`` rows per query
+    stay (cut in every task before the last shuffle). Rank is storage order, similarity 0.9.
     """
     user = F.col(filter_col).cast("string") if filter_col else F.lit("")
-    words = queries.select(F.col("query_id").cast("long").alias("query_id"), user.alias("_u"),
-                           F.explode(F.array_distinct(F.split(F.lower(text_col), r"(?U)\s+"))).alias("_w")).where("_w <> ''")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), user.alias("_u"),
+                           F.filter(F.array_distinct(F.split(F.lower(text_col), r"(?U)\s+")), lambda w: w != "").alias("_ws"))
     stored = history.select(user.alias("_u"), F.lower("query").alias("_t"), "seq")
     first = F.row_number().over(Window.partitionBy("_u", "_t").orderBy("seq"))
     stored = stored.withColumn("_r", first).where(F.col("_r") <= limit).groupBy("_u", "_t").agg(F.collect_list("seq").alias("_seqs"))
-    # every stored text of a user meets every word of it; a user with many of both is split by AQE
-    met = words.select("_u", "_w").distinct().join(stored, "_u").where(F.col("_t").contains(F.col("_w")))
-    hits = met.select("_u", "_w", F.explode("_seqs").alias("seq"))
-    best = F.row_number().over(Window.partitionBy("_u", "_w").orderBy("seq"))
-    hits = hits.withColumn("_r", best).where(F.col("_r") <= limit).drop("_r")
-    found = words.join(hits, ["_u", "_w"]).select("query_id", "seq").distinct()
+    met = asked.join(stored, "_u").where(F.exists("_ws", lambda w: F.col("_t").contains(w)))
+    hits = met.select("query_id", F.explode("_seqs").alias("seq"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("similarity", F.lit(0.9))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("similarity", F.lit(0.9))
 
 
 def dialogue_window(history: DataFrame, messages: DataFrame, n: int = 20, history_limit: int = 20,

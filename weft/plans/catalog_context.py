@@ -42,24 +42,28 @@ def q_similar_strict(spark, sf):
                     F.round("similarity", 6).alias("similarity"))
 
 
+def _rows(spark, sf):
+    return tables.history_rows(spark, sf)
+
+
 def q_recent_responses(spark, sf):
-    return H.recent_responses(_hist(spark, sf), "user_id", 10).select(
+    return H.recent_responses(_rows(spark, sf), "user_id", 10).select(
         "user_id", "id", F.col("position").cast("long").alias("position"))
 
 
 def q_user_history(spark, sf):
-    return H.user_history(_hist(spark, sf), 20).select("user_id", "id", F.col("position").cast("long").alias("position"))
+    return H.user_history(_rows(spark, sf), 20).select("user_id", "id", F.col("position").cast("long").alias("position"))
 
 
 def q_expire_history(spark, sf):
-    h = _hist(spark, sf)
+    h = _rows(spark, sf)
     now = h.agg(F.max("ts")).first()[0]
     kept, _ = H.expire_history(h, 14, F.lit(now))
     return kept.select("id")
 
 
 def q_expire_count(spark, sf):
-    h = _hist(spark, sf)
+    h = _rows(spark, sf)
     now = h.agg(F.max("ts")).first()[0]
     _, removed = H.expire_history(h, 14, F.lit(now))
     return removed
@@ -71,16 +75,16 @@ def q_clear_history(spark, sf):
     last = ev.agg(F.max(F.to_date("ts")).alias("day"))
     users = ev.where("event_type = 'error'").withColumn("day", F.to_date("ts")).join(last, "day").select(
         F.col("user_id").cast("string").alias("user_id"))
-    return H.clear_history(_hist(spark, sf), users).select("id")
+    return H.clear_history(_rows(spark, sf), users).select("id")
 
 
 def q_select_history(spark, sf):
-    return H.select_history(_queries(spark, sf), _hist(spark, sf)).select(
+    return H.select_history(_queries(spark, sf), _rows(spark, sf)).select(
         "query_id", "id", F.col("position").cast("long").alias("position"))
 
 
 def q_keyword_search(spark, sf):
-    return H.keyword_search(_queries(spark, sf), _hist(spark, sf), 5, "user_id").select(
+    return H.keyword_search(_queries(spark, sf), _rows(spark, sf), 5, "user_id").select(
         "query_id", "seq", F.col("rank").cast("long").alias("rank"))
 
 
@@ -88,13 +92,15 @@ def q_dialogue_window(spark, sf):
     conv = tables.conversations(spark, sf)
     msgs = conv.select(F.col("conv_id").cast("string").alias("user_id"), "turn", "role",
                        F.col("text").alias("content"))
-    d = H.dialogue_window(_hist(spark, sf), msgs, 20, 20)
+    d = H.dialogue_window(_rows(spark, sf), msgs, 20, 20)
     return d.select("user_id", F.col("position").cast("long").alias("position"), "role",
                     F.md5("content").alias("content_md5"))
 
 
 def q_dedupe_history(spark, sf):
-    return H.dedupe_history(_hist(spark, sf)).select("id")
+    # saves of one kind of event by one model, which repeat within a day
+    h = _rows(spark, sf).withColumn("query", F.substring_index("query", " ", 1)).withColumn("response", F.col("model"))
+    return H.dedupe_history(h, "1 day").select("id")
 
 
 def q_special_terms(spark, sf):
@@ -104,7 +110,7 @@ def q_special_terms(spark, sf):
 
 
 def _context(spark, sf):
-    return C.assemble_context(_queries(spark, sf), tables.collection_vectors(spark, sf), _hist(spark, sf),
+    return C.assemble_context(_queries(spark, sf), tables.collection_vectors(spark, sf), _rows(spark, sf),
                               filters={"filter_label": "label"}, payload=tables.collection_payload(spark, sf))
 
 
@@ -137,7 +143,7 @@ def q_term_fallback(spark, sf):
 
 def q_history_fallback(spark, sf):
     q = _queries(spark, sf)
-    items = H.select_history(q, _hist(spark, sf))
+    items = H.select_history(q, _rows(spark, sf))
     hits = C.history_fallback(q.drop("embedding"), items, tables.collection_vectors(spark, sf), _lookup_embedder(spark, sf), {"filter_label": "label"})
     return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
@@ -326,7 +332,7 @@ SQL = {
         SELECT user_id, cnt - back + 1 AS position, role, md5(content) AS content_md5 FROM l"""),
     "d12_dedupe_history": with_views(["history"], f"""
         SELECT arg_min(id, seq) AS id FROM history
-        GROUP BY user_id, query, response, time_bucket(INTERVAL 10 MINUTE, coalesce(ts, {_EPOCH}))"""),
+        GROUP BY user_id, split_part(query, ' ', 1), model, time_bucket(INTERVAL 1 DAY, coalesce(ts, {_EPOCH}))"""),
     "c2_special_terms": with_views(["queries"], r"""
         , m AS (SELECT query_id, regexp_extract_all(text, '"([^"]+)"|''([^'']+)''|([\p{L}\p{N}_]+_[\p{L}\p{N}_]+)', 0) AS ms FROM queries)
         SELECT query_id, CAST(pos - 1 AS BIGINT) AS pos,
@@ -393,7 +399,7 @@ def q_forced_documents(spark, sf):
     labels = tables.read(spark, sf, "labels").select("doc_id")
     forced = tables.collection_vectors(spark, sf).join(labels, "doc_id", "left_semi").select(
         F.col("doc_id").alias("query_id"), "doc_id", F.lit(1).alias("rank"))
-    c = C.assemble_context(_queries(spark, sf), tables.collection_vectors(spark, sf), _hist(spark, sf),
+    c = C.assemble_context(_queries(spark, sf), tables.collection_vectors(spark, sf), _rows(spark, sf),
                            filters={"filter_label": "label"}, payload=tables.collection_payload(spark, sf),
                            forced=forced)
     return c.select("query_id", "document_count", F.md5("prompt").alias("prompt_md5"))
@@ -460,7 +466,7 @@ def q_render_documents(spark, sf):
 
 
 def q_render_history(spark, sf):
-    r = C.render_history(H.select_history(_queries(spark, sf), _hist(spark, sf)))
+    r = C.render_history(H.select_history(_queries(spark, sf), _rows(spark, sf)))
     return r.select("query_id", F.md5("history_text").alias("history_md5"),
                     F.col("history_count").cast("long").alias("history_count"))
 
