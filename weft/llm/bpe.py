@@ -2,13 +2,13 @@
 
 Spark splits every whole text into words (a space followed by a non-space starts one, which is
 also where the tokenizer splits, so a word encodes alike alone and inside its text), counts the
-distinct words, and encodes each of them once. Ids go back to the texts by position:
+distinct words of the corpus, encodes each table word once, and joins the ids back by position:
 
-* the ``HEAD_WORDS`` most frequent words (of at most ``HEAD_WORD_BYTES``) are a table of bounded
-  size, broadcast and joined map-side against the words of each text in order;
-* each further word is rare by construction (it occurs no more often than any head word), so its
-  ids are joined by an ordinary equi-join on the word, with no hot key, and meet their texts by an
-  equi-join on the text's digest, where each occurrence takes its ids by position.
+* the table holds the ``HEAD_WORDS`` most frequent words (of at most ``HEAD_WORD_BYTES``), so its
+  size is bounded; it is broadcast and joined map-side against the words of each text, in order,
+  and neither texts nor ids are shuffled;
+* a word outside the table is rarer than any in it; each task keeps a distinct-word table of its
+  own for these and encodes each of them once.
 
 Decoding joins ids to pieces (the vocabulary: bounded, broadcast) and concatenates.
 
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from weft.llm import textvec
 from weft.llm.scratch import materialise
 
-HEAD_WORDS = 1 << 20
+HEAD_WORDS = 1 << 19
 HEAD_WORD_BYTES = 64
-_FLUSH_WORDS = 400_000
+_FLUSH_WORDS = 100_000
+_OWN_WORDS = 50_000
+_GROUP_BYTES = 1 << 18  # text worked on at a time
 
 # A space starts a word when the next character is certainly no white space and no special token.
 _STOP = np.zeros(256, bool)
@@ -42,10 +44,10 @@ _LONG_CUT = re.compile(rb" (?=[A-Za-z0-9])")
 
 
 def _pieces(text: bytes) -> list[bytes]:
-    """A long text in pieces of about ``GROUP_BYTES`` that begin with a word."""
+    """A long text in pieces of about ``_GROUP_BYTES`` that begin with a word."""
     out, at = [], 0
-    while len(text) - at > textvec.GROUP_BYTES:
-        m = _LONG_CUT.search(text, at + textvec.GROUP_BYTES)
+    while len(text) - at > _GROUP_BYTES:
+        m = _LONG_CUT.search(text, at + _GROUP_BYTES)
         if not m:
             break
         out.append(text[at:m.start()])
@@ -55,13 +57,13 @@ def _pieces(text: bytes) -> list[bytes]:
 
 
 def _groups(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Texts (or pieces of long ones) with their numbers, about ``GROUP_BYTES`` at a time."""
+    """Texts (or pieces of long ones) with their numbers, about ``_GROUP_BYTES`` at a time."""
     rows: list[int] = []
     parts: list[bytes] = []
     size = 0
     for i, t in enumerate(texts):
-        for p in _pieces(t) if len(t) > textvec.GROUP_BYTES else (t,):
-            if parts and size + len(p) > textvec.GROUP_BYTES:
+        for p in _pieces(t) if len(t) > _GROUP_BYTES else (t,):
+            if parts and size + len(p) > _GROUP_BYTES:
                 yield rows, parts
                 rows, parts, size = [], [], 0
             rows.append(i)
@@ -115,52 +117,71 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """Each distinct word encoded once: ``(word, n, ids)``, ids as little-endian 32-bit."""
-    model = words.sparkSession.sparkContext.broadcast(tokenizer_json)
+def _tokenizer(tokenizer_json: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(tokenizer_json)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
-    def encode(batches):
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _encoded(tok, words: list[bytes]) -> list[bytes]:
+    """Ids of each word as little-endian 32-bit integers."""
+    return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+
+def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
+    """Each word of a distinct-word table encoded once: ``(word, ids)``."""
+    model = words.sparkSession.sparkContext.broadcast(tokenizer_json)
 
-        tok = Tokenizer.from_str(model.value)
-        tok.no_truncation()
-        tok.no_padding()
+    def run(batches):
+        tok = _tokenizer(model.value)
         for batch in batches:
-            strings = [w.decode() for w in batch.column(0).to_pylist()]
-            ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(strings, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_encoded(tok, batch.column(0).to_pylist()), pa.binary())], ["word", "ids"])
 
-    return words.mapInArrow(encode, "word binary, n long, ids binary")
+    return words.select("word").mapInArrow(run, "word binary, ids binary")
 
 
-def _head(table: DataFrame, head_words: int) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The least count of a head word, and the head as (fingerprints, offsets, ids), sorted.
+def _head(counts: DataFrame, tokenizer_json: str, head_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The head as (fingerprints, offsets, ids), sorted by fingerprint.
 
-    The cut is found on a histogram of counts (at most some hundred rows), so that no more than
-    ``head_words`` rows reach the driver."""
-    short = table.filter(F.length("word") <= HEAD_WORD_BYTES)
+    The least count of a head word is found on a histogram of counts (at most some hundred rows),
+    so that no more than ``head_words`` rows reach the driver."""
+    short = counts.filter(F.length("word") <= HEAD_WORD_BYTES)
     bucket = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16) - 32).cast("int")
-    low, left = None, head_words
-    for b, rows, least in sorted(short.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)), F.min("n")).collect(), reverse=True):
+    low, left = 1 << 62, head_words
+    for _, rows, least in sorted(short.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)), F.min("n")).collect(), reverse=True):
         if rows > left:
             break
         low, left = least, left - rows
-    rows = short.filter(F.col("n") >= (low if low is not None else 1 << 62)).select("word", "ids").toArrow()
-    words, ids = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-    buf = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    hashes = np.empty(len(words), np.uint64)
-    for at in range(0, len(words), 1 << 16):  # in slices, so that the working memory stays small
-        e = ends[at:at + (1 << 16)]
-        s = np.concatenate(([ends[at - 1] if at else 0], e[:-1]))
-        hashes[at:at + len(e)] = textvec.span_hashes(buf[s[0]:e[-1]], s - s[0], e - s[0])
+    rows = encode_words(short.filter(F.col("n") >= low), tokenizer_json).toArrow().combine_chunks()
+    buf, ends = _flat(rows.column(0))
+    data, id_ends = _flat(rows.column(1))
+    hashes = np.empty(len(ends) - 1, np.uint64)
+    for at in range(0, len(hashes), 1 << 16):  # in slices, so that the working memory stays small
+        e = ends[at:at + (1 << 16) + 1]
+        hashes[at:at + len(e) - 1] = textvec.span_hashes(buf[e[0]:e[-1]], e[:-1] - e[0], e[1:] - e[0])
     order = np.argsort(hashes)
-    flat = [np.frombuffer(ids[i], "<u4") for i in order]
-    offsets = np.concatenate(([0], np.cumsum([len(f) for f in flat], dtype=np.int64)))
-    return low if low is not None else 1 << 62, (hashes[order], offsets, np.concatenate(flat) if flat else np.zeros(0, np.uint32))
+    lens = (id_ends[1:] - id_ends[:-1])[order] // 4
+    ids = data.view("<u4")[_gather(lens, id_ends[:-1][order] // 4)]
+    if not len(ids) or ids.max() < 1 << 16:
+        ids = ids.astype(np.uint16)
+    return hashes[order], np.concatenate(([0], np.cumsum(lens))).astype(np.uint32), ids
+
+
+def _flat(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column without nulls, joined, and the offsets of its values."""
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    one = pa.concat_arrays(col.chunks).cast(pa.large_binary())
+    _, offsets, data = one.buffers()
+    at = np.frombuffer(offsets, np.int64)[one.offset:one.offset + len(one) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0]:at[-1]], at - at[0]
 
 
 def _lookup(head_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -177,68 +198,58 @@ def _gather(lens: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def encode(docs: DataFrame, tokenizer_json: str, head_words: int = HEAD_WORDS) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, n_tokens long, ids binary)``."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_key"))
-    table = materialise(encode_words(word_counts(docs), tokenizer_json), "bpe-words")
-    low, arrays = _head(table, head_words)
-    head = spark.sparkContext.broadcast(arrays)
-
-    def rare_words(batches):
-        hashes_of_head = head.value[0]
-        for batch in batches:
-            texts, keys = _texts(batch.column(0)), batch.column(1).to_pylist()
-            out_key, out_word = [], []
-            for rows, parts in _groups(texts):
-                joined, starts, ends, hashes, first = _words(parts)
-                miss = np.flatnonzero(_lookup(hashes_of_head, hashes) < 0)
-                part = np.searchsorted(first, miss, side="right") - 1
-                found = {(rows[p], joined[s:e]) for p, s, e in zip(part.tolist(), starts[miss].tolist(), ends[miss].tolist(), strict=True)}
-                for r, w in found:
-                    out_key.append(keys[r])
-                    out_word.append(w)
-            yield pa.RecordBatch.from_pydict({"_key": pa.array(out_key, pa.binary()), "word": pa.array(out_word, pa.binary())})
-
-    rare = docs.select("text", "_key").mapInArrow(rare_words, "_key binary, word binary")
-    tail = table.filter((F.col("n") < low) | (F.length("word") > HEAD_WORD_BYTES)).select("word", "ids")
-    found = rare.join(tail.hint("merge"), "word").groupBy("_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
-    found = materialise(found, "bpe-rare")
+def _encoder(docs: DataFrame, tokenizer_json: str, head_words: int):
+    """Builds the head table; the batch function from ``doc_id, text`` to ``doc_id, n_tokens, ids``."""
+    context = docs.sparkSession.sparkContext
+    counts = materialise(word_counts(docs), "bpe-words")
+    head = context.broadcast(_head(counts, tokenizer_json, head_words))
+    model = context.broadcast(tokenizer_json)
 
     def put_ids(batches):
         hashes_of_head, offsets, ids = head.value
+        tok = _tokenizer(model.value)
+        own: dict[bytes, bytes] = {}  # ids of this task's words that the head lacks
         for batch in batches:
-            texts, rare_ids = _texts(batch.column(1)), batch.column(2).to_pylist()
+            texts = _texts(batch.column(1))
             done: list[list[bytes]] = [[] for _ in texts]
             for rows, parts in _groups(texts):
                 joined, starts, ends, hashes, first = _words(parts)
                 at = _lookup(hashes_of_head, hashes)
                 miss = np.flatnonzero(at < 0)
-                lens, begins = offsets[at + 1] - offsets[at], offsets[at]
+                begins = offsets[at].astype(np.int64)
+                lens = offsets[at + 1].astype(np.int64) - begins
                 if len(miss):
-                    part = np.searchsorted(first, miss, side="right") - 1
-                    maps = {r: {x["word"]: x["ids"] for x in rare_ids[r]} for r in {rows[p] for p in set(part.tolist())}}
-                    own = [maps[rows[p]][joined[s:e]] for p, s, e in zip(part.tolist(), starts[miss].tolist(), ends[miss].tolist(), strict=True)]
-                    lens[miss] = [len(o) // 4 for o in own]
+                    words = [joined[s:e] for s, e in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
+                    if len(own) > _OWN_WORDS:
+                        own = {}
+                    new = list({w: None for w in words if w not in own})
+                    own.update(zip(new, _encoded(tok, new), strict=True))
+                    late_ids = [own[w] for w in words]
+                    lens[miss] = [len(o) // 4 for o in late_ids]
                     begins[miss] = len(ids) + np.concatenate(([0], np.cumsum(lens[miss])[:-1]))
-                    extra = np.frombuffer(b"".join(own), "<u4")
-                source = _gather(lens, begins)
-                if len(miss):
+                    source = _gather(lens, begins)
                     late = source >= len(ids)
-                    flat = np.empty(len(source), np.uint32)
+                    flat = np.empty(len(source), "<u4")
                     flat[~late] = ids[source[~late]]
-                    flat[late] = extra[source[late] - len(ids)]
+                    flat[late] = np.frombuffer(b"".join(late_ids), "<u4")[source[late] - len(ids)]
                 else:
-                    flat = ids[source]
+                    flat = ids[_gather(lens, begins)].astype("<u4")
                 bounds = np.concatenate(([0], np.cumsum(lens)))[first]
                 for i, r in enumerate(rows):
-                    done[r].append(flat[bounds[i]:bounds[i + 1]].astype("<u4").tobytes())
+                    done[r].append(flat[bounds[i]:bounds[i + 1]].tobytes())
             out = [b"".join(d) for d in done]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(o) // 4 for o in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    joined = docs.hint("merge").join(found, "_key", "left").select("doc_id", "text", "rare")
-    id_type = dict(docs.dtypes)["doc_id"]
-    return joined.mapInArrow(put_ids, f"doc_id {id_type}, n_tokens long, ids binary")
+    return put_ids
+
+
+def _encoded_schema(docs: DataFrame) -> str:
+    return f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids binary"
+
+
+def encode(docs: DataFrame, tokenizer_json: str, head_words: int = HEAD_WORDS) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, n_tokens long, ids binary)``."""
+    return docs.select("doc_id", "text").mapInArrow(_encoder(docs, tokenizer_json, head_words), _encoded_schema(docs))
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -258,11 +269,9 @@ def piece_table(tokenizer_json: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(flat), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in flat], dtype=np.int64)))
 
 
-def decode(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
-    """Adds ``text`` to rows with ``ids``: the pieces of the ids, joined; bytes that are no
-    UTF-8 become U+FFFD. Null ids decode to the empty string."""
-    table = encoded.sparkSession.sparkContext.broadcast(piece_table(tokenizer_json))
-    names = encoded.columns
+def _decoder(df: DataFrame, tokenizer_json: str, names: list[str]):
+    """The batch function that adds ``text`` to columns ``names`` with ``ids``."""
+    table = df.sparkSession.sparkContext.broadcast(piece_table(tokenizer_json))
 
     def put_text(batches):
         data, offsets = table.value
@@ -274,4 +283,17 @@ def decode(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
                 out.append(b"".join(parts).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, "text"])
 
-    return encoded.mapInArrow(put_text, encoded.select(*names).schema.add("text", "string"))
+    return put_text
+
+
+def decode(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
+    """Adds ``text`` to rows with ``ids``: the pieces of the ids, joined; bytes that are no
+    UTF-8 become U+FFFD. Null ids decode to the empty string."""
+    return encoded.mapInArrow(_decoder(encoded, tokenizer_json, encoded.columns), encoded.select("*").schema.add("text", "string"))
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_json: str, head_words: int = HEAD_WORDS) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: ``(doc_id, n_tokens, ids, text)``. Both run in the same
+    Python worker, which takes half the memory of one worker each."""
+    encoder, decoder = _encoder(docs, tokenizer_json, head_words), _decoder(docs, tokenizer_json, ["doc_id", "n_tokens", "ids"])
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: decoder(encoder(batches)), _encoded_schema(docs) + ", text string")

@@ -32,7 +32,7 @@ def tiktoken_vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = tokenizer_json()
-    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), tok), tok)
+    both = bpe.encode_and_decode(_table(spark, sf_dir, "documents"), tok)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 

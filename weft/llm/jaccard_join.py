@@ -14,11 +14,12 @@ a set signs its empty projections only if more partitions than the spare ones ha
 keeps every qualifying pair (a partition without differences and without empty projections is
 left for one of the two, or both sign the empty ones).
 
-Candidates are checked exactly. No signature's members are paired with each other at once: every
-member is first compared with one hub per signature, members that are linked already (through
-whatever) need no further comparison, and only pairs of members in different components remain
-for the closing pass. Pairs whose counts per feature bucket differ too much cannot qualify and are
-dropped before their texts are fetched.
+Candidates are checked exactly, and no signature's members are all paired. First every node tries
+one hub of its signatures. Members that are linked already (through whatever) need no further
+comparison; the members of one signature in different components are compared in blocks of at most
+``BLOCK`` members, by their counts per feature bucket: counts that differ too much rule a pair out.
+In ``NEAR_ROUNDS`` each node tries the nearest such member, which joins components as a minimum
+spanning forest grows; the closing pass tries every pair that is left.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; fewer than n
 words give one n-gram of all words; null or empty texts, and texts without words, have an empty
@@ -41,9 +42,11 @@ from pyspark.sql.window import Window
 from weft.llm import textvec
 from weft.llm.graph import components
 from weft.llm.scratch import materialise
+from weft.llm.stream import whole_groups
 
-HUB_ROUNDS = 2
-_BUCKETS = 64
+NEAR_ROUNDS = 3
+BLOCK = 1024
+_BUCKETS = 256
 
 
 def ngram_sets(texts: list[bytes | None], n: int):
@@ -129,7 +132,7 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
             for s in ngram_sets(batch.column(1).cast(pa.binary()).to_pylist(), n):
                 size.append(len(s))
                 node.append(_fingerprint(s) if len(s) else None)
-                buckets.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=_BUCKETS), 255).astype(np.uint8).tobytes() if len(s) else None)
+                buckets.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=_BUCKETS), 255).astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), batch.column(2), pa.array(buckets, pa.binary())],
                 ["doc_id", "n_shingles", "node", "text_key", "buckets"])
@@ -142,11 +145,14 @@ def _signed(docs: DataFrame, n: int, percent: int, n2: int, k2: int) -> DataFram
     """``(sig, node)`` rows of all sets."""
 
     def run(batches):
+        seen: set[int] = set()  # copies within a task sign once
         for batch in batches:
             node, sigs = [], []
             for s in ngram_sets(batch.column(0).cast(pa.binary()).to_pylist(), n):
-                if len(s):
-                    node.append(_fingerprint(s))
+                name = _fingerprint(s) if len(s) else None
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    node.append(name)
                     sigs.append(signatures(s, percent, n2, k2).view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs])))
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
@@ -175,12 +181,53 @@ def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def _may_link(members: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """``members(sig, node, label, size)`` to the pairs ``(a, b)`` that share a signature, have
+    different labels, and may qualify by their bucket counts; for each node the nearest one, or all."""
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    other = F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("node"), n).cast("int")
+    cells = F.transform(other, lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y"), (own > j).alias("second")))
+    rows = members.select("sig", "node", "label", F.explode(cells).alias("_c")).join(nodes.select("node", "n_shingles", "buckets"), "node")
+    rows = rows.select(F.xxhash64("sig", "_c.x", "_c.y").alias("cell"), F.col("_c.second").alias("second"), (F.col("_c.x") < F.col("_c.y")).alias("two"),
+                       "node", "label", F.col("n_shingles").alias("n"), "buckets")
+
+    def run(batches):
+        for t, edges in whole_groups(batches, "cell"):
+            node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
+            second, two = t.column("second").to_numpy(), t.column("two").to_numpy()
+            count = np.frombuffer(b"".join(t.column("buckets").to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16)
+            best: dict[int, tuple] = {}
+            out = set()
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                for i in range(x, y):
+                    # in a cell of two blocks each node meets the other block's
+                    at = x + np.flatnonzero((label[x:y] != label[i]) & ((second[x:y] != second[i]) | (not two[x])))
+                    if not nearest:
+                        at = at[node[at] < node[i]] if not two[x] else at[:0] if second[i] else at
+                    if not len(at):
+                        continue
+                    apart = np.abs(count[at] - count[i]).sum(axis=1, dtype=np.int64)
+                    ok = apart * (100 + percent) <= (n[at] + n[i]) * (100 - percent)
+                    if nearest and ok.any():
+                        found = min(zip(apart[ok].tolist(), node[at[ok]].tolist(), strict=True))
+                        best[node[i].item()] = min(best.get(node[i].item(), found), found)
+                    elif not nearest:
+                        out.update((max(v, node[i].item()), min(v, node[i].item()), 0) for v in node[at[ok]].tolist())
+            out = [(k, v, d) for k, (d, v) in best.items()] if nearest else list(out)
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in range(3)], ["a", "b", "apart"])
+
+    pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, apart long")
+    if nearest:
+        pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """``(u, v)`` of the pairs that truly qualify."""
     def run(batches):
         for batch in batches:
             a, b, ta, tb = batch.columns
-            right: dict = {}
             hubs, keys = b.to_pylist(), tb.cast(pa.binary()).to_pylist()
             new = dict(zip(hubs, keys, strict=True))
             right = dict(zip(new, ngram_sets(list(new.values()), n), strict=True))
@@ -198,8 +245,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, n2: int = 3, k2: int = 1) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id, text_key)``; text_key is the
-    md5 of the text (null for an empty set)."""
+    """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id, class, text_key)``; class names
+    the component (null for an empty set), text_key is the md5 of the text (null for a null text)."""
     described = materialise(_describe(docs, n), "jaccard-sets")
     nodes = described.filter("node is not null").groupBy("node").agg(
         F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.min("text_key").alias("text_key"))
@@ -214,33 +261,40 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, n2: int =
         docs.select(F.unhex(F.md5("text")).alias("text_key"), "text").join(wanted, "text_key")
         .groupBy("node").agg(F.first("text").alias("text")), "jaccard-texts")
 
-    tested, edges, labels = None, None, None
-    for step in range(HUB_ROUNDS + 1):
-        if labels is None:  # the member with most signatures of its own in common with a hub tries that hub
-            pairs = members.filter("node <> hub").groupBy("node", "hub").count()
-            pairs = pairs.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(
-                F.col("node").alias("a"), F.col("hub").alias("b"))
-        else:
-            now = members.select("sig", "node").join(labels, "node", "left").select(
-                "sig", "node", F.coalesce("label", "node").alias("label"))
-            open_ = now.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"),
-                                           F.min_by(F.struct("node", "label"), F.xxhash64("label", "node", F.lit(step))).alias("hub")).filter("_lo <> _hi")
-            if step < HUB_ROUNDS:
-                pairs = now.join(open_, "sig").filter("label <> hub.label").select(
-                    F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"))
-            else:  # closing pass: all that is left between different components
-                left = materialise(now.join(open_.select("sig"), "sig", "left_semi"), "jaccard-open")
-                pairs = left.alias("x").join(left.alias("y"), "sig").filter("x.label < y.label").select(
-                    F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-            pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(_close_enough(pairs, nodes, percent), "jaccard-pairs")
+    # each node tries the hub that it has most signatures in common with
+    pairs = members.filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    pairs = _close_enough(pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), nodes, percent)
+    edges = materialise(_linked(pairs, texts, n, percent), "jaccard-links")
+    labels = materialise(components(edges), "jaccard-classes")
+    left = NEAR_ROUNDS
+    while left >= 0:
+        now = members.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+        open_ = now.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("size")).filter("_lo <> _hi")
+        pairs = _may_link(now.join(open_.select("sig", "size"), "sig"), nodes, percent, nearest=left > 0)
         new = materialise(_linked(pairs, texts, n, percent), "jaccard-links")
-        keys = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        tested = keys if tested is None else tested.unionByName(keys)
-        edges = new if edges is None else edges.unionByName(new)
-        if labels is None or not new.isEmpty():
-            labels = components(edges)
+        if new.isEmpty():
+            left = 0 if left > 0 else -1  # nothing near is left to join: on to the closing pass
+            continue
+        edges = edges.unionByName(new)
+        labels = materialise(components(edges), "jaccard-classes")
+        left -= 1
     grouped = described.join(labels, "node", "left").withColumn("_class", F.coalesce("label", "node"))
     least = grouped.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
     return grouped.join(least, "_class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), "text_key")
+        "doc_id", "n_shingles", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"),
+        F.col("_class").alias("class"), "text_key")
+
+
+def one_per_class(docs: DataFrame, n: int = 5, percent: int = 80, n2: int = 1, k2: int = 0) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row left of each component: that of the smallest
+    doc_id (then text digest). Rows with an empty set all stay."""
+    classes = jaccard_components(docs.select("doc_id", "text"), n, percent, n2, k2)
+    stay = (classes.filter("class is not null").groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+            .groupBy("class").agg(F.min_by(F.struct("doc_id", "text_key", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("_s")).select("_s.*"))
+    empty = classes.filter("class is null").groupBy("doc_id", "text_key").agg(F.lit(1).alias("copies")).select("doc_id", "text_key", "copies")
+    stay = materialise(stay.unionByName(empty), "jaccard-stay").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "copies")
+    keyed = docs.withColumn("_text_key", F.unhex(F.md5("text")))
+    met = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_key").eqNullSafe(F.col("_key")))
+    # rows that repeat an id with its text: one of them
+    again = met.filter("copies > 1").dropDuplicates(["_id", "_key"])
+    return met.filter("copies = 1").unionByName(again).select(*docs.columns)

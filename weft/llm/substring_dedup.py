@@ -170,11 +170,23 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
                 # empty texts share their start with the text after them, which is the one found
                 for col, x in zip(out, (name, span, (first - starts[own]) * _PACK + last - starts[own], rows[own]), strict=True):
                     col.append(x)
-            row = np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([_longs(out[0]), _longs(out[1]), pa.array(ids[row]), pa.array(keys[row]), _longs(out[2])],
-                                             ["anchor", "span", "doc", "key", "at"])
-
-    return docs.select("_doc", "text", "_key").mapInArrow(run, "anchor long, span long, doc long, key long, at long")
+            if not out[0]:
+                continue
+            name, span, at, row = (np.concatenate(c) for c in out)
+            doc, key = ids[row], keys[row]
+            # what a smaller document of the batch holds as well is settled here: a passage that very
+            # many documents share is one row of a batch in its anchor's group, not one per document
+            group = textvec.fold(name, span)
+            order = np.lexsort((doc, group))
+            first = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+            least = np.empty(len(order), doc.dtype)
+            least[order] = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+            settled = doc > least
+            name[settled] = textvec.fold(key[settled].view(np.uint64), at[settled].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([_longs([name]), _longs([span]), pa.array(doc), pa.array(key), pa.array(at), pa.array(settled)],
+                                             ["anchor", "span", "doc", "key", "at", "done"])
+
+    return docs.select("_doc", "text", "_key").mapInArrow(run, "anchor long, span long, doc long, key long, at long, done boolean")
 
 
 def _joined(texts):
@@ -250,10 +262,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                        F.xxhash64("doc_id", "text").alias("_key"))
     by_anchor, by_span = Window.partitionBy("anchor"), Window.partitionBy("anchor", "span")
     rows = _stretches(docs, window).select(
-        "key", "at", "doc", F.min("doc").over(by_span).alias("_own"), F.min("doc").over(by_anchor).alias("_lo"),
+        "key", "at", "doc", "done", F.min("doc").over(by_span).alias("_own"), F.min("doc").over(by_anchor).alias("_lo"),
         F.max("doc").over(by_anchor).alias("_hi"), F.min("span").over(by_anchor).alias("_s0"), F.max("span").over(by_anchor).alias("_s1"))
-    settled = F.col("doc") > F.col("_own")
-    rows = rows.filter((F.col("_lo") != F.col("_hi")) & (settled | (F.col("_s0") != F.col("_s1")))).select("key", "at", settled.alias("settled"))
+    settled = F.col("done") | (F.col("doc") > F.col("_own"))
+    shared = (F.col("_lo") != F.col("_hi")) & (settled | (F.col("_s0") != F.col("_s1")))
+    rows = rows.filter(F.col("done") | shared).select("key", "at", settled.alias("settled"))
     rows = materialise(rows, "repeat-stretches")
     spans = rows.filter("not settled").groupBy(F.col("key").alias("_key")).agg(F.collect_set("at").alias("spans"))
     windows = materialise(_windows_of(docs.join(spans, "_key"), window), "repeat-windows")
