@@ -88,7 +88,8 @@ def _first_graph(nodes: DataFrame, width: int, k: int, orders: int) -> DataFrame
                 s = x[e] @ x[e].T
                 s[(label[e][:, None] != label[e][None, :]) | (t[e][:, None] != t[e][None, :]) | (node[e][:, None] == node[e][None, :])] = -2
                 out.append(_top(s, node[e], k))
-            yield _best(*(np.concatenate(c) for c in zip(*out, strict=True)))
+            if out:
+                yield _best(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
     return runs.mapInArrow(compare, "v long, u long, s double")
 

@@ -25,7 +25,7 @@ def matrix(col: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """A list column as a matrix of doubles (no nulls, equal lengths)."""
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), width)
 
 
 def unit(m: np.ndarray) -> np.ndarray:
