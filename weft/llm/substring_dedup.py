@@ -170,8 +170,8 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
                 # empty texts share their start with the text after them, which is the one found
                 for col, x in zip(out, (name, span, (first - starts[own]) * _PACK + last - starts[own], rows[own]), strict=True):
                     col.append(x)
-            if not out[0]:
-                continue
+            if not any(len(c) for c in out[0]):
+                continue  # no text here has a whole window
             name, span, at, row = (np.concatenate(c) for c in out)
             doc, key = ids[row], keys[row]
             # what a smaller document of the batch holds as well is settled here: a passage that very
