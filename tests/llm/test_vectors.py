@@ -43,6 +43,40 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and max(links) > 25
 
 
+def _at_angle(r, v, cosine):
+    """A unit vector with this cosine to the unit vector ``v``."""
+    w = r.normal(size=len(v))
+    w -= (w @ v) * v
+    return cosine * v + np.sqrt(1 - cosine**2) * w / np.sqrt(w @ w)
+
+
+def _brute(x, threshold=0.93):
+    """``(links, smallest member of the component)`` of every row of unit vectors."""
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    cls = np.arange(len(x))
+    while True:
+        low = np.array([min(c, cls[n].min(initial=c)) for c, n in zip(cls, near, strict=True)])
+        if (low == cls).all():
+            return near.sum(axis=1), cls
+        cls = low
+
+
+def test_groups_of_near_copies_link_across(spark):
+    # edited versions, each copied with noise: closer inside a group than across, all above 0.93
+    r, x = np.random.default_rng(8), []
+    for _ in range(40):
+        a = unit(r.normal(size=64))
+        b = _at_angle(r, a, 0.955)
+        x += [unit(v + r.normal(size=64) * 0.006) for v in [a] * 40 + [b] * 40]
+    x = np.stack([unit(v) for v in x])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], EMPTY)
+    links, cls = _brute(x)
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embed_dedup.near_duplicates(df).collect()}
+    assert len(set(cls.tolist())) == 40
+    assert got == {i: (links[i], cls[i]) for i in range(len(x))}
+
+
 def test_search_is_exact_in_one_part_and_near_in_many(spark):
     rows, df = vectors(spark)
     mine = df.select("vec_id", "embedding")

@@ -5,9 +5,10 @@ The first neighbour graph comes from random orders: in each of ``ORDERS`` orders
 hyperplane bits, then a random projection) every node takes its nearest nodes within a block of
 consecutive nodes; a hot label or thousands of near copies are just more blocks. Then rounds of
 NN-descent: the members of each neighbourhood (neighbours and nodes that have it as neighbour) are
-compared with each other and improve their lists. A node whose whole list is above the threshold
-is saturated: its list is enlarged for the next round. After every round the graph's threshold
-edges are audited on ``AUDIT`` nodes against all rows, in blocks, and rounds go on until their
+compared with each other and improve their lists. Threshold edges join components for good, and
+every node lists its nearest nodes of its own component and of other components apart: what is
+searched for is links between components, and near copies take no place from them. After every
+round the components are audited on ``AUDIT`` nodes against all rows, in blocks, and rounds go on until their
 recall is ``TARGET_RECALL`` (at most ``ROUNDS``).
 
 Threshold edges give components. Links are counted inside the components by comparing blocks of
@@ -57,9 +58,38 @@ def _top(sims: np.ndarray, node: np.ndarray, k: int):
     return np.repeat(node, k)[ok.ravel()], node[at].ravel()[ok.ravel()], s.ravel()[ok.ravel()]
 
 
-def _first_graph(nodes: DataFrame, width: int, k: int, orders: int) -> DataFrame:
-    """Neighbours within blocks of consecutive nodes in random orders."""
-    rng = np.random.default_rng(11)
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells ``(i, j)`` of a boolean matrix that connect every row and column that ``near`` connects."""
+    rows, cols, turned = near.any(axis=1), near.any(axis=0), np.ascontiguousarray(near.T)
+    out: list[tuple[int, int]] = []
+    for start in np.flatnonzero(rows):
+        todo = [start] if rows[start] else []
+        rows[start] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & cols)
+            cols[new] = False
+            for j in new:
+                more = np.flatnonzero(turned[j] & rows)
+                rows[more] = False
+                out.append((i, j))
+                out += [(m, j) for m in more]
+                todo += more.tolist()
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def _offers(s: np.ndarray, node: np.ndarray, k: int, threshold: float):
+    """What a block of compared nodes tells: each row's k best columns, and sure threshold pairs
+    that connect all that the block's threshold pairs connect, however many nearer ones there are."""
+    i, j = _forest(s >= threshold + _EPS)
+    v, u, x = _top(s, node, k)
+    both = [np.concatenate(c) for c in ((v, node[i], node[j]), (u, node[j], node[i]), (x, s[i, j], s[i, j]))]
+    return tuple(both)
+
+
+def _first_graph(nodes: DataFrame, width: int, k: int, orders: int, threshold: float, seed: int = 11) -> DataFrame:
+    """Neighbours of other components within blocks of consecutive nodes in random orders."""
+    rng = np.random.default_rng(seed)
     planes = rng.normal(size=(orders, 13, width))
     send = nodes.sparkSession.sparkContext.broadcast(planes)
 
@@ -71,66 +101,81 @@ def _first_graph(nodes: DataFrame, width: int, k: int, orders: int) -> DataFrame
                 code = ((side[:, :12] > 0) * (1 << np.arange(12))).sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int32()), pa.array(side[:, 12], pa.float64()), *batch.columns],
-                    ["t", "code", "proj", "node", "label", "vec"])
+                    ["t", "code", "proj", "node", "label", "vec", "comp"])
 
-    placed = nodes.select("node", "label", "vec").mapInArrow(
-        place, "t int, code int, proj double, node long, label string, vec array<float>")
+    placed = nodes.select("node", "label", "vec", "comp").mapInArrow(
+        place, "t int, code int, proj double, node long, label string, vec array<float>, comp long")
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     runs = placed.repartitionByRange(parts, "t", "label", "code", "proj", "node").sortWithinPartitions("t", "label", "code", "proj", "node")
 
     def compare(batches):
         for batch in batches:
             t, node, label = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(4).dictionary_encode().indices.to_numpy()
-            x = V.unit(V.matrix(batch.column(5), width))
+            x, comp = V.unit(V.matrix(batch.column(5), width)), batch.column(6).to_numpy()
             out = []
             for at in range(0, len(x), RUN // 2):  # half-overlapping runs
                 e = slice(at, at + RUN)
                 s = x[e] @ x[e].T
-                s[(label[e][:, None] != label[e][None, :]) | (t[e][:, None] != t[e][None, :]) | (node[e][:, None] == node[e][None, :])] = -2
-                out.append(_top(s, node[e], k))
+                s[(label[e][:, None] != label[e][None, :]) | (t[e][:, None] != t[e][None, :]) | (comp[e][:, None] == comp[e][None, :])] = -2
+                out.append(_offers(s, node[e], k, threshold))
             if out:
                 yield _best(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
     return runs.mapInArrow(compare, "v long, u long, s double")
 
 
-def _lists(graph: DataFrame, sizes: DataFrame | None, k: int) -> DataFrame:
-    """The best neighbours of each node: k, or as many as ``sizes(v, k)`` says."""
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("s"), "u"))
-    ranked = graph.groupBy("v", "u").agg(F.max("s").alias("s")).withColumn("_r", rank)
-    if sizes is None:
-        return ranked.filter(F.col("_r") <= k).drop("_r")
-    return ranked.join(sizes, "v", "left").filter(F.col("_r") <= F.coalesce("k", F.lit(k))).select("v", "u", "s")
+def _lists(graph: DataFrame, comps: DataFrame, k: int) -> DataFrame:
+    """The k best neighbours of each node in its own component and the k best in others, which
+    near copies of the node therefore cannot crowd out: ``(v, u, s, same)``."""
+    side = comps.select(F.col("node").alias("v"), F.col("comp").alias("_a"))
+    other = comps.select(F.col("node").alias("u"), F.col("comp").alias("_b"))
+    rows = graph.groupBy("v", "u").agg(F.max("s").alias("s")).join(side, "v", "left").join(other, "u", "left").select(
+        "v", "u", "s", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("same"))
+    rank = F.row_number().over(Window.partitionBy("v", "same").orderBy(F.desc("s"), "u"))
+    return rows.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def _improve(graph: DataFrame, nodes: DataFrame, width: int, k: int, step: int) -> DataFrame:
-    """Compares the members of every neighbourhood with each other; better neighbours only."""
-    kth = graph.groupBy("v").agg(F.min("s").alias("worst")).withColumnRenamed("v", "node")
+def _improve(graph: DataFrame, nodes: DataFrame, width: int, k: int, step: int, threshold: float) -> DataFrame:
+    """Compares the members of every neighbourhood with each other; better neighbours in other
+    components only."""
+    kth = graph.filter(~F.col("same")).groupBy("v").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("_n")).select(
+        F.col("v").alias("node"), F.when(F.col("_n") >= k, F.col("worst")).alias("worst"))
     forward = graph.select(F.col("v").alias("c"), F.col("u").alias("node"))
     back = graph.select(F.col("u").alias("c"), F.col("v").alias("node"))
     # of the many that may have a node as neighbour, each round looks at another random few
     turn = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("node", "c", F.lit(step))))
     back = back.withColumn("_r", turn).filter(F.col("_r") <= 2 * k).drop("_r")
-    fore = forward.withColumn("_r", turn).filter(F.col("_r") <= 2 * k).drop("_r")
-    members = fore.unionByName(back).unionByName(nodes.select(F.col("node").alias("c"), "node")).distinct()
-    rows = members.join(nodes.select("node", "label", "vec"), "node").join(kth, "node", "left").select(
-        "c", "node", F.coalesce("worst", F.lit(-1.0)).alias("worst"), "vec")
+    members = forward.unionByName(back).unionByName(nodes.select(F.col("node").alias("c"), "node")).distinct()
+    rows = members.join(nodes.select("node", "comp", "vec"), "node").join(kth, "node", "left").select(
+        "c", "node", "comp", F.coalesce("worst", F.lit(-1.0)).alias("worst"), "vec")
     rows = rows.repartition("c").sortWithinPartitions("c")
 
     def compare(batches):
         for t, edge in whole_groups(batches, "c"):
-            node, worst, x = t.column("node").to_numpy(), t.column("worst").to_numpy(), V.unit(V.matrix(t.column("vec"), width))
+            node, comp, worst, x = t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("worst").to_numpy(), V.unit(V.matrix(t.column("vec"), width))
             out = []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 s = x[a:b] @ x[a:b].T
-                np.fill_diagonal(s, -2)
-                s[s <= worst[a:b][:, None]] = -2
-                out.append(_top(s, node[a:b], 4))
+                s[(comp[a:b][:, None] == comp[a:b][None, :]) | ((s <= worst[a:b][:, None]) & (s < threshold))] = -2
+                out.append(_offers(s, node[a:b], 4, threshold))
             yield _best(*(np.concatenate(col) for col in zip(*out, strict=True)))
 
     return rows.mapInArrow(compare, "v long, u long, s double")
 
 
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, comp)`` of the nodes with a link, when ``links(v, u)`` join the components so far."""
+    edges = links.select("u", "v")
+    if comps is not None:
+        edges = edges.unionByName(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+    return components(edges).withColumnRenamed("label", "comp")
+
+
+def _with_comp(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The nodes with their component; a node without links is its own."""
+    return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def _audit(nodes: DataFrame, width: int, threshold: float, sample: int) -> DataFrame:
     """True threshold pairs of a fixed random sample of nodes, against all nodes in blocks."""
     few = nodes.select("node", "label", "vec").orderBy(F.xxhash64("node", F.lit(5))).limit(sample).toArrow()
@@ -185,25 +230,27 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, k: int = K) -> Dat
         F.first("label").alias("label"), F.first("embedding").alias("vec"),
         F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("vec_id")), "vectors")
 
-    graph = materialise(_lists(_first_graph(nodes, width, k, ORDERS), None, k), "graph")
+    graph = materialise(_first_graph(nodes.withColumn("comp", F.col("node")), width, k, ORDERS, threshold), "graph")
+    comps = _joined(None, graph.filter(F.col("s") >= threshold + _EPS))
+    # the same search again between the components: what near copies hide from each other in a list
+    more = _first_graph(_with_comp(nodes, comps), width, k, ORDERS, threshold, seed=12)
+    more = materialise(more, "graph")
+    comps = _joined(comps, more.filter(F.col("s") >= threshold + _EPS))
+    graph = materialise(_lists(graph.unionByName(more), comps, k), "graph")
     truth = materialise(_audit(nodes, width, threshold, AUDIT), "audit")
-    wanted, sizes = truth.count(), None
+    wanted = truth.count()
     for step in range(ROUNDS):
-        better = _improve(graph, nodes, width, k, step)
-        # saturated: the whole list is above the threshold, so it may be too short
-        full = graph.groupBy("v").agg(F.min("s").alias("_w"), F.count(F.lit(1)).alias("_n")).filter(
-            (F.col("_w") >= threshold) & (F.col("_n") >= k))
-        sizes = full.select("v", F.lit(4 * k).alias("k"))
-        graph = materialise(_lists(graph.unionByName(better), sizes, k), "graph")
-        labels = components(graph.filter(F.col("s") >= threshold + _EPS).select(F.col("u"), F.col("v")))
+        better = materialise(_improve(graph, _with_comp(nodes, comps), width, k, step, threshold), "better")
+        comps = _joined(comps, better.filter(F.col("s") >= threshold + _EPS))
+        graph = materialise(_lists(graph.select("v", "u", "s").unionByName(better), comps, k), "graph")
         if step + 1 < MIN_ROUNDS:
             continue
-        side = labels.select(F.col("node").alias("v"), F.col("label").alias("_a"))
-        other = labels.select(F.col("node").alias("u"), F.col("label").alias("_b"))
+        side = comps.select(F.col("node").alias("v"), F.col("comp").alias("_a"))
+        other = comps.select(F.col("node").alias("u"), F.col("comp").alias("_b"))
         found = truth.join(side, "v").join(other, "u").filter("_a = _b").count()
         if found >= TARGET_RECALL * wanted:
             break
-    members = labels.withColumnRenamed("label", "comp").join(nodes, "node")
+    members = comps.join(nodes, "node")
     least = members.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
     classes = members.select("node", "comp").join(least, "comp").select("node", "component_id")
     links = _count_links(members, width, threshold)
