@@ -77,6 +77,19 @@ def test_groups_of_near_copies_link_across(spark):
     assert got == {i: (links[i], cls[i]) for i in range(len(x))}
 
 
+def test_pairs_that_the_search_misses_are_found(spark, monkeypatch):
+    # one random order and one round are too little: the audit must notice, and the label is compared
+    monkeypatch.setattr(embed_dedup, "ORDERS", 1)
+    monkeypatch.setattr(embed_dedup, "ROUNDS", 1)
+    r = np.random.default_rng(9)
+    x = [unit(v) for v in r.normal(size=(3000, 64))]
+    x = np.stack([unit(v) for v in x + [_at_angle(r, v, 0.94) for v in x[:150]]])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], EMPTY)
+    links, cls = _brute(x)
+    got = {g.vec_id: (g.n_links, g.component_id) for g in embed_dedup.near_duplicates(df).collect()}
+    assert links.sum() == 300 and got == {i: (links[i], cls[i]) for i in range(len(x))}
+
+
 def test_search_is_exact_in_one_part_and_near_in_many(spark):
     rows, df = vectors(spark)
     mine = df.select("vec_id", "embedding")

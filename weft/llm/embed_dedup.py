@@ -7,9 +7,15 @@ consecutive nodes; a hot label or thousands of near copies are just more blocks.
 NN-descent: the members of each neighbourhood (neighbours and nodes that have it as neighbour) are
 compared with each other and improve their lists. Threshold edges join components for good, and
 every node lists its nearest nodes of its own component and of other components apart: what is
-searched for is links between components, and near copies take no place from them. After every
-round the components are audited on ``AUDIT`` nodes against all rows, in blocks, and rounds go on until their
-recall is ``TARGET_RECALL`` (at most ``ROUNDS``).
+searched for is links between components, and near copies take no place from them. Rounds end when
+one finds no new link (at most ``ROUNDS``).
+
+Then every label is audited: up to ``AUDIT`` nodes that stand for a component (or have no link) and
+as many other members are compared with the whole label in blocks. A node is whole if all its true
+links stay in its component. The links that the audit finds are kept, so a label of up to ``AUDIT``
+nodes is exact. In a larger label ``TARGET_RECALL`` of the audited nodes with links must be whole,
+and there must be ``ENOUGH`` of them; a label that does not show this (also one with next to no
+links) is compared whole, in blocks, which is exact and grows with the square of the label.
 
 Threshold edges give components. Links are counted inside the components by comparing blocks of
 at most ``BLOCK`` nodes with each other, without emitting pairs, so the lists' length limits no
@@ -39,9 +45,12 @@ ORDERS = 6
 RUN = 64
 ROUNDS = 5
 MIN_ROUNDS = 2
-AUDIT = 64
+AUDIT = 1024
+ENOUGH = 100
 TARGET_RECALL = 0.99
 BLOCK = 1024
+WIDE = 16384
+SLICE = 512
 _EPS = 1e-9
 
 
@@ -176,21 +185,90 @@ def _with_comp(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _audit(nodes: DataFrame, width: int, threshold: float, sample: int) -> DataFrame:
-    """True threshold pairs of a fixed random sample of nodes, against all nodes in blocks."""
-    few = nodes.select("node", "label", "vec").orderBy(F.xxhash64("node", F.lit(5))).limit(sample).toArrow()
-    send = nodes.sparkSession.sparkContext.broadcast(
-        (few.column(0).to_numpy(), np.array(few.column(1).to_pylist(), object), V.unit(V.matrix(few.column(2), width))))
-
-    def compare(batches):
-        ids, labels, y = send.value
-        for batch in batches:
-            node, label, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), V.unit(V.matrix(batch.column(2), width))
-            s = y @ x.T
-            a, b = np.nonzero((s >= threshold) & (labels[:, None] == label[None, :]) & (ids[:, None] != node[None, :]))
-            yield _best(ids[a], node[b], s[a, b])
-
-    return nodes.select("node", "label", "vec").mapInArrow(compare, "v long, u long, s double")
+def _joining(pairs: zip) -> list[bool]:
+    """Which of the pairs of components join what the pairs before left apart."""
+    above: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in above:
+            up = above[c]
+            above[c] = above.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        out.append(a != b)
+        if a != b:
+            above[a] = b
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` are linked, decided in double precision."""
+    s = V.unit(a) @ V.unit(b).T
+    i, j = np.nonzero(np.abs(s - threshold) < _EPS)  # too near to trust the matrix product
+    s[i, j] = V.cosines(a[i], b[j])
+    return s >= threshold
+
+
+def _sampled(nodes: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes with ``first`` (stands for its component, alone or not) and ``left`` (audited), and
+    the number of nodes by label and ``first``. Both kinds are sampled by themselves, so a large
+    group counts once among the components; up to ``sample`` nodes of a kind are all audited."""
+    nodes = nodes.withColumn("first", F.col("node") == F.col("comp"))
+    sizes = nodes.groupBy("label", "first").agg(F.count(F.lit(1)).alias("n"))
+    place = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20))
+    return nodes.join(sizes, ["label", "first"]).withColumn("left", place * F.col("n") < F.lit(sample << 20)).drop("n"), sizes
+
+
+def _compare(rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Compares the rows marked ``left`` with all rows of their label, by pairs of blocks of about
+    ``WIDE`` nodes. ``(v, u, whole)``: links that join all components with a link between them, and
+    for every left node with links one row of each block, u null, whole if all stay in its component."""
+    blocks = F.ceil(F.count(F.lit(1)) / WIDE).cast("int")
+    sizes = rows.groupBy("label").agg(blocks.alias("_q"), F.ceil(F.count_if("left") / WIDE).cast("int").alias("_p")).filter("_p > 0")
+    placed = rows.join(sizes, "label").select(
+        "label", "node", "vec", "comp", "left", "_p", "_q", F.pmod(F.xxhash64("node", F.lit(4)), F.col("_p")).cast("int").alias("_a"),
+        F.pmod(F.xxhash64("node", F.lit(3)), F.col("_q")).cast("int").alias("_b"))
+    right = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda j: F.struct(F.lit(1).alias("side"), j.alias("a"), F.col("_b").alias("b")))
+    left = F.transform(F.sequence(F.lit(0), F.col("_q") - 1), lambda j: F.struct(F.lit(0).alias("side"), F.col("_a").alias("a"), j.alias("b")))
+    cells = F.when(F.col("left"), F.concat(left, right)).otherwise(right)
+    grid = placed.select("label", "node", "vec", "comp", F.explode(cells).alias("_cell")).select("label", "node", "vec", "comp", "_cell.*")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        side, x = cell.column("side").to_numpy(), V.matrix(cell.column("vec"), width)
+        node, comp = cell.column("node").to_numpy(), cell.column("comp").to_numpy()
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        linked, missed, pairs = np.zeros(len(p), bool), np.zeros(len(p), bool), []
+        for at in range(0, len(p), SLICE):
+            few = p[at:at + SLICE]
+            near = _near(x[few], x[q], threshold) & (node[few][:, None] != node[q][None, :])
+            linked[at:at + SLICE] = near.any(axis=1)
+            near &= comp[few][:, None] != comp[q][None, :]
+            missed[at:at + SLICE] = near.any(axis=1)
+            i, j = _forest(near)
+            pairs.append((few[i], q[j]))
+        i, j = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*pairs, strict=True) if pairs else ((), ())))
+        keep = np.array(_joining(zip(comp[i].tolist(), comp[j].tolist(), strict=True)), bool)
+        v = np.concatenate([node[i[keep]], node[p[linked]]])
+        u = pa.array(np.concatenate([node[j[keep]], np.zeros(linked.sum(), np.int64)]), pa.int64(), mask=np.arange(len(v)) >= keep.sum())
+        whole = pa.array(np.concatenate([np.zeros(keep.sum(), bool), ~missed[linked]]))
+        return pa.table({"v": pa.array(v, pa.int64()), "u": u, "whole": whole})
+
+    return grid.groupBy("label", "a", "b").applyInArrow(compare, "v long, u long, whole boolean")
+
+
+def _unproven(nodes: DataFrame, sizes: DataFrame, found: DataFrame, sample: int) -> DataFrame:
+    """Labels whose audit does not show that the components are whole: of a kind of which only a
+    part was audited, fewer than ``ENOUGH`` audited nodes have links, or too few of these are whole."""
+    audited = found.filter("u is null").groupBy("v").agg(F.min("whole").alias("whole")).withColumnRenamed("v", "node")
+    kinds = nodes.select("node", "label", "first").join(audited, "node").groupBy("label", "first").agg(
+        F.count(F.lit(1)).alias("linked"), F.count_if("whole").alias("whole"))
+    shown = (F.col("linked") >= ENOUGH) & (F.col("whole") >= TARGET_RECALL * F.col("linked"))
+    return sizes.filter(F.col("n") > sample).join(kinds, ["label", "first"], "left").filter(
+        ~F.coalesce(shown, F.lit(False))).select("label").distinct()
 
 
 def _count_links(members: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -207,10 +285,7 @@ def _count_links(members: DataFrame, width: int, threshold: float) -> DataFrame:
         x, node, weight = V.matrix(cell.column("vec"), width), cell.column("node").to_numpy(), cell.column("weight").to_numpy()
         p, q = side == 0, side == 1
         a, b = x[p], x[q]
-        s = V.unit(a) @ V.unit(b).T
-        i, j = np.nonzero(np.abs(s - threshold) < _EPS)  # too near to trust the matrix product
-        s[i, j] = V.cosines(a[i], b[j])
-        links = ((s >= threshold) & (node[p][:, None] != node[q][None, :])) @ weight[q]
+        links = (_near(a, b, threshold) & (node[p][:, None] != node[q][None, :])) @ weight[q]
         return pa.table({"node": pa.array(node[p], pa.int64()), "links": pa.array(links, pa.int64())})
 
     return grid.groupBy("comp", "a", "b").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
@@ -237,19 +312,21 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, k: int = K) -> Dat
     more = materialise(more, "graph")
     comps = _joined(comps, more.filter(F.col("s") >= threshold + _EPS))
     graph = materialise(_lists(graph.unionByName(more), comps, k), "graph")
-    truth = materialise(_audit(nodes, width, threshold, AUDIT), "audit")
-    wanted = truth.count()
     for step in range(ROUNDS):
         better = materialise(_improve(graph, _with_comp(nodes, comps), width, k, step, threshold), "better")
-        comps = _joined(comps, better.filter(F.col("s") >= threshold + _EPS))
-        graph = materialise(_lists(graph.select("v", "u", "s").unionByName(better), comps, k), "graph")
-        if step + 1 < MIN_ROUNDS:
-            continue
-        side = comps.select(F.col("node").alias("v"), F.col("comp").alias("_a"))
-        other = comps.select(F.col("node").alias("u"), F.col("comp").alias("_b"))
-        found = truth.join(side, "v").join(other, "u").filter("_a = _b").count()
-        if found >= TARGET_RECALL * wanted:
+        links = better.filter(F.col("s") >= threshold + _EPS)
+        if step + 1 >= MIN_ROUNDS and not links.head(1):
             break
+        comps = _joined(comps, links)
+        graph = materialise(_lists(graph.select("v", "u", "s").unionByName(better), comps, k), "graph")
+    placed, sizes = _sampled(_with_comp(nodes, comps), AUDIT)
+    found = materialise(_compare(placed, width, threshold), "audit")
+    rest = materialise(_unproven(placed, sizes, found, AUDIT), "unproven")
+    comps = _joined(comps, found.filter("u is not null"))
+    if rest.head(1):
+        whole = _with_comp(nodes, comps).join(rest, "label", "left_semi").withColumn("left", F.lit(True))
+        found = materialise(_compare(whole, width, threshold), "compared")
+        comps = _joined(comps, found.filter("u is not null"))
     members = comps.join(nodes, "node")
     least = members.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
     classes = members.select("node", "comp").join(least, "comp").select("node", "component_id")
