@@ -217,3 +217,21 @@ def test_language_id(spark):
 
     held = spark.createDataFrame([(i, t, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else lang) for i, t, lang in rows[:120]], EMPTY)
     assert set(lang_id.learn(held)) == {"en", "de"}
+
+
+def test_short_texts_keep_their_language(spark):
+    import random
+
+    en = "the quick brown fox jumps over the lazy dog and then it runs away from the angry farmer".split()
+    de = "der schnelle braune fuchs springt über den faulen hund und läuft dann vor dem bauern davon".split()
+    r = random.Random(2)
+    learned = [(i, " ".join(r.choices(en if i % 2 else de, k=60)), "en" if i % 2 else "de") for i in range(120)]
+    model = lang_id.learn(spark.createDataFrame(learned, EMPTY))
+    short = [(i, " ".join(r.choices(en if i % 2 else de, k=1 + i % 5)).capitalize() + ".", "en" if i % 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(short, EMPTY)
+    assert [(p.doc_id, p.lang_pred, p.rejected) for p in lang_id.predict(df, model).orderBy("doc_id").collect()] == [
+        (i, lang, False) for i, _, lang in short]
+    assert lang_id.accepted(df, model).count() == 60
+    # what both languages hold alike is still a narrow margin
+    both = {"a": b"same words in both", "b": b"same words in both"}
+    assert lang_id.accepted(spark.createDataFrame([(1, "same", None)], EMPTY), both).count() == 0

@@ -5,19 +5,25 @@ bounded sample of its texts. A text is compressed whole, in blocks of ``BLOCK``
 dictionary; the language whose dictionary leaves the fewest bytes wins. The score is the relative
 margin to the runner-up, and a margin below ``MIN_MARGIN`` marks the row as rejected.
 
+Below ``COARSE`` bytes one byte is about that margin, and short texts tie. There the languages within
+two bytes of the best are measured in fractions of a bit: the length of the text under a model of up to
+``ORDER`` preceding bytes, counted in the language's dictionary. Winner and margin come from it.
+
 The sample is bounded by ``SAMPLE_DOCS`` texts per language, ``SAMPLE_CHARS`` characters of each,
 and ``DICT_BYTES`` bytes of dictionary; what reaches the driver grows with the number of
 languages, not of rows. Prediction reads whole texts.
 
 Defined results: text null or without a letter gives ``und``, score 0, rejected; no labelled
 row at all gives ``und`` for every row; one language only gives that language with score 1;
-equal sizes are decided by the language's name and have margin 0. A null doc_id is never
+what is still equal is decided by the language's name and has margin 0. A null doc_id is never
 learned from and counts as not held out.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +36,8 @@ DICT_BYTES = 64 << 10
 BLOCK = 16 << 10
 LEVEL = 6
 MIN_MARGIN = 0.005
+COARSE = 400
+ORDER = 4
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -63,18 +71,41 @@ def _coders(dictionaries: list[tuple[str, bytes]]):
         d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         params = zstd.ZstdCompressionParameters.from_level(
             LEVEL, dict_size=len(raw), write_checksum=False, write_content_size=False, write_dict_id=False)
-        out.append((name, zstd.ZstdCompressor(dict_data=d, compression_params=params)))
+        out.append((name, zstd.ZstdCompressor(dict_data=d, compression_params=params), _Bits(raw)))
     return out
 
 
+class _Bits:
+    """Length of a text in bits under a dictionary's byte sequences (counted on first use)."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.seen = raw, None
+
+    def __call__(self, data: bytes) -> float:
+        if self.seen is None:
+            n = len(self.raw)
+            self.seen = [Counter(self.raw[i:i + k] for i in range(n - k + 1)) for k in range(ORDER + 2)]
+        text, total = b"\n" + data + b"\n", 0.0
+        for at in range(1, len(text)):
+            p = 1 / 256
+            for k in range(min(at, ORDER) + 1):  # each order leans on the one below it
+                p = (self.seen[k + 1][text[at - k:at + 1]] + p) / (self.seen[k][text[at - k:at]] + 1)
+            total -= math.log2(p)
+        return total
+
+
 def _judge(text: str | None, coders) -> tuple[str, float, bool]:
     """Language, score, and whether the text is rejected."""
     if not coders or not text or not _LETTER.search(text):
         return UNKNOWN, 0.0, True
     data = text.lower().encode()
     blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
-    sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in coders)
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c, _ in coders)
     score = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+    if score < MIN_MARGIN and sizes[0][0] < COARSE:
+        close = {name for n, name in sizes if n <= sizes[0][0] + 2}
+        sizes = sorted((bits(data), name) for name, _, bits in coders if name in close)
+        score = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
     return sizes[0][1], score, score < MIN_MARGIN
 
 
