@@ -166,7 +166,7 @@ def test_license_scan(spark):
 
 def test_secret_rules():
     spans = secret_scan.base_spans
-    assert spans('Password = "hunter2hunter2"') == [(0, 0, 25)]
+    assert spans('Password = "hunter2hunter2"') == [(0, 0, 26)]
     assert spans("secret: token: abcdefghij") == []  # the short match takes the second keyword with it
     assert spans("api_key=abcdefgh APIKEY:'x'") == [(0, 0, 16)]
     assert spans("ſecret=abcdefghij") == []

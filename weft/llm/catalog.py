@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import ann, bpe, embed_dedup, jaccard_join, lang_id, license_scan, mixing, quality, secret_scan, substring_dedup
+from weft.llm import ann, bpe, embed_dedup, jaccard_join, lang_id, license_scan, mixing, ppm, quality, runs, secret_scan, spelling, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,48 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def crc_remainder(doc_id: str, modulus: int):
+    """The remainder of the id's crc32, as text; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+
+
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
+    return ppm.score(_table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by the id's crc32, repeat some of their words to their end."""
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    planted = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.get(
+        "_w", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
+    g = F.floor(F.col("_h") / 10)
+    some = (docs.filter("_h % 10 = 0 and text is not null").withColumn("_w", words).withColumn("_n", F.size("_w").cast("long"))
+            .withColumn("_a", g % F.greatest("_n", F.lit(1))).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)))
+            .select("doc_id", F.when(F.col("_n") > 0, F.array_join(planted, " ")).otherwise("").alias("text")))
+    return docs.filter("not (_h % 10 = 0 and text is not null) or _h is null").select("doc_id", "text").unionByName(some)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_period(_table(spark, sf_dir, "documents")))
+    # more periods first, then by start and period: exact products instead of quotients
+    more = F.array_sort("runs", lambda a, b: F.when(a["length"] * b["period"] != b["length"] * a["period"], F.when(
+        a["length"] * b["period"] > b["length"] * a["period"], -1).otherwise(1)).when(a["start"] != b["start"], F.when(
+            a["start"] < b["start"], -1).otherwise(1)).otherwise(F.when(a["period"] < b["period"], -1).when(a["period"] > b["period"], 1).otherwise(0)))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("_top", F.get(more, F.lit(0))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_top.start").alias("start"), F.col("_top.length").alias("length"),
+        F.col("_top.period").alias("period"), F.floor(1000 * F.col("_top.length") / F.col("_top.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(line, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), typo_modulus=199)
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -90,6 +132,9 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {
     "op3_license_scans": license_scan.oracle_sql(),
