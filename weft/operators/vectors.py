@@ -1,9 +1,8 @@
 """Document collection: ids, embedding, delete, upsert, filters and kNN.
 
-Exact kNN pairs blocks of queries with blocks of documents (an equi-join on block numbers), scores
-each pair with one ``Q @ D^T`` product in a task, keeps the top k per query there, and merges the
-partial lists with a per-query window. Row pairs are never materialised, nothing but row counts
-reaches the driver, and equality filters and score thresholds are applied before ranking.
+Exact kNN scores blocks of documents against the queries whose filters allow them (``topk``), keeps the
+top k per query in each task, and merges the partial lists with a per-query window. Row pairs are never
+materialised; queries of a checked size travel to the documents, larger sets meet them in blocks.
 """
 
 from __future__ import annotations
@@ -13,20 +12,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.functions import vector as V
+from weft.operators import topk
 
-# Rows of a block of queries and of documents (vectors of a block are a few MB).
-QUERY_BLOCK_ROWS = 1024
-DOC_BLOCK_ROWS = 4096
-# Documents scored per step, and the memory for the score matrices of one step (a few float64
-# arrays of queries x documents); the step shrinks so that this bound holds.
-KERNEL_BATCH_ROWS = 4096
-SCORE_BUDGET_BYTES = 256 * 1024 * 1024
+# Rows of a block of queries and of documents, where both sides are dealt to blocks.
+QUERY_BLOCK_ROWS = 4096
+DOC_BLOCK_ROWS = 16384
+# The largest query side that travels to the documents.
+QUERY_SIDE_ROWS = 1 << 16
+QUERY_SIDE_BYTES = 32 << 20
 
 HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -91,167 +91,92 @@ def filter_meta(df: DataFrame, flt: dict | None, meta_col: str = "metadata") ->
     return df.where(reduce(lambda a, b: a & b, conds))
 
 
-# ----------------------------------------------------------------- matrix kernel
+# ----------------------------------------------------------------- search
 
 
-def _score(pdf, q, metric, filters, min_score, max_score):
-    """Score one docs batch against all queries; returns (rank scores, raw scores, doc ids)."""
-    d = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-    ids = pdf["doc_id"].to_numpy(dtype=np.int64)
-    if metric == "cosine":
-        n = np.linalg.norm(d, axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            d = d / n[:, None]
-        s = q["unit"] @ d.T
-        s[:, n == 0] = -np.inf
-        s[q["qzero"], :] = -np.inf
-        rank_s = s
-    elif metric == "dot":
-        s = q["mat"] @ d.T
-        rank_s = s
-    else:  # squared euclidean: lower is better, rank on the negation
-        s = np.maximum(q["sq"][:, None] - 2.0 * (q["mat"] @ d.T) + (d * d).sum(axis=1)[None, :], 0.0)
-        rank_s = -s
-    mask = np.ones(rank_s.shape, dtype=bool)
-    for qcol, dcol in filters:
-        mask &= q["filters"][qcol][:, None] == pdf[dcol].to_numpy()[None, :]
-    for dcol, (vocab, qt, free) in q.get("overlap", {}).items():
-        dt = np.zeros((len(pdf), max(len(vocab), 1)))
-        for j, tags in enumerate(pdf[dcol].to_numpy()):
-            for t in (tags if tags is not None else ()):
-                i = vocab.get(t)
-                if i is not None:
-                    dt[j, i] = 1.0
-        mask &= ((qt @ dt.T) > 0) | free[:, None]
-    if min_score is not None:
-        mask &= s >= min_score
-    if max_score is not None:
-        mask &= s <= max_score
-    rank_s = np.where(mask, rank_s, -np.inf)
-    # rank on 9 decimals so last-bit noise of the float sum never reorders ties
-    return np.round(rank_s, 9), rank_s, ids
-
-
-def _top(rank_s, raw_s, ids, kmax):
-    """Top-kmax per row by (score desc, id asc), exact under ties at the cut."""
-    nq, n = rank_s.shape
-    kk = min(kmax, n)
-    idx = np.argpartition(-rank_s, kk - 1, axis=1)[:, :kk]
-    t = np.take_along_axis(rank_s, idx, axis=1).min(axis=1)
-    amb = np.isfinite(t) & ((rank_s == t[:, None]).sum(axis=1) > (np.take_along_axis(rank_s, idx, axis=1)
-                                                                  == t[:, None]).sum(axis=1))
-    for r in np.nonzero(amb)[0]:
-        idx[r] = np.lexsort((ids, -rank_s[r]))[:kk]
-    top_s = np.take_along_axis(rank_s, idx, axis=1)
-    top_r = np.take_along_axis(raw_s, idx, axis=1)
-    top_d = ids[idx]
-    if kk < kmax:
-        pad = kmax - kk
-        top_s = np.concatenate([top_s, np.full((nq, pad), -np.inf)], axis=1)
-        top_r = np.concatenate([top_r, np.full((nq, pad), -np.inf)], axis=1)
-        top_d = np.concatenate([top_d, np.full((nq, pad), np.iinfo(np.int64).max, dtype=np.int64)], axis=1)
-    return top_s, top_r, top_d
-
-
-def _payload(pdf, kmax: int, filters, overlap) -> dict:
-    """The query side of one block as matrices."""
-    pdf = pdf[pdf["embedding"].notna()]
-    mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
-    qn = np.linalg.norm(mat, axis=1) if len(pdf) else np.zeros(0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        unit = np.where(qn[:, None] > 0, mat / qn[:, None], 0.0)
-    payload = {
-        "rows": pdf, "mat": mat, "unit": unit, "qzero": qn == 0, "sq": (mat * mat).sum(axis=1),
-        "filters": {c: pdf[c].to_numpy() for c in filters},
-        "k": (pdf["_k"].fillna(0).to_numpy(dtype=np.int64) if "_k" in pdf.columns else np.full(len(pdf), kmax, dtype=np.int64)),
-        "overlap": {},
-    }
-    for qcol, dcol in overlap.items():
-        lists = [list(x) if x is not None else [] for x in pdf[f"_ov_{qcol}"].to_numpy()]
-        vocab = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
-        qt = np.zeros((len(lists), max(len(vocab), 1)))
-        for r, x in enumerate(lists):
-            for t in x:
-                qt[r, vocab[t]] = 1.0
-        payload["overlap"][dcol] = (vocab, qt, np.array([len(x) == 0 for x in lists], dtype=bool))
-    return payload
-
-
-def _best_of(q, docs_pdf, metric: str, kmax: int, filters: list[tuple[str, str]], min_score, max_score, keys: list[str]):
-    """The best ``kmax`` documents of one block for each query of one block."""
-    nq = len(q["mat"])
-    best_s = np.full((nq, kmax), -np.inf)
-    best_r = np.full((nq, kmax), -np.inf)
-    best_d = np.full((nq, kmax), np.iinfo(np.int64).max, dtype=np.int64)
-    step = int(max(1, min(KERNEL_BATCH_ROWS, SCORE_BUDGET_BYTES // max(1, nq * 8 * 6))))
-    for lo in range(0, len(docs_pdf), step):
-        rank_s, raw_s, ids = _score(docs_pdf.iloc[lo:lo + step], q, metric, filters, min_score, max_score)
-        top_s, top_r, top_d = _top(rank_s, raw_s, ids, kmax)
-        cand_s = np.concatenate([best_s, top_s], axis=1)
-        cand_r = np.concatenate([best_r, top_r], axis=1)
-        cand_d = np.concatenate([best_d, top_d], axis=1)
-        order = np.lexsort((cand_d, -cand_s), axis=1)[:, :kmax]
-        best_s = np.take_along_axis(cand_s, order, axis=1)
-        best_r = np.take_along_axis(cand_r, order, axis=1)
-        best_d = np.take_along_axis(cand_d, order, axis=1)
-    keep = np.isfinite(best_s) & (np.arange(kmax)[None, :] < q["k"][:, None])
-    qi, _ = np.nonzero(keep)
-    sc = best_r[keep]
-    out = q["rows"][keys].iloc[qi].reset_index(drop=True)
-    return out.assign(doc_id=best_d[keep], score=-sc if metric == "sqeuclidean" else sc, rank_score=best_s[keep], _kq=q["k"][qi])
-
-
-def _blocks(df: DataFrame, n: int, name: str, other: str, n_other: int, *key: str) -> DataFrame:
-    """Rows dealt to ``n`` blocks by a hash of their key, once for each block of the other side."""
-    return df.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+def _sides(queries: DataFrame, docs: DataFrame, filters: dict, overlap: dict, k_col, query_id, doc_id, embedding, extra_keys):
+    """Both sides with the kernel's column names: filter columns ``_f0..``, tag columns ``_t0..``."""
+    q = [F.col(query_id).cast("long").alias("query_id"), *[F.col(c) for c in extra_keys], F.col(embedding).alias("embedding")]
+    d = [F.col(doc_id).cast("long").alias("doc_id"), F.col(embedding).alias("embedding")]
+    types = dict(docs.dtypes)
+    for i, (qc, dc) in enumerate(filters.items()):
+        q.append(F.col(qc).cast(types[dc]).alias(f"_f{i}"))
+        d.append(F.col(dc).alias(f"_f{i}"))
+    for i, (qc, dc) in enumerate(overlap.items()):
+        q.append(F.col(qc).alias(f"_t{i}"))
+        d.append(F.col(dc).alias(f"_t{i}"))
+    if k_col:
+        q.append(F.col(k_col).cast("int").alias("_k"))
+    return queries.select(*q).where(F.col("embedding").isNotNull()), docs.select(*d).where(F.col("embedding").isNotNull())
+
+
+def _dealt(q: DataFrame, d: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to cells: documents meet the queries of their filter values only, and the rows of
+    one value are cut into blocks on both sides. Values that one side does not have drop out here. The
+    counts per value read the filter columns only."""
+    value = F.xxhash64(*names) if names else F.lit(0).cast("long")
+    q, d = (x.dropna(subset=names).withColumn("_v", value) if names else x.withColumn("_v", value) for x in (q, d))
+    n_q = q.groupBy("_v").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK_ROWS).cast("int").alias("_nq"))
+    n_d = d.groupBy("_v").agg(F.ceil(F.count(F.lit(1)) / DOC_BLOCK_ROWS).cast("int").alias("_nd"))
+    cells = n_q.join(n_d, "_v")
+
+    def blocks(side, own, other, n_own, n_other, key):
+        dealt = side.join(cells, "_v").withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("_nq", "_nd")
+
+    return blocks(q, "_qb", "_db", "_nq", "_nd", "query_id"), blocks(d, "_db", "_qb", "_nd", "_nq", "doc_id")
+
+
+def _small_side(q: DataFrame, k: int) -> pa.Table | None:
+    """The queries, where they and their lists of hits stay within ``QUERY_SIDE_BYTES``; else None."""
+    rows = max(1, min(QUERY_SIDE_ROWS, QUERY_SIDE_BYTES // (24 * max(k, 1))))
+    held = q.limit(rows + 1).toArrow()
+    return held if held.num_rows <= rows and held.nbytes <= QUERY_SIDE_BYTES else None
 
 
 def knn(queries: DataFrame, docs: DataFrame, k: int = 4, metric: str = "cosine",
         filters: dict[str, str] | None = None, k_col: str | None = None,
         min_score: float | None = None, max_score: float | None = None,
         query_id: str = "query_id", doc_id: str = "doc_id", embedding: str = "embedding",
-        overlap: dict[str, str] | None = None, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+        overlap: dict[str, str] | None = None, extra_keys: tuple[str, ...] = (), counter=None) -> DataFrame:
     """Exact top-k per query (B6 cosine, B7 squared L2, B9 filters, B10 threshold).
 
     ``filters`` maps a query column to a docs column that must be equal (a
-    per-query metadata filter); ``overlap`` maps a query list column to a docs
+    per-query metadata filter; null equals nothing); ``overlap`` maps a query list column to a docs
     list column that must share an element (an empty query list does not
     restrict). ``k_col`` gives a per-query k (``k`` is the upper bound then);
     ``extra_keys`` are query columns that name a query together with its id. Returns
     the keys, ``doc_id, score, rank`` with rank 1 = best; ties by ascending ``doc_id``.
 
-    Queries and documents are dealt to blocks of bounded size in Spark, and blocks (not rows) are
-    paired by an equi-join on the block numbers: each pair is one matrix product in a task, of which
-    k rows per query leave it. The driver sees row counts only.
+    A query is scored against the documents that its filters allow and no others (``topk.Queries``);
+    ``counter``, an accumulator, adds up these products. Queries within ``QUERY_SIDE_BYTES`` travel
+    to the documents, which stay where they are. Beyond that both sides are dealt by filter value to
+    blocks, and the blocks of one value are paired by an equi-join.
     """
     filters, overlap, keys = filters or {}, overlap or {}, ["query_id", *extra_keys]
-    qcols = [F.col(query_id).cast("long").alias("query_id"), F.col(embedding).alias("embedding"), *[F.col(c) for c in extra_keys]]
-    qcols += [F.col(c).alias(c) for c in filters if c not in (query_id, embedding, *extra_keys)]
-    qcols += [F.col(c).alias(f"_ov_{c}") for c in overlap]
-    if k_col:
-        qcols.append(F.col(k_col).cast("int").alias("_k"))
-    q = queries.select(*qcols).where(F.col("embedding").isNotNull())
-    dcols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(embedding).alias("embedding")]
-    dcols += [F.col(c).alias(c) for c in set(filters.values()) | set(overlap.values())]
-    d = docs.select(*dcols).where(F.col("embedding").isNotNull())
+    q, d = _sides(queries, docs, filters, overlap, k_col, query_id, doc_id, embedding, extra_keys)
     schema = T.StructType([q.schema[c] for c in keys] + HIT_SCHEMA.fields[1:])
-    n_q, n_d = q.count(), d.count()
-    q_blocks, d_blocks = max(1, -(-n_q // QUERY_BLOCK_ROWS)), max(1, -(-n_d // DOC_BLOCK_ROWS))
-    pairs = list(filters.items())
-
-    def cell(q_pdf, d_pdf):
-        if not len(q_pdf) or not len(d_pdf):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        side = _payload(q_pdf, k, filters, overlap)
-        kmax = max(0, int(min(k, side["k"].max()))) if len(side["k"]) else 0
-        if not kmax:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        return _best_of(side, d_pdf, metric, kmax, pairs, min_score, max_score, keys)
-
-    left = _blocks(q, q_blocks, "_qb", "_db", d_blocks, *keys).groupBy("_qb", "_db")
-    right = _blocks(d, d_blocks, "_db", "_qb", q_blocks, "doc_id").groupBy("_qb", "_db")
-    hits = left.cogroup(right).applyInPandas(cell, schema)
+    fs, ts = [f"_f{i}" for i in range(len(filters))], [f"_t{i}" for i in range(len(overlap))]
+    held = _small_side(q, k)
+
+    def met(table: pa.Table, blocks) -> pa.Table:
+        side = topk.Queries(table, keys, k, fs, ts, metric)
+        for block in blocks:
+            side.meet(block, fs, ts, min_score, max_score)
+        if counter is not None:
+            counter.add(side.scored)
+        return side.hits()
+
+    if held is not None:
+        hits = d.mapInArrow(lambda batches: met(held, batches).to_batches(), schema)
+    else:
+        left, right = _dealt(q, d, fs)
+        hits = left.groupBy("_v", "_qb", "_db").cogroup(right.groupBy("_v", "_qb", "_db")).applyInArrow(
+            lambda a, b: met(a, [b]), schema)
+    return _ranked(hits, keys, k)
+
+
+def _ranked(hits: DataFrame, keys: list[str], k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
     # the literal limit lets the planner cut each partition to k rows per query before the shuffle;
     # the per-query k travels with the rows, so no join back to the queries is needed
@@ -449,11 +374,10 @@ def ann_knn(queries: DataFrame, docs: DataFrame, k: int = 4, n_probe: int | None
     d = d.join(blocks, "_list").withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int")).drop("_n")
     q = q.join(blocks, "_list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
 
-    def cell(q_pdf, d_pdf):
-        if not len(q_pdf) or not len(d_pdf):
-            return pd.DataFrame({f.name: [] for f in HIT_SCHEMA.fields})
-        return _best_of(_payload(q_pdf, k, {}, {}), d_pdf, "cosine", k, [], None, None, ["query_id"])
+    def cell(q_part, d_part):
+        side = topk.Queries(q_part, ["query_id"], k, [], [], "cosine")
+        side.meet(d_part, [], [], None, None)
+        return side.hits()
 
-    hits = q.groupBy("_list", "_b").cogroup(d.groupBy("_list", "_b")).applyInPandas(cell, HIT_SCHEMA)
-    w = Window.partitionBy("query_id").orderBy(F.col("rank_score").desc(), F.col("doc_id").asc())
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank_score", "_kq")
+    hits = q.groupBy("_list", "_b").cogroup(d.groupBy("_list", "_b")).applyInArrow(cell, HIT_SCHEMA)
+    return _ranked(hits, ["query_id"], k)

@@ -29,8 +29,8 @@ def _cols(df):
 
 def q_json_roundtrip(spark, sf):
     path = IO.scratch_path(spark, "items-json")
-    IO.write_items_array(_items(spark, sf), path, 100)
-    return _cols(IO.read_items_json(spark, path))
+    IO.write_items_array(_items(spark, sf), path, one_array=True)
+    return _cols(IO.read_items_json(spark, path, one_array=True))
 
 
 def q_conversation_json(spark, sf):
@@ -40,9 +40,7 @@ def q_conversation_json(spark, sf):
                                                    lambda x: F.struct(x["r"].alias("from"), x["text"].alias("value")))
                                        .alias("conversations"))
     path = IO.scratch_path(spark, "conv-json")
-    arr = recs.withColumn("_chunk", F.floor(F.col("conv_id") / 50)).groupBy("_chunk").agg(
-        F.to_json(F.collect_list(F.struct(F.col("conv_id").alias("item_id"), "conversations"))).alias("value"))
-    arr.write.mode("overwrite").partitionBy("_chunk").text(path)
+    IO.write_items_array(recs.withColumnRenamed("conv_id", "item_id"), path)
     got = IO.read_items_json(spark, path)
     return got.select("conv_id", "instruction", "output", "category")
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from pyspark.sql.window import Window
 from weft.functions.text import present
 from weft.operators import formats as FM
 from weft.operators import prepare
+from weft.sources import ranges
 from weft.session import ensure_checkpoint_dir
 
 CONV_MSG = T.StructType([T.StructField("from", T.StringType()), T.StructField("value", T.StringType())])
@@ -70,15 +73,20 @@ def _conversation_rows(raw: DataFrame, strict_roles: bool = False) -> DataFrame:
                         "output", "category", "tags", "difficulty", "source_section")
 
 
-def read_items_json(spark: SparkSession, path: str, strict_roles: bool = False) -> DataFrame:
-    """A1 + A2: JSON files each holding an array of objects (multi-line JSON).
+def _numbered(records: DataFrame, parsed: Column) -> DataFrame:
+    """Parsed records; those without an id get a number made from their file and offset."""
+    rows = records.select(F.xxhash64("file", "offset").alias("_place"), parsed.alias("_r")).select("_place", "_r.*")
+    return rows.withColumn("item_id", F.coalesce("item_id", "_place")).drop("_place")
+
+
+def read_items_json(spark: SparkSession, path: str, strict_roles: bool = False, one_array: bool = False) -> DataFrame:
+    """A1 + A2: JSON files each holding an array of objects; with ``one_array`` the files of a folder are
+    parts of one array (``write_items_array``). A file of any size is read by all its splits.
 
     Objects with instruction and output become items with defaults; objects
-    with ``conversations`` become human/assistant pairs. A multi-line file is
-    read by one task, so large collections should be many files (or JSONL).
+    with ``conversations`` become human/assistant pairs.
     """
-    raw = spark.read.schema(RAW_ITEM).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    raw = raw.withColumn("item_id", F.coalesce("item_id", F.monotonically_increasing_id()))
+    raw = _numbered(ranges.json_records(spark, path, one_array), F.from_json("text", RAW_ITEM))
     return _item_rows(raw).unionByName(_conversation_rows(raw, strict_roles), allowMissingColumns=True)
 
 
@@ -90,18 +98,22 @@ def read_items_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A4: CSV with header; instruction and output columns required; tags split on ',' (no trim)."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    missing = [c for c in ("instruction", "output") if c not in df.columns]
+    """A4: CSV with header; instruction and output columns required; tags split on ',' (no trim). Values may
+    hold line breaks; a file of any size is read by all its splits. All files have the columns of the first."""
+    names = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    missing = [c for c in ("instruction", "output") if c not in names]
     if missing:
         raise ValueError("CSV must contain columns: ['instruction', 'output']")
+    parsed = F.from_csv("text", ", ".join(f"`{c}` string" for c in names), {"escape": '"', "multiLine": "true"})
+    records = ranges.csv_records(spark, path).filter("offset > 0")
+    df = records.select(F.xxhash64("file", "offset").alias("_place"), parsed.alias("_r")).select("_place", "_r.*")
 
     def col(name: str, default: str) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
 
     tags = F.when(present("tags"), F.split(F.col("tags"), ",")) if "tags" in df.columns else F.lit(None)
     out = df.select(
-        (F.col("item_id").cast("long") if "item_id" in df.columns else F.monotonically_increasing_id()).alias("item_id"),
+        (F.col("item_id").cast("long") if "item_id" in df.columns else F.col("_place")).alias("item_id"),
         F.coalesce("instruction", F.lit("")).alias("instruction"), col("context", "").alias("context"),
         F.coalesce("output", F.lit("")).alias("output"), col("category", "general").alias("category"),
         F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),
@@ -142,12 +154,37 @@ def write_items(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
     df.select(*[c for c in ITEM_OUT if c in df.columns]).write.mode("overwrite").json(path)
 
 
-def write_items_array(df: DataFrame, path: str, chunk_rows: int = 1000) -> None:
-    """A7 ``json``: JSON array files of at most ``chunk_rows`` items each (bounded per file)."""
-    cols = [c for c in ITEM_OUT if c in df.columns]
-    chunked = df.withColumn("_chunk", F.floor(F.col("item_id") / chunk_rows))
-    arr = chunked.groupBy("_chunk").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*cols)))).alias("value"))
-    arr.write.mode("overwrite").partitionBy("_chunk").text(path)
+def write_items_array(df: DataFrame, path: str, one_array: bool = False) -> None:
+    """A7 ``json``: each partition writes one file that holds a JSON array of its items, row by row.
+
+    With ``one_array`` the files, put together in the order of their names, are one array: the first one
+    opens it, the last one closes it, all others begin with a comma. ``read_items_json`` reads such a
+    folder as it is. Nothing is gathered; the driver sees the row count of each partition.
+    """
+    rows = df.select(F.to_json(F.struct(*[c for c in [*ITEM_OUT, "conversations"] if c in df.columns])).alias("value"))
+    ends = None
+    if one_array:
+        rows = rows.checkpoint()  # the same rows in the same partitions when they are written
+        held = [r[0] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().select("p").collect()]
+        ends = (min(held, default=0), max(held, default=0))
+
+    def lines(batches):
+        part = TaskContext.get().partitionId()
+        opens, closes = (part == ends[0], part == ends[1]) if ends else (True, True)
+        empty, waiting = True, None
+        for batch in batches:
+            # the last line waits, since what follows it is not known yet
+            values = ([] if waiting is None else [waiting]) + batch.column(0).to_pylist()
+            if not values:
+                continue
+            if empty:
+                values[0], empty = ("[" if opens else ",") + values[0], False
+            waiting = values.pop()
+            yield pa.RecordBatch.from_arrays([pa.array([v + "," for v in values], pa.string())], ["value"])
+        last = ["[]"] if empty and opens and closes else ([] if empty else [waiting + ("]" if closes else "")])
+        yield pa.RecordBatch.from_arrays([pa.array(last, pa.string())], ["value"])
+
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def export_items(df: DataFrame, fmt: str, path: str) -> None:
