@@ -158,14 +158,6 @@ def test_fit_length_and_conforms(spark):
                    (False, False, True, True)]
 
 
-def test_nested_containers():
-    from weft.operators.pages import container_of
-
-    assert container_of('<div class="content"><div>one</div> two <span>three</span> four</div> x') == "<div>one</div> two <span>three</span> four"
-    assert container_of("<article>a<article>b</article>c</article>d") == "a<article>b</article>c"
-    assert container_of("<div id=main><p>open") == "<p>open" and container_of("<p>none</p>") is None and container_of(None) is None
-
-
 def test_conversation_ids_beyond_a_thousand_turns(spark, tmp_path):
     import json
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.text import present
+from weft.operators import keyword
 from weft.operators import vectors as VX
 
 def epoch() -> Column:
@@ -143,20 +144,10 @@ def keyword_search(queries: DataFrame, history: DataFrame, limit: int = 5, filte
                    text_col: str = "text") -> DataFrame:
     """History rows whose lower-cased stored query contains any query word.
 
-    Stored queries are reduced to distinct (user, text) with their first ``limit`` rows; the user
-    joins them to the queries, ``contains`` decides text by text, and the first ``limit`` rows per query
-    stay (cut in every task before the last shuffle). Rank is storage order, similarity 0.9.
+    Answered by an index of trigrams (``keyword``): no query meets a text that does not hold the rarest
+    grams of one of its words, with or without a filter column. Rank is storage order, similarity 0.9.
     """
-    user = F.col(filter_col).cast("string") if filter_col else F.lit("")
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), user.alias("_u"),
-                           F.filter(F.array_distinct(F.split(F.lower(text_col), r"(?U)\s+")), lambda w: w != "").alias("_ws"))
-    stored = history.select(user.alias("_u"), F.lower("query").alias("_t"), "seq")
-    first = F.row_number().over(Window.partitionBy("_u", "_t").orderBy("seq"))
-    stored = stored.withColumn("_r", first).where(F.col("_r") <= limit).groupBy("_u", "_t").agg(F.collect_list("seq").alias("_seqs"))
-    met = asked.join(stored, "_u").where(F.exists("_ws", lambda w: F.col("_t").contains(w)))
-    hits = met.select("query_id", F.explode("_seqs").alias("seq"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("similarity", F.lit(0.9))
+    return keyword.search(queries, history, limit, filter_col, text_col).withColumn("similarity", F.lit(0.9))
 
 
 def dialogue_window(history: DataFrame, messages: DataFrame, n: int = 20, history_limit: int = 20,

@@ -1,20 +1,15 @@
 """Web pages to documents (J1-J7), on stored pages (url, html).
 
-Extraction is a chain of regular-expression projections: drop script, style
-and comments, pick the first existing content container (else the body),
-strip tags, decode the common entities, squash whitespace and cut. The same
-patterns are valid for Java and RE2 (no back-references, no look-around), so
-the SQL oracle runs them unchanged.
+Content comes from a page's tokens: a fold over its tags finds where the first
+container ends, whatever is nested or left open inside; its text is what the
+tokens between show. Titles, links and snippets are regular-expression projections whose
+patterns are valid for Java and RE2, so the SQL oracle runs them unchanged.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.functions.rows import select_where
@@ -30,7 +25,7 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 CONSENT_REQUIRED = "Explicit consent is required for web scraping under EU regulations"
 
-STRIP_BLOCKS = [r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>", r"(?s)<!--.*?-->"]
+STRIP_BLOCKS = [r"(?is)<script\b[^>]*>.*?(?:</script>|\z)", r"(?is)<style\b[^>]*>.*?(?:</style>|\z)", r"(?s)<!--.*?(?:-->|\z)"]
 BREAK_TAGS = (r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|td|th|table|section|article|header|footer|nav|main|aside"
               r"|blockquote|pre|hr|title)\b[^>]*>")
 ANY_TAG = r"<[^>]*>"
@@ -77,60 +72,100 @@ def _clean_html(html: Column) -> Column:
     return x
 
 
-_TAG = re.compile(r"<(/?)([a-z][a-z0-9]*)\b([^>]*)>", re.I)
-_VALUE = r"\b{}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
-_CLASS, _ID = (re.compile(_VALUE.format(n), re.I) for n in ("class", "id"))
+# One token after the other covers the page: comments, scripts and styles with their content, tags (a
+# ``>`` in a quoted attribute does not end one), declarations, text, and a stray ``<``.
+_INSIDE_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+TOKEN = (r"(?is)<!--.*?(?:-->|\z)"
+         rf"|<script\b{_INSIDE_TAG}.*?(?:</script\s*>|\z)|<style\b{_INSIDE_TAG}.*?(?:</style\s*>|\z)"
+         rf"|</?[a-z]{_INSIDE_TAG}|</?[a-z][^>]*+>|<[!?][^>]*+>|[^<]++|<")
+# Elements without an end tag; scripts and styles are one token each.
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+             "script", "style"]
+_NO_RANK = len(CONTAINER_SELECTORS)
 
 
-def _matches(selector: str, name: str, attributes: str) -> bool:
-    """Whether a start tag meets a selector of one tag name, class or id."""
-    if selector[0] not in ".#":
-        return name == selector
-    m = (_CLASS if selector[0] == "." else _ID).search(attributes)
-    value = next((g for g in m.groups() if g is not None), "") if m else ""
-    return selector[1:] in value.split() if selector[0] == "." else value == selector[1:]
-
-
-def container_of(html: str | None) -> str | None:
-    """Inner HTML of the first container of the page, in the order of the selectors; None without
-    one. A container ends at its own end tag: elements of the same name inside it are counted."""
-    if not html:
-        return None
-    tags = [(m.start(), m.end(), m[1] == "/", m[2].lower(), m[3]) for m in _TAG.finditer(html)]
-    for selector in CONTAINER_SELECTORS:
-        for i, (_, begin, closing, name, attributes) in enumerate(tags):
-            if closing or not _matches(selector, name, attributes):
-                continue
-            depth = 1
-            for start, _, ends, other, _ in tags[i + 1:]:
-                if other == name:
-                    depth += -1 if ends else 1
-                    if not depth:
-                        return html[begin:start]
-            return html[begin:]
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def _container_fragment(h: pd.Series) -> pd.Series:
-    """Inner HTML of the first existing container, NULL when none exists."""
-    return h.map(container_of)
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a start tag (other attributes may hold the same text in quotes)."""
+    others = r"^<[^\s/>]+(?:[\s/]+[^\s/=>]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*?"
+    return F.regexp_extract(tag, rf"(?is){others}[\s/]+{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
 
 
-def with_content(df: DataFrame, html_col: str = "html", out: str = "content") -> DataFrame:
-    """J1 + J2 in stages: clean once, pick the container fragment, then render its text.
+def _rank(tag: Column, name: Column) -> Column:
+    """Place of the first selector that a start tag meets."""
+    names, classes, ids = ([(i, x.lstrip(".#")) for i, x in enumerate(CONTAINER_SELECTORS) if (x[0] if x[0] in ".#" else "") == kind]
+                           for kind in ("", ".", "#"))
+
+    def place(pairs, value):
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, v in pairs for x in (v, i)]), value), F.lit(_NO_RANK))
+
+    plain = lambda v: F.regexp_replace(v, "^[\"']|[\"']$", "")
+    by_class = F.array_min(F.transform(F.split(plain(_attribute(tag, "class")), r"\s+"), lambda c: place(classes, c)))
+    return F.when(name == "", _NO_RANK).otherwise(F.least(
+        place(names, name), F.when(tag.rlike(r"(?i)\sclass\b"), by_class).otherwise(_NO_RANK),
+        F.when(tag.rlike(r"(?i)\sid\b"), place(ids, plain(_attribute(tag, "id")))).otherwise(_NO_RANK)))
 
-    Nesting is beyond regular expressions, so the container is cut out in Arrow batches; all
-    other steps are native. Staging keeps each generated function small (one text chain per
-    stage) so whole-stage code generation stays in effect.
+
+def _tags(tokens: Column) -> Column:
+    """Tags that open or close an element: place, name, whether it closes, rank among the selectors."""
+    marks = F.transform(tokens, lambda t, i: F.struct(
+        i.alias("at"), F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("name"), t.startswith("</").alias("closes"), t.alias("tag")))
+    kept = F.filter(marks, lambda m: (m["name"] != "") & ~m["name"].isin(VOID_TAGS) & ~m["tag"].endswith("/>"))
+    return F.transform(kept, lambda m: F.struct(
+        m["at"].alias("at"), m["name"].alias("name"), m["closes"].alias("closes"),
+        F.when(m["closes"], _NO_RANK).otherwise(_rank(m["tag"], m["name"])).alias("rank")))
+
+
+def _end_of(tags: Column, first: Column) -> Column:
+    """Place of the tag that closes the element opened at token ``first``; null where nothing does.
+
+    A fold over the tags with the open elements, innermost first. An end tag closes the innermost
+    element of its name and all that were left open inside; without such an element it is void.
     """
-    x = df.withColumn("_h", _clean_html(F.col(html_col)))
-    x = x.withColumn("_frag", _container_fragment(F.col("_h"))).withColumn(
-        "_body", F.regexp_extract("_h", BODY_PATTERN, 1))
-    x = x.withColumn("_first", F.coalesce(html_text(F.col("_frag")), F.lit("")))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("floor"), F.lit(None).cast("int").alias("end"))
+
+    def step(acc, m):
+        opened = F.concat(F.array(m["name"]), acc["open"])
+        match = F.array_position(acc["open"], m["name"]).cast("int")
+        left = F.slice(acc["open"], match + 1, F.size(acc["open"]))
+        after = F.struct(opened.alias("open"), F.when(m["at"] == first, F.size(opened)).otherwise(acc["floor"]).alias("floor"), acc["end"].alias("end"))
+        closed = F.struct(left.alias("open"), acc["floor"].alias("floor"), F.when(F.size(left) < acc["floor"], m["at"]).alias("end"))
+        return F.when(acc["end"].isNotNull(), acc).when(~m["closes"], after).when(match == 0, acc).otherwise(closed)
+
+    return F.aggregate(tags, start, step, lambda acc: acc["end"])
+
+
+def tokens_text(tokens: Column) -> Column:
+    """Visible text of a stretch of tokens, whitespace squashed."""
+    text = F.array_join(F.transform(tokens, lambda t: F.when(~t.startswith("<") | (t == "<"), t).when(
+        t.rlike(f"^{BREAK_TAGS}") | t.rlike(r"(?i)^<(?:!--|(?:script|style)\b)"), " ").otherwise("")), "")
+    for ent, ch in ENTITIES:
+        text = F.replace(text, F.lit(ent), F.lit(ch))
+    return normalize_content(text, None)
+
+
+def container_tokens(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """Adds ``_tok`` (the page's tokens) and ``_inner`` (those inside its first container, in the order of
+    the selectors; null without one). Of several elements that a selector fits, the first of the page counts."""
+    x = df.withColumn("_tok", F.regexp_extract_all(html_col, F.lit(TOKEN), F.lit(0))).withColumn("_tags", _tags(F.col("_tok")))
+    best = F.array_min(F.transform("_tags", lambda m: m["rank"]))
+    x = x.withColumn("_open", F.when(best < _NO_RANK, F.get(F.filter("_tags", lambda m: m["rank"] == best), F.lit(0))["at"]))
+    x = x.withColumn("_shut", F.when(F.col("_open").isNotNull(), F.coalesce(_end_of(F.col("_tags"), F.col("_open")), F.size("_tok"))))
+    inner = F.slice("_tok", F.col("_open") + 2, F.greatest(F.col("_shut") - F.col("_open") - 1, F.lit(0)))
+    return x.withColumn("_inner", inner).drop("_tags", "_open", "_shut")
+
+
+def with_content(df: DataFrame, html_col: str = "html", out: str = "content") -> DataFrame:
+    """J1 + J2, natively: tokens, the container's place among them by a fold over the open elements, its
+    text; the body's text where there is no container or none with text. ``_h`` is the cleaned page."""
+    x = container_tokens(df.withColumn("_h", _clean_html(F.col(html_col))), html_col)
+    x = x.withColumn("_first", F.coalesce(tokens_text(F.col("_inner")), F.lit("")))
+    begin = F.array_position(F.transform("_tok", lambda t: t.rlike(r"(?i)^<body\b")), True).cast("int")
+    stop = F.size("_tok") + 1 - F.array_position(F.reverse(F.transform("_tok", lambda t: t.rlike(r"(?i)^</body\b"))), True).cast("int")
+    # without an end tag the body goes to the end of the page
+    body = F.when(begin > 0, F.slice("_tok", begin + 1, F.greatest(F.when(stop <= F.size("_tok"), stop - begin - 1).otherwise(F.size("_tok")), F.lit(0))))
     x = x.withColumn(out, F.substring(F.when(F.col("_first") != "", F.col("_first")).otherwise(
-        html_text(F.col("_body"))), 1, MAX_CONTENT_CHARS))
-    return x.drop("_frag", "_body", "_first")
+        F.coalesce(tokens_text(body), F.lit(""))), 1, MAX_CONTENT_CHARS))
+    return x.drop("_tok", "_inner", "_first")
 
 
 def _first_text(h: Column, tag: str) -> Column:

@@ -100,7 +100,9 @@ def _content(h: str) -> str:
         p = P.container_pattern(sel)
         whens.append(f"WHEN regexp_matches({h}, {_q(p)}) THEN {_html_text(f'regexp_extract({h}, {_q(p)}, 1)')}")
     first = "(CASE " + " ".join(whens) + " ELSE '' END)"
-    body = _html_text(f"regexp_extract({h}, {_q(P.BODY_PATTERN)}, 1)")
+    # a page without the end tag of its body is its body to the end
+    body = _html_text(f"CASE WHEN regexp_matches({h}, {_q(P.BODY_PATTERN)}) THEN regexp_extract({h}, {_q(P.BODY_PATTERN)}, 1) "
+                      f"ELSE regexp_extract({h}, '(?is)<body\\b[^>]*>(.*)', 1) END")
     return f"substr(CASE WHEN {first} <> '' THEN {first} ELSE {body} END, 1, {P.MAX_CONTENT_CHARS})"
 
 
