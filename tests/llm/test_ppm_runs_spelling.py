@@ -240,7 +240,7 @@ def test_variants_are_brute_force(spark, modulus, monkeypatch):
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, word string, n int")
     got = {tuple(x) for x in spelling.spelling_variants(df, typo_modulus=modulus).collect()}
     want = brute_variants(rows, modulus)
-    assert got == want and sum(x[1] is not None for x in want) > 20
+    assert got == want and sum(x[1] is not None for x in want) > 5
 
 
 def test_pivots_are_the_rarest_disjoint_pair():

@@ -34,11 +34,11 @@ from weft.llm.scratch import materialise
 from weft.llm.stream import whole_groups
 
 ORDER = 4
-BUCKET_BYTES = 32 << 20
-SLICE_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PAD = b"\xff" * ORDER
-_TABLE = 1 << 23  # dense numbering of codes up to this many, by sorting beyond
+_TABLE = 1 << 22  # dense numbering of codes up to this many, by sorting beyond
 
 
 def _slices(texts: pa.ChunkedArray):
