@@ -113,7 +113,7 @@ def _first_graph(nodes: DataFrame, width: int, k: int, orders: int, threshold: f
                     ["t", "code", "proj", "node", "label", "vec", "comp"])
 
     placed = nodes.select("node", "label", "vec", "comp").mapInArrow(
-        place, "t int, code int, proj double, node long, label string, vec array<float>, comp long")
+        place, f"t int, code int, proj double, node long, label string, vec {dict(nodes.dtypes)['vec']}, comp long")
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     runs = placed.repartitionByRange(parts, "t", "label", "code", "proj", "node").sortWithinPartitions("t", "label", "code", "proj", "node")
 
@@ -297,10 +297,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, k: int = K) -> Dat
     width = V.common_length(rows, "embedding")
     fine = F.col("label").isNotNull() & V.usable(F.col("embedding")) & (F.size("embedding") == width)
     # equal vectors of a label are one node (0.0 added, as -0.0 equals 0.0)
-    vec = F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("float"))
+    vec = F.transform("embedding", lambda x: x + F.lit(0.0))
     rows = rows.withColumn("node", F.when(fine, F.xxhash64("label", vec)))
-    if dict(rows.dtypes)["embedding"] != "array<float>":
-        raise TypeError("embedding must be array<float>")
     nodes = materialise(rows.filter("node is not null").groupBy("node").agg(
         F.first("label").alias("label"), F.first("embedding").alias("vec"),
         F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("vec_id")), "vectors")

@@ -22,7 +22,6 @@ learned from and counts as not held out.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -39,7 +38,6 @@ MIN_MARGIN = 0.005
 COARSE = 400
 ORDER = 4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -96,7 +94,7 @@ class _Bits:
 
 def _judge(text: str | None, coders) -> tuple[str, float, bool]:
     """Language, score, and whether the text is rejected."""
-    if not coders or not text or not _LETTER.search(text):
+    if not coders or not text or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
     data = text.lower().encode()
     blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]

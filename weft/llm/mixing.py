@@ -91,5 +91,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
     taken = mix(docs, labels, targets).filter("copies > 0").select("_key", "copies").distinct()
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(taken, "_key")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    # the table's own columns travel as one, so no name of theirs meets one of these
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("_key")).join(taken, "_key")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
