@@ -151,21 +151,6 @@ def test_term_fallback_and_forced_documents(spark):
     assert out2[11].document_count == 1 and "Document 1 (Source: s3):\nother" in out2[11].prompt
 
 
-def test_ivf_ann_full_probe_equals_exact(spark):
-    rng = np.random.default_rng(11)
-    d = rng.normal(size=(400, 8))
-    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(d)], "doc_id long, embedding array<float>")
-    qs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(20, 8)))],
-                               "query_id long, embedding array<float>")
-    exact = {(r.query_id, r.rank): r.doc_id for r in VX.knn(qs, docs, k=5).collect()}
-    # probing every list is exact; probing a few lists finds most of the true neighbours
-    full = {(r.query_id, r.rank): r.doc_id for r in VX.ann_knn(qs, docs, k=5, n_probe=8, index=VX.build_ivf_index(docs, 8)).collect()}
-    assert full == exact
-    few = VX.ann_knn(qs, docs, k=5, n_probe=3, index=VX.build_ivf_index(docs, 8)).collect()
-    recall = len({(r.query_id, r.doc_id) for r in few} & {(q, d) for (q, _), d in exact.items()}) / len(exact)
-    assert recall >= 0.6
-
-
 def test_global_row_number_across_partitions(spark):
     from weft.operators.ordering import global_row_number
 
@@ -210,12 +195,6 @@ def test_upsert_takes_one_row_per_key(spark):
     assert got == [(1, "a"), (2, "newest"), (3, "c")]
 
 
-def test_inverted_file_leaves_zero_vectors_out(spark):
-    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)] + [(99, [0.0, 0.0]), (98, None)], "doc_id long, embedding array<float>")
-    q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, embedding array<float>")
-    assert [r.doc_id for r in VX.ann_knn(q, docs, k=1).collect()] == [1]
-
-
 def test_clear_history_of_some_users(spark):
     hist = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "seq long, user_id string")
     users = spark.createDataFrame([("a",), ("a",)], "user_id string")

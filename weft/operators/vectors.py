@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.functions import vector as V
-from weft.operators import topk
+from weft.operators import list_index, topk
 
 # Rows of a block of queries and of documents, where both sides are dealt to blocks.
 QUERY_BLOCK_ROWS = 4096
@@ -313,71 +313,8 @@ def openai_style_embeddings(df: DataFrame, text_col: str = "text", embedding_col
 # ----------------------------------------------------------------- approximate
 
 
-def build_ivf_index(docs: DataFrame, n_lists: int | None = None, seed: int = 7, max_iter: int = 10,
-                    list_col: str = "ivf_list"):
-    """B12 index: k-means lists over the unit vectors (distributed training), every document tagged
-    with its nearest list. The list count follows the table (square root of the rows). Zero and null
-    vectors have no direction and are left out. Returns (index, centroids)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, y: a + y * y))
-    v = docs.where(F.col("embedding").isNotNull()).withColumn("_n", norm).where("_n > 0")
-    if n_lists is None:
-        n_lists = max(2, int(v.count() ** 0.5))
-    v = v.withColumn("_v", array_to_vector(F.transform("embedding", lambda x: x / F.col("_n"))))
-    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol=list_col).fit(v)
-    centroids = np.array(list(model.clusterCenters()), dtype=np.float64)
-    return model.transform(v).drop("_v", "_n"), centroids
-
-
-def _nearest_lists(queries: DataFrame, centroids: np.ndarray, n_probe: int) -> DataFrame:
-    """Adds ``_probed``: the ``n_probe`` lists nearest to each query, nearest first."""
-    unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    schema = T.StructType([*queries.schema.fields, T.StructField("_probed", T.ArrayType(T.IntegerType()))])
-
-    def near(frames):
-        for pdf in frames:
-            if len(pdf):
-                m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                pdf = pdf.assign(_probed=list(np.argsort(-(m @ unit.T), axis=1, kind="stable")[:, :n_probe].astype(np.int32)))
-                yield pdf
-
-    return queries.mapInPandas(near, schema)
-
-
-def probes_for(queries: DataFrame, index, docs: DataFrame, k: int, recall: float = 0.95, sample: int = 64) -> int:
-    """The fewest lists to probe so that a bounded sample of queries finds ``recall`` of its exact
-    ``k`` nearest documents."""
-    idx, centroids = index
-    few = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("query_id")).limit(sample)
-    true = knn(few, docs, k=k).select("query_id", "doc_id").join(idx.select("doc_id", "ivf_list"), "doc_id")
-    order = _nearest_lists(few, centroids, len(centroids)).select("query_id", "_probed")
-    depth = sorted(r[0] for r in true.join(order, "query_id").select(F.array_position("_probed", F.col("ivf_list"))).collect())
-    return int(depth[min(len(depth) - 1, int(recall * len(depth)))]) if depth else 1
-
-
-def ann_knn(queries: DataFrame, docs: DataFrame, k: int = 4, n_probe: int | None = None, index=None,
-            recall: float = 0.95) -> DataFrame:
-    """Approximate kNN over an inverted file: a query meets only the documents of its probed lists
-    (an equi-join on the list; long lists are cut into blocks). Without ``n_probe`` a sample of the
-    queries sets it."""
-    index = index if index is not None else build_ivf_index(docs)
-    idx, centroids = index
-    if n_probe is None:
-        # a little more than the sample asks for, as it is a sample
-        n_probe = min(len(centroids), probes_for(queries, index, docs, k, recall + (1 - recall) / 2))
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where(F.col("embedding").isNotNull())
-    q = _nearest_lists(q, centroids, n_probe).withColumn("_list", F.explode("_probed")).drop("_probed")
-    d = idx.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding", F.col("ivf_list").alias("_list"))
-    blocks = d.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / DOC_BLOCK_ROWS).cast("int").alias("_n"))  # one row per list
-    d = d.join(blocks, "_list").withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int")).drop("_n")
-    q = q.join(blocks, "_list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-
-    def cell(q_part, d_part):
-        side = topk.Queries(q_part, ["query_id"], k, [], [], "cosine")
-        side.meet(d_part, [], [], None, None)
-        return side.hits()
-
-    hits = q.groupBy("_list", "_b").cogroup(d.groupBy("_list", "_b")).applyInArrow(cell, HIT_SCHEMA)
-    return _ranked(hits, ["query_id"], k)
+def ann_knn(queries: DataFrame, docs: DataFrame, k: int = 4, visits: int | None = None, index=None, recall: float = 0.95, counter=None) -> DataFrame:
+    """Approximate kNN over a two-level tree of quantised lists (``list_index``). Without an ``index`` one is
+    built; ``visits`` overrides how many lists a query meets, which the index sets for ``recall``."""
+    index = index if index is not None else list_index.build(docs, queries, k, recall)
+    return list_index.search(queries, docs, index, k, visits, counter)
