@@ -167,17 +167,3 @@ def test_conversation_ids_beyond_a_thousand_turns(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"item_id": 1, "conversations": turns}, {"item_id": 2, "conversations": turns}]))
     got = IO.read_items_json(spark, str(tmp_path)).select("item_id", "conv_id", "turn").collect()
     assert len(got) == 2600 and len({r.item_id for r in got}) == 2600
-
-
-def test_retention_over_several_batches(spark, tmp_path):
-    import datetime as dt
-
-    from weft.streaming import streams as K
-
-    src = str(tmp_path / "in")
-    for day in (1, 20, 22):
-        spark.createDataFrame([(day, dt.datetime(2024, 1, day))], "seq long, ts timestamp").coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema("seq long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
-    sink = str(tmp_path / "out")
-    K.stream_expire(stream, 5, sink, sink + "-ckpt").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.seq for r in K.read_retained(spark, sink, 5).collect()) == [20, 22]

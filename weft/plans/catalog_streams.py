@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.sources.io import scratch_path
+from weft.streaming import retention
 from weft.streaming import streams as K
 
 
@@ -14,17 +15,17 @@ def q_stream_history(spark, sf):
                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-def _ordered_files(spark, sf, parts=4):
-    """The events table as files in time order, so that a stream reads it in several batches."""
+def _ordered_files(spark, sf, parts=4, files=4):
+    """The events table as files in time order, so that a stream reads it in several batches: one slice
+    of time after the other, each of several files."""
     ev = spark.read.parquet(f"{sf}/events.parquet")
     path = scratch_path(spark, "events-by-time")
     days = ev.select(F.min("ts").cast("timestamp").alias("lo"), F.max("ts").cast("timestamp").alias("hi")).first()
     span = max(1.0, (days["hi"] - days["lo"]).total_seconds())
     part = F.least(F.lit(parts - 1), F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit(days["lo"]))) * parts / span)).cast("int")
-    for i in range(parts):  # one file after the other: the file source takes the oldest first
-        ev.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    schema = ev.schema
-    out = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for i in range(parts):  # one slice after the other: the file source takes the oldest files first
+        ev.where(part == i).repartition(files, "event_id").write.mode("append").parquet(path)
+    out = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(path)
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -47,9 +48,8 @@ def q_stream_expire(spark, sf):
     sink = scratch_path(spark, "expire-sink")
     hist = K.history_rows(_ordered_files(spark, sf), spark.read.parquet(f"{sf}/embeddings.parquet"),
                           spark.read.parquet(f"{sf}/embeddings.parquet").count()).drop("embedding")
-    q = K.stream_expire(hist, 14, sink, sink + "-ckpt").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return K.read_retained(spark, sink, 14).select("id")
+    retention.run(hist, 14, sink, sink + "-ckpt")
+    return retention.read_retained(spark, sink, 14).select("id")
 
 
 SQL = {

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the history and document jobs (K1-K5).
+"""Structured Streaming forms of the history and document jobs (K1-K4; K5 is in ``retention``).
 
 Sources are file streams over parquet folders (any file source or Kafka
 works the same way); every query keeps its progress in a checkpoint folder
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import history as H
 from weft.operators import vectors as VX
 from weft.sources.io import scratch_path
 
@@ -99,25 +98,3 @@ def read_collection(spark: SparkSession, table: str, key: str = "doc_id") -> Dat
     cols = [c for c in versions.columns if c not in (key, "version")]
     latest = versions.groupBy(key).agg(F.max_by(F.struct(*cols), "version").alias("_r"))
     return latest.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
-
-
-def stream_expire(history: DataFrame, days: int, sink: str, checkpoint: str):
-    """K5: rolling retention. Each micro-batch writes its own folder (overwritten when a failed batch
-    is re-run) with its rows newer than its own ``max(ts) - days``; ``read_retained`` applies the
-    cut-off of the newest row of all batches to the whole sink.
-    """
-    def keep_recent(batch: DataFrame, epoch: int) -> None:
-        now = batch.agg(F.max("ts")).first()[0]
-        if now is None:
-            return
-        kept, _ = H.expire_history(batch, days, F.lit(now))
-        kept.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
-
-    return history.writeStream.foreachBatch(keep_recent).option("checkpointLocation", checkpoint)
-
-
-def read_retained(spark: SparkSession, sink: str, days: int) -> DataFrame:
-    """K5: the rows of the sink within ``days`` of its newest row."""
-    rows = spark.read.parquet(sink).drop("batch")
-    now = rows.agg(F.max("ts")).first()[0]
-    return H.expire_history(rows, days, F.lit(now))[0]
