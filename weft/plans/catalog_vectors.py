@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from weft.operators import vectors as VX
 from weft.plans.oracle_views import with_views
 from weft.sources import tables
+from weft.sources.io import scratch_path
+from weft.sources.keyed import KeyedTable
 
 
 def _coll(spark, sf):
@@ -85,13 +87,26 @@ def q_filter_meta(spark, sf):
 
 def q_upsert_docs(spark, sf):
     base = _coll(spark, sf).select("doc_id", "text")
+    # some keys come twice in the delta: the newer version counts
+    delta = _quality_delta(spark, sf)
+    return VX.upsert_docs(base, delta, version="version").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _quality_delta(spark, sf):
+    """Rows of good documents in two or three versions."""
     docs = tables.read(spark, sf, "documents")
     lab = tables.read(spark, sf, "labels").where("quality = 1")
-    # some keys come twice in the delta: the newer version counts
     delta = docs.join(lab, "doc_id").select("doc_id", F.explode(F.when(F.col("toxic") == 1, F.array(F.lit(2), F.lit(3))).otherwise(
         F.array(F.lit(2)))).alias("version"), "text")
-    delta = delta.withColumn("text", F.concat("text", F.lit(" [v"), F.col("version").cast("string"), F.lit("]")))
-    return VX.upsert_docs(base, delta, version="version").select("doc_id", F.md5("text").alias("text_md5"))
+    return delta.withColumn("text", F.concat("text", F.lit(" [v"), F.col("version").cast("string"), F.lit("]")))
+
+
+def q_keyed_upsert(spark, sf):
+    """B8 and B4 on a table in buckets: an upsert, a delete, and the merged rows."""
+    table = KeyedTable.create(_coll(spark, sf).select("doc_id", "text"), scratch_path(spark, "keyed"), "doc_id", 8)
+    table.upsert(_quality_delta(spark, sf).withColumnRenamed("version", "_order"), order="_order")
+    table.delete(tables.read(spark, sf, "documents").where("lang = 'de'").select("doc_id"))
+    return table.read().select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def q_with_doc_id(spark, sf):
@@ -165,6 +180,13 @@ SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score
         UNION ALL
         SELECT d.doc_id, md5(concat(d.text, CASE WHEN l.toxic = 1 THEN ' [v3]' ELSE ' [v2]' END))
         FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1"""),
+    "b8_keyed_upsert": with_views(["collection"], """,
+        u AS (SELECT doc_id, md5(text) AS text_md5 FROM collection
+        WHERE doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1)
+        UNION ALL
+        SELECT d.doc_id, md5(concat(d.text, CASE WHEN l.toxic = 1 THEN ' [v3]' ELSE ' [v2]' END))
+        FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1)
+        SELECT doc_id, text_md5 FROM u WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')"""),
     "b2_with_doc_id": "SELECT doc_id, md5(coalesce(text, '')) AS doc_key FROM documents",
 }
 
@@ -176,6 +198,7 @@ QUERIES = {
     "b6_knn_cosine": q_knn_cosine,
     "b7_knn_sqeuclidean": q_knn_sqeuclidean,
     "b8_upsert_docs": q_upsert_docs,
+    "b8_keyed_upsert": q_keyed_upsert,
     "b9_knn_filtered": q_knn_filtered,
     "b10_knn_threshold": q_knn_threshold,
     "b11_rerank": q_rerank,
