@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import prepare, quality
+from weft.operators import bloom, prepare, quality
 from weft.plans.oracle_views import with_views
 from weft.plans.sqlfrag import present, present_arr, rmatch, strip
 from weft.sources import tables
+from weft.sources.io import scratch_path
 
 # ---------------------------------------------------------------- Spark side
 
@@ -105,6 +106,16 @@ def q_dedup_against_benchmark(spark, sf):
     return prepare.dedup_against(items, bench).select("item_id")
 
 
+def q_dedup_stored_filter(spark, sf):
+    """G6 with a stored filter of the existing side: what it excludes skips the exact comparison."""
+    items = _items(spark, sf)
+    bench = tables.read(spark, sf, "benchmark").select(
+        prepare.instruction_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("key"))
+    path = scratch_path(spark, "bloom")
+    bloom.store(bloom.build(bench, "key"), path)
+    return bloom.new_rows(items, prepare.instruction_key(), bench, "key", bloom.load(spark, path)).select("item_id")
+
+
 def q_update_items(spark, sf):
     items = _items(spark, sf)
     bench = tables.read(spark, sf, "benchmark").select(
@@ -311,6 +322,8 @@ SQL = {
         FROM t WHERE role IN ('assistant', 'gpt') AND prole IN ('user', 'human') AND ptext IS NOT NULL AND ptext <> ''""",
 }
 
+SQL["g6_dedup_stored_filter"] = SQL["g6_dedup_against_benchmark"]
+
 QUERIES = {
     "f1_item_issues": q_item_issues,
     "f2_valid_items": q_valid_items,
@@ -327,6 +340,7 @@ QUERIES = {
     "g4_dataset_info": q_dataset_info,
     "g5_tag_frequency": q_tag_frequency,
     "g6_dedup_against_benchmark": q_dedup_against_benchmark,
+    "g6_dedup_stored_filter": q_dedup_stored_filter,
     "g7_conversation_pairs": q_conversation_pairs,
     "g8_update_items": q_update_items,
 }

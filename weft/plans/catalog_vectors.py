@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.operators import summaries as SM
 from weft.operators import vectors as VX
 from weft.plans.oracle_views import with_views
 from weft.sources import tables
@@ -74,6 +75,16 @@ def q_collection_stats(spark, sf):
         "source", "lang", "documents", "chars")
 
 
+def q_kept_stats(spark, sf):
+    """B15 from summaries: the table arrives in two appends, the figures come from their summaries."""
+    docs, path = tables.read(spark, sf, "documents"), scratch_path(spark, "summaries")
+    for part in (F.col("lang") == "en", F.coalesce(F.col("lang") != "en", F.lit(True))):
+        SM.append(docs.where(part).select("doc_id", "source", "lang", "text"), path, ["source", "lang"])
+    sets = [SM.statistics(spark, path, by) for by in ([], ["source"], ["lang"])]
+    out = [x.select(*[F.col(c) if c in x.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")], "documents", "chars") for x in sets]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def q_delete_docs(spark, sf):
     ids = tables.read(spark, sf, "labels").where("toxic = 1").select("doc_id")
     return VX.delete_docs(_coll(spark, sf), ids).select("doc_id", "label")
@@ -190,6 +201,8 @@ SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score
     "b2_with_doc_id": "SELECT doc_id, md5(coalesce(text, '')) AS doc_key FROM documents",
 }
 
+SQL["b15_kept_stats"] = SQL["b15_collection_stats"]
+
 QUERIES = {
     "b2_with_doc_id": q_with_doc_id,
     "b3_embed_documents": q_embed_documents,
@@ -206,6 +219,7 @@ QUERIES = {
     "b13_similar_docs": q_similar_docs,
     "b14_training_query": q_training_query,
     "b15_collection_stats": q_collection_stats,
+    "b15_kept_stats": q_kept_stats,
 }
 
 
