@@ -277,3 +277,19 @@ SQL["e4_concept_context"] = with_views(["markdown_docs"], _SECTIONS + f""",
     SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(cpos AS BIGINT) AS cpos, k AS concept,
            {_context('k')} AS context_text FROM ex""")
 QUERIES["e4_concept_context"] = q_concept_context
+
+
+def q_conversation_items(spark, sf):
+    """E10 on documents that hold the turns of the conversations table."""
+    return _items_out(A.analyze_corpus(tables.dialogue_markdown_view(spark, sf), "intended"))
+
+
+def q_anchor_items(spark, sf):
+    """E12 on documents whose sections hold the anchors."""
+    return _items_out(A.analyze_corpus(tables.anchor_markdown_view(spark, sf), "compat"))
+
+
+SQL["e10_conversation_items"] = with_views(["dialogue_docs"], _SECTIONS + _items_sql("intended"))
+SQL["e12_anchor_items"] = with_views(["anchor_docs"], _SECTIONS + _items_sql("compat"))
+QUERIES["e10_conversation_items"] = q_conversation_items
+QUERIES["e12_anchor_items"] = q_anchor_items

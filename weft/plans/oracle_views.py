@@ -34,6 +34,20 @@ MARKDOWN = """markdown_docs AS (
                     ELSE concat('**', split_part(l, ' ', 1), '** ', l) END)), '')) AS text
   FROM documents)"""
 
+_SAID = "concat(chr(34), replace(text, chr(34), chr(39)), chr(34))"
+
+DIALOGUE = f"""markdown_docs AS (
+  SELECT conv_id AS doc_id, concat('intro', chr(10), '## Conversation Patterns', chr(10), string_agg(piece, chr(10) ORDER BY turn, piece)) AS text
+  FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN concat('**Human:** ', {_SAID}) WHEN turn % 4 = 3 THEN concat('**TRON Response:** ', {_SAID})
+                              WHEN role = 'assistant' THEN concat('**Assistant:** ', {_SAID}) ELSE text END AS piece FROM conversations)
+  GROUP BY conv_id)"""
+
+ANCHORS = """markdown_docs AS (
+  SELECT doc_id, concat('intro', n, '## Core Philosophy', n, 'Here 42 means ', a, n, ' = FOR TWO  and ', b, n, n, a,
+           n, '## Team Framework', n, 'first', n, '**TRON Contribution:** ', a, n, '**AI Contribution:** ', b, n, n, 'end ', a,
+           n, '## Crisis Prevention Protocol', n, a, CASE WHEN doc_id % 2 = 0 THEN ' STOP ' ELSE ' \U0001F6D1 ' END, b, n, n, a) AS text
+  FROM (SELECT doc_id, chr(10) AS n, split_part(text, chr(10), 1) AS a, split_part(text, chr(10), 2) AS b FROM documents))"""
+
 HISTORY = """history AS (
   SELECT CAST(k.event_id AS VARCHAR) AS id,
          k.event_id AS seq,
@@ -66,6 +80,8 @@ QUERIES = """queries AS (
 VIEWS = {
     "items": ITEMS,
     "markdown_docs": MARKDOWN,
+    "dialogue_docs": DIALOGUE,
+    "anchor_docs": ANCHORS,
     "history": HISTORY,
     "collection": COLLECTION,
     "queries": QUERIES,

@@ -76,6 +76,29 @@ def markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dialogue_markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One markdown document per conversation: a section with its turns as quoted speech."""
+    said = F.concat(F.lit('"'), F.translate("text", '"', "'"), F.lit('"'))
+    piece = (F.when(F.col("role") == "user", F.concat(F.lit("**Human:** "), said))
+             .when(F.col("turn") % 4 == 3, F.concat(F.lit("**TRON Response:** "), said))
+             .when(F.col("role") == "assistant", F.concat(F.lit("**Assistant:** "), said)).otherwise(F.col("text")))
+    turns = conversations(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.struct("turn", piece.alias("piece")).alias("t"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["piece"]), "\n")
+    return turns.groupBy("doc_id").agg(F.concat(F.lit("intro\n## Conversation Patterns\n"), body).alias("text"))
+
+
+def anchor_markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One markdown document per ``documents`` row: sections whose passages hold the anchors of the special
+    items, made of the text's first two lines."""
+    lines = read(spark, sf_dir, "documents").select(
+        "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("a"), F.split_part("text", F.lit("\n"), F.lit(2)).alias("b"))
+    stop = F.when(F.col("doc_id") % 2 == 0, " STOP ").otherwise(" \U0001F6D1 ")
+    return lines.select("doc_id", F.concat(
+        F.lit("intro\n## Core Philosophy\nHere 42 means "), "a", F.lit("\n = FOR TWO  and "), "b", F.lit("\n\n"), "a",
+        F.lit("\n## Team Framework\nfirst\n**TRON Contribution:** "), "a", F.lit("\n**AI Contribution:** "), "b", F.lit("\n\nend "), "a",
+        F.lit("\n## Crisis Prevention Protocol\n"), "a", stop, "b", F.lit("\n\n"), "a").alias("text"))
+
+
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response history derived from ``events``, without vectors."""
     return read(spark, sf_dir, "events").selectExpr(
