@@ -6,7 +6,8 @@ in at most k = u * (100 - percent) / percent features. Features are dealt to n1
 to n2 parts, and every subset of n2 - k2 parts of a partition is a signature: its partition, its
 parts, and the projection of the set on them. With n1 * (k2 + 1) > k some partition holds at most
 k2 of the differences, so one of its subsets is free of them and the two sets share a signature.
-For k <= 3 there is one partition of k + 2 parts, all pairs of parts enumerated. A set also signs
+For k <= 3 there is one partition of k + 2 parts, all pairs of parts enumerated. Beyond ``most``
+differences a band enumerates single partitions: a set's signatures are then k + 1 instead of 1.5 k. A set also signs
 in the lower band that its smaller partners may fall in.
 
 Empty projections would tie unrelated sets together. A band therefore has some spare partitions;
@@ -17,7 +18,9 @@ left for one of the two, or both sign the empty ones).
 Candidates are checked exactly, and no signature's members are all paired. First every node tries
 one hub of its signatures. Members that are linked already (through whatever) need no further
 comparison; the members of one signature in different components are compared in blocks of at most
-``BLOCK`` members, by their counts per feature bucket: counts that differ too much rule a pair out.
+``BLOCK`` members, by their sketches: bits of the parity of the features that fall on them, 8 to 16
+for each feature. Two sketches differ in no more bits than the sets in features, and in nearly as many,
+so what is left to check are pairs that qualify or nearly do.
 In ``NEAR_ROUNDS`` each node tries the nearest such member, which joins components as a minimum
 spanning forest grows; the closing pass tries every pair that is left.
 
@@ -40,13 +43,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.llm import textvec
-from weft.llm.graph import components
+from weft.llm.graph import components, joined
 from weft.llm.scratch import materialise
 from weft.llm.stream import whole_groups
 
-NEAR_ROUNDS = 3
+NEAR_ROUNDS = 2
 BLOCK = 1024
-_BUCKETS = 256
+ALL = 1 << 60
+_SKETCH_BITS = 1 << 14  # of the longest sets; 8 to 16 times the size of others
 
 
 def ngram_sets(texts: list[bytes | None], n: int):
@@ -78,7 +82,7 @@ def _plan(*key: int) -> tuple:
     return _PLANS[key]
 
 
-def _new_plan(low: int, high: int, percent: int, n2: int, k2: int) -> tuple:
+def _new_plan(low: int, high: int, percent: int, n2: int, k2: int, most: int) -> tuple:
     """Partitions, spare ones, and the subsets of parts (as a 0/1 matrix) of the band."""
     k = high * (100 - percent) // percent
     if k == 0:
@@ -86,6 +90,8 @@ def _new_plan(low: int, high: int, percent: int, n2: int, k2: int) -> tuple:
     if k <= 3:
         n1, n2, k2, spare = 1, k + 2, k, 0
     else:
+        if k > most:
+            n2, k2 = 1, 0
         n1 = k // (k2 + 1) + 1
         subsets = len(list(itertools.combinations(range(n2), n2 - k2)))
         empty = n1 * subsets * np.exp(-low / n1 * (n2 - k2) / n2)
@@ -94,7 +100,7 @@ def _new_plan(low: int, high: int, percent: int, n2: int, k2: int) -> tuple:
     return n1, spare, np.array([[i in c for i in range(n2)] for c in itertools.combinations(range(n2), n2 - k2)], np.uint64)
 
 
-def signatures(features: np.ndarray, percent: int, n2: int, k2: int) -> np.ndarray:
+def signatures(features: np.ndarray, percent: int, n2: int, k2: int, most: int = ALL) -> np.ndarray:
     """Signatures of one set of distinct fingerprints."""
     size = len(features)
     edges = _EDGES
@@ -103,7 +109,7 @@ def signatures(features: np.ndarray, percent: int, n2: int, k2: int) -> np.ndarr
     place, value = textvec.mix(features ^ np.uint64(0x1234567887654321)), textvec.mix(features)
     out = []
     for band in range(first, own + 1):
-        n1, spare, subsets = _plan(edges[band], edges[band + 1] - 1, percent, n2, k2)
+        n1, spare, subsets = _plan(edges[band], edges[band + 1] - 1, percent, n2, k2, most)
         parts = subsets.shape[1]
         at = ((place >> np.uint64(32)) * np.uint64(n1 * parts) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(n1 * parts, np.uint64)
@@ -116,32 +122,54 @@ def signatures(features: np.ndarray, percent: int, n2: int, k2: int) -> np.ndarr
     return np.concatenate(out)
 
 
+def _sketch(features: np.ndarray) -> bytes:
+    """Parity of the features on each bit; the number of bits is a power of two."""
+    bits = min(_SKETCH_BITS, 1 << (8 * len(features) - 1).bit_length())
+    odd = np.bincount((textvec.mix(features ^ np.uint64(0x7A5C39E6D18B4F02)) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(held: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words; longer ones are folded to the length of the shortest."""
+    bits = min(map(len, held))
+
+    def folded(x: bytes) -> bytes:
+        return x if len(x) == bits else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, bits), axis=0).tobytes()
+
+    return np.frombuffer(b"".join(folded(x) for x in held), np.uint8 if bits < 8 else np.uint64).reshape(len(held), -1)
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the features in one set only, for rows of sketches."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 def _fingerprint(features: np.ndarray) -> int:
     total = np.array([textvec.mix(features).sum(dtype=np.uint64)])
     return int(textvec.fold(total, np.array([len(features)], np.uint64)).view(np.int64)[0])
 
 
 def _describe(docs: DataFrame, n: int) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, node, text_key, buckets`` (the last three null
+    """One row per document: ``doc_id, n_shingles, node, text_key, sketch`` (node and sketch null
     for an empty set)."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for batch in batches:
-            size, node, buckets = [], [], []
+            size, node, sketch = [], [], []
             for s in ngram_sets(batch.column(1).cast(pa.binary()).to_pylist(), n):
                 size.append(len(s))
                 node.append(_fingerprint(s) if len(s) else None)
-                buckets.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=_BUCKETS), 255).astype(np.uint8).tobytes() if len(s) else None)
+                sketch.append(_sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), batch.column(2), pa.array(buckets, pa.binary())],
-                ["doc_id", "n_shingles", "node", "text_key", "buckets"])
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), batch.column(2), pa.array(sketch, pa.binary())],
+                ["doc_id", "n_shingles", "node", "text_key", "sketch"])
 
     return docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("text_key")).mapInArrow(
-        run, f"doc_id {id_type}, n_shingles long, node long, text_key binary, buckets binary")
+        run, f"doc_id {id_type}, n_shingles long, node long, text_key binary, sketch binary")
 
 
-def _signed(docs: DataFrame, n: int, percent: int, n2: int, k2: int) -> DataFrame:
+def _signed(docs: DataFrame, n: int, percent: int, n2: int, k2: int, most: int) -> DataFrame:
     """``(sig, node)`` rows of all sets."""
 
     def run(batches):
@@ -153,7 +181,7 @@ def _signed(docs: DataFrame, n: int, percent: int, n2: int, k2: int) -> DataFram
                 if name is not None and name not in seen:
                     seen.add(name)
                     node.append(name)
-                    sigs.append(signatures(s, percent, n2, k2).view(np.int64))
+                    sigs.append(signatures(s, percent, n2, k2, most).view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs])))
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -164,17 +192,16 @@ def _signed(docs: DataFrame, n: int, percent: int, n2: int, k2: int) -> DataFram
 
 
 def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose bucket counts leave room for the threshold (a lower bound of the difference)."""
+    """Pairs whose sketches leave room for the threshold."""
     def side(x):
-        return nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("buckets").alias(f"s_{x}"))
+        return nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
 
     def run(batches):
         for batch in batches:
             col = dict(zip(["a", "b", "n_a", "n_b", "s_a", "s_b"], batch.columns, strict=True))
             n = [col[x].to_numpy().astype(np.int64) for x in ("n_a", "n_b")]
-            s = [np.frombuffer(b"".join(col[x].to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for x in ("s_a", "s_b")]
             # |A - B| + |B - A| <= (100 - p) / (100 + p) * (|A| + |B|) when the similarity is p per cent
-            apart = np.abs(s[0] - s[1]).sum(axis=1).astype(np.int64)
+            apart = np.array([_differ(x[:1], x[1:])[0] for x in map(_sketches, zip(col["s_a"].to_pylist(), col["s_b"].to_pylist(), strict=True))], np.int64)
             ok = apart * (100 + percent) <= (n[0] + n[1]) * (100 - percent)
             yield pa.RecordBatch.from_arrays([col["a"].filter(pa.array(ok)), col["b"].filter(pa.array(ok))], ["a", "b"])
 
@@ -183,23 +210,24 @@ def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 def _may_link(members: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """``members(sig, node, label, size)`` to the pairs ``(a, b)`` that share a signature, have
-    different labels, and may qualify by their bucket counts; for each node the nearest one, or all."""
+    different labels, and may qualify by their sketches; for each node the nearest one, or all."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     other = F.sequence(F.lit(0), n - 1)
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     cells = F.transform(other, lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y"), (own > j).alias("second")))
-    rows = members.select("sig", "node", "label", F.explode(cells).alias("_c")).join(nodes.select("node", "n_shingles", "buckets"), "node")
+    rows = members.select("sig", "node", "label", F.explode(cells).alias("_c")).join(nodes.select("node", "n_shingles", "sketch"), "node")
     rows = rows.select(F.xxhash64("sig", "_c.x", "_c.y").alias("cell"), F.col("_c.second").alias("second"), (F.col("_c.x") < F.col("_c.y")).alias("two"),
-                       "node", "label", F.col("n_shingles").alias("n"), "buckets")
+                       "node", "label", F.col("n_shingles").alias("n"), "sketch")
 
     def run(batches):
         for t, edges in whole_groups(batches, "cell"):
             node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
             second, two = t.column("second").to_numpy(), t.column("two").to_numpy()
-            count = np.frombuffer(b"".join(t.column("buckets").to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16)
+            held = t.column("sketch").to_pylist()
             best: dict[int, tuple] = {}
             out = set()
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                sketch = _sketches(held[x:y])
                 for i in range(x, y):
                     # in a cell of two blocks each node meets the other block's
                     at = x + np.flatnonzero((label[x:y] != label[i]) & ((second[x:y] != second[i]) | (not two[x])))
@@ -207,7 +235,7 @@ def _may_link(members: DataFrame, nodes: DataFrame, percent: int, nearest: bool)
                         at = at[node[at] < node[i]] if not two[x] else at[:0] if second[i] else at
                     if not len(at):
                         continue
-                    apart = np.abs(count[at] - count[i]).sum(axis=1, dtype=np.int64)
+                    apart = _differ(sketch[at - x], sketch[i - x])
                     ok = apart * (100 + percent) <= (n[at] + n[i]) * (100 - percent)
                     if nearest and ok.any():
                         found = min(zip(apart[ok].tolist(), node[at[ok]].tolist(), strict=True))
@@ -244,15 +272,15 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
             .select("a", "b", "t_a", "t_b").mapInArrow(run, "u long, v long"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, n2: int = 3, k2: int = 1) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, n2: int = 3, k2: int = 1, most: int = ALL) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id, class, text_key)``; class names
     the component (null for an empty set), text_key is the md5 of the text (null for a null text)."""
     described = materialise(_describe(docs, n), "jaccard-sets")
     nodes = described.filter("node is not null").groupBy("node").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.min("text_key").alias("text_key"))
+        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("text_key").alias("text_key"))
     # members of signatures that more than one node has; a sorted stream per signature, which spills
     w = Window.partitionBy("sig")
-    members = (_signed(docs, n, percent, n2, k2)
+    members = (_signed(docs, n, percent, n2, k2, most)
                .withColumn("hub", F.min("node").over(w)).withColumn("_far", F.max("node").over(w))
                .filter("hub <> _far").select("sig", "node", "hub").distinct())
     members = materialise(members, "jaccard-members")
@@ -275,8 +303,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, n2: int =
         if new.isEmpty():
             left = 0 if left > 0 else -1  # nothing near is left to join: on to the closing pass
             continue
-        edges = edges.unionByName(new)
-        labels = materialise(components(edges), "jaccard-classes")
+        labels = materialise(joined(labels, new), "jaccard-classes")
         left -= 1
     grouped = described.join(labels, "node", "left").withColumn("_class", F.coalesce("label", "node"))
     least = grouped.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
@@ -285,16 +312,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, n2: int =
         F.col("_class").alias("class"), "text_key")
 
 
-def one_per_class(docs: DataFrame, n: int = 5, percent: int = 80, n2: int = 1, k2: int = 0) -> DataFrame:
+def one_per_class(docs: DataFrame, n: int = 5, percent: int = 80, n2: int = 3, k2: int = 1, most: int = 64) -> DataFrame:
     """The rows of ``docs``, all columns, with one row left of each component: that of the smallest
     doc_id (then text digest). Rows with an empty set all stay."""
-    classes = jaccard_components(docs.select("doc_id", "text"), n, percent, n2, k2)
+    classes = jaccard_components(docs.select("doc_id", "text"), n, percent, n2, k2, most)
     stay = (classes.filter("class is not null").groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
             .groupBy("class").agg(F.min_by(F.struct("doc_id", "text_key", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("_s")).select("_s.*"))
     empty = classes.filter("class is null").groupBy("doc_id", "text_key").agg(F.lit(1).alias("copies")).select("doc_id", "text_key", "copies")
-    stay = materialise(stay.unionByName(empty), "jaccard-stay").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "copies")
-    keyed = docs.withColumn("_text_key", F.unhex(F.md5("text")))
-    met = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_key").eqNullSafe(F.col("_key")))
+    stay = materialise(stay.unionByName(empty), "jaccard-stay").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), "copies")
+    # the table's own columns travel as one, so no name of theirs meets one of these
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_own"), F.unhex(F.md5("text")).alias("_digest"))
+    met = keyed.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_text_key")))
     # rows that repeat an id with its text: one of them
-    again = met.filter("copies > 1").dropDuplicates(["_id", "_key"])
-    return met.filter("copies = 1").unionByName(again).select(*docs.columns)
+    again = met.filter("copies > 1").dropDuplicates(["_id", "_text_key"])
+    return met.filter("copies = 1").unionByName(again).select("_row.*")
