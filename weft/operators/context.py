@@ -151,7 +151,7 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
     filters = filters or {}
     q = queries.withColumn("k", F.coalesce(F.col("k"), F.lit(DEFAULT_K)).cast("int")) \
         .withColumn("depth", fetch_depth(F.col("k")))
-    q = q.persist()
+    q = q.checkpoint()  # read by every step below; a table, so nothing stays in the executors' memory
     # scoring carries only ids, vectors and filter columns; text is joined after ranking
     vecs = docs.select("doc_id", "embedding", *sorted(set(filters.values())))
     pay = payload if payload is not None else docs.select("doc_id", "text", "source")
@@ -161,12 +161,12 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
         first = first.unionByName(
             forced.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"),
                           F.col("rank").cast("int")))
-    first = first.persist()
+    first = first.checkpoint()
     # a query without hits either has a filter no document passes (then every fallback, which
     # searches under the same filter, is empty too) or a vector that cannot be scored
     misses = q.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    misses = _eligible(misses, vecs, filters).persist()
-    # one action decides whether any fallback search has work (it also materialises ``first``)
+    misses = _eligible(misses, vecs, filters).checkpoint()
+    # one action decides whether any fallback search has work
     has_misses = not misses.isEmpty()
     if has_misses and embedder is None:
         dim = q.agg(F.max(F.size("embedding"))).first()[0] or 64
@@ -178,7 +178,7 @@ def assemble_context(queries: DataFrame, docs: DataFrame, history: DataFrame | N
         hits = hits.unionByName(term_hits)
 
     if use_history and history is not None:
-        hist_items = H.select_history(q, history).persist()
+        hist_items = H.select_history(q, history)
         if has_misses:
             still = misses.join(term_hits.select("query_id").distinct(), "query_id", "left_anti")
             hits = hits.unionByName(history_fallback(still, hist_items, vecs, embedder, filters))

@@ -61,21 +61,19 @@ def _long_candidates(words: DataFrame, places: DataFrame) -> DataFrame:
     ranked = F.array_sort(F.collect_list(F.struct("_places", "gram", "_o"))).alias("_g")
     # a word one of whose grams stands nowhere has no answer
     plan = known.groupBy("_u", "_w").agg(ranked).where(F.size("_g") == F.size(F.split("_w", "")) - (GRAM - 1))
-    plan = plan.select("_u", "_w", F.get("_g", F.lit(0)).alias("_a"), F.get(F.filter("_g", lambda g: g["gram"] != F.get("_g", F.lit(0))["gram"]), F.lit(0)).alias("_b"))
-    parts = counts.where(F.col("_places") > PART_PLACES).select("_u", "gram", F.ceil(F.col("_places") / PART_PLACES).cast("long").alias("_parts"))
-    dealt = places.join(parts, ["_u", "gram"], "left").withColumn("_part", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
-
-    def standing(which: str) -> DataFrame:
-        """Where each word would have to begin for its gram to stand where it stands."""
-        n = F.ceil(F.col(which)["_places"] / PART_PLACES).cast("long")
-        want = plan.where(F.col(which).isNotNull()).select(
-            "_u", "_w", F.col(which)["gram"].alias("gram"), F.col(which)["_o"].alias("_o"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("_part"))
-        return want.join(dealt, ["_u", "gram", "_part"]).select("_u", "_w", "_id", (F.col("at") - F.col("_o")).alias("_begin")).where("_begin >= 0")
-
-    first, second = standing("_a"), standing("_b")
-    alone = plan.where("_b is null").select("_u", "_w")
-    met = first.join(second, ["_u", "_w", "_id", "_begin"], "left_semi")
-    return met.unionByName(first.join(alone, ["_u", "_w"], "left_semi")).select("_u", "_w", "_id").distinct()
+    rarest = F.get("_g", F.lit(0))
+    second = F.get(F.filter("_g", lambda g: g["gram"] != rarest["gram"]), F.lit(0))
+    # a word of one kind of gram is looked up by that alone
+    picked = F.filter(F.array(rarest, second), lambda g: g.isNotNull())
+    parts = F.ceil(F.col("_p._places") / PART_PLACES).cast("long")
+    want = plan.select("_u", "_w", F.size(picked).alias("_need"), F.explode(picked).alias("_p")).select(
+        "_u", "_w", "_need", F.col("_p.gram").alias("gram"), F.col("_p._o").alias("_o"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    hot = counts.where(F.col("_places") > PART_PLACES).select("_u", "gram", F.ceil(F.col("_places") / PART_PLACES).cast("long").alias("_parts"))
+    dealt = places.join(hot, ["_u", "gram"], "left").withColumn("_part", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
+    # where each word would have to begin for its grams to stand where they stand: all must agree
+    standing = want.join(dealt, ["_u", "gram", "_part"]).withColumn("_begin", F.col("at") - F.col("_o")).where("_begin >= 0")
+    met = standing.groupBy("_u", "_w", "_id", "_begin").agg(F.max("_need").alias("_need"), F.countDistinct("gram").alias("_have"))
+    return met.where("_have = _need").select("_u", "_w", "_id").distinct()
 
 
 def matches(words: DataFrame, texts: DataFrame, limit: int) -> DataFrame:

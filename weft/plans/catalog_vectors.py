@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import summaries as SM
 from weft.operators import vectors as VX
+from weft.operators import word_vectors as WV
 from weft.plans.oracle_views import with_views
 from weft.sources import tables
 from weft.sources.io import scratch_path
@@ -130,6 +131,22 @@ def q_embed_documents(spark, sf):
     return e.select("doc_id", F.size("embedding").alias("dim"))
 
 
+def q_cooccurrences(spark, sf):
+    """The counts under the word vectors."""
+    return WV.cooccurrences(tables.read(spark, sf, "documents"))
+
+
+def q_positive_pmi(spark, sf):
+    return WV.positive_pmi(WV.cooccurrences(tables.read(spark, sf, "documents"))).select("word", "context", F.round("value", 6).alias("value"))
+
+
+def q_text_vectors(spark, sf):
+    """Every document's vector from word vectors fitted on the whole table."""
+    docs = tables.read(spark, sf, "documents").select("doc_id", "text")
+    embed = WV.embedder(WV.word_vectors(docs, dim=32).checkpoint())
+    return embed(docs).select("doc_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.round(x, 3)).alias("embedding"))
+
+
 def _cos(a, b):
     return (f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / "
             f"(sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * "
@@ -203,9 +220,27 @@ SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score
 
 SQL["b15_kept_stats"] = SQL["b15_collection_stats"]
 
+_COOCCURRENCES = r"""
+WITH t AS (SELECT row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+           FROM documents),
+tok AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM t),
+vocab AS (SELECT word FROM tok GROUP BY word HAVING count(*) >= 10),
+near AS (SELECT a.word AS x, b.word AS y FROM tok a JOIN tok b ON a.r = b.r AND b.i BETWEEN a.i + 1 AND a.i + 4
+         WHERE a.word IN (FROM vocab) AND b.word IN (FROM vocab)),
+c AS (SELECT word, context, count(*) AS n FROM (SELECT x AS word, y AS context FROM near UNION ALL SELECT y, x FROM near) GROUP BY ALL)"""
+SQL["b3_cooccurrences"] = _COOCCURRENCES + " SELECT word, context, n FROM c"
+SQL["b3_positive_pmi"] = _COOCCURRENCES + """,
+s AS (SELECT word, sum(n) AS nw FROM c GROUP BY word),
+v AS (SELECT c.word, c.context, ln(c.n * (SELECT CAST(sum(nw) AS DOUBLE) FROM s) / (a.nw * CAST(b.nw AS DOUBLE))) AS value
+      FROM c JOIN s a ON a.word = c.word JOIN s b ON b.word = c.context)
+SELECT word, context, round(value, 6) AS value FROM v WHERE value > 0"""
+
 QUERIES = {
     "b2_with_doc_id": q_with_doc_id,
     "b3_embed_documents": q_embed_documents,
+    "b3_cooccurrences": q_cooccurrences,
+    "b3_positive_pmi": q_positive_pmi,
+    "b3_text_vectors": q_text_vectors,
     "b4_delete_docs": q_delete_docs,
     "b5_filter_meta": q_filter_meta,
     "b6_knn_cosine": q_knn_cosine,
