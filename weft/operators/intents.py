@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators import patterns
 from weft.operators import vectors as VX
 
 # Indicator substrings per document class (matched on lower-cased text).
@@ -58,6 +59,19 @@ def classify_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("doc_class", document_class(F.col(text_col)))
 
 
+def classify_by_automaton(docs: DataFrame, text_col: str = "text", classes: dict[str, list[str]] | None = None) -> DataFrame:
+    """L1 for long rule lists: one automaton over the indicators of all classes. The class with most
+    indicators in the text wins, the first of the listed ones where they tie."""
+    classes = classes or {"general": GENERAL_INDICATORS, "runtime": RUNTIME_INDICATORS, "code": CODE_INDICATORS}
+    listed = [(name, p) for name, ps in classes.items() for p in dict.fromkeys(ps)]
+    groups = {name: [i for i, (n, _) in enumerate(listed) if n == name] for name in classes}
+    low = docs.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    hits = patterns.with_found(low, "_low", [p for _, p in listed], "_found")
+    scored = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name"))
+                       for i, (name, n) in enumerate(patterns.counts(F.col("_found"), groups).items())])
+    return hits.withColumn("doc_class", F.array_max(scored)["name"]).drop("_low", "_found")
+
+
 def query_intent(text: Column) -> Column:
     """L2: first intent whose words occur in the lower-cased query; else general."""
     lt = F.lower(F.coalesce(text, F.lit("")))

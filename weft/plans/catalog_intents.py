@@ -15,6 +15,10 @@ def q_classify_documents(spark, sf):
     return L.classify_documents(tables.read(spark, sf, "documents")).select("doc_id", "doc_class")
 
 
+def q_classify_by_automaton(spark, sf):
+    return L.classify_by_automaton(tables.read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "doc_class")
+
+
 def q_query_intent(spark, sf):
     return tables.queries_view(spark, sf).select("query_id", L.query_intent(F.col("text")).alias("intent"))
 
@@ -84,8 +88,11 @@ SQL = {
         {_templates()}"""),
 }
 
+SQL["l1_classify_by_automaton"] = SQL["l1_classify_documents"]
+
 QUERIES = {
     "l1_classify_documents": q_classify_documents,
+    "l1_classify_by_automaton": q_classify_by_automaton,
     "l2_query_intent": q_query_intent,
     "l3_routed_knn": q_routed_knn,
     "l4_principle_items": q_principle_items,
