@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 GRAM = 3
 # A gram in more places than this is dealt to parts.
 PART_PLACES = 1 << 16
+# Up to so many asked words travel to the texts (a few MB with their grams); more meet them by shuffles.
+CARRIED_WORDS = 1 << 16
 
 
 def distinct_words(text: Column) -> Column:
@@ -51,11 +53,15 @@ def short_postings(texts: DataFrame) -> DataFrame:
     return texts.select("_u", "_id", F.explode(F.concat(*both)).alias("gram")).select("_u", "gram", "_id")
 
 
-def _long_candidates(words: DataFrame, places: DataFrame) -> DataFrame:
-    """``(_u, _w, _id)`` for words of three letters or more."""
+def _carried(side: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(side) if few else side
+
+
+def _long_candidates(words: DataFrame, places: DataFrame, few: bool = False) -> DataFrame:
+    """``(_u, _w, _id)`` for words of three letters or more; ``few`` says that the words were counted and are few."""
     asked = words.select("_u", "_w", F.explode(_grams(F.col("_w"), GRAM)).alias("g")).select("_u", "_w", "g.gram", F.col("g.at").alias("_o"))
     # only the places of grams that some word has
-    places = places.join(asked.select("_u", "gram").distinct(), ["_u", "gram"], "left_semi")
+    places = places.join(_carried(asked.select("_u", "gram").distinct(), few), ["_u", "gram"], "left_semi").checkpoint()
     counts = places.groupBy("_u", "gram").agg(F.count(F.lit(1)).alias("_places"))
     known = asked.join(counts, ["_u", "gram"])
     ranked = F.array_sort(F.collect_list(F.struct("_places", "gram", "_o"))).alias("_g")
@@ -71,17 +77,17 @@ def _long_candidates(words: DataFrame, places: DataFrame) -> DataFrame:
     hot = counts.where(F.col("_places") > PART_PLACES).select("_u", "gram", F.ceil(F.col("_places") / PART_PLACES).cast("long").alias("_parts"))
     dealt = places.join(hot, ["_u", "gram"], "left").withColumn("_part", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
     # where each word would have to begin for its grams to stand where they stand: all must agree
-    standing = want.join(dealt, ["_u", "gram", "_part"]).withColumn("_begin", F.col("at") - F.col("_o")).where("_begin >= 0")
+    standing = dealt.join(_carried(want, few), ["_u", "gram", "_part"]).withColumn("_begin", F.col("at") - F.col("_o")).where("_begin >= 0")
     met = standing.groupBy("_u", "_w", "_id", "_begin").agg(F.max("_need").alias("_need"), F.countDistinct("gram").alias("_have"))
     return met.where("_have = _need").select("_u", "_w", "_id").distinct()
 
 
-def matches(words: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+def matches(words: DataFrame, texts: DataFrame, limit: int, few: bool = False) -> DataFrame:
     """``(_u, _w, seq)``: for each word of a user the first ``limit`` rows whose text contains it."""
     # the number of letters as the index counts them
     letters = F.size(F.split("_w", ""))
-    short = words.where(letters < GRAM).join(short_postings(texts).withColumnRenamed("gram", "_w"), ["_u", "_w"])
-    found = _long_candidates(words.where(letters >= GRAM), postings(texts)).unionByName(short.select("_u", "_w", "_id"))
+    short = short_postings(texts).withColumnRenamed("gram", "_w").join(_carried(words.where(letters < GRAM), few), ["_u", "_w"])
+    found = _long_candidates(words.where(letters >= GRAM), postings(texts), few).unionByName(short.select("_u", "_w", "_id"))
     rows = found.join(texts, ["_u", "_id"]).where(F.col("_t").contains(F.col("_w"))).select("_u", "_w", F.explode("_seqs").alias("seq"))
     rank = F.row_number().over(Window.partitionBy("_u", "_w").orderBy("seq"))
     return rows.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
@@ -91,7 +97,8 @@ def search(queries: DataFrame, history: DataFrame, limit: int, filter_col: str |
     """``(query_id, seq)``: per query the first ``limit`` rows that contain one of its words."""
     user = F.col(filter_col).cast("string") if filter_col else F.lit("")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), user.alias("_u"), F.explode(distinct_words(F.col(text_col))).alias("_w"))
-    found = matches(asked.select("_u", "_w").where("_u is not null").distinct(), stored_texts(history, limit, user), limit)
+    words = asked.select("_u", "_w").where("_u is not null").distinct().checkpoint()
+    found = matches(words, stored_texts(history, limit, user).checkpoint(), limit, words.count() <= CARRIED_WORDS)
     hits = asked.join(found, ["_u", "_w"]).select("query_id", "seq").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
