@@ -137,3 +137,26 @@ def test_items_from_one_large_array(spark, tmp_path, small_splits):
     split = IO.read_items_json(spark, str(tmp_path))
     assert split.rdd.getNumPartitions() >= 1 and {tuple(x) for x in split.select("item_id", "instruction", "output").collect()} == whole
     assert len(whole) == 91 and ranges._segments(spark, str(tmp_path), "}").rdd.getNumPartitions() > 9
+
+
+def test_routing_opens_text_files_only(spark, tmp_path, small_splits):
+    small_splits(64)
+    for name, text in {"a.md": "# x", "b.json": "[]", "c.JSONL": "{}", "d.csv": "a,b", "e.txt": " \t{\"a\": 1}\nplain", "f.TXT": "plain\n{\"a\": 1}\n" + "x\n" * 200, "g.txt": "", "sub/h.txt": "{}"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {x.path.rsplit("/", 1)[1]: x.format for x in IO.route_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": "markdown", "b.json": "json", "c.JSONL": "jsonl", "d.csv": "csv", "e.txt": "jsonl", "f.TXT": "markdown", "h.txt": "jsonl"}
+    (tmp_path / "i.bin").write_text("x")
+    with pytest.raises(Exception, match="Unsupported format"):
+        IO.route_files(spark, str(tmp_path)).collect()
+
+
+def test_catalog_of_nothing_and_of_one_instant(spark, tmp_path):
+    import datetime as dt
+
+    assert IO.list_datasets(spark, str(tmp_path)).count() == 0
+    at = dt.datetime(2024, 1, 1)
+    for i in (1, 2):
+        IO.register_dataset(spark, str(tmp_path / str(i)), "d", spark.range(i), created_at=at)
+        spark.read.parquet(str(tmp_path / str(i) / "catalog")).write.mode("append").parquet(str(tmp_path / "catalog"))
+    assert IO.load_dataset(spark, str(tmp_path), "d").count() == 2

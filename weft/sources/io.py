@@ -140,11 +140,31 @@ def route_format(path: Column, first_line: Column) -> Column:
                   .otherwise("markdown")))
 
 
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(_file, _first)``: the first line of each ``.txt`` file, handed on line by line without whole files."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").text(path)
+    head = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), "value").where("_at = 0")
+
+    def first(batches):
+        seen = None
+        for batch in batches:
+            files = batch.column(0).dictionary_encode()
+            code = files.indices.to_numpy(zero_copy_only=False)
+            names = files.dictionary.to_pylist()
+            rows = [i for i in range(len(code)) if (i == 0 or code[i] != code[i - 1]) and names[code[i]] != seen] if len(code) else []
+            yield pa.RecordBatch.from_arrays([pa.array([names[code[i]] for i in rows], pa.string()), batch.column(2).take(pa.array(rows, pa.int64()))], ["_file", "_first"])
+            seen = names[code[-1]] if len(code) else seen
+
+    return head.mapInArrow(first, "_file string, _first string")
+
+
 def route_files(spark: SparkSession, path: str) -> DataFrame:
-    """A6 over a folder: path and detected format; an unknown extension is an error."""
-    files = read_corpus(spark, path)
-    known = route_format(F.col("path"), F.split_part("text", F.lit("\n"), F.lit(1)))
-    return files.select("path", F.coalesce(known, F.raise_error(F.concat(F.lit("Unsupported format: "), "path"))).alias("format"))
+    """A6 over a folder: path and detected format; an unknown extension is an error. Only ``.txt``
+    files are opened; empty files hold nothing and are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("_metadata.file_path").alias("_file"))
+    known = route_format(F.col("path"), F.coalesce("_first", F.lit("")))
+    return files.join(_first_lines(spark, path), "_file", "left").select(
+        "path", F.coalesce(known, F.raise_error(F.concat(F.lit("Unsupported format: "), "path"))).alias("format"))
 
 
 def write_items(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
@@ -249,11 +269,13 @@ def register_dataset(spark: SparkSession, base: str, name: str, items: DataFrame
 
 
 def _catalog(spark: SparkSession, base: str) -> DataFrame:
-    try:
-        cat = spark.read.schema(CATALOG_SCHEMA).parquet(f"{base.rstrip('/')}/catalog")
-    except Exception:  # noqa: BLE001 - no catalog written yet
+    folder = f"{base.rstrip('/')}/catalog"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):  # no catalog written yet
         return spark.createDataFrame([], CATALOG_SCHEMA)
-    w = Window.partitionBy("name").orderBy(F.col("created_at").desc())
+    cat = spark.read.schema(CATALOG_SCHEMA).parquet(folder)
+    # rows of one instant: the larger path, so the choice does not depend on the layout
+    w = Window.partitionBy("name").orderBy(F.col("created_at").desc(), F.col("path").desc(), F.col("info").desc())
     return cat.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
