@@ -45,6 +45,26 @@ def test_long_texts_are_cut_between_words(monkeypatch, spark):
     assert b"".join(bpe._pieces(text.encode())) == text.encode() and len(bpe._pieces(text.encode())) > 10
 
 
+def test_regular_words_have_fingerprints_of_their_own():
+    from weft.llm import textvec
+
+    morse = [0]
+    while len(morse) < 2048:
+        morse += [1 - x for x in morse]
+    a = "".join("ab"[x] for x in morse).encode()
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    x, y, z = next(textvec.word_hashes([a + b" " + b + b" " + a]))
+    assert x == z and x != y
+    words = np.array([5, 9], np.uint64)[np.array(morse + [1 - x for x in morse] + morse)]
+    n = len(morse)
+    one, two, three = textvec.range_hashes(words, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+    assert one == three and one != two
+    rows = {}
+    for w in {prose(k, 1)[:k % 23 + 1] for k in range(3000)}:
+        rows.setdefault(int(next(textvec.word_hashes([("pad " * (len(w) % 5) + w).encode()]))[-1]), set()).add(w.split()[-1] if w.split() else w)
+    assert all(len(v) == 1 for v in rows.values())
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], EMPTY)
     tok = catalog.tokenizer_json()
@@ -80,7 +100,7 @@ def classes(rows, n, percent):
     return s, [root(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("n", "percent", "n2", "k2"), [(3, 90, 3, 1), (5, 80, 1, 0)])
+@pytest.mark.parametrize(("n", "percent", "n2", "k2"), [(3, 90, 3, 1), (5, 80, 3, 1), (5, 80, 1, 0)])
 def test_jaccard_components(spark, n, percent, n2, k2):
     rows, _ = documents(spark)
     for k in range(40):  # a chain of near copies, and copies that differ too much
@@ -101,6 +121,24 @@ def test_jaccard_components(spark, n, percent, n2, k2):
     assert len(kept) == len({c for c, x in zip(cls, s, strict=True) if x}) + len({r for r, x in zip(rows, s, strict=True) if not x})
 
 
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(4)
+    for size in (1, 3, 9, 60, 700, 5000):
+        a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (0.0, 0.1, 0.5):
+            b = np.unique(np.concatenate([a[r.random(len(a)) >= share], r.integers(0, 1 << 63, 1 + int(size * share * 2), dtype=np.uint64)]))
+            x = jaccard_join._sketches([jaccard_join._sketch(a), jaccard_join._sketch(b)])
+            apart, true = jaccard_join._differ(x[:1], x[1:])[0], len(np.setxor1d(a, b))
+            assert apart <= true and (size < 60 or size > 1000 or share != 0.1 or apart > 0.9 * true)
+
+
+def test_one_per_class_keeps_columns_with_its_own_names(spark):
+    rows = [(i, prose(1, 50) if i < 3 else prose(i, 40), i, f"k{i}", "x") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copies int, _key string, _id string")
+    out = jaccard_join.one_per_class(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.copies, r._key) for r in out.collect()) == [(i, i, f"k{i}") for i in (0, 3, 4, 5)]
+
+
 def test_signatures_are_shared_by_similar_sets():
     r = np.random.default_rng(1)
     for percent, n2, k2 in ((90, 3, 1), (80, 1, 0), (80, 3, 1)):
@@ -164,6 +202,41 @@ def test_license_scan(spark):
     assert out[107].labels == "cc-by,cc-by-nc" and out[100].labels == "apache" and out[5].score == 0.0
 
 
+def test_license_notices_at_any_place(spark):
+    notice = dict(license_scan.NOTICES)["mit"].split()
+    spread = [w for i, x in enumerate(notice) for w in ([x, "and"] if i % 2 else [x])][:40]
+    rows = [(i, "filler " * i + " ".join(spread) + " more" * 70) for i in range(60)] + [(100, " ".join(spread[:12] + ["x"] * 40 + spread[12:]))]
+    out = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == "mit" for i in range(60)) and out[100] == ""
+
+
+def test_license_scan_is_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    words = sorted({w for _, t in license_scan.NOTICES for w in t.split()})
+    rows = []
+    for i in range(80):
+        t = []
+        for _ in range(r.randrange(1, 5)):
+            w = r.choice(license_scan.NOTICES)[1].split()
+            t += [x for x in w if r.random() < 0.95] + r.choices(words + ["filler"] * 60, k=r.randrange(60))
+        rows.append((i, " ".join(t)))
+    best = {}
+    for i, t in rows:
+        w = t.split()
+        for label, n in license_scan.NOTICES:
+            n = set(n.split())
+            top = max(len(n & set(w[a:a + license_scan.BLOCK])) for a in range(max(1, len(w))))
+            if top >= 0.9 * len(n) - 1e-9:
+                best.setdefault(i, {})[label] = max(best.get(i, {}).get(label, 0), top / len(n))
+    for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = best.get(x.doc_id, {})
+        assert set(x.labels.split(",")) - {""} == set(want) | (set(x.base_labels.split(",")) - {""})
+        if not x.n_base:
+            assert x.score == pytest.approx(max(want.values(), default=0.0))
+
+
 def test_secret_rules():
     spans = secret_scan.base_spans
     assert spans('Password = "hunter2hunter2"') == [(0, 0, 26)]
@@ -201,7 +274,7 @@ def test_language_id(spark):
 
     r = random.Random(2)
     rows = [(i, " ".join(r.choices(en if i % 2 else de, k=60)), "en" if i % 2 else "de") for i in range(120)]
-    rows += [(500, None, "en"), (501, "", "de"), (502, "123 -- !!", None), (None, "the quick brown fox jumps over the lazy dog again and again", "en"), (503, "the the fox " * 20000, None)]
+    rows += [(500, None, "en"), (501, "", "de"), (502, "123 -- !! ½ ² Ⅷ", None), (None, "the quick brown fox jumps over the lazy dog again and again", "en"), (503, "the the fox " * 20000, None)]
     df = spark.createDataFrame([(*x, "q") for x in rows], "doc_id long, text string, lang string, lang_pred string")
     model = lang_id.learn(df.select("doc_id", "text", "lang"))
     assert set(model) == {"en", "de"} and all(len(v) <= lang_id.DICT_BYTES for v in model.values())

@@ -1,8 +1,8 @@
 """Operator 3: license scans as an exact set-similarity join, in DataFrame functions only.
 
-Blocks are stretches of ``BLOCK`` words, one every ``STRIDE`` words, so each notice of up to
-``BLOCK - STRIDE`` words lies whole in one. A block matches a notice when it holds at least
-``THRESHOLD`` of the notice's distinct words. The join is exact and avoids comparing all with all:
+Blocks are all stretches of ``BLOCK`` words. A block matches a notice when it holds at least
+``THRESHOLD`` of the notice's distinct words. Blocks that begin at a word of the notices stand for all
+others: moving a block's start on to its first such word loses none of them. The join is exact and avoids comparing all with all:
 
 * the notices' words are ordered by how often they occur in the whole corpus, rarest first;
 * prefix filter: a matching block holds one of the first ``size - needed + 1`` words of the notice,
@@ -53,7 +53,6 @@ NOTICES = [
 
 THRESHOLD = 0.9
 BLOCK = 48
-STRIDE = 24
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -114,11 +113,15 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: f
                          F.split("_norm", " ").alias("_words"))
     texts = texts.select("doc_id", "_row", "n_words", *_base(F.col("_norm"), F.col("n_words")),
                          F.when(F.arrays_overlap("_words", F.array(*[F.lit(order[r]) for r in rare])), F.col("_words")).alias("_words"))
-    # blocks of the texts that hold a rare word, as sorted ranks of the notices' words in them
-    vocabulary = F.array(*[F.lit(w) for w in order])
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / STRIDE).cast("int")),
-        lambda i: F.array_sort(F.transform(F.array_intersect(F.slice("_words", i * STRIDE + 1, BLOCK), vocabulary), lambda w: F.element_at(ranks, w))))
+    # the notices' words in texts that hold a rare one; a stretch that matches can begin at its first such
+    # word, and some rare word stands in it
+    marks = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda m: m["w"].isin(order))
+    texts = texts.withColumn("_marks", marks).withColumn(
+        "_rare", F.transform(F.filter("_marks", lambda m: m["w"].isin([order[r] for r in rare])), lambda m: m["i"]))
+    starts = F.filter(F.transform("_marks", lambda m, j: F.struct(j.alias("j"), m["i"].alias("i"))), lambda s: F.exists(
+        "_rare", lambda q: (q >= s["i"]) & (q < s["i"] + BLOCK)))
+    blocks = F.array_distinct(F.transform(starts, lambda s: F.array_sort(F.transform(F.array_distinct(F.transform(F.filter(
+        F.slice("_marks", s["j"] + 1, BLOCK), lambda m: m["i"] < s["i"] + BLOCK), lambda m: m["w"])), lambda w: F.element_at(ranks, w)))))
     base = ["doc_id", "_row", "n_words", "n_base", "first_word", "last_word", "_base"]
     cut = texts.select(*base, F.explode_outer(F.when(
         F.col("_words").isNotNull(), F.filter(blocks, lambda b: F.size(b) >= least))).alias("_block"))
@@ -142,7 +145,7 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES, threshold: f
 
 
 def oracle_sql(notices: list[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD) -> str:
-    """The same result in DuckDB SQL, every block compared with every notice."""
+    """The same result in DuckDB SQL: for each place of a word of a notice, the notice's words in the stretch from there."""
     def words(t: str) -> str:
         return "[" + ", ".join(f"'{w}'" for w in t.split()) + "]"
 
@@ -156,9 +159,12 @@ docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
 places AS (SELECT r, label, len(p) AS n, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS spot
            FROM docs, phrases WHERE list_has_all(w, p)),
 base AS (SELECT r, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS b FROM places GROUP BY r),
-blocks AS (SELECT r, unnest(list_transform(range(0, greatest(len(w), 1), {STRIDE}), lambda i: w[i + 1:i + {BLOCK}])) AS block FROM docs),
-shares AS (SELECT r, label, len(list_intersect(t, block)) / len(t) AS s, len(list_intersect(t, block)) AS k, len(t) AS n FROM blocks, notices
-           WHERE list_has_any(block, t)),
+words AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM docs),
+listed AS (SELECT row_number() OVER () AS notice, label, len(t) AS n, t FROM notices),
+marks AS (SELECT r, notice, label, n, i, word FROM words JOIN (SELECT notice, label, n, unnest(t) AS word FROM listed) USING (word)),
+shares AS (SELECT a.r, a.label, a.n, count(DISTINCT b.word) / a.n AS s, count(DISTINCT b.word) AS k
+           FROM marks a JOIN marks b ON a.r = b.r AND a.notice = b.notice AND b.i BETWEEN a.i AND a.i + {BLOCK} - 1
+           GROUP BY a.r, a.notice, a.label, a.n, a.i),
 found AS (SELECT r, max(s) AS s, list(DISTINCT label) AS f FROM shares WHERE k >= ceil({threshold} * n - 1e-9) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(b), ','), '') AS base_labels,
