@@ -21,8 +21,9 @@ comparison; the members of one signature in different components are compared in
 ``BLOCK`` members, by their sketches: bits of the parity of the features that fall on them, 8 to 16
 for each feature. Two sketches differ in no more bits than the sets in features, and in nearly as many,
 so what is left to check are pairs that qualify or nearly do.
-In ``NEAR_ROUNDS`` each node tries the nearest such member, which joins components as a minimum
-spanning forest grows; the closing pass tries every pair that is left.
+In ``NEAR_ROUNDS`` each node tries the nearest such member of its largest signature that still holds
+several components, which joins components as a minimum spanning forest grows; the closing pass looks at
+all signatures and tries every pair that is left.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; fewer than n
 words give one n-gram of all words; null or empty texts, and texts without words, have an empty
@@ -47,7 +48,7 @@ from weft.llm.graph import components, joined
 from weft.llm.scratch import materialise
 from weft.llm.stream import whole_groups
 
-NEAR_ROUNDS = 2
+NEAR_ROUNDS = 3
 BLOCK = 1024
 ALL = 1 << 60
 _SKETCH_BITS = 1 << 14  # of the longest sets; 8 to 16 times the size of others
@@ -209,26 +210,26 @@ def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 
 def _may_link(members: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """``members(sig, node, label, size)`` to the pairs ``(a, b)`` that share a signature, have
-    different labels, and may qualify by their sketches; for each node the nearest one, or all."""
+    """``members(sig, node, label, size, asks)`` to the pairs ``(a, b)`` that share a signature, have
+    different labels, and may qualify by their sketches; for each row that asks the nearest one, or all."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     other = F.sequence(F.lit(0), n - 1)
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     cells = F.transform(other, lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y"), (own > j).alias("second")))
-    rows = members.select("sig", "node", "label", F.explode(cells).alias("_c")).join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = members.select("sig", "node", "label", "asks", F.explode(cells).alias("_c")).join(nodes.select("node", "n_shingles", "sketch"), "node")
     rows = rows.select(F.xxhash64("sig", "_c.x", "_c.y").alias("cell"), F.col("_c.second").alias("second"), (F.col("_c.x") < F.col("_c.y")).alias("two"),
-                       "node", "label", F.col("n_shingles").alias("n"), "sketch")
+                       "node", "label", "asks", F.col("n_shingles").alias("n"), "sketch")
 
     def run(batches):
         for t, edges in whole_groups(batches, "cell"):
             node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
-            second, two = t.column("second").to_numpy(), t.column("two").to_numpy()
+            second, two, asks = (t.column(c).to_numpy() for c in ("second", "two", "asks"))
             held = t.column("sketch").to_pylist()
             best: dict[int, tuple] = {}
             out = set()
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 sketch = _sketches(held[x:y])
-                for i in range(x, y):
+                for i in (x + np.flatnonzero(asks[x:y])).tolist():
                     # in a cell of two blocks each node meets the other block's
                     at = x + np.flatnonzero((label[x:y] != label[i]) & ((second[x:y] != second[i]) | (not two[x])))
                     if not nearest:
@@ -251,6 +252,13 @@ def _may_link(members: DataFrame, nodes: DataFrame, percent: int, nearest: bool)
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _largest(members: DataFrame) -> DataFrame:
+    """Each node asks in its largest signature; the members of the signatures that some node asks in."""
+    asked = members.groupBy("node").agg(F.max_by("sig", F.struct("size", "sig")).alias("sig")).withColumn("asks", F.lit(True))
+    rows = members.join(asked.select("sig").distinct(), "sig", "left_semi").join(asked, ["node", "sig"], "left")
+    return rows.select("sig", "node", "label", "size", F.coalesce("asks", F.lit(False)).alias("asks"))
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """``(u, v)`` of the pairs that truly qualify."""
     def run(batches):
@@ -298,7 +306,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, n2: int =
     while left >= 0:
         now = members.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         open_ = now.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("size")).filter("_lo <> _hi")
-        pairs = _may_link(now.join(open_.select("sig", "size"), "sig"), nodes, percent, nearest=left > 0)
+        met = now.join(open_.select("sig", "size"), "sig").withColumn("asks", F.lit(True))
+        if left > 0:
+            met = _largest(materialise(met.drop("asks"), "jaccard-open"))
+        pairs = _may_link(met, nodes, percent, nearest=left > 0)
         new = materialise(_linked(pairs, texts, n, percent), "jaccard-links")
         if new.isEmpty():
             left = 0 if left > 0 else -1  # nothing near is left to join: on to the closing pass
