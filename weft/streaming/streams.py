@@ -16,12 +16,15 @@ from weft.sources.io import scratch_path
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", max_files: int | None = None) -> DataFrame:
-    """Streaming read of ``{folder}/{name}.parquet`` with its declared schema; ``ts`` as TIMESTAMP."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    reader = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Streaming read of ``{folder}/{name}.parquet``, one file or a folder of them, with its declared schema;
+    ``ts`` as TIMESTAMP."""
+    folder = folder.rstrip("/")
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    reader = spark.readStream.format("parquet").schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    df = reader.load(folder)
+    # as a pattern, for a stream takes a plain path to be a folder
+    df = reader.load(f"{folder}/{{{name}}}.parquet")
     if "ts" in df.columns:
         df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     return df
