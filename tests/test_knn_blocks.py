@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from weft.operators import topk
 from weft.operators import vectors as VX
 
 
@@ -66,3 +68,38 @@ def test_empty_sides(spark):
     assert VX.knn(queries.limit(0), docs, k=3).count() == 0
     assert VX.knn(queries, docs.limit(0), k=3, filters={"want": "kind"}).count() == 0
     assert VX.knn(queries.filter("want = 'nowhere'"), docs, k=3, filters={"want": "kind"}).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "sqeuclidean"])
+@pytest.mark.parametrize("least", [None, 0.2])
+def test_tiles_hold_few_scores_and_lose_none(monkeypatch, metric, least):
+    rng = np.random.default_rng(3)
+    # many copies and near copies: ties at the last place, and scores that single precision does not tell apart
+    d = np.round(rng.normal(size=(3000, 8)), 1).astype(np.float32)
+    d[1500:2000] = d[:500]
+    d[2000:2500] = d[7] + rng.normal(size=(500, 8)).astype(np.float32) * 1e-7
+    q = np.concatenate([d[:60], d[2000:2020], np.zeros((1, 8), np.float32)])
+    held = pa.table({"query_id": np.arange(len(q)), "embedding": pa.array(list(q), pa.list_(pa.float32()))})
+    side = topk.Queries(held, ["query_id"], 5, [], [], metric)
+    sizes = []
+    monkeypatch.setattr(topk, "TILE", 1 << 12)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 16)
+    inner = side._tile
+    monkeypatch.setattr(side, "_tile", lambda who, part, *a: (sizes.append(len(who) * len(part)), inner(who, part, *a)))
+    order = rng.permutation(len(d))
+    for rows in np.split(order, [1000, 1001, 2600]):
+        side.meet(pa.table({"doc_id": rows, "embedding": pa.array(list(d[rows]), pa.list_(pa.float32()))}), [], [], least, None)
+    a, b = q.astype(float), d.astype(float)
+    if metric == "cosine":
+        s = (a / np.maximum(np.linalg.norm(a, axis=1), 1e-300)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T
+        s[-1] = -np.inf
+        out = -np.inf if least is None else least
+        want = [[(j, round(s[i, j], 9)) for j in np.lexsort((np.arange(len(d)), -np.round(s[i], 9)))[:5] if s[i, j] > -np.inf and s[i, j] >= out] for i in range(len(q))]
+    else:
+        s = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        want = [[(j, round(s[i, j], 9)) for j in np.lexsort((np.arange(len(d)), np.round(s[i], 9))) if least is None or s[i, j] >= least][:5] for i in range(len(q))]
+    hits = side.hits().to_pylist()
+    got = [[(h["doc_id"], h["score"]) for h in hits if h["query_id"] == i] for i in range(len(q))]
+    for x, y in zip(got, want, strict=True):
+        assert [v for v, _ in x] == [v for v, _ in y] and [v for _, v in x] == pytest.approx([v for _, v in y], abs=1e-8)
+    assert max(sizes) <= 1 << 12 and len(sizes) > 3
