@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft.operators import history as H
 from weft.operators import keyword
@@ -45,3 +46,16 @@ def test_nothing_to_search(spark):
     q = spark.createDataFrame([(1, "u", "some words")], "query_id long, user_id string, text string")
     assert H.keyword_search(q, h, 5).count() == 0
     assert H.keyword_search(q.limit(0), h, 5, None).count() == 0
+
+
+def test_the_driver_holds_few_grams(spark):
+    def words(n, size):
+        return spark.range(n).select(F.lit("u").alias("_u"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), size)).alias("_w"))
+
+    assert keyword._few(words(1000, 4)) and keyword._few(words(0, 4))
+    assert not keyword._few(words(20000, 4)) and not keyword._few(words(10, 100000))
+    h = spark.createDataFrame([(i, "u", f"{i}xxxx and more") for i in range(50)], "seq long, user_id string, query string")
+    q = words(6000, 4).select(F.monotonically_increasing_id().alias("query_id"), F.col("_u").alias("user_id"), F.col("_w").alias("text"))
+    got = H.keyword_search(q, h, 2)
+    assert "broadcast" not in got._jdf.queryExecution().analyzed().toString().lower()
+    assert got.count() > 50

@@ -16,8 +16,10 @@ from pyspark.sql.window import Window
 GRAM = 3
 # A gram in more places than this is dealt to parts.
 PART_PLACES = 1 << 16
-# Up to so many asked words travel to the texts (a few MB with their grams); more meet them by shuffles.
-CARRIED_WORDS = 1 << 16
+# Up to so many asked words, and WORD_LETTERS times as many letters, travel to the texts (a few MB with their
+# grams, all of which the driver holds); more meet them by shuffles.
+CARRIED_WORDS = 1 << 12
+WORD_LETTERS = 8
 
 
 def distinct_words(text: Column) -> Column:
@@ -53,6 +55,12 @@ def short_postings(texts: DataFrame) -> DataFrame:
     return texts.select("_u", "_id", F.explode(F.concat(*both)).alias("gram")).select("_u", "gram", "_id")
 
 
+def _few(words: DataFrame) -> bool:
+    """Whether the words and their grams, one per letter, are few enough for the driver."""
+    n, letters = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_w")), F.lit(0))).first()
+    return n <= CARRIED_WORDS and letters <= WORD_LETTERS * CARRIED_WORDS
+
+
 def _carried(side: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(side) if few else side
 
@@ -98,7 +106,7 @@ def search(queries: DataFrame, history: DataFrame, limit: int, filter_col: str |
     user = F.col(filter_col).cast("string") if filter_col else F.lit("")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), user.alias("_u"), F.explode(distinct_words(F.col(text_col))).alias("_w"))
     words = asked.select("_u", "_w").where("_u is not null").distinct().checkpoint()
-    found = matches(words, stored_texts(history, limit, user).checkpoint(), limit, words.count() <= CARRIED_WORDS)
+    found = matches(words, stored_texts(history, limit, user).checkpoint(), limit, _few(words))
     hits = asked.join(found, ["_u", "_w"]).select("query_id", "seq").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
