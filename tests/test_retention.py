@@ -58,3 +58,38 @@ def test_removals_are_handed_on(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out").groupBy("op").agg(F.array_sort(F.collect_set("seq")).alias("seqs")).collect()
     by = {r.op: set(r.seqs) for r in out}
     assert by["remove"] == by["add"] - {9999} and len(by["remove"]) >= 13
+
+
+def test_state_is_read_and_written_per_piece(monkeypatch):
+    class State:
+        def __init__(self):
+            self.rows, self.calls, self.timers = {}, 0, []
+
+        def __getattr__(self, name):
+            def call(*a):
+                self.calls += 1
+                return {"containsKey": lambda k: k in self.rows, "getValue": lambda k: self.rows[k], "removeKey": lambda k: self.rows.pop(k),
+                        "updateValue": lambda k, v: self.rows.__setitem__(k, v), "registerTimer": self.timers.append, "getMapState": lambda *x: self}[name](*a)
+
+            return call
+
+    class Timer:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    state, p = State(), R.Expiry(["seq", "user_id", "ts"])
+    p.init(state)
+    at = pd.to_datetime([START + dt.timedelta(minutes=(i * 7) % 1000) for i in range(1000)])
+    rows = pd.DataFrame({"seq": range(1000), "user_id": "a", "ts": at})
+    assert sum(len(x) for x in p.handleInputRows(("a",), iter([rows]), None)) == 1000
+    # four pieces, not a thousand instants
+    assert state.calls <= 20
+    half = int(at.sort_values()[499].timestamp() * 1000) + 1
+    gone = []
+    while due := [t for t in state.timers if t <= half]:
+        state.timers = [t for t in state.timers if t > half]
+        for t in due:
+            timer = Timer(t)
+            gone += [s for x in p.handleExpiredTimer(("a",), Timer(half), timer) for s in x["seq"]]
+    assert sorted(gone) == sorted(rows["seq"][rows["ts"] <= at.sort_values()[499]])
+    assert sum(len(v[0]) for v in state.rows.values()) == 500 and set(k[0] for k in state.rows) <= set(state.timers)
