@@ -176,26 +176,28 @@ def render_corpus(items: DataFrame, fmt: str = "chatml", max_length: int = DEFAU
 
 def rendered_stats(rendered: DataFrame) -> DataFrame:
     """Length range, mean and upper median, distributions and the mean length ratio."""
-    lens = rendered.select(F.length("text").alias("len"))
-    hist = lens.groupBy("len").count()
+    m = F.col("metadata")
+    ratio = F.when(m["original_length"] > 0, m["processed_length"] / m["original_length"])
+    # the texts are rendered once: all figures come from the counts per length, category and difficulty
+    counts = rendered.groupBy(F.length("text").alias("len"), *[F.coalesce(m[c], F.lit("unknown")).alias(c) for c in ("category", "difficulty")]).agg(
+        F.count(F.lit(1)).alias("count"), F.first(m["format"]).alias("format"), F.sum(ratio).alias("ratios"), F.count(ratio).alias("n_ratios")).checkpoint()
+    hist = counts.groupBy("len").agg(F.sum("count").alias("count"))
     w = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.select("len", "count", F.sum("count").over(w).alias("cum"),
                       F.sum("count").over(Window.partitionBy()).alias("tot"))
     med = cum.where((F.col("cum") - F.col("count") <= F.floor(F.col("tot") / 2))
                     & (F.col("cum") > F.floor(F.col("tot") / 2))).agg(F.max("len").alias("text_length_median"))
-    m = F.col("metadata")
-    base = rendered.agg(
-        F.count(F.lit(1)).alias("total_items"),
-        F.first(m["format"]).alias("format"),
-        F.min(F.length("text")).alias("text_length_min"),
-        F.max(F.length("text")).alias("text_length_max"),
-        F.avg(F.length("text")).alias("text_length_avg"),
-        F.coalesce(F.avg(F.when(m["original_length"] > 0, m["processed_length"] / m["original_length"])),
-                   F.lit(1.0)).alias("avg_compression_ratio"),
+    base = counts.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("total_items"),
+        F.first("format").alias("format"),
+        F.min("len").alias("text_length_min"),
+        F.max("len").alias("text_length_max"),
+        (F.sum(F.col("len") * F.col("count")) / F.sum("count")).alias("text_length_avg"),
+        F.coalesce(F.sum("ratios") / F.when(F.sum("n_ratios") > 0, F.sum("n_ratios")), F.lit(1.0)).alias("avg_compression_ratio"),
     )
 
     def dist(field):
-        g = rendered.groupBy(F.coalesce(m[field], F.lit("unknown")).alias("k")).count()
+        g = counts.groupBy(F.col(field).alias("k")).agg(F.sum("count").alias("count"))
         return g.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "count"))),
                                               lambda x: F.concat(x["k"], F.lit("="), x["count"].cast("string"))),
                                   ";").alias(f"{field}_distribution"))
