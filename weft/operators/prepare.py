@@ -17,6 +17,8 @@ from weft.operators import quality
 
 # Number of hash buckets used to locate each stratum's cut (16 bits of md5).
 _BUCKET_HEX = 4
+# Strata whose boundary travels to the rows, at most.
+CARRIED_STRATA = 1 << 14
 
 
 def split_key(id_col: Column, seed: int) -> Column:
@@ -44,7 +46,9 @@ def stratified_split(items: DataFrame, by: str | None = "category", ratio: float
     # 2) boundary bucket per stratum: where the running count first reaches m (one row per stratum)
     bounds = hist.where((F.col("_cum") - F.col("_c") < F.col("_m")) & (F.col("_cum") >= F.col("_m"))).select(
         "_s", F.col("_b").alias("_bb"), (F.col("_m") - (F.col("_cum") - F.col("_c"))).alias("_need"))
-    placed = keyed.join(bounds, "_s", "left")
+    bounds = bounds.checkpoint()
+    # few strata travel to the rows; dealt by stratum, all rows of one would meet in one task
+    placed = keyed.join(F.broadcast(bounds) if bounds.count() <= CARRIED_STRATA else bounds, "_s", "left")
     # 3) exact rank only inside the boundary bucket of each stratum; rows that repeat an id are
     # told apart by their digest, and equal rows by their count
     at_edge = F.coalesce(F.col("_b") == F.col("_bb"), F.lit(False))
