@@ -52,7 +52,8 @@ def cooccurrences(docs: DataFrame, window: int = WINDOW, min_count: int = MIN_CO
 
 def positive_pmi(counts: DataFrame) -> DataFrame:
     """``(word, context, value)``: max(0, log(n_wc N / (n_w n_c))), the positive ones."""
-    totals = counts.groupBy("word").agg(F.sum("n").alias("_nw"))
+    counts = counts.checkpoint()  # read four times
+    totals = counts.groupBy("word").agg(F.sum("n").alias("_nw")).checkpoint()
     whole = totals.agg(F.sum("_nw")).first()[0] or 0
     value = F.log(F.col("n") * F.lit(float(whole)) / (F.col("_nw") * F.col("_nc").cast("double")))
     joined = counts.join(totals, "word").join(totals.select(F.col("word").alias("context"), F.col("_nw").alias("_nc")), "context")
