@@ -73,3 +73,41 @@ def test_copies_are_nearer_than_strangers(spark):
     assert abs(cos(1, 1) - 1) < 1e-5 and cos(1, 2) > cos(1, 3) + 0.3
     assert embed(docs.limit(0)).count() == 0
     assert F.col  # the hook takes any table with a text column
+
+
+def test_pairs_are_counted_in_tasks_and_added_up_in_parts(spark, monkeypatch):
+    rows = corpus(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = dict(counts_of(rows, 4, 5))
+    monkeypatch.setattr(W, "PART_PAIRS", 64)  # many parts, each with pairs from every task
+    # two words share a number under the first seed: another seed is taken
+    ids = []
+    honest = W._id
+    monkeypatch.setattr(W, "_id", lambda word, seed: ids.append(seed) or (F.length(word).cast("long") if seed == 0 else honest(word, seed)))
+    monkeypatch.setattr(W, "BROADCAST_WORDS", 0)  # the larger vocabularies' way
+    counts = W.cooccurrences(docs, 4, 5)
+    assert {(r.word, r.context): r.n for r in counts.collect()} == want and 1 in ids
+    plan = counts._jdf.queryExecution().toString()
+    # a pair of words is no row of its own before it is counted
+    assert "FlatMapGroupsInArrow" in plan and "Generate explode(next" not in plan and "posexplode" not in plan
+
+
+def test_spans_lose_no_pair(monkeypatch):
+    r = np.random.default_rng(2)
+    ids = np.sort(r.integers(-2**62, 2**62, 50))[r.integers(0, 50, 3000)]
+    text = np.sort(r.integers(0, 40, 3000))
+    want = Counter()
+    for i in range(3000):
+        for j in range(i + 1, min(i + 6, 3000)):
+            if text[i] == text[j]:
+                want[tuple(sorted((int(ids[i]), int(ids[j]))))] += 1
+    for size in (1 << 21, 700, 5, 1):
+        monkeypatch.setattr(W, "PAIRS", size)
+        monkeypatch.setattr(W, "BATCH_ROWS", 100)
+        got, where = Counter(), {}
+        for b in W._pairs_of(ids, text, 5, 7):
+            for row in b.to_pylist():
+                for x, y, n in zip(row["word"], row["context"], row["n"], strict=True):
+                    got[x, y] += n
+                    assert x <= y and where.setdefault((x, y), row["part"]) == row["part"]
+        assert got == want

@@ -13,8 +13,11 @@ without any has none (null). The sign of each dimension is fixed, so reruns agre
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -26,10 +29,16 @@ WINDOW = 4
 MIN_COUNT = 10
 OVERSAMPLE = 12
 POWER_ROUNDS = 3
+# Pairs that a task sorts at once, pairs of a batch it returns, and pairs whose counts are added up in one place.
+PAIRS = 1 << 21
+BATCH_ROWS = 1 << 16
+PART_PAIRS = 1 << 20
+# The largest vocabulary that travels to the pairs.
+BROADCAST_WORDS = 1 << 19
 
 
 def _words(text):
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def vocabulary(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str = "text") -> DataFrame:
@@ -37,19 +46,117 @@ def vocabulary(docs: DataFrame, min_count: int = MIN_COUNT, text_col: str = "tex
     return docs.select(F.explode(_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
 
-def cooccurrences(docs: DataFrame, window: int = WINDOW, min_count: int = MIN_COUNT, text_col: str = "text") -> DataFrame:
-    """``(word, context, n)``: how often two words of the vocabulary stand within ``window`` words of each
-    other, in both directions."""
-    known = vocabulary(docs, min_count, text_col).select("word")
-    ahead = F.transform("_w", lambda w, i: F.struct(w.alias("word"), F.slice("_w", i + 2, window).alias("next")))
-    near = docs.select(_words(F.col(text_col)).alias("_w")).select(F.explode(ahead).alias("x")).select("x.word", F.explode("x.next").alias("context"))
-    pairs = near.groupBy(F.least("word", "context").alias("word"), F.greatest("word", "context").alias("context")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.join(known, "word", "left_semi").join(known.withColumnRenamed("word", "context"), "context", "left_semi")
+def _keyed_words(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """``(word, n, id)`` of all words, and the seed of the hash that numbers them: a seed for which no two words share
+    their number, so that counts by number are counts by word."""
+    words = vocabulary(docs, 1, text_col).checkpoint()  # read for the numbers and for the names
+    for seed in itertools.count():
+        keyed = words.withColumn("id", _id(F.col("word"), seed))
+        if keyed.groupBy("id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").isEmpty():
+            return keyed, seed
+
+
+def _id(word, seed: int):
+    return F.xxhash64(word, F.lit(seed))
+
+
+def _pairs_of(ids: np.ndarray, text: np.ndarray, window: int, parts: int):
+    """Record batches ``(part, word, context, n)`` of the pairs of words of one text within ``window`` words of each other, the
+    smaller number first. Pairs are sorted and counted a span of words at a time; a row holds the pairs of a part, which a
+    pair's numbers decide, as lists."""
+    for a in range(0, len(ids), span := max(1, PAIRS // window)):
+        coded, of = pa.array(ids[a:a + span + window]).dictionary_encode(), text[a:a + span + window]
+        known = coded.dictionary.to_numpy()
+        order = np.argsort(known)
+        known, place = known[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        code = place[coded.indices.to_numpy()]
+        first = min(span, len(code))
+        pairs = []
+        for s in range(1, window + 1):
+            x, y = code[:first][:len(code) - s], code[s:first + s]
+            same = of[:first][:len(code) - s] == of[s:first + s]
+            x, y = x[same], y[same]
+            pairs.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
+        pairs = np.concatenate(pairs)
+        if not len(pairs):
+            continue
+        pairs.sort()
+        at = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        n = np.diff(np.r_[at, len(pairs)])
+        x, y = np.divmod(pairs[at], len(known))
+        x, y = known[x], known[y]
+        part = ((x.view(np.uint64) + y.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+        x, y, n, part = x[order], y[order], n[order], part[order]
+        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        bounds = np.r_[start, len(part)]
+        rows = max(1, len(start) * BATCH_ROWS // len(part))
+        for lo in range(0, len(start), rows):
+            cut = bounds[lo:lo + rows + 1]
+            lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(v[cut[0]:cut[-1]])) for v in (x, y, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int64)), *lists], ["part", "word", "context", "n"])
+
+
+def _pair_counts(docs: DataFrame, window: int, text_col: str, seed: int, n_words: int) -> DataFrame:
+    """``(word, context, n)`` by the words' numbers, the smaller one first: texts become numbers in Spark, a task counts
+    the pairs of its spans, and the counts of a part of all pairs are added up in one place. There are as many parts
+    as the ``n_words`` words of the texts need."""
+    parts = max(1, -(-n_words * window // PART_PAIRS))
+
+    def run(batches):
+        held, sizes, size = [], [], 0
+        for batch in batches:
+            column = batch.column(0)
+            held.append(column.flatten().to_numpy(zero_copy_only=False))
+            sizes.append(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+            size += len(held[-1])
+            if size * window >= PAIRS:
+                yield from counted(held, sizes)
+                held, sizes, size = [], [], 0
+        if size:
+            yield from counted(held, sizes)
+
+    def counted(held, sizes):
+        sizes = np.concatenate(sizes)
+        return _pairs_of(np.concatenate(held), np.repeat(np.arange(len(sizes)), sizes), window, parts)
+
+    def added(part: pa.Table) -> pa.Table:
+        rows = pa.table({c: part.column(c).combine_chunks().flatten() for c in ("word", "context", "n")})
+        rows = rows.group_by(["word", "context"], use_threads=False).aggregate([("n", "sum")])
+        return rows.rename_columns({"n_sum": "n"}).select(["word", "context", "n"])
+
+    numbers = docs.select(F.transform(_words(F.col(text_col)), lambda w: _id(w, seed)).alias("_w")).where(F.size("_w") > 1)
+    lists = numbers.mapInArrow(run, "part long, word array<long>, context array<long>, n array<long>")
+    return lists.groupBy("part").applyInArrow(added, "word long, context long, n long")
+
+
+def _known_pairs(docs: DataFrame, window: int, min_count: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The pair counts by number, and ``(id, word)`` of the vocabulary as a side to join them with: it travels to the
+    pairs where it is small, else the pairs meet it in shuffles without a sort."""
+    keyed, seed = _keyed_words(docs, text_col)
+    known = keyed.where(F.col("n") >= min_count).select("id", "word")
+    known = known.hint("broadcast" if known.count() <= BROADCAST_WORDS else "shuffle_hash")
+    n_words = keyed.agg(F.sum("n")).first()[0] or 0
+    return _pair_counts(docs, window, text_col, seed, n_words), known
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
     both = F.when(F.col("word") == F.col("context"), F.array(F.struct("word", "context", (2 * F.col("n")).alias("n")))).otherwise(
         F.array(F.struct("word", "context", "n"), F.struct(F.col("context").alias("word"), F.col("word").alias("context"), "n")))
     return pairs.select(F.explode(both).alias("p")).select("p.*")
 
 
+def cooccurrences(docs: DataFrame, window: int = WINDOW, min_count: int = MIN_COUNT, text_col: str = "text") -> DataFrame:
+    """``(word, context, n)``: how often two words of the vocabulary stand within ``window`` words of each
+    other, in both directions."""
+    pairs, known = _known_pairs(docs, window, min_count, text_col)
+    for c in ("word", "context"):
+        named = known.select(F.col("id").alias(c), F.col("word").alias("_name"))
+        pairs = pairs.join(named, c).drop(c).withColumnRenamed("_name", c)
+    return _both_ways(pairs)
+
+
 def positive_pmi(counts: DataFrame) -> DataFrame:
     """``(word, context, value)``: max(0, log(n_wc N / (n_w n_c))), the positive ones."""
     counts = counts.checkpoint()  # read four times
