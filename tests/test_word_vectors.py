@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import word_vectors as W
@@ -92,6 +93,34 @@ def test_pairs_are_counted_in_tasks_and_added_up_in_parts(spark, monkeypatch):
     assert "FlatMapGroupsInArrow" in plan and "Generate explode(next" not in plan and "posexplode" not in plan
 
 
+@pytest.mark.parametrize("travels", [0, 1 << 20])
+def test_blocks_and_cells_give_the_same_factors(spark, monkeypatch, travels):
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    matrix = W.positive_pmi(W.cooccurrences(docs, 3, 5)).checkpoint()
+    whole, values = W.factor(matrix, 4)
+    want = {r.word: np.array(r.vec) for r in whole.collect()}
+    monkeypatch.setattr(W, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(W, "CELL_ENTRIES", 6)
+    monkeypatch.setattr(W, "BROADCAST_BYTES", travels)
+    # numbers for words, as the whole job has them
+    ids = whole.select(F.xxhash64("word").alias("id"), "word")
+    numbered = matrix.select(F.xxhash64("word").alias("word"), F.xxhash64("context").alias("context"), "value")
+    parts, again = W.factor(numbered, 4, ids)
+    assert np.allclose(values, again, rtol=1e-6)
+    got = {r.word: np.array(r.vec) for r in parts.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+
+
+def test_a_text_travels_once_and_not_with_its_words(spark):
+    docs = spark.createDataFrame([(1, "river boat " + "x" * 5000), (2, None)], "id int, text string")
+    vectors = spark.createDataFrame([("river", [1.0, 0.0], 1.0), ("boat", [0.0, 1.0], 1.0)], "word string, vec array<double>, weight double")
+    plan = W.embedder(vectors)(docs)._jdf.queryExecution().optimizedPlan().toString()
+    made = re.findall(r"Aggregate \[_text#\d+, word#\d+\]", plan)
+    assert made and "sha2" in plan
+    assert W.embedder(vectors)(docs).where("id = 1").first().embedding == pytest.approx([2 ** -0.5] * 2)
+
+
 def test_spans_lose_no_pair(monkeypatch):
     r = np.random.default_rng(2)
     ids = np.sort(r.integers(-2**62, 2**62, 50))[r.integers(0, 50, 3000)]

@@ -1,7 +1,7 @@
 """Text vectors with meaning (B3): windowed co-occurrence, positive PMI, and a randomised SVD on Spark.
 
 Words are near when they are used near the same words. The counts and the positive pointwise mutual information
-are tables; their matrix is factored without ever being whole in one place. A sketch of the matrix (its
+are tables; their matrix is factored in cells, between blocks of words, without ever being whole in one place. A sketch of the matrix (its
 product with a few random directions, made from a hash of each word) is sharpened by further products
 with the matrix, made orthogonal through its Gram matrix, and the small matrix between the sketch's
 directions gives the factors. The driver sees square matrices of ``dim + OVERSAMPLE`` rows only. A text is
@@ -14,6 +14,7 @@ without any has none (null). The sign of each dimension is fixed, so reruns agre
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.operators import topk
 
@@ -35,6 +37,12 @@ BATCH_ROWS = 1 << 16
 PART_PAIRS = 1 << 20
 # The largest vocabulary that travels to the pairs.
 BROADCAST_WORDS = 1 << 19
+# The vectors that travel whole to the matrix: a vocabulary of 190,000 words at 44 numbers.
+BROADCAST_BYTES = 64 << 20
+# Words of a block of vectors, entries of the matrix in a cell, and rows of a batch of vectors.
+BLOCK_WORDS = 1 << 15
+CELL_ENTRIES = 1 << 21
+ROWS = 1 << 12
 
 
 def _words(text):
@@ -131,12 +139,16 @@ def _pair_counts(docs: DataFrame, window: int, text_col: str, seed: int, n_words
     return lists.groupBy("part").applyInArrow(added, "word long, context long, n long")
 
 
+def _side(words: DataFrame) -> DataFrame:
+    """A table with a row per word, to join with many rows: it travels to them where it is small, else they meet it in
+    shuffles without a sort."""
+    return words.hint("broadcast" if words.count() <= BROADCAST_WORDS else "shuffle_hash")
+
+
 def _known_pairs(docs: DataFrame, window: int, min_count: int, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The pair counts by number, and ``(id, word)`` of the vocabulary as a side to join them with: it travels to the
-    pairs where it is small, else the pairs meet it in shuffles without a sort."""
+    """The pair counts by number, and ``(id, word)`` of the vocabulary as a side to join them with."""
     keyed, seed = _keyed_words(docs, text_col)
-    known = keyed.where(F.col("n") >= min_count).select("id", "word")
-    known = known.hint("broadcast" if known.count() <= BROADCAST_WORDS else "shuffle_hash")
+    known = _side(keyed.where(F.col("n") >= min_count).select("id", "word"))
     n_words = keyed.agg(F.sum("n")).first()[0] or 0
     return _pair_counts(docs, window, text_col, seed, n_words), known
 
@@ -157,37 +169,103 @@ def cooccurrences(docs: DataFrame, window: int = WINDOW, min_count: int = MIN_CO
     return _both_ways(pairs)
 
 
-def positive_pmi(counts: DataFrame) -> DataFrame:
-    """``(word, context, value)``: max(0, log(n_wc N / (n_w n_c))), the positive ones."""
-    counts = counts.checkpoint()  # read four times
+def positive_pmi(counts: DataFrame, kept: bool = False) -> DataFrame:
+    """``(word, context, value)``: max(0, log(n_wc N / (n_w n_c))), the positive ones. The counts are read twice; they
+    are stored for it, unless the caller keeps them already. Words may be numbers as well."""
+    counts = counts if kept else counts.checkpoint()
     totals = counts.groupBy("word").agg(F.sum("n").alias("_nw")).checkpoint()
     whole = totals.agg(F.sum("_nw")).first()[0] or 0
+    totals = _side(totals)
     value = F.log(F.col("n") * F.lit(float(whole)) / (F.col("_nw") * F.col("_nc").cast("double")))
     joined = counts.join(totals, "word").join(totals.select(F.col("word").alias("context"), F.col("_nw").alias("_nc")), "context")
     return joined.select("word", "context", value.alias("value")).where("value > 0")
 
 
-def _times(matrix: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``matrix(word, context, value)`` times ``vectors(word, vec)``: one equi-join and weighted sums that Spark
-    combines before the shuffle."""
-    other = vectors.select(F.col("word").alias("context"), array_to_vector("vec").alias("_v"))
-    return matrix.join(other, "context").groupBy("word").agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col("value"))).alias("vec"))
+# The factorisation keeps the words' vectors as blocks: a row ``(block, vec)`` holds a matrix of ``size`` rows and one column per
+# word of the block. The matrix is kept as cells: a row holds entries between the words of two blocks.
+
+
+def _placed(words: DataFrame, n_words: int) -> DataFrame:
+    """The words with ``block`` and ``pos``, their place in it: hashed to blocks, and numbered there."""
+    blocks = max(1, -(-n_words // BLOCK_WORDS))
+    dealt = words.withColumn("block", F.pmod(F.xxhash64("word", F.lit(0)), F.lit(blocks)).cast("int"))
+    return dealt.withColumn("pos", (F.row_number().over(Window.partitionBy("block").orderBy("word")) - 1).cast("int"))
+
+
+def _cells(matrix: DataFrame, placed: DataFrame, n_entries: int, blocks: int) -> DataFrame:
+    """``(rows, columns, i, j, value)``: the entries between two blocks, at most about ``CELL_ENTRIES`` a row."""
+
+    def packed(key, table):
+        one = pa.array([0, table.num_rows], pa.int32())
+        lists = [pa.ListArray.from_arrays(one, table.column(c).combine_chunks()) for c in ("i", "j", "value")]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), *lists], ["rows", "columns", "i", "j", "value"])
+
+    pieces = max(1, -(-n_entries // (blocks * blocks * CELL_ENTRIES)))
+    at = _side(placed.select("word", "block", "pos"))
+    rows = at.select("word", F.col("block").alias("rows"), F.col("pos").alias("i"))
+    columns = at.select(F.col("word").alias("context"), F.col("block").alias("columns"), F.col("pos").alias("j"))
+    piece = F.pmod(F.xxhash64("word", "context"), F.lit(pieces)).cast("int")
+    entries = matrix.join(rows, "word").join(columns, "context").select("rows", "columns", piece.alias("piece"), "i", "j", "value")
+    return entries.groupBy("rows", "columns", "piece").applyInArrow(packed, "rows int, columns int, i array<int>, j array<int>, value array<double>")
 
 
-def _products(rows: DataFrame, left: str, right: str, size: int) -> np.ndarray:
-    """The sum over all rows of the outer products of two vector columns."""
+def _block(column, size: int) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False).reshape(size, -1) for x in column]
+
+
+def _as_blocks(block, matrices) -> pa.RecordBatch:
+    sizes = np.cumsum([0, *(m.size for m in matrices)])
+    flat = np.concatenate([np.zeros(0), *(m.ravel() for m in matrices)])
+    return pa.RecordBatch.from_arrays([block.cast(pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["block", "vec"])
+
+
+def _times(cells: DataFrame, vectors: DataFrame, size: int, n_words: int) -> DataFrame:
+    """The matrix times the vectors: a cell meets the vectors of its columns and gives sums for its rows, which are
+    added up per block."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j, value = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("i", "j", "value"))
+                own = _block(batch.column("vec").slice(k, 1), size)[0]
+                n = batch.column("n")[k].as_py()
+                sums = np.stack([np.bincount(i, weights=value * x[j], minlength=n) for x in own])
+                yield _as_blocks(batch.column("rows").slice(k, 1), [sums])
+
+    def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, 0.0
+        for part in parts:
+            for m in _block(part.column("vec"), size):
+                block, total = part.column("block")[:1], total + m
+        yield _as_blocks(block, [total])
+
+    sizes = vectors.select(F.col("block").alias("rows"), (F.size("vec") / size).cast("int").alias("n"))
+    columns = vectors.select(F.col("block").alias("columns"), "vec")
+    if 8 * size * n_words <= BROADCAST_BYTES:
+        met = cells.join(F.broadcast(sizes), "rows").join(F.broadcast(columns), "columns")
+    else:  # a copy of a block for each block of rows: all pairs of blocks are met apart
+        met = cells.join(columns.join(F.broadcast(sizes)).hint("shuffle_hash"), ["rows", "columns"])
+    sums = met.select("rows", "n", "i", "j", "value", "vec").mapInArrow(run, "block int, vec array<double>")
+    return sums.groupBy("block").applyInArrow(added, "block int, vec array<double>")
+
+
+def _summed(vectors: DataFrame, size: int, measure) -> np.ndarray:
+    """The sum over all blocks of a small array made from each."""
 
     def run(batches):
-        total = np.zeros((size, size))
         for batch in batches:
-            if batch.num_rows:
-                total += topk.matrix(batch.column(0)).T @ topk.matrix(batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(total.ravel())], ["at", "value"])
+            for m in zip(*(_block(batch.column(c), size) for c in range(batch.num_columns)), strict=True):
+                out = measure(*m).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["at", "value"])
 
-    out = np.zeros(size * size)
-    for r in rows.select(left, right).mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # size * size rows
-        out[r["at"]] = r["value"]
-    return out.reshape(size, size)
+    sums = vectors.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()  # size * size rows
+    return np.array([r["value"] for r in sums])
+
+
+def _products(blocks: DataFrame, size: int) -> np.ndarray:
+    """The sum over all words of the outer products of two vectors."""
+    found = _summed(blocks, size, lambda a, b: a @ b.T)
+    return found.reshape(size, size) if len(found) else np.zeros((size, size))
 
 
 def _mapped(vectors: DataFrame, by: np.ndarray) -> DataFrame:
@@ -195,49 +273,79 @@ def _mapped(vectors: DataFrame, by: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                y = topk.matrix(batch.column(1)) @ by
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))], ["word", "vec"])
+            yield _as_blocks(batch.column("block"), [by.T @ m for m in _block(batch.column("vec"), len(by))])
 
-    return vectors.select("word", "vec").mapInArrow(run, "word string, vec array<double>")
+    return vectors.select("block", "vec").mapInArrow(run, "block int, vec array<double>")
 
 
 def _orthogonal(vectors: DataFrame, size: int) -> DataFrame:
-    """An orthonormal basis of the columns' span, from their Gram matrix; directions without weight are zero."""
-    value, direction = np.linalg.eigh(_products(vectors, "vec", "vec", size))
+    """An orthonormal basis of the vectors' dimensions, from their Gram matrix; directions without weight are zero."""
+    value, direction = np.linalg.eigh(_products(vectors.select("vec", F.col("vec").alias("_other")), size))
     keep = value > max(value.max(initial=0.0), 1e-300) * 1e-12
     return _mapped(vectors, direction * np.where(keep, 1 / np.sqrt(np.where(keep, value, 1.0)), 0.0))
 
 
-def factor(matrix: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
+def _random(placed: DataFrame, size: int) -> DataFrame:
+    """Blocks of normal numbers: two hashes of a word give one for each dimension (Box-Muller)."""
+    u = [F.pmod(F.xxhash64("name", F.lit(f"{i}a")), F.lit(1 << 30)) / (1 << 30) for i in range(size)]
+    v = [(F.pmod(F.xxhash64("name", F.lit(f"{i}b")), F.lit(1 << 30)) + 1) / ((1 << 30) + 1) for i in range(size)]
+    numbers = placed.select("block", "pos", F.array(*[F.sqrt(-2 * F.log(b)) * F.cos(2 * np.pi * a) for a, b in zip(u, v, strict=True)]).alias("vec"))
+
+    def packed(key, table):
+        m = topk.matrix(table.column("vec"))[np.argsort(table.column("pos").to_numpy())]
+        return pa.Table.from_batches([_as_blocks(pa.array([key[0].as_py()]), [np.ascontiguousarray(m.T)])])
+
+    return numbers.groupBy("block").applyInArrow(packed, "block int, vec array<double>")
+
+
+def _unpacked(vectors: DataFrame, size: int) -> DataFrame:
+    """``(block, pos, vec)``: a row per word."""
+
+    def run(batches):
+        for batch in batches:
+            for k, m in enumerate(_block(batch.column("vec"), size)):
+                for lo in range(0, m.shape[1], ROWS):
+                    part = np.ascontiguousarray(m[:, lo:lo + ROWS].T)
+                    vec = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), size).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("block")[k].as_py(), np.int32)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), vec], ["block", "pos", "vec"])
+
+    return vectors.select("block", "vec").mapInArrow(run, "block int, pos int, vec array<double>")
+
+
+def factor(matrix: DataFrame, dim: int, names: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
     """``(word, vec)`` with ``dim`` numbers per word, the leading eigenvectors of the symmetric matrix scaled by the
-    root of their eigenvalues' size, and these eigenvalues."""
+    root of their eigenvalues' size, and these eigenvalues. Where the matrix has numbers for words, ``names``
+    ``(id, word)`` has the words that the result shall show."""
     size = dim + OVERSAMPLE
-    words = matrix.select("word").distinct()
-    # two hashes give a normal number (Box-Muller) for each word and direction
-    u = [F.pmod(F.xxhash64("word", F.lit(f"{i}a")), F.lit(1 << 30)) / (1 << 30) for i in range(size)]
-    v = [(F.pmod(F.xxhash64("word", F.lit(f"{i}b")), F.lit(1 << 30)) + 1) / ((1 << 30) + 1) for i in range(size)]
-    random = words.select("word", F.array(*[F.sqrt(-2 * F.log(b)) * F.cos(2 * np.pi * a) for a, b in zip(u, v, strict=True)]).alias("vec"))
-    basis = _orthogonal(_times(matrix, random).checkpoint(), size).checkpoint()
+    words = matrix.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    n_words, n_entries = words.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    words = words.select("word", F.col("word").alias("name")) if names is None else words.join(
+        names.select("id", F.col("word").alias("name")), words["word"] == names["id"]).select(words["word"], "name")
+    placed = _placed(words, n_words).checkpoint()
+    cells = _cells(matrix, placed, n_entries or 0, max(1, -(-n_words // BLOCK_WORDS))).checkpoint()
+    basis = _orthogonal(_times(cells, _random(placed, size).checkpoint(), size, n_words).checkpoint(), size).checkpoint()
     for _ in range(POWER_ROUNDS):
-        basis = _orthogonal(_times(matrix, basis).checkpoint(), size).checkpoint()
-    image = _times(matrix, basis).withColumnRenamed("vec", "_image")
-    between = _products(basis.join(image, "word"), "vec", "_image", size)
+        basis = _orthogonal(_times(cells, basis, size, n_words).checkpoint(), size).checkpoint()
+    image = _times(cells, basis, size, n_words).withColumnRenamed("vec", "_image")
+    between = _products(basis.join(image, "block").select("vec", "_image"), size)
     value, direction = np.linalg.eigh((between + between.T) / 2)
     order = np.argsort(-np.abs(value), kind="stable")[:dim]
     vectors = _mapped(basis, direction[:, order] * np.sqrt(np.abs(value[order])))
     # the sign for which the cubes' sum is positive
-    cubes = vectors.select(F.posexplode("vec").alias("at", "x")).groupBy("at").agg(F.sum(F.col("x") * F.col("x") * F.col("x")).alias("s")).collect()
-    sign = np.ones(dim)
-    for r in cubes:
-        sign[r["at"]] = -1.0 if r["s"] < 0 else 1.0
-    return _mapped(vectors, np.diag(sign)), value[order]
+    cubes = _summed(vectors.select("vec"), dim, lambda m: (m * m * m).sum(axis=1))
+    sign = np.where(cubes < 0, -1.0, 1.0) if len(cubes) else np.ones(dim)
+    rows = _unpacked(_mapped(vectors, np.diag(sign)), dim)
+    return placed.join(rows, ["block", "pos"]).select(F.col("name").alias("word"), "vec"), value[order]
 
 
 def word_vectors(docs: DataFrame, dim: int = 64, window: int = WINDOW, min_count: int = MIN_COUNT, text_col: str = "text") -> DataFrame:
-    """``(word, vec, weight)``: the vectors of the vocabulary, and the inverse document frequency."""
-    matrix = positive_pmi(cooccurrences(docs, window, min_count, text_col)).checkpoint()
-    vectors, _ = factor(matrix, dim)
+    """``(word, vec, weight)``: the vectors of the vocabulary, and the inverse document frequency. The words stay
+    numbers until they have vectors."""
+    pairs, known = _known_pairs(docs, window, min_count, text_col)
+    for c in ("word", "context"):
+        pairs = pairs.join(known.select(F.col("id").alias(c)), c, "left_semi")
+    counts = _both_ways(pairs.checkpoint())
+    vectors, _ = factor(positive_pmi(counts, kept=True), dim, known)
     n = docs.count()
     held = docs.select(F.explode(F.array_distinct(_words(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_d"))
     return vectors.join(held, "word").select("word", "vec", F.log(F.lit(float(n + 1)) / F.col("_d")).alias("weight"))
@@ -247,13 +355,14 @@ def embedder(vectors: DataFrame):
     """An embedding hook (``embed(df, text_col, out)``) over fitted word vectors: unit vectors, null without a known word."""
 
     def embed(df: DataFrame, text_col: str = "text", out: str = "embedding") -> DataFrame:
-        # equal texts have one vector, and the table's columns stay as they are
-        texts = df.select(F.col(text_col).alias("_text")).where("_text is not null").distinct()
-        words = texts.select("_text", F.explode(_words(F.col("_text"))).alias("word")).groupBy("_text", "word").agg(F.count(F.lit(1)).alias("_n"))
-        met = words.join(vectors.select("word", array_to_vector("vec").alias("_v"), "weight"), "word")
+        # equal texts have one vector, and the table's columns stay as they are; a text's digest goes with its words
+        digest = F.sha2(F.col(text_col), 256)
+        texts = df.select(digest.alias("_text"), _words(F.col(text_col)).alias("_w")).where("_text is not null").dropDuplicates(["_text"])
+        words = texts.select("_text", F.explode("_w").alias("word")).groupBy("_text", "word").agg(F.count(F.lit(1)).alias("_n"))
+        met = words.join(_side(vectors.select("word", array_to_vector("vec").alias("_v"), "weight")), "word")
         sums = met.groupBy("_text").agg(vector_to_array(Summarizer.sum(F.col("_v"), F.col("_n") * F.col("weight"))).alias("_s"))
         norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x * x))
         unit = sums.withColumn("_l", norm).where("_l > 0").select("_text", F.transform("_s", lambda x: (x / F.col("_l")).cast("float")).alias(out))
-        return df.join(unit, F.col(text_col) == F.col("_text"), "left").drop("_text")
+        return df.join(unit, digest == F.col("_text"), "left").drop("_text")
 
     return embed
