@@ -140,3 +140,66 @@ def test_spans_lose_no_pair(monkeypatch):
                     got[x, y] += n
                     assert x <= y and where.setdefault((x, y), row["part"]) == row["part"]
         assert got == want
+
+
+def test_tiles_hold_the_pairs_of_known_words_in_few_bytes():
+    r = np.random.default_rng(4)
+    number = np.where(r.random(40000) < 0.1, -1, r.integers(0, 3000, 40000))
+    text = np.sort(r.integers(0, 300, 40000))
+    want = Counter()
+    for i in range(len(number)):
+        for j in range(i + 1, min(i + 5, len(number))):
+            if text[i] == text[j] and number[i] >= 0 and number[j] >= 0:
+                want[tuple(sorted((int(number[i]), int(number[j]))))] += 1
+    for span in (1 << 23, 999):
+        got, size = Counter(), 0
+        W.SPAN_PAIRS, before = span, W.SPAN_PAIRS
+        for b in W._tile_parts(number, text, 4, 6, 512, 3):
+            for row in b.to_pylist():
+                size += len(row["data"])
+                codes, n = W._unpacked_counts(row["data"], row["size"])
+                tile = row["part"] // 3
+                assert (codes // 512 * 3 // 512 == row["part"] % 3).all()
+                for c, k in zip(codes.tolist(), n.tolist(), strict=True):
+                    got[tile // 6 * 512 + c // 512, tile % 6 * 512 + c % 512] += k
+        W.SPAN_PAIRS = before
+        assert got == want
+        assert span == 999 or size < 5 * len(want)  # rows of two numbers and a count have 24
+
+
+def test_a_vocabulary_in_tiles_and_a_larger_one_agree(spark, monkeypatch):
+    rows = corpus(13)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(W, "TILE_WORDS", 5)
+    monkeypatch.setattr(W, "PART_PAIRS", 64)
+    found = []
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(W, "CARRIED_BYTES", most)
+        monkeypatch.setattr(W, "HELD_BYTES", 8 * 18 * 5)  # five dimensions at a time
+        counts, words = W.numbered_cooccurrences(docs, 3, 5)
+        assert {(r.word, r.context): r.n for r in W.named(counts, words).collect()} == dict(counts_of(rows, 3, 5))
+        matrix = W.named(W.positive_pmi(counts, stored=True), words)
+        want = pmi_of(counts_of(rows, 3, 5))
+        assert {(r.word, r.context): pytest.approx(r.value) for r in matrix.collect()} == want
+        found.append({r.word: (np.array(r.vec), r.weight) for r in W.word_vectors(docs, 4, 3, 5).collect()})
+    assert found[0].keys() == found[1].keys() and found[0]
+    assert all(np.allclose(found[0][k][0], v[0], atol=1e-5) and found[0][k][1] == v[1] for k, v in found[1].items())
+
+
+def test_a_large_table_of_vectors_meets_the_texts_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "river boat river"), (2, None), (3, "boat song"), (4, "other")], "id int, text string")
+    vectors = spark.createDataFrame([("river", [1.0, 0.0], 1.0), ("boat", [0.0, 1.0], 2.0), ("song", [1.0, 1.0], 0.5)], "word string, vec array<double>, weight double")
+    whole = {r.id: r.embedding for r in W.embedder(vectors)(docs).collect()}
+    monkeypatch.setattr(W, "BROADCAST_BYTES", 16)
+    assert {r.id: r.embedding for r in W.embedder(vectors)(docs).collect()} == whole and whole[1] == pytest.approx([2 ** -0.5] * 2)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from weft.session import CLEANUP, kept
+
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = spark.conf.get(CLEANUP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    n = shuffles.shuffleStatuses().size()
+    assert kept(df).count() == 10  # the count has a shuffle of its own
+    assert shuffles.shuffleStatuses().size() <= n + 1 and spark.conf.get(CLEANUP, None) == before
