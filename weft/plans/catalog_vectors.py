@@ -137,7 +137,8 @@ def q_cooccurrences(spark, sf):
 
 
 def q_positive_pmi(spark, sf):
-    return WV.positive_pmi(WV.cooccurrences(tables.read(spark, sf, "documents"))).select("word", "context", F.round("value", 6).alias("value"))
+    counts, words = WV.numbered_cooccurrences(tables.read(spark, sf, "documents"))
+    return WV.named(WV.positive_pmi(counts, stored=True), words).select("word", "context", F.round("value", 6).alias("value"))
 
 
 def q_text_vectors(spark, sf):
