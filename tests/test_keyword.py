@@ -59,3 +59,12 @@ def test_the_driver_holds_few_grams(spark):
     got = H.keyword_search(q, h, 2)
     assert "broadcast" not in got._jdf.queryExecution().analyzed().toString().lower()
     assert got.count() > 50
+
+
+def test_no_side_that_grows_travels_through_the_driver(spark):
+    h = spark.createDataFrame([(i, f"u{i % 3}", f"{i % 40}xxxx and more") for i in range(400)], "seq long, user_id string, query string")
+    q = spark.range(5000).select(F.col("id").alias("query_id"), F.concat(F.lit("u"), F.col("id") % 3).alias("user_id"), F.concat(F.col("id").cast("string"), F.lit("xxxx")).alias("text"))
+    got = H.keyword_search(q, h, 2)  # small for Spark, which would broadcast the sides
+    assert got.count() == sum(min(2, sum(f"{i}xxxx" in f"{j % 40}xxxx" and i % 3 == j % 3 for j in range(400))) for i in range(5000) if i < 40)
+    got.collect()
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()

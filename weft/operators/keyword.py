@@ -62,7 +62,12 @@ def _few(words: DataFrame) -> bool:
 
 
 def _carried(side: DataFrame, few: bool) -> DataFrame:
-    return F.broadcast(side) if few else side
+    return F.broadcast(side) if few else _dealt(side)
+
+
+def _dealt(side: DataFrame) -> DataFrame:
+    """A side that grows with the tables: it never travels through the driver, however small Spark finds its shuffle files."""
+    return side.hint("merge")
 
 
 def _long_candidates(words: DataFrame, places: DataFrame, few: bool = False) -> DataFrame:
@@ -71,7 +76,7 @@ def _long_candidates(words: DataFrame, places: DataFrame, few: bool = False) ->
     # only the places of grams that some word has
     places = places.join(_carried(asked.select("_u", "gram").distinct(), few), ["_u", "gram"], "left_semi").checkpoint()
     counts = places.groupBy("_u", "gram").agg(F.count(F.lit(1)).alias("_places"))
-    known = asked.join(counts, ["_u", "gram"])
+    known = asked.join(_dealt(counts), ["_u", "gram"])
     ranked = F.array_sort(F.collect_list(F.struct("_places", "gram", "_o"))).alias("_g")
     # a word one of whose grams stands nowhere has no answer
     plan = known.groupBy("_u", "_w").agg(ranked).where(F.size("_g") == F.size(F.split("_w", "")) - (GRAM - 1))
@@ -83,7 +88,7 @@ def _long_candidates(words: DataFrame, places: DataFrame, few: bool = False) ->
     want = plan.select("_u", "_w", F.size(picked).alias("_need"), F.explode(picked).alias("_p")).select(
         "_u", "_w", "_need", F.col("_p.gram").alias("gram"), F.col("_p._o").alias("_o"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
     hot = counts.where(F.col("_places") > PART_PLACES).select("_u", "gram", F.ceil(F.col("_places") / PART_PLACES).cast("long").alias("_parts"))
-    dealt = places.join(hot, ["_u", "gram"], "left").withColumn("_part", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
+    dealt = places.join(_dealt(hot), ["_u", "gram"], "left").withColumn("_part", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1).cast("long")))).drop("_parts")
     # where each word would have to begin for its grams to stand where they stand: all must agree
     standing = dealt.join(_carried(want, few), ["_u", "gram", "_part"]).withColumn("_begin", F.col("at") - F.col("_o")).where("_begin >= 0")
     met = standing.groupBy("_u", "_w", "_id", "_begin").agg(F.max("_need").alias("_need"), F.countDistinct("gram").alias("_have"))
@@ -96,7 +101,7 @@ def matches(words: DataFrame, texts: DataFrame, limit: int, few: bool = False) -
     letters = F.size(F.split("_w", ""))
     short = short_postings(texts).withColumnRenamed("gram", "_w").join(_carried(words.where(letters < GRAM), few), ["_u", "_w"])
     found = _long_candidates(words.where(letters >= GRAM), postings(texts), few).unionByName(short.select("_u", "_w", "_id"))
-    rows = found.join(texts, ["_u", "_id"]).where(F.col("_t").contains(F.col("_w"))).select("_u", "_w", F.explode("_seqs").alias("seq"))
+    rows = found.join(_dealt(texts), ["_u", "_id"]).where(F.col("_t").contains(F.col("_w"))).select("_u", "_w", F.explode("_seqs").alias("seq"))
     rank = F.row_number().over(Window.partitionBy("_u", "_w").orderBy("seq"))
     return rows.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
 
@@ -107,6 +112,6 @@ def search(queries: DataFrame, history: DataFrame, limit: int, filter_col: str |
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), user.alias("_u"), F.explode(distinct_words(F.col(text_col))).alias("_w"))
     words = asked.select("_u", "_w").where("_u is not null").distinct().checkpoint()
     found = matches(words, stored_texts(history, limit, user).checkpoint(), limit, _few(words))
-    hits = asked.join(found, ["_u", "_w"]).select("query_id", "seq").distinct()
+    hits = asked.join(_dealt(found), ["_u", "_w"]).select("query_id", "seq").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
