@@ -103,3 +103,18 @@ def test_tiles_hold_few_scores_and_lose_none(monkeypatch, metric, least):
     for x, y in zip(got, want, strict=True):
         assert [v for v, _ in x] == [v for v, _ in y] and [v for _, v in x] == pytest.approx([v for _, v in y], abs=1e-8)
     assert max(sizes) <= 1 << 12 and len(sizes) > 3
+
+
+def test_a_document_travels_few_times_at_once(spark, monkeypatch):
+    monkeypatch.setattr(VX, "QUERY_SIDE_ROWS", 3)
+    monkeypatch.setattr(VX, "QUERY_BLOCK_ROWS", 7)
+    monkeypatch.setattr(VX, "DOC_BLOCK_ROWS", 20)
+    monkeypatch.setattr(VX, "ROUND_CELLS", 8)
+    d, docs, q, queries = tables(spark)
+    left, right = queries.where("embedding is not null"), docs.where("embedding is not null")
+    rounds = list(VX._dealt(left, right, []))
+    assert len(rounds) > 2 and all(b.groupBy("doc_id").count().agg({"count": "max"}).first()[0] == 1 for _, b, _ in rounds)
+    assert sorted(r.query_id for a, _, _ in rounds for r in a.select("query_id").distinct().collect()) == sorted(x[0] for x in q if x[1] is not None)
+    got = VX.knn(queries, docs, k=5, filters={"want": "kind", "level": "grade"}, k_col="k")
+    want, _ = brute(d, q, "cosine", True, False, 5, True, None)
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in got.collect()) == want
